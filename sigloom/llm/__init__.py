@@ -3,8 +3,8 @@
 ``QUERIES`` has one query for each operator, ``ORACLE_SQL`` the DuckDB SQL of those that SQL can express.
 """
 
-from sigloom.llm import bpe, pii, secrets, sharding
+from sigloom.llm import bpe, decontaminate, langid, ngram_join, pii, secrets, sharding
 
-_MODULES = (bpe, secrets, sharding, pii)
+_MODULES = (decontaminate, langid, ngram_join, bpe, secrets, sharding, pii)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL = {k: q for m in _MODULES for k, q in m.ORACLE_SQL.items()}
