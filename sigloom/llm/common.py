@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text that one kernel call sees; batches above are cut, never dropped.
@@ -47,6 +48,22 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+class Sent:
+    """A broadcast of an object of this package's classes; it travels by value, so executors need no copy of the code."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self):
+        return {"bytes": self.bytes}
+
+    @property
+    def value(self):
+        if "held" not in self.__dict__:
+            self.held = cloudpickle.loads(self.bytes.value)
+        return self.held
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

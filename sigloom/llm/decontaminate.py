@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_arrow, mix, shingles, words
+from sigloom.llm.common import map_arrow, mix, Sent, shingles, words
 
 WIDTH, THRESHOLD = 5, 0.75
 RADIUS, BLOCKS, BLOCK_BITS = 39, 8, 16
@@ -160,7 +160,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}, {f.name: f.dataType.simpleString() for f in items.schema}
     out = None
     for part in passes(items, item_key, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
+        sent = Sent(docs.sparkSession, part)
 
         def kernel(batch: pa.RecordBatch, sent=sent):
             found = sent.value.leaks(batch.column(1))
@@ -178,7 +178,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
     """The rows of ``docs``, all columns, that hold no item."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for part in passes(items, item_key, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(part)
+        sent = Sent(docs.sparkSession, part)
 
         def kernel(batch: pa.RecordBatch, sent=sent):
             keep = np.ones(batch.num_rows, bool)

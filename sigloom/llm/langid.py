@@ -12,6 +12,7 @@ and repeats are judged by their text alone; other columns stay as they are.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_arrow, text_bytes
+from sigloom.llm.common import map_arrow, Sent, text_bytes
 
 #: Letters of labelled text that make up a language's automaton, the rows that they are taken from, and the
 #: most letters that are told apart; these bound the model, whatever the size of the corpus.
@@ -135,16 +136,16 @@ class Model:
         np.add.at(total, owner, phrases)
         return total * self.bits / np.maximum(size, 1)[:, None], lettered
 
-    def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray]:
-        """The language of each text, and how far ahead of the second it is (0 to 1)."""
-        cost, lettered = self.costs(array)
+    def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The language of each text, how far ahead of the second it is (0 to 1), and its bits a letter."""
         if not self.names:
-            return [UNKNOWN] * len(array), np.zeros(len(array))
+            return [UNKNOWN] * len(array), np.zeros(len(array)), np.zeros(len(array))
+        cost, lettered = self.costs(array)
         best = cost.argmin(axis=1)
         least = cost[np.arange(len(cost)), best]
         second = np.partition(cost, 1, axis=1)[:, 1] if len(self.names) > 1 else least
         score = np.where(lettered, 1 - least / np.where(second > 0, second, 1), 0.0)
-        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.clip(score, 0, 1)
+        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.clip(score, 0, 1), np.where(lettered, least, 0.0)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
@@ -160,16 +161,25 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` string and ``score`` double (replaced if there)."""
-    keep = [f for f in df.schema if f.name not in ("lang_pred", "score")]
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    """``df`` with ``lang_pred`` string, ``score`` double and ``bits`` double, the cross-entropy (replaced if there)."""
+    keep = [f for f in df.schema if f.name not in ("lang_pred", "score", "bits")]
+    sent = Sent(df.sparkSession, model)  # bounded by the sample
 
     def kernel(batch: pa.RecordBatch):
-        names, score = sent.value.predict(batch.column(batch.schema.get_field_index(text)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+        names, score, bits = sent.value.predict(batch.column(batch.schema.get_field_index(text)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "bits"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return map_arrow(df.select(*(f"`{f.name}`" for f in keep)), kernel, f"{types}, lang_pred string, score double", text)
+    return map_arrow(df.select(*(f"`{f.name}`" for f in keep)), kernel, f"{types}, lang_pred string, score double, bits double", text)
+
+
+def in_a_language(identified: DataFrame, letters: int, text: str = "text") -> DataFrame:
+    """Rows of an identified table whose text is in a learned language.
+
+    Out go texts without letters, and texts of 20 characters or more that the best language's phrases describe no better
+    than guessing each of its ``letters`` would.
+    """
+    return identified.where((F.col("lang_pred") != UNKNOWN) & ((F.char_length(text) < 20) | (F.col("bits") < math.log2(max(2, letters)))))
 
 
 def held_out(key: str = "doc_id"):

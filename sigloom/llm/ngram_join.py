@@ -397,6 +397,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return named.join(least, "root", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, of the least key of each component; rows without a key stay, repeated keys once."""
+    kept = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
+    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

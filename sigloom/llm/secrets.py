@@ -14,9 +14,11 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigloom.llm.common import map_arrow
 from sigloom.llm.spans import Span, base_digest, count_of, in_order, mark_spans, written
 
 #: Base kinds as listed, then that which the method adds.
@@ -121,6 +123,27 @@ def secrets(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     return mark_spans(df, find, text, out)
 
 
+def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``df`` with every secret of each text replaced by ``mark``; overlapping spans are replaced as one."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def clean(value: str | None) -> str | None:
+        if not value or not (spans := find(value)):
+            return value
+        out, at = [], 0
+        for _, start, end, _ in spans:
+            if start >= at:
+                out += [value[at:start], mark]
+            at = max(at, end)
+        return "".join(out) + value[at:]
+
+    def kernel(batch: pa.RecordBatch):
+        k = batch.schema.get_field_index(text)
+        yield batch.set_column(k, text, pa.array(map(clean, batch.column(k).to_pylist()), pa.string()))
+
+    return map_arrow(df, kernel, types, text)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = secrets(docs).drop("text")
