@@ -270,14 +270,14 @@ def keep_larger(sample: np.ndarray, amplitude: np.ndarray, near, radius: int) ->
     return alive
 
 
-def firmware_detector(raw: np.ndarray, factor: float, level: float = 0.0, noise: float = 1 / 32768) -> np.ndarray:
+def firmware_detector(raw: np.ndarray, factor: float, level: float = 0.0, noise: float = 0.0) -> np.ndarray:
     """Hits of |x - level| > factor * noise with running level and noise and one hit for each excursion; x = raw / 32768."""
     inside, out = False, []
     for k, v in enumerate((np.asarray(raw, float) / 32768).tolist()):
         level += 0.002 * (v - level)
         gap = abs(v - level)
-        noise = max(noise + 0.001 * (gap - noise), 1 / 32768)
-        over = gap > factor * noise
+        noise += 0.001 * (gap - noise)
+        over = gap > factor * max(noise, 1 / 32768)
         if over and not inside:
             out.append(k)
         inside = over

@@ -1 +1,192 @@
-"""Third part of the catalogue: models, sorting, file formats and streams."""
+"""Third part of the catalogue: models, sorting, generated recordings and described pipelines."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sigloom.functions import columns as C
+from sigloom.operators import models, signals, sorter, spatial
+from sigloom.plans import adapters as A
+from sigloom.plans import pipeline
+from sigloom.plans.catalog import LI, query, r6
+from sigloom.sources import packets, synthetic
+
+
+def _flags(spark, d):
+    """Frames of line items with two classes: returned or not."""
+    return A.frames(spark, d).withColumn("label", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+
+
+def _fixed(spark, name: str, values) -> object:
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(np.asarray(values, float).reshape(-1))], f"i int, {name} double")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(x[1] + 2 * x[3], 6) AS y0, round(x[2] / 1000 - x[4], 6) AS y1 FROM {LI}")
+def spatial_filter(spark, d):
+    rows = spatial.apply_matrix(A.frames(spark, d), np.array([[1, 0, 2, 0], [0, 0.001, 0, -1]]), "x", "y")
+    return rows.select("l_orderkey", "l_linenumber", r6(F.get("y", F.lit(0)), "y0"), r6(F.get("y", F.lit(1)), "y1"))
+
+
+@query("SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, round(ln(var_pop(l_quantity) + 1e-10), 6) AS f0, round(ln(var_pop(l_discount) + 1e-10), 6) AS f1 FROM lineitem GROUP BY ALL")
+def csp_features(spark, d):
+    rows = models.csp_features(_flags(spark, d), np.array([[1.0, 0, 0, 0], [0, 0, 1.0, 0]]), ["label"])
+    return rows.select("label", r6(F.get("features", F.lit(0)), "f0"), r6(F.get("features", F.lit(1)), "f1"))
+
+
+@query("SELECT l_returnflag, round(covar_samp(l_quantity, l_extendedprice), 4) AS c01, round(var_samp(l_discount), 8) AS c22 FROM lineitem GROUP BY l_returnflag")
+def trial_covariances(spark, d):
+    rows = models.trial_covariances(A.frames(spark, d), ["l_returnflag"])
+    return rows.select("l_returnflag", F.round(F.get("m", F.lit(1)), 4).alias("c01"), F.round(F.get("m", F.lit(10)), 8).alias("c22"))
+
+
+@query("SELECT event_id, printf('%02x%02x%02x%02x%02x00', event_id % 256, event_id // 256 % 256, event_id // 65536 % 256, event_id // 16777216 % 256, user_id % 256) AS low FROM events")
+def spike_packets(spark, d):
+    rows = A.table(spark, d, "events").select("event_id", F.col("event_id").alias("sample"), (F.col("user_id") % 256).alias("channel"), F.lit(0).alias("cluster_id"), (F.col("value") / 1000).alias("amplitude"))
+    return packets.with_packets(rows).select("event_id", F.lower(F.substring(F.hex("packet"), 1, 12)).alias("low"))
+
+
+@query("SELECT event_id, CAST(event_id % 65536 - 32768 AS INT) AS signed FROM events")
+def adc_samples(spark, d):
+    return A.table(spark, d, "events").select("event_id", packets.adc_signed(F.col("event_id") % 65536).alias("signed"))
+
+
+@query()
+def whitening_matrix(spark, d):
+    return _fixed(spark, "w", spatial.fit_whitening(A.frames(spark, d)))
+
+
+@query()
+def quiet_covariance(spark, d):
+    return _fixed(spark, "c", spatial.quiet_covariance(A.frames(spark, d), [20.0, 20000.0, 0.03, 0.03], 2.0, 100))
+
+
+@query()
+def pca_features(spark, d):
+    rows = A.vectors(spark, d)
+    return models.fit_pca(rows, 3).transform(rows).select("vec_id", "features")
+
+
+@query()
+def ica_sources(spark, d):
+    rows = _scaled(spark, d)
+    return models.fit_ica(rows, most=20).transform(rows).select("l_orderkey", "l_linenumber", "sources")
+
+
+def _scaled(spark, d):
+    return A.frames(spark, d).withColumn("x", F.array(F.get("x", F.lit(0)) / 50, F.get("x", F.lit(1)) / 50000, F.get("x", F.lit(2)) * 10, F.get("x", F.lit(3)) * 10))
+
+
+@query()
+def csp_fit(spark, d):
+    return _fixed(spark, "w", models.fit_csp(_flags(spark, d), 2))
+
+
+@query()
+def csp_multiclass(spark, d):
+    return _fixed(spark, "w", models.fit_multiclass_csp(A.frames(spark, d).withColumnRenamed("l_returnflag", "label"), 2))
+
+
+@query()
+def xdawn_fit(spark, d):
+    rows = _flags(spark, d).withColumn("t", F.col("l_linenumber") - 1)
+    return _fixed(spark, "w", models.fit_xdawn(rows, 2))
+
+
+@query()
+def lda_fit(spark, d):
+    rows = _flags(spark, d)
+    return models.fit_lda(rows).predict(rows).select("l_orderkey", "l_linenumber", "decision", "predicted", "proba")
+
+
+def _spd(spark, d):
+    rows = _scaled(spark, d).withColumn("trial_id", F.col("l_orderkey") % 50)
+    spd = models.trial_covariances(rows, ["trial_id"])
+    return spd.select("trial_id", (F.col("trial_id") % 2).cast("int").alias("label"), F.transform("m", lambda v: v + 0.0).alias("m"))
+
+
+@query()
+def frechet_mean(spark, d):
+    return _fixed(spark, "m", models.frechet_mean(_spd(spark, d), most=5))
+
+
+@query()
+def tangent_space(spark, d):
+    return models.TangentSpaceTransformer().fit(_spd(spark, d)).transform(_spd(spark, d))
+
+
+@query()
+def mdm_classifier(spark, d):
+    rows = _spd(spark, d)
+    labels = [0, 1]
+    return models.Mdm(labels, [models.frechet_mean(rows.where(F.col("label") == k), most=3) for k in labels]).predict(rows)
+
+
+def _epochs(spark, d):
+    """Trials of a customer's orders: two channels over time."""
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return A.table(spark, d, "orders").select(F.col("o_custkey").alias("trial_id"), (F.row_number().over(order) - 1).cast("int").alias("t"), F.array(F.col("o_totalprice"), F.col("o_totalprice") % 1000).alias("x"))
+
+
+@query()
+def ssvep_detect(spark, d):
+    return models.ssvep(_epochs(spark, d), "trial_id", 10.0, [1.0, 2.0], 1)
+
+
+@query()
+def kalman_track(spark, d):
+    rows = A.samples(spark, d).select(F.col("channel").alias("track_id"), F.col("sample_idx").alias("t"), F.array("value").alias("z"))
+    return models.kalman(rows, "track_id", [[1, 1], [0, 1]], [[1, 0]], [[0.1, 0], [0, 0.1]], [[100.0]], [40, 0], [[100, 0], [0, 1]])
+
+
+@query()
+def monopole_fit(spark, d):
+    rows = A.samples(spark, d).withColumn("amplitude", F.col("value"))
+    return models.monopoles(rows.join(F.broadcast(spatial.polytrode(spark, 2048, 2, 32.0, 20.0)), "channel"), ["sample_idx"], 10.0, 20)
+
+
+@query()
+def online_kmeans(spark, d):
+    return models.online_clusters(A.vectors(spark, d).withColumn("g", F.lit(0)), ["g"], "vec_id", 1.2)
+
+
+@query()
+def gmm_components(spark, d):
+    rows = _scaled(spark, d)
+    return models.fit_gmm(rows, np.array([[0.2, 0.3, 0.2, 0.2], [0.5, 0.8, 0.5, 0.4], [0.9, 1.2, 0.8, 0.6]]), most=5).predict(rows).select("l_orderkey", "l_linenumber", "component")
+
+
+@query()
+def channel_sorter(spark, d):
+    return sorter.channel_spikes(A.samples(spark, d).withColumn("value", 40 - F.col("value")), 1000.0, 1.0, 8, 3)
+
+
+@query()
+def spike_sorter(spark, d):
+    """A generated recording of 16 channels, sorted in segments of a second."""
+    frames, _ = synthetic.recording(spark, channels=16, seconds=4.0, units=4, rate=15.0)
+    xy = np.c_[np.zeros(16), np.arange(16) * 25.0]
+    return sorter.joined_segments(sorter.sort_segments(frames, xy, sorter.SortConfig(), 30_000))
+
+
+@query()
+def described_pipeline(spark, d):
+    return pipeline.run(spark, "alpha_band")
+
+
+@query()
+def cluster_profiles(spark, d):
+    rows = spatial.localize(A.vectors(spark, d).select("label", (F.col("vec_id") % 8).alias("channel"), "x"), spatial.linear_probe(spark, 8, 25.0), ["label"])
+    return rows
+
+
+@query()
+def template_distances(spark, d):
+    rows = A.vectors(spark, d)
+    return rows.select("vec_id", C.euclidean("x", F.reverse("x")).alias("distance"))
+
+
+@query()
+def sorter_bands(spark, d):
+    return signals.band_powers(A.vectors(spark, d).select("vec_id", "x"), 200.0)
