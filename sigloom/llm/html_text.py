@@ -71,7 +71,7 @@ def is_dropped(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def tokens(html: str) -> list[tuple[str, str, str, bool]]:
-    """(kind, value, place, inside) of each token: kinds ``tag``, ``text``, ``drop``; place: block tag, with ``a`` in a link.
+    """(kind, value, place, inside) of each token: kinds ``tag``, ``skip`` (a tag of what is left out inside an article), ``text``, ``drop``; place: block tag, with ``a`` in a link.
 
     ``inside``: in the page's article (or main element where it has no article, or anywhere where it has neither).
     """
@@ -90,8 +90,9 @@ def tokens(html: str) -> list[tuple[str, str, str, bool]]:
                 out.append(("tag", m[1].lower(), "", holders > 0 or not holder))
             continue
         tag = m[3].lower()
-        inside = holders > 0 or not holder
-        out.append(("tag", tag, "", inside))
+        opens = not m[2] and tag not in _VOID and not m[4].endswith("/")
+        drop = opens and is_dropped(tag, m[4], holders > 0)
+        out.append(("skip" if holders > 0 and (dropped or drop) else "tag", tag, "", holders > 0 or not holder))
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -101,8 +102,7 @@ def tokens(html: str) -> list[tuple[str, str, str, bool]]:
                         links -= name == "a"
                     del stack[k:]
                     break
-        elif tag not in _VOID and not m[4].endswith("/"):
-            drop = is_dropped(tag, m[4], holders > 0)
+        elif opens:
             stack.append((tag, drop))
             dropped += drop
             holders += tag == holder
@@ -121,7 +121,7 @@ class Weights:
                 for kind, value, place, inside in tokens(html):
                     if kind == "tag":
                         tags[inside][value] += 1
-                    elif value.strip():
+                    elif kind != "skip" and value.strip():
                         words[inside and kind == "text"][place] += len(value.split())
         share = lambda c, f: (c[True][f] + 1) / (c[True][f] + c[False][f] + 2)
         self.word = {f: max(0.1 if f.endswith(" a") else 0.3, 2 * share(words, f) - 1) for f in words[True] | words[False]}
@@ -132,7 +132,7 @@ class Weights:
     def score(self, kind: str, value: str, place: str, inside: bool) -> float:
         if kind == "tag":
             return self.tag.get(value, -0.3)
-        if kind == "drop":
+        if kind in ("drop", "skip"):
             return 0.0
         n = len(value.split())
         return n * self.word.get(place, 0.5) if inside else -0.5 * n
@@ -158,7 +158,7 @@ def main_text(html: str, weights: Weights) -> str:
     for kind, value, _, inside in row[start:end]:
         if kind == "text" and inside:
             block.append(value)
-        elif kind == "tag" and value not in _INLINE:
+        elif kind in ("tag", "skip") and value not in _INLINE:
             blocks.append("".join(block))
             block = []
     blocks.append("".join(block))

@@ -110,7 +110,7 @@ def find(text: str) -> list[Span]:
     if pairs:
         taken = [(s, e) for _, s, e, _ in out]
         for name, parts, value in assignments(text):
-            if (told := name_score(name)) and told + literal_score(value) >= LEAST_SCORE:
+            if (told := name_score(name)) and (random := literal_score(value)) and told + random >= LEAST_SCORE:
                 for s, e in parts:
                     if s < e and not any(s < y and x < e for x, y in taken):
                         taken.append((s, e))
