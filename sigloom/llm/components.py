@@ -19,6 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = near.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    if large:
+        least = durable(least)  # a scan of its own, so that the join can be split at a hub
     joined = near.join(least, "a")
     if large:
         return joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

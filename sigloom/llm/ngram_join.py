@@ -393,7 +393,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     named = sets.join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
     named = durable(named.select(key, "n_shingles", "root"))
     discard(found)
-    least = named.where("root is not null").groupBy("root").agg(F.min(key).alias("component_id"))
+    least = durable(named.where("root is not null").groupBy("root").agg(F.min(key).alias("component_id")))  # written, so that the join can be split
     return named.join(least, "root", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
