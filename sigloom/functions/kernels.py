@@ -219,14 +219,20 @@ def p_square(x: np.ndarray, p: float) -> np.ndarray:
 # Detection ----------------------------------------------------------------------------------------
 
 
-def refractory_hits(over: np.ndarray, refractory: int) -> np.ndarray:
-    """Indices of hits where each hit silences the next ``refractory`` samples."""
-    out, free = [], 0
-    for k in np.flatnonzero(over).tolist():
-        if k >= free:
+def refractory_positions(at: np.ndarray, refractory: int) -> list[int]:
+    """Which of the rising sample numbers are hits, where each hit silences the next ``refractory`` samples."""
+    out, free = [], -math.inf
+    for k, t in enumerate(at.tolist()):
+        if t >= free:
             out.append(k)
-            free = k + refractory + 1
-    return np.array(out, np.int64)
+            free = t + refractory + 1
+    return out
+
+
+def refractory_hits(over: np.ndarray, refractory: int) -> np.ndarray:
+    """The samples that are hits."""
+    at = np.flatnonzero(over)
+    return at[refractory_positions(at, refractory)]
 
 
 def first_hits(frames: np.ndarray, threshold: float, refractory: int) -> list[tuple[int, int, float]]:

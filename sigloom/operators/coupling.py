@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,25 +45,26 @@ def spectral_entropy(df: DataFrame, keys: list[str], power: str = "power", norma
 
 
 def _templates(df: DataFrame, keys: list[str], length: int, order: str, value: str, drop_last: int) -> DataFrame:
-    """(keys, i, w array): runs of ``length`` samples from each start on, without the last ``drop_last`` starts of the series."""
+    """(keys, i, w0, w1, ...): runs of ``length`` samples from each start on, without the last ``drop_last`` starts of the series."""
     w = Window.partitionBy(*keys).orderBy(order)
     n = F.count("*").over(Window.partitionBy(*keys))
-    runs = df.select(*keys, F.col(order).alias("i"), n.alias("_n"), F.row_number().over(w).alias("_k"), F.array(*(F.lead(value, k).over(w) if k else F.col(value) for k in range(length))).alias("w"))
+    runs = df.select(*keys, F.col(order).alias("i"), n.alias("_n"), F.row_number().over(w).alias("_k"), *((F.lead(value, k).over(w) if k else F.col(value)).alias(f"w{k}") for k in range(length)))
     return runs.where(F.col("_k") <= F.col("_n") - drop_last).drop("_n", "_k")
 
 
-def _matches(a: DataFrame, keys: list[str], m: int, r: float, ordered: bool) -> DataFrame:
-    b = a.select(*keys, F.col("i").alias("j"), F.col("w").alias("u"))
-    near = F.forall(F.zip_with(F.slice("w", 1, m), F.slice("u", 1, m), lambda x, y: F.abs(x - y) < r), lambda ok: ok)
-    pairs = a.join(b, keys)
-    return (pairs.where("i < j") if ordered else pairs).where(near)
+def _pairs(starts: DataFrame, keys: list[str], m: int, r: float) -> DataFrame:
+    """Starts of one series whose first ``m`` samples differ by less than ``r`` each; plain comparisons, so that they compile."""
+    other = starts.select(*keys, *(F.col(c).alias(f"_{c}") for c in starts.columns if c not in keys))
+    near = [F.abs(F.col(f"w{k}") - F.col(f"_w{k}")) < r for k in range(m)]
+    return starts.join(other, keys).where(reduce(Column.__and__, near))
 
 
 def sample_entropy(df: DataFrame, keys: list[str], m: int, r: float, order: str = "sample_idx", value: str = "value") -> DataFrame:
-    """-ln(A / B) of short series by a self-join of starts; infinite without matches."""
+    """-ln(A / B) of short series by one self-join of starts; infinite without matches."""
     starts = _templates(df, keys, m + 1, order, value, m)
-    close = lambda k, name: _matches(starts, keys, k, r, True).groupBy(*keys).agg(F.count("*").alias(name))
-    both = df.select(*keys).distinct().join(close(m, "b"), keys, "left").join(close(m + 1, "a"), keys, "left")
+    longer = F.count_if(F.abs(F.col(f"w{m}") - F.col(f"_w{m}")) < r)
+    close = _pairs(starts, keys, m, r).where("i < _i").groupBy(*keys).agg(F.count("*").alias("b"), longer.alias("a"))
+    both = df.select(*keys).distinct().join(close, keys, "left")
     a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
     return both.select(*keys, F.when((a == 0) | (b == 0), F.lit(float("inf"))).otherwise(-F.ln(a / b)).alias("sampen"))
 
@@ -71,10 +73,9 @@ def approximate_entropy(df: DataFrame, keys: list[str], m: int, r: float, order:
     """phi(m) - phi(m + 1) with self matches, at least 0."""
 
     def phi(k: int, name: str) -> DataFrame:
-        starts = _templates(df, keys, k, order, value, k - 1)
-        share = _matches(starts, keys, k, r, False).groupBy(*keys, "i").agg(F.count("*").alias("c"))
-        total = starts.groupBy(*keys).agg(F.count("*").alias("n"))
-        return share.join(total, keys).groupBy(*keys).agg(F.avg(F.ln(F.col("c") / F.col("n"))).alias(name))
+        starts = _templates(df, keys, k, order, value, k - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+        share = _pairs(starts, keys, k, r).groupBy(*keys, "i", "n").agg(F.count("*").alias("c"))
+        return share.groupBy(*keys).agg(F.avg(F.ln(F.col("c") / F.col("n"))).alias(name))
 
     return phi(m, "p").join(phi(m + 1, "q"), keys).select(*keys, F.greatest(F.lit(0.0), F.col("p") - F.col("q")).alias("apen"))
 

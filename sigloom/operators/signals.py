@@ -18,6 +18,9 @@ from sigloom.functions.design import Section
 from sigloom.operators.temporal import KEYS
 from sigloom.plans.joins import sessions
 
+#: Sessions, which do not touch each other, that one task call takes together.
+SESSIONS = 4096
+
 _ARROW = {"double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -159,17 +162,14 @@ def streaming_percentile(df: DataFrame, p: float) -> DataFrame:
 def threshold_hits(df: DataFrame, threshold: float, refractory: int) -> DataFrame:
     """(sample, amplitude) where |value| exceeds the threshold, each hit silencing as many samples as ``refractory``.
 
-    Candidates are cut into sessions at gaps longer than that; a session is one task's work at most.
+    Candidates are cut into sessions at gaps longer than that; some thousand sessions are one call's work at most.
     """
     over = df.where(F.abs("value") > threshold).select(*KEYS, "sample_idx", "value")
-    runs = sessions(over, list(KEYS), "sample_idx", refractory)
+    runs = sessions(over, list(KEYS), "sample_idx", refractory).withColumn("session", F.floor(F.col("session") / SESSIONS))
 
     def run(t: pa.Table) -> dict:
-        at = t["sample_idx"].to_numpy()
-        mask = np.zeros(int(at[-1] - at[0]) + 1, bool)
-        mask[at - at[0]] = True
-        hits = kernels.refractory_hits(mask, refractory) + at[0]
-        return {"sample": hits, "amplitude": t["value"].to_numpy()[np.searchsorted(at, hits)]}
+        keep = kernels.refractory_positions(t["sample_idx"].to_numpy(), refractory)
+        return {"sample": t["sample_idx"].to_numpy()[keep], "amplitude": t["value"].to_numpy()[keep]}
 
     return per_group(runs, [*KEYS, "session"], run, "sample long, amplitude double").drop("session")
 
@@ -200,7 +200,7 @@ def spikes(df: DataFrame, thresholds: DataFrame, refractory: int) -> DataFrame:
 def deduplicated(events: DataFrame, probe: DataFrame, radius_um: float, radius: int) -> DataFrame:
     """Of events close in time and space the larger stays, the earlier of equals; killed events kill no more."""
     placed = events.join(F.broadcast(probe), "channel").withColumn("sample_idx", F.col("sample") * 100_000 + F.col("channel"))  # a row for each channel
-    runs = sessions(placed, ["recording_id"], "sample", radius)
+    runs = sessions(placed, ["recording_id"], "sample", radius).withColumn("session", F.floor(F.col("session") / SESSIONS))
 
     def run(t: pa.Table) -> dict:
         s, a, x, y = (t[c].to_numpy() for c in ("sample", "amplitude", "x", "y"))
@@ -249,7 +249,7 @@ def matched_detections(df: DataFrame, templates: dict[int, tuple[int, np.ndarray
         return dict(zip(("sample", "template_id", "z", "amplitude"), zip(*out) if out else ([], [], [], [])))
 
     found = per_group(df.where(F.col("channel").isin(list(by_channel))).select(*KEYS, "sample_idx", "value"), list(KEYS), run, "sample long, template_id int, z double, amplitude double")
-    runs = sessions(found, ["recording_id"], "sample", refractory)
+    runs = sessions(found, ["recording_id"], "sample", refractory).withColumn("session", F.floor(F.col("session") / SESSIONS))
 
     def best(t: pa.Table) -> dict:
         s, z = t["sample"].to_numpy(), t["z"].to_numpy()
@@ -283,7 +283,7 @@ def of_arrays(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], x: str
     def run(batches):
         for b in batches:
             k = b.schema.get_field_index(x)
-            rows = np.array(b.column(k).to_pylist(), float).reshape(b.num_rows, -1)
+            rows = b.column(k).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
             y = kernel(rows) if b.num_rows else np.zeros((0, 1))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * (y.shape[1] if y.ndim > 1 else 1), pa.int32()), pa.array(np.asarray(y, float).reshape(-1)))
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in keep), flat], names=[*(f.name for f in keep), out])
