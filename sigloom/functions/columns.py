@@ -92,3 +92,15 @@ def is_finite(x: Column) -> Column:
 
 #: Elementary functions by name, one argument (two for atan2 and pow).
 ELEMENTARY = {"sqrt": F.sqrt, "abs": F.abs, "exp": F.exp, "log": log_of, "log2": lambda x: log_of(x, "2"), "log10": lambda x: log_of(x, "10"), "sin": F.sin, "cos": F.cos, "tan": F.tan, "atan": F.atan, "atan2": F.atan2, "tanh": F.tanh, "sinh": F.sinh, "pow": F.pow, "floor": lambda x: F.floor(x).cast("double"), "ceil": lambda x: F.ceil(x).cast("double"), "round": round_away, "copysign": copysign, "is_finite": is_finite}
+
+
+def silhouette_of(intra, inter) -> Column:
+    """(b - a) / max(a, b): mean of the distances inside against the least of the mean distances to other clusters; null without either."""
+    a, b = total(intra) / F.size(intra), F.array_min(inter)
+    most = F.greatest(a, b)
+    return F.when((F.size(intra) > 0) & (F.size(inter) > 0), F.when(most > 0, (b - a) / most).otherwise(0.0))
+
+
+def bin_frequencies(size: int, fs: float) -> Column:
+    """Frequencies of a one-sided spectrum as an array."""
+    return F.transform(F.sequence(F.lit(0), F.lit(size // 2)), lambda k: k * (fs / size))

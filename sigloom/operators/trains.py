@@ -149,6 +149,25 @@ def snippets(samples: DataFrame, spikes: DataFrame, before: int, width: int) ->
     return hit.groupBy("recording_id", "channel", "sample").agg(x.alias("x")).where(F.size("x") == width).withColumn("sample", F.col("sample").cast("long"))
 
 
+def snippets_of_all(samples: DataFrame, spikes: DataFrame, before: int, width: int) -> DataFrame:
+    """(recording_id, sample, channel, x) of every channel around each spike, whatever channel it was found on."""
+    wanted = spikes.select("recording_id", F.col("sample").cast("double").alias("sample")).distinct()
+    rows = samples.select("recording_id", "channel", F.col("sample_idx").cast("double").alias("sample_idx"), "value")
+    hit = band_join(wanted, rows, ["recording_id"], "sample", "sample_idx", before, width - before - 1)
+    x = F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "value"))), lambda p: p["value"])
+    return hit.groupBy("recording_id", "sample", "channel").agg(x.alias("x")).where(F.size("x") == width).withColumn("sample", F.col("sample").cast("long"))
+
+
+def spatial_features(samples: DataFrame, spikes: DataFrame, probe: DataFrame, reach: int = 2) -> DataFrame:
+    """(recording_id, sample, x, y): centre of mass of each channel's largest size within ``reach`` samples of a spike."""
+    from sigloom.operators.spatial import centre_of_mass
+
+    wanted = spikes.select("recording_id", F.col("sample").cast("double").alias("sample")).distinct()
+    rows = samples.select("recording_id", "channel", F.col("sample_idx").cast("double").alias("sample_idx"), "value")
+    peaks = band_join(wanted, rows, ["recording_id"], "sample", "sample_idx", reach, reach).groupBy("recording_id", "sample", "channel").agg(F.max(F.abs("value")).alias("amplitude"))
+    return centre_of_mass(peaks.withColumn("sample", F.col("sample").cast("long")), probe, ["recording_id", "sample"])
+
+
 def aligned(samples: DataFrame, spikes: DataFrame, half: int) -> DataFrame:
     """Spikes moved to the least sample within ``half``: only if it is below the sample they stand at, the first of equals."""
     wanted = spikes.select("recording_id", "channel", F.col("sample").cast("double").alias("sample"))

@@ -612,3 +612,35 @@ def conditional_granger(spark, d):
 @query()
 def multiscale_entropy(spark, d):
     return signals.entropies(A.samples(spark, d), 2, 15.0, 2)
+
+
+# Snippets across channels ---------------------------------------------------------------------------
+
+_HITS = f"(SELECT DISTINCT sample_idx AS sample FROM {EV} WHERE value > 250)"
+
+
+def _hits(spark, d):
+    rows = A.samples(spark, d)
+    return rows, rows.where("value > 250").select("recording_id", F.col("sample_idx").alias("sample"))
+
+
+@query(f"SELECT sample, channel, round(sum(value), 6) AS total, round(arg_min(value, sample_idx), 6) AS first FROM {_HITS} h JOIN {EV} e ON e.sample_idx BETWEEN h.sample - 2 AND h.sample + 5 GROUP BY ALL HAVING count(*) = 8")
+def waveform_extract_multi(spark, d):
+    rows = trains.snippets_of_all(*_hits(spark, d), 2, 8)
+    return rows.select("sample", "channel", r6(C.total("x"), "total"), r6(F.get("x", F.lit(0)), "first"))
+
+
+@query(f"SELECT sample, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y FROM (SELECT h.sample, e.channel, max(abs(value)) AS w FROM {_HITS} h JOIN {EV} e ON e.sample_idx BETWEEN h.sample - 2 AND h.sample + 2 GROUP BY ALL) q JOIN {_LONG} p ON p.channel = q.channel GROUP BY sample")
+def spatial_features(spark, d):
+    return trains.spatial_features(*_hits(spark, d), _long_probe(spark)).select("sample", r6("x", "x"), r6("y", "y"))
+
+
+@query(f"SELECT vec_id, round((list_min(x[33:64]) - list_avg(x[1:32])) / greatest(list_min(x[33:64]), list_avg(x[1:32])), 6) AS s FROM (SELECT vec_id, [v + 2 FOR v IN x] AS x FROM {EM})")
+def silhouette_scores(spark, d):
+    rows = A.vectors(spark, d).withColumn("x", F.transform("x", lambda v: v + 2))
+    return rows.select("vec_id", r6(C.silhouette_of(F.slice("x", 1, 32), F.slice("x", 33, 32)), "s"))
+
+
+@query("SELECT k AS bin, k * 100.0::DOUBLE / 16 AS frequency FROM (SELECT unnest(range(9)) AS k)")
+def welch_frequencies(spark, d):
+    return spark.range(1).select(F.posexplode(C.bin_frequencies(16, 100.0)).alias("bin", "frequency"))

@@ -6,6 +6,7 @@ array stages of one channel become one Arrow task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -133,11 +134,12 @@ def write_stages(spark: SparkSession, job: dict, folder: str) -> list[str]:
 
 def register_functions(spark: SparkSession) -> None:
     """Scalar kernels as SQL functions on array columns."""
+    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     def over(f, kind: str):
         @pandas_udf(kind)
-        def run_(x):
+        def run_(x: pd.Series) -> pd.Series:
             return x.map(lambda v: None if v is None else f(np.asarray(v, float)))
 
         return run_
@@ -151,3 +153,9 @@ def register_functions(spark: SparkSession) -> None:
         ("signal_neo", lambda v: kernels.neo(v).tolist(), "array<double>"),
     ):
         spark.udf.register(name, over(f, kind))
+
+    @pandas_udf("double")
+    def lgamma(x: pd.Series) -> pd.Series:
+        return x.map(math.lgamma)
+
+    spark.udf.register("signal_lgamma", lgamma)
