@@ -6,6 +6,7 @@ Everything that leaves a task goes through Spark (shuffle, Parquet in the shared
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text that one kernel call sees; batches above are cut, never dropped.
 BATCH_ROWS = 2000
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -84,6 +85,12 @@ def pieces(batch: pa.RecordBatch, column: str | None, most: int = BATCH_BYTES) -
         start = end
 
 
+def tidy() -> None:
+    """Gives memory back at a task's end; workers live on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def map_arrow(df: DataFrame, kernel: Callable, schema: str, column: str | None = None, setup: Callable | None = None) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size. ``kernel(batch[, state])`` returns an iterable of record batches.
 
@@ -96,6 +103,8 @@ def map_arrow(df: DataFrame, kernel: Callable, schema: str, column: str | None =
         for batch in batches:
             for part in pieces(batch, column):
                 yield from kernel(part, state) if setup else kernel(part)
+        del state
+        tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -123,16 +132,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _BASE_INV)):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """Powers of the base and of its inverse; made anew each time, as a table that lives on would cost every worker its size."""
+    out = np.full((2, n), 1, np.uint64)
+    out[0, 1:], out[1, 1:] = _BASE, _BASE_INV
+    np.multiply.accumulate(out, axis=1, out=out)
+    return out[0], out[1]
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:

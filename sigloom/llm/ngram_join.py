@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import BATCH_BYTES, discard, distinct_pairs, durable, map_arrow, mix, pieces, shingles, small_batches, words
+from sigloom.llm.common import BATCH_BYTES, discard, distinct_pairs, durable, map_arrow, mix, pieces, shingles, small_batches, tidy, words
 from sigloom.llm.components import connected_components
 
 WIDTH = 5
 #: 100 * overlap >= 75 * union, as 7 * overlap >= 3 * (size + size).
 OVERLAP, SIZES = 7, 3
 #: A shingle is hot from this share of all documents on. Shingles of one counting task; of one blob's chunk.
-HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 128, 2_000_000, 2_000_000, 60_000
+HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 128, 2_000_000, 1_000_000, 60_000
 #: Sets of a block, of a leaf, and nodes of a node.
 BLOCK, LEAF, FANOUT = 512, 16, 8
 LOW = 48
@@ -163,6 +163,7 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
                     held = docs_held = 0
         if docs_held:
             yield from flush()
+        tidy()
 
     def count(batches):
         tokens, ids = {}, {}
