@@ -76,6 +76,8 @@ def pieces(batch: pa.RecordBatch, column: str | None, most: int = BATCH_BYTES) -
         yield batch
         return
     array = batch.column(batch.schema.get_field_index(column))
+    if pa.types.is_large_string(array.type):
+        array = array.cast(pa.string())
     offsets = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, array.offset * 4).astype(np.int64)
     start = 0
     while start < batch.num_rows:
@@ -142,6 +144,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; a null has no bytes."""
+    if not len(array):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    if pa.types.is_large_string(array.type):
+        array = array.cast(pa.string())
     if array.null_count:
         array = array.fill_null("")
     offsets = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1, array.offset * 4).astype(np.int64)

@@ -77,12 +77,13 @@ def tokens(html: str) -> list[tuple[str, str, str, bool]]:
     """
     low = html.lower()
     holder = "article" if "<article" in low else "main" if "<main" in low else ""
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, str]] = []  # (tag, left out, block that text stands in)
+    held: Counter = Counter()
     dropped, holders, links = 0, 0, 0
     out: list[tuple[str, str, str, bool]] = []
     for m in _TOKEN.finditer(html):
         if m[5] is not None:
-            block = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
+            block = stack[-1][2] if stack else ""
             out.append(("drop" if dropped else "text", m[5], block + (" a" if links else ""), holders > 0 or not holder))
             continue
         if m[3] is None:
@@ -94,16 +95,17 @@ def tokens(html: str) -> list[tuple[str, str, str, bool]]:
         drop = opens and is_dropped(tag, m[4], holders > 0)
         out.append(("skip" if holders > 0 and (dropped or drop) else "tag", tag, "", holders > 0 or not holder))
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    for name, drop in stack[k:]:
-                        dropped -= drop
-                        holders -= name == holder
-                        links -= name == "a"
-                    del stack[k:]
+            while held[tag]:  # everything that was opened since is closed too
+                name, left_out, _ = stack.pop()
+                held[name] -= 1
+                dropped -= left_out
+                holders -= name == holder
+                links -= name == "a"
+                if name == tag:
                     break
         elif opens:
-            stack.append((tag, drop))
+            stack.append((tag, drop, tag if tag not in _INLINE else stack[-1][2] if stack else ""))
+            held[tag] += 1
             dropped += drop
             holders += tag == holder
             links += tag == "a"

@@ -35,7 +35,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _OPERATOR = re.compile(r":=|=>|[=:]")
 _LITERAL = re.compile(r"""[ \t]*[bBrRuUfF]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
 _PLUS = re.compile(r"[ \t]*[+][ \t]*(?=[\"'`])")
-_BARE = re.compile(r"""[ \t]*([^\s"'`,;(){}\[\]<>#]+)""")
+_BARE = re.compile(r"""[ \t]*([^\s"'`,;&(){}\[\]<>#]+)""")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
@@ -96,7 +96,7 @@ def assignments(text: str):
         if parts:
             known[name] = (parts, value)
             yield name, parts, value
-            floor = max(floor, b)
+            floor = at  # what was read as a literal is not read again
 
 
 def find(text: str) -> list[Span]:
