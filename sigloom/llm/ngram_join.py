@@ -339,47 +339,48 @@ def _join_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def link_classes(found: DataFrame) -> DataFrame:
-    """(node, component) of all classes that link to another, from the durable table of ``candidates``."""
+    """(node, component) of the classes that link to a lesser one, from the durable table of ``candidates``."""
     pairs = found.select("cls", F.explode("prefix").alias("token"))
     least = pairs.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     grouped = connected_components(pairs.join(least, "token").select(F.col("cls").alias("a"), "b").distinct())
     sized = grouped.groupBy("component").agg(F.count("*").alias("members"))
     rows = durable(found.drop("prefix").join(grouped, F.col("cls") == F.col("node")).drop("node").join(sized, "component").where("members > 1"))
-    block = F.pmod(F.xxhash64("cls"), F.ceil(F.col("members") / (BLOCK // 2)))
-    blocked = rows.withColumn("block", F.when(F.col("members") > BLOCK, block).otherwise(F.lit(0)))
-    edges = durable(_join_groups(blocked, ["component", "block"]))
+    named = _join_groups(rows.where(F.col("members") <= BLOCK), ["component"]).select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = rows.where(F.col("members") > BLOCK)
-    if large.select("component").limit(1).count():
-        edges = _across_blocks(blocked.where(F.col("members") > BLOCK), edges)
-    return connected_components(edges)
-
-
-def _across_blocks(large: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges between the blocks of large groups, added to those inside them."""
-    while True:
-        named = connected_components(edges)
-        labels = named.select(F.col("node").alias("cls"), F.col("component").alias("label"))
-        labelled = durable(large.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
-        stands = labelled.where("cls = label")
-        count = stands.groupBy("component").agg(F.count("*").alias("labels"))
-        rounds = stands.drop("block").join(count.where("labels > 1"), "component")
-        blocks = rounds.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.ceil(F.col("labels") / BLOCK)))
-        more = durable(_join_groups(blocks, ["component", "block"]))
+    return named.unionAll(_across_blocks(large)) if large.select("component").limit(1).count() else named
+
+
+def _across_blocks(large: DataFrame) -> DataFrame:
+    """The same for groups of many blocks: (node, component) of all of their classes."""
+    blocks = F.ceil(F.col("members") / (BLOCK // 2))
+    large = large.withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
+    inside = _join_groups(large, ["component", "block"]).select(F.col("a").alias("cls"), F.col("b").alias("label"))
+    labelled = durable(large.join(inside, "cls", "left").withColumn("label", F.coalesce("label", "cls")))
+    while True:  # the first of each label stands for it, until no two of them link
+        stands = labelled.where("cls = label").drop("block")
+        count = stands.groupBy("component").agg(F.count("*").alias("labels")).where("labels > 1")
+        dealt = stands.join(count, "component").withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.ceil(F.col("labels") / BLOCK)))
+        more = durable(_join_groups(dealt, ["component", "block"]))
         if not more.limit(1).count():
             break
-        edges = durable(edges.unionAll(more))
+        renamed = labelled.join(more.select(F.col("a").alias("label"), F.col("b").alias("_to")), "label", "left")
+        labelled = durable(renamed.withColumn("label", F.coalesce("_to", "label")).drop("_to"))
     main = labelled.groupBy("component", "label").agg(F.count("*").alias("held")).groupBy("component").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
     judged = labelled.join(main, "component")
     rest = judged.where("label != main")
-    if not rest.limit(1).count():
-        return edges
-    spread = rest.groupBy("component").agg(F.count("*").alias("others"))
-    per = F.ceil(F.col("others") / BLOCK)
-    own = judged.join(spread, "component").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), per - 1))).withColumn("side", F.lit(0))
-    cross = rest.join(spread, "component").withColumn("other", F.pmod(F.xxhash64("cls", F.lit(11)), per)).drop("block")
-    cross = cross.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("members") / (BLOCK // 2)) - 1))).withColumn("side", F.lit(1))
-    both = own.select("component", "block", "other", "cls", "n", "tokens", "side", "label").unionByName(cross.select("component", "block", "other", "cls", "n", "tokens", "side", "label"))
-    return edges.unionAll(_join_groups(both, ["component", "block", "other"]))
+    spread = durable(rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
+    if not spread.limit(1).count():
+        return labelled.select(F.col("cls").alias("node"), F.col("label").alias("component"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = judged.join(spread, "component").withColumn("part", upto(F.col("parts"))).withColumn("side", F.lit(0))
+    cross = rest.drop("block").join(spread, "component").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("parts"))).withColumn("block", upto(blocks)).withColumn("side", F.lit(1))
+    columns = ["component", "block", "part", "cls", "n", "tokens", "side", "label"]
+    links = _join_groups(own.select(columns).unionAll(cross.select(columns)), ["component", "block", "part"])
+    names = labelled.select("cls", "label")
+    ends = links.join(names.withColumnsRenamed({"cls": "a", "label": "x"}), "a").join(names.withColumnsRenamed({"cls": "b", "label": "y"}), "b")
+    joined = connected_components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    final = names.join(joined.select(F.col("node").alias("label"), F.col("component").alias("_to")), "label", "left")
+    return final.select(F.col("cls").alias("node"), F.coalesce("_to", "label").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
