@@ -6,6 +6,7 @@ All take long samples (``recording_id, channel, sample_idx, value``) and keep th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -176,3 +177,21 @@ def multiscale(df: DataFrame, scale: int) -> DataFrame:
     """Means of non-overlapping runs of ``scale`` samples; an incomplete last run is left out."""
     runs = df.withColumn("sample_idx", F.floor(F.col("sample_idx") / scale)).groupBy(*KEYS, "sample_idx").agg(F.avg("value").alias("value"), F.count("*").alias("_n"))
     return runs.where(F.col("_n") == scale).drop("_n")
+
+
+# Long channels ------------------------------------------------------------------------------------
+
+
+def in_blocks(df: DataFrame, operator: Callable[[DataFrame], DataFrame], block: int, before: int, after: int = 0) -> DataFrame:
+    """An operator of finite reach over channels too long for one task.
+
+    Every block of ``block`` samples gets copies of the ``before`` samples ahead of it and the ``after`` samples behind it,
+    is worked on apart, and gives its own samples only. Exact for operators that look no further (FIR, medians, windowed
+    power, energies, gradients, crossings); the copies add (before + after) / block to the data.
+    """
+    i = F.col("sample_idx")
+    at = lambda c: F.floor(c / block).cast("long")
+    needed = F.explode(F.sequence(F.greatest(at(i - after), F.lit(0).cast("long")), at(i + before)))
+    own = df.withColumn("_block", needed).withColumn("recording_id", F.struct(F.col("recording_id").alias("id"), F.col("_block").alias("block"))).drop("_block")
+    out = operator(own).where(at(i) == F.col("recording_id.block"))
+    return out.withColumn("recording_id", F.col("recording_id.id"))

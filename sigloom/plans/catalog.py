@@ -76,6 +76,17 @@ def windowed_power(spark, d):
     return temporal.windowed_power(A.samples(spark, d), 10).select(*IDS, r6("power", "power"))
 
 
+@query(ORACLE_SQL["fir_taps"])
+def fir_in_blocks(spark, d):
+    rows = temporal.in_blocks(A.samples(spark, d), lambda df: temporal.fir(df, [0.5, 0.3, 0.2, -0.1]), 16, 3)
+    return rows.select(*IDS, r6("filtered", "filtered"))
+
+
+@query(ORACLE_SQL["windowed_rms"])
+def windowed_rms_in_blocks(spark, d):
+    return temporal.in_blocks(A.samples(spark, d), lambda df: temporal.windowed_power(df, 10), 16, 9).select(*IDS, r6("rms", "rms"))
+
+
 _NEO = f"SELECT channel, sample_idx, value * value - lag(value) OVER ({ORDER}) * lead(value) OVER ({ORDER}) AS e FROM {EV}"
 
 

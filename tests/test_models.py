@@ -194,6 +194,13 @@ def test_blocks_and_channels_filter_alike(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
 
 
+@pytest.mark.parametrize("operator, before, after", [(lambda d: temporal.median_filter(d, 5), 4, 0), (lambda d: temporal.sneo(d, 2), 3, 3), (lambda d: temporal.artifacts(d, 1.0, 0.5), 1, 0), (lambda d: temporal.zero_crossings(d), 1, 0)])
+def test_blocks_with_copies(spark, operator, before, after):
+    rows = synthetic.composite(spark, 200, 100.0, [(7.0, 1.0)], 0.5)
+    whole = {tuple(r) for r in operator(rows).collect()}
+    assert {tuple(r) for r in temporal.in_blocks(rows, operator, 16, before, after).select(operator(rows).columns).collect()} == whole
+
+
 def test_hits_do_not_depend_on_sessions(spark):
     x = RNG.standard_normal(800) * 2
     rows = spark.createDataFrame([(0, 0, k, float(v)) for k, v in enumerate(x)], "recording_id long, channel long, sample_idx long, value double").repartition(5)
