@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.functions import columns as C
-from sigloom.operators import clocks, coupling, spatial, temporal, trains
+from sigloom.operators import spatial, temporal, trains
 from sigloom.plans import adapters as A
 from sigloom.plans.joins import asof_join, band_join
 

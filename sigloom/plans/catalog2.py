@@ -12,7 +12,7 @@ from sigloom.functions import columns as C
 from sigloom.functions import design, spectrum
 from sigloom.operators import clocks, coupling, signals, spatial, temporal, trains
 from sigloom.plans import adapters as A
-from sigloom.plans.catalog import EM, EV, IDS, LI, TR, UNIT, query, r6
+from sigloom.plans.catalog import EM, EV, IDS, query, r6
 
 # Arrays and spectra -------------------------------------------------------------------------------
 

@@ -13,7 +13,6 @@ from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sigloom.functions import design, kernels
 from sigloom.operators import signals, spatial, temporal
