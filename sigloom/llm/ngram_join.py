@@ -21,10 +21,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import BATCH_BYTES, discard, distinct_pairs, durable, map_arrow, mix, pieces, shingles, small_batches, tidy, words
+from sigloom.llm.common import discard, distinct_pairs, durable, map_arrow, mix, pieces, shingles, small_batches, tidy, words
 from sigloom.llm.components import connected_components
 
 WIDTH = 5
