@@ -463,59 +463,120 @@ def compare_trains(spark, d):
 # Kernels that SQL cannot express ------------------------------------------------------------------
 
 
-@query()
+def _scan(states: dict[str, str], lets: list[tuple[str, str]], after: dict[str, str], out: str, source: str = EV) -> str:
+    """SQL of a recurrence along each channel: initial states, what a step computes in order, the states after it, the result."""
+
+    def body(rows: str) -> str:
+        for name, expression in lets:
+            rows = f"(SELECT *, {expression} AS {name} FROM {rows})"
+        return f"SELECT channel, sample_idx, value, {', '.join(f'{after[k]} AS n_{k}' for k in states)}, {out} FROM {rows}"
+
+    first = body(f"(SELECT channel, sample_idx, value, {', '.join(f'{v} AS {k}' for k, v in states.items())} FROM s WHERE sample_idx = 0)")
+    then = body(f"(SELECT s.channel, s.sample_idx, s.value, {', '.join(f'f.n_{k} AS {k}' for k in states)} FROM f JOIN s ON s.channel = f.channel AND s.sample_idx = f.sample_idx + 1)")
+    return f"WITH RECURSIVE s AS (SELECT channel, sample_idx, value FROM {source}), f AS ({first} UNION ALL {then}) SELECT * FROM f"
+
+
+_ZERO = "0.0::DOUBLE"
+
+
+def _sql_cascade(sections) -> str:
+    states, lets, after, now = {}, [], {}, "value"
+    for k, (b0, b1, b2, a1, a2) in enumerate(sections):
+        states |= {f"{v}{k}": _ZERO for v in ("xa", "xb", "ya", "yb")}
+        lets.append((f"y{k}", f"({b0!r} * {now} + {b1!r} * xa{k} + {b2!r} * xb{k} - {a1!r} * ya{k} - {a2!r} * yb{k})"))
+        after |= {f"xa{k}": now, f"xb{k}": f"xa{k}", f"ya{k}": f"y{k}", f"yb{k}": f"ya{k}"}
+        now = f"y{k}"
+    return f"SELECT channel, sample_idx, round(y, 6) AS filtered FROM ({_scan(states, lets, after, f'{now} AS y')})"
+
+
+def _rounded(df, column: str = "filtered"):
+    return df.select(*IDS, r6(column, column))
+
+
+_LOW, _HIGH, _BAND = design.lowpass_sections(100.0, 10.0, 2), design.highpass_sections(100.0, 5.0, 2), design.bandpass_sections(100.0, 5.0, 20.0, 2)
+
+
+@query(_sql_cascade(_LOW))
 def iir_lowpass(spark, d):
-    return signals.lowpass(A.samples(spark, d), 100.0, 10.0)
+    return _rounded(signals.lowpass(A.samples(spark, d), 100.0, 10.0))
 
 
-@query()
+@query(_sql_cascade(_HIGH))
 def iir_highpass(spark, d):
-    return signals.highpass(A.samples(spark, d), 100.0, 5.0)
+    return _rounded(signals.highpass(A.samples(spark, d), 100.0, 5.0))
 
 
-@query()
+@query(_sql_cascade(_BAND))
 def iir_bandpass(spark, d):
-    return signals.bandpass(A.samples(spark, d), 100.0, 5.0, 20.0)
+    return _rounded(signals.bandpass(A.samples(spark, d), 100.0, 5.0, 20.0))
 
 
-@query()
+@query(_sql_cascade(_LOW))
 def iir_in_blocks(spark, d):
-    return signals.filtered_in_blocks(A.samples(spark, d), design.lowpass_sections(100.0, 10.0, 2), 16)
+    return _rounded(signals.filtered_in_blocks(A.samples(spark, d), _LOW, 16))
 
 
-@query()
+@query(_sql_cascade(design.notch_bank(250.0, 50.0, 3)))
 def notch_bank(spark, d):
-    return signals.notch(A.samples(spark, d), 250.0, 50.0, 3)
+    return _rounded(signals.notch(A.samples(spark, d), 250.0, 50.0, 3))
 
 
-@query()
+@query(_sql_cascade([design.sorter_bandpass(100.0, 5.0, 20.0)] * 2))
 def sorter_bandpass(spark, d):
-    return signals.sorter_bandpass(A.samples(spark, d), 100.0, 5.0, 20.0)
+    return _rounded(signals.sorter_bandpass(A.samples(spark, d), 100.0, 5.0, 20.0))
 
 
-@query()
+_UP, _DOWN = design.follower_coefficient(100.0, 0.01), design.follower_coefficient(100.0, 0.1)
+
+
+@query("SELECT channel, sample_idx, round(level, 6) AS envelope FROM (" + _scan({"l": _ZERO}, [("level", f"l + CASE WHEN abs(value) > l THEN {_UP!r} ELSE {_DOWN!r} END * (abs(value) - l)")], {"l": "level"}, "level") + ")")
 def envelope_follower(spark, d):
-    return signals.envelope(A.samples(spark, d), 100.0, 0.01, 0.1)
+    return _rounded(signals.envelope(A.samples(spark, d), 100.0, 0.01, 0.1), "envelope")
 
 
-@query()
-def haar_denoise(spark, d):
-    return signals.denoised(A.samples(spark, d), 3)
+def _sql_lms(step: str) -> str:
+    taps = ["value", "p1", "p2", "p3"]
+    lets = [("y", " + ".join(f"w{k} * {t}" for k, t in enumerate(taps))), ("e", "value / 2 - y"), ("g", step)]
+    after = {f"w{k}": f"w{k} + g * e * {t}" for k, t in enumerate(taps)} | {"p1": "value", "p2": "p1", "p3": "p2"}
+    return "SELECT channel, sample_idx, round(y, 6) AS output, round(e, 6) AS error FROM (" + _scan({k: _ZERO for k in ("w0", "w1", "w2", "w3", "p1", "p2", "p3")}, lets, after, "y, e") + ")"
 
 
-@query()
+def _adapted(spark, d, *options):
+    rows = signals.adaptive(A.samples(spark, d).withColumn("target", F.col("value") / 2), "target", 4, *options)
+    return rows.select(*IDS, r6("output", "output"), r6("error", "error"))
+
+
+@query(_sql_lms("1.2345678e-5::DOUBLE"))
 def lms_filter(spark, d):
-    return signals.adaptive(A.samples(spark, d).withColumn("target", F.col("value") / 2), "target", 4, 1e-5)
+    return _adapted(spark, d, 1.2345678e-5)
 
 
-@query()
+@query(_sql_lms("0.5::DOUBLE / (0.01 + value * value + p1 * p1 + p2 * p2 + p3 * p3)"))
 def nlms_filter(spark, d):
-    return signals.adaptive(A.samples(spark, d).withColumn("target", F.col("value") / 2), "target", 4, 0.5, 0.01)
+    return _adapted(spark, d, 0.5, 0.01)
 
 
-@query()
+@query(f"SELECT channel, sample_idx, round(0.4 * value + 0.3 * lag(value, 1, 0) OVER w + 0.2 * lag(value, 2, 0) OVER w, 6) AS output FROM {EV} WINDOW w AS (PARTITION BY channel ORDER BY sample_idx)")
 def lms_predict(spark, d):
-    return signals.predicted(A.samples(spark, d), [0.4, 0.3, 0.2])
+    return _rounded(signals.predicted(A.samples(spark, d), [0.4, 0.3, 0.2]), "output")
+
+
+@query("SELECT channel, sample_idx AS sample, value AS amplitude FROM (" + _scan({"w": "0::BIGINT"}, [("hit", "w <= 0 AND abs(value) > 80")], {"w": "CASE WHEN w > 0 THEN w - 1 WHEN hit THEN 3 ELSE 0 END"}, "hit") + ") WHERE hit")
+def threshold_detector(spark, d):
+    return signals.threshold_hits(A.samples(spark, d), 80.0, 3).select("channel", "sample", "amplitude")
+
+
+_RAW = EV.replace("value,", "value * 50 AS value,", 1)
+
+
+@query("SELECT channel, sample_idx AS sample FROM (" + _scan({"l": _ZERO, "z": _ZERO, "i": "false"}, [("x", "value / 32768"), ("level", "l + 0.002::DOUBLE * (x - l)"), ("gap", "abs(x - level)"), ("noise", "z + 0.001::DOUBLE * (gap - z)"), ("over_", "gap > 4 * greatest(noise, 1.0::DOUBLE / 32768)")], {"l": "level", "z": "noise", "i": "over_"}, "over_ AND NOT i AS hit", _RAW) + ") WHERE hit")
+def firmware_detector(spark, d):
+    return signals.firmware_hits(A.samples(spark, d).withColumn("value", F.col("value") * 50), 4.0).select("channel", "sample")
+
+
+@query()
+def haar_denoise(spark, d):
+    return signals.denoised(A.samples(spark, d), 3)
 
 
 @query()
@@ -528,11 +589,6 @@ def p_square(spark, d):
     return signals.streaming_percentile(A.samples(spark, d), 0.9)
 
 
-@query()
-def threshold_detector(spark, d):
-    return signals.threshold_hits(A.samples(spark, d), 80.0, 3)
-
-
 @query()
 def threshold_detector_first(spark, d):
     frames = A.table(spark, d, "orders").groupBy((F.col("o_orderkey") % 16).alias("recording_id"), F.floor(F.col("o_orderkey") / 64).alias("sample_idx")).agg(F.array_sort(F.collect_list("o_totalprice")).alias("v"))
@@ -551,11 +607,6 @@ def event_dedup(spark, d):
     return signals.deduplicated(rows, _long_probe(spark), 45.0, 2)
 
 
-@query()
-def firmware_detector(spark, d):
-    return signals.firmware_hits(A.samples(spark, d).withColumn("value", F.col("value") * 50), 4.0)
-
-
 @query()
 def template_peel(spark, d):
     shape = np.array([[10.0, 60.0, 30.0, 5.0], [5.0, 20.0, 60.0, 20.0]])
@@ -572,9 +623,10 @@ def hilbert(spark, d):
     return signals.analytic(A.vectors(spark, d).select("vec_id", "x"), 64.0)
 
 
-@query()
+@query(f"SELECT vec_id, round(sum((p + q) / 2) FILTER (k BETWEEN 8 AND 11) / sum((p + q) / 2) FILTER (k < 32), 9) AS relative FROM (SELECT *, lead(p) OVER (PARTITION BY vec_id ORDER BY k) AS q FROM ({_PSD})) GROUP BY vec_id")
 def relative_band_power(spark, d):
-    return signals.relative_band_power(A.vectors(spark, d).select("vec_id", "x"), 64.0, (8.0, 12.0))
+    rows = signals.relative_band_power(A.vectors(spark, d).select("vec_id", "x"), 64.0, (8.0, 12.0))
+    return rows.select("vec_id", F.round("relative", 9).alias("relative"))
 
 
 @query()

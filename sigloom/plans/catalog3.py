@@ -10,7 +10,7 @@ from sigloom.functions import columns as C
 from sigloom.operators import models, signals, sorter, spatial
 from sigloom.plans import adapters as A
 from sigloom.plans import pipeline
-from sigloom.plans.catalog import LI, query, r6
+from sigloom.plans.catalog import EM, LI, query, r6
 from sigloom.sources import packets, synthetic
 
 
@@ -57,9 +57,13 @@ def whitening_matrix(spark, d):
     return _fixed(spark, "w", spatial.fit_whitening(A.frames(spark, d)))
 
 
-@query()
+_QUIET = " UNION ALL ".join(f"SELECT {4 * i + j} AS i, covar_samp(x[{i + 1}], x[{j + 1}]) AS c FROM {LI} WHERE x[1] < 40 AND x[2] < 40000 AND x[3] < 0.06 AND x[4] < 0.06" for i in range(4) for j in range(4))
+
+
+@query(f"SELECT i, round(c, 4) AS c FROM ({_QUIET})")
 def quiet_covariance(spark, d):
-    return _fixed(spark, "c", spatial.quiet_covariance(A.frames(spark, d), [20.0, 20000.0, 0.03, 0.03], 2.0, 100))
+    cov = spatial.quiet_covariance(A.frames(spark, d), [20.0, 20000.0, 0.03, 0.03], 2.0, 100)
+    return _fixed(spark, "c", cov).select("i", F.round("c", 4).alias("c"))
 
 
 @query()
@@ -175,16 +179,15 @@ def described_pipeline(spark, d):
     return pipeline.run(spark, "alpha_band")
 
 
-@query()
+@query(f"SELECT label, 0.0::DOUBLE AS x, round(sum(w * (vec_id % 8) * 25) / sum(w), 6) AS y FROM (SELECT label, vec_id, list_max([abs(v) FOR v IN x]) AS w FROM {EM}) GROUP BY label")
 def cluster_profiles(spark, d):
     rows = spatial.localize(A.vectors(spark, d).select("label", (F.col("vec_id") % 8).alias("channel"), "x"), spatial.linear_probe(spark, 8, 25.0), ["label"])
-    return rows
+    return rows.select("label", "x", r6("y", "y"))
 
 
-@query()
+@query(f"SELECT vec_id, round(list_distance(x, list_reverse(x)), 6) AS distance FROM {EM}")
 def template_distances(spark, d):
-    rows = A.vectors(spark, d)
-    return rows.select("vec_id", C.euclidean("x", F.reverse("x")).alias("distance"))
+    return A.vectors(spark, d).select("vec_id", r6(C.euclidean("x", F.reverse("x")), "distance"))
 
 
 @query()
