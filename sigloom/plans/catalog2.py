@@ -463,7 +463,7 @@ def compare_trains(spark, d):
 # Kernels that SQL cannot express ------------------------------------------------------------------
 
 
-def _scan(states: dict[str, str], lets: list[tuple[str, str]], after: dict[str, str], out: str, source: str = EV) -> str:
+def scan(states: dict[str, str], lets: list[tuple[str, str]], after: dict[str, str], out: str, source: str = EV) -> str:
     """SQL of a recurrence along each channel: initial states, what a step computes in order, the states after it, the result."""
 
     def body(rows: str) -> str:
@@ -486,7 +486,7 @@ def _sql_cascade(sections) -> str:
         lets.append((f"y{k}", f"({b0!r} * {now} + {b1!r} * xa{k} + {b2!r} * xb{k} - {a1!r} * ya{k} - {a2!r} * yb{k})"))
         after |= {f"xa{k}": now, f"xb{k}": f"xa{k}", f"ya{k}": f"y{k}", f"yb{k}": f"ya{k}"}
         now = f"y{k}"
-    return f"SELECT channel, sample_idx, round(y, 6) AS filtered FROM ({_scan(states, lets, after, f'{now} AS y')})"
+    return f"SELECT channel, sample_idx, round(y, 6) AS filtered FROM ({scan(states, lets, after, f'{now} AS y')})"
 
 
 def _rounded(df, column: str = "filtered"):
@@ -529,7 +529,7 @@ def sorter_bandpass(spark, d):
 _UP, _DOWN = design.follower_coefficient(100.0, 0.01), design.follower_coefficient(100.0, 0.1)
 
 
-@query("SELECT channel, sample_idx, round(level, 6) AS envelope FROM (" + _scan({"l": _ZERO}, [("level", f"l + CASE WHEN abs(value) > l THEN {_UP!r} ELSE {_DOWN!r} END * (abs(value) - l)")], {"l": "level"}, "level") + ")")
+@query("SELECT channel, sample_idx, round(level, 6) AS envelope FROM (" + scan({"l": _ZERO}, [("level", f"l + CASE WHEN abs(value) > l THEN {_UP!r} ELSE {_DOWN!r} END * (abs(value) - l)")], {"l": "level"}, "level") + ")")
 def envelope_follower(spark, d):
     return _rounded(signals.envelope(A.samples(spark, d), 100.0, 0.01, 0.1), "envelope")
 
@@ -538,7 +538,7 @@ def _sql_lms(step: str) -> str:
     taps = ["value", "p1", "p2", "p3"]
     lets = [("y", " + ".join(f"w{k} * {t}" for k, t in enumerate(taps))), ("e", "value / 2 - y"), ("g", step)]
     after = {f"w{k}": f"w{k} + g * e * {t}" for k, t in enumerate(taps)} | {"p1": "value", "p2": "p1", "p3": "p2"}
-    return "SELECT channel, sample_idx, round(y, 6) AS output, round(e, 6) AS error FROM (" + _scan({k: _ZERO for k in ("w0", "w1", "w2", "w3", "p1", "p2", "p3")}, lets, after, "y, e") + ")"
+    return "SELECT channel, sample_idx, round(y, 6) AS output, round(e, 6) AS error FROM (" + scan({k: _ZERO for k in ("w0", "w1", "w2", "w3", "p1", "p2", "p3")}, lets, after, "y, e") + ")"
 
 
 def _adapted(spark, d, *options):
@@ -561,7 +561,7 @@ def lms_predict(spark, d):
     return _rounded(signals.predicted(A.samples(spark, d), [0.4, 0.3, 0.2]), "output")
 
 
-@query("SELECT channel, sample_idx AS sample, value AS amplitude FROM (" + _scan({"w": "0::BIGINT"}, [("hit", "w <= 0 AND abs(value) > 80")], {"w": "CASE WHEN w > 0 THEN w - 1 WHEN hit THEN 3 ELSE 0 END"}, "hit") + ") WHERE hit")
+@query("SELECT channel, sample_idx AS sample, value AS amplitude FROM (" + scan({"w": "0::BIGINT"}, [("hit", "w <= 0 AND abs(value) > 80")], {"w": "CASE WHEN w > 0 THEN w - 1 WHEN hit THEN 3 ELSE 0 END"}, "hit") + ") WHERE hit")
 def threshold_detector(spark, d):
     return signals.threshold_hits(A.samples(spark, d), 80.0, 3).select("channel", "sample", "amplitude")
 
@@ -569,7 +569,7 @@ def threshold_detector(spark, d):
 _RAW = EV.replace("value,", "value * 50 AS value,", 1)
 
 
-@query("SELECT channel, sample_idx AS sample FROM (" + _scan({"l": _ZERO, "z": _ZERO, "i": "false"}, [("x", "value / 32768"), ("level", "l + 0.002::DOUBLE * (x - l)"), ("gap", "abs(x - level)"), ("noise", "z + 0.001::DOUBLE * (gap - z)"), ("over_", "gap > 4 * greatest(noise, 1.0::DOUBLE / 32768)")], {"l": "level", "z": "noise", "i": "over_"}, "over_ AND NOT i AS hit", _RAW) + ") WHERE hit")
+@query("SELECT channel, sample_idx AS sample FROM (" + scan({"l": _ZERO, "z": _ZERO, "i": "false"}, [("x", "value / 32768"), ("level", "l + 0.002::DOUBLE * (x - l)"), ("gap", "abs(x - level)"), ("noise", "z + 0.001::DOUBLE * (gap - z)"), ("over_", "gap > 4 * greatest(noise, 1.0::DOUBLE / 32768)")], {"l": "level", "z": "noise", "i": "over_"}, "over_ AND NOT i AS hit", _RAW) + ") WHERE hit")
 def firmware_detector(spark, d):
     return signals.firmware_hits(A.samples(spark, d).withColumn("value", F.col("value") * 50), 4.0).select("channel", "sample")
 

@@ -11,6 +11,7 @@ from sigloom.operators import models, signals, sorter, spatial
 from sigloom.plans import adapters as A
 from sigloom.plans import pipeline
 from sigloom.plans.catalog import EM, LI, query, r6
+from sigloom.plans.catalog2 import scan
 from sigloom.sources import packets, synthetic
 
 
@@ -138,10 +139,20 @@ def ssvep_detect(spark, d):
     return models.ssvep(_epochs(spark, d), "trial_id", 10.0, [1.0, 2.0], 1)
 
 
-@query()
+_TRACK = scan(
+    {"a": "40.0::DOUBLE", "b": "0.0::DOUBLE", "p": "100.0::DOUBLE", "q": "0.0::DOUBLE", "r": "1.0::DOUBLE"},
+    [("a1", "a + b"), ("p1", "p + 2 * q + r + 0.1::DOUBLE"), ("q1", "q + r"), ("r1", "r + 0.1::DOUBLE"), ("k0", "p1 / (p1 + 100)"), ("k1", "q1 / (p1 + 100)"), ("v", "value - a1"), ("s0", "a1 + k0 * v"), ("s1", "b + k1 * v")],
+    {"a": "s0", "b": "s1", "p": "(1 - k0) * p1", "q": "(1 - k0) * q1", "r": "r1 - k1 * q1"},
+    "s0, s1, v",
+)
+
+
+@query(f"SELECT channel AS track_id, sample_idx AS t, round(s0, 6) AS position, round(s1, 6) AS speed, round(v, 6) AS innovation FROM ({_TRACK})")
 def kalman_track(spark, d):
     rows = A.samples(spark, d).select(F.col("channel").alias("track_id"), F.col("sample_idx").alias("t"), F.array("value").alias("z"))
-    return models.kalman(rows, "track_id", [[1, 1], [0, 1]], [[1, 0]], [[0.1, 0], [0, 0.1]], [[100.0]], [40, 0], [[100, 0], [0, 1]])
+    got = models.kalman(rows, "track_id", [[1, 1], [0, 1]], [[1, 0]], [[0.1, 0], [0, 0.1]], [[100.0]], [40, 0], [[100, 0], [0, 1]])
+    first = lambda c, k=0: F.get(c, F.lit(k))
+    return got.select("track_id", "t", r6(first("state"), "position"), r6(first("state", 1), "speed"), r6(first("innovation"), "innovation"))
 
 
 @query()
