@@ -242,3 +242,18 @@ def test_page_edges(spark):
     rows = spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "<p>x" + " y" * 100_000)], "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_text.extract(rows, weights).collect()}
     assert got[1] == got[2] == "" and len(got[3]) == 200_001
+
+
+def test_clashing_columns_and_empty_tables(spark):
+    mail = spark.createDataFrame([(1, "a@b.cd", "old", 7), (2, None, "old", 7), (1, "a@b.cd", "old", 7)], "doc_id long, text string, spans string, score int")
+    got = pii.personal_data(mail).orderBy("doc_id").collect()
+    assert [[tuple(s) for s in r.spans] for r in got] == [[("email", 0, 6, True)]] * 2 + [[]] and got[0].score == 7
+    assert secrets.secrets(mail.where("false")).collect() == [] and pii.personal_data(mail.where("false")).collect() == []
+    model = langid.Model({"en": ["the cat and the dog"], "fr": ["le chat et le chien"]})
+    named = langid.identify(mail.withColumn("lang_pred", mail.spans), model).collect()
+    assert {r.lang_pred for r in named} <= {"en", "fr", "und"} and all(0 <= r.score <= 1 for r in named)
+    assert langid.identify(mail.where("false"), model).collect() == []
+    pages = spark.createDataFrame([(1, "u", "<p>x y</p>", "old")], "page_id long, url string, html string, text string")
+    weights = html_text.Weights([])
+    assert [r.text for r in html_text.extract(pages, weights).collect()] == ["x y"]
+    assert html_text.extract(pages.where("false"), weights).collect() == []
