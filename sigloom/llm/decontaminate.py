@@ -1,11 +1,15 @@
-"""Benchmark decontamination by SimHash windows.
+"""Benchmark decontamination by windows of shingles, counted exactly.
 
-Every benchmark item has a SimHash fingerprint of 128 bits over its five-word shingles. A document is read in windows
-of an item's size, at each place where a shingle of the item would fall into line (a window without any shingle of
-an item cannot be similar to it). The window's fingerprint is cut into ``BLOCKS`` blocks; whichever item is within
-``RADIUS`` bits differs in some block by at most RADIUS // BLOCKS bits, so that probing each block's table with all
-flips of that many bits finds every such item. Candidates are verified exactly: the weighted Jaccard similarity of
-both shingle multisets, shingles weighted by how often they stand there, must reach ``THRESHOLD``.
+A document is read in windows of every item's size, at every start (a document shorter than that is one window). An item
+leaks where the weighted Jaccard similarity of the window's and the item's five-word shingles, weighted by how often
+they stand there, reaches ``THRESHOLD``; of these windows the most similar one is given. No sketch decides: an item
+whose shingles in the whole document are too few for any window is passed over, for all others the shared shingles of
+every window are counted. A shingle that an item holds c times counts in a window if fewer than c equal ones stand
+before it there, so that each place counts for one run of starts, and the sums of these runs are the shared shingles.
+
+``Items.within`` looks fingerprints up (SimHash of 128 bits: whichever item is within ``RADIUS`` bits differs in some of
+``BLOCKS`` blocks by at most RADIUS // BLOCKS bits, so that probing each block's table with all flips of that many bits
+finds it). Similar texts may lie further apart where a shingle repeats; leaks do not depend on it.
 
 Items of fewer than five words are one shingle and match a window of as many words exactly; items without words match
 nothing. Null and empty texts leak nothing. Equal rows leak each. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z.
@@ -13,7 +17,8 @@ nothing. Null and empty texts leak nothing. Equal rows leak each. Words are ``[^
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -39,44 +44,54 @@ def fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(both * 2 > len(hashes)).view(">u2").astype(np.uint16)
 
 
-def weighted_jaccard(a: Counter, b: Counter) -> float:
-    least = sum(min(n, b[s]) for s, n in a.items() if s in b)
-    most = sum(a.values()) + sum(b.values()) - least
-    return least / most if most else 0.0
+def runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers first[g], first[g] + 1, ... of each run g, ``count[g]`` of them, and each one's g."""
+    group = np.repeat(np.arange(len(first)), count)
+    return group, np.arange(len(group)) + (first - np.cumsum(count) + count)[group]
 
 
 class Items:
-    """Postings of the items' shingles and the multi-index over their fingerprints."""
+    """Postings of the items' shingles."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         h, row, _, _ = words(pa.array(texts, pa.string()))
-        self.ids, self.bags, prints, posts = ids, [], [], []
+        self.ids = ids
         self.short: dict[int, dict[int, list[int]]] = {}
         self.size = np.bincount(row, minlength=len(ids)).astype(np.int64)
-        for k in range(len(ids)):
-            own = h[row == k]
-            s, _ = shingles(own, np.zeros(len(own), np.int64), WIDTH)
-            self.bags.append(Counter(s.tolist()))
-            prints.append(fingerprint(s) if len(s) else np.zeros(BLOCKS, np.uint16))
-            if len(own) >= WIDTH:
-                posts += [(int(x), k, o) for o, x in enumerate(s)]
-            elif len(own):
-                self.short.setdefault(len(own), {}).setdefault(int(s[0]), []).append(k)
-        self.prints = np.array(prints, np.uint16).reshape(-1, BLOCKS)
-        self.posts: dict[int, list[tuple[int, int]]] = {}
-        for x, k, o in posts:
-            self.posts.setdefault(x, []).append((k, o))
+        s, at = shingles(h, row, WIDTH)
+        heads = np.searchsorted(at, np.arange(len(ids) + 1))
+        for k in np.flatnonzero((self.size > 0) & (self.size < WIDTH)).tolist():
+            self.short.setdefault(int(self.size[k]), {}).setdefault(int(s[heads[k]]), []).append(k)
+        self.shingles = [s[a:b] for a, b in zip(heads, heads[1:])]
+        long = self.size[at] >= WIDTH
+        self.known, code = np.unique(s[long], return_inverse=True)
+        #: One entry for each item and distinct shingle of it: by item, and in ``post`` by shingle.
+        order = np.lexsort((code, at[long]))
+        code, at = code[order], at[long][order]
+        new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])][: len(code)])
+        self.code, self.item, self.times = code[new], at[new], np.diff(np.r_[new, len(code)])
+        self.first = np.searchsorted(self.item, np.arange(len(ids) + 1))
+        self.post = np.argsort(self.code, kind="stable")
+        self.posts = np.searchsorted(self.code[self.post], np.arange(len(self.known) + 1))
+        self.windows = np.unique(self.size[self.size >= WIDTH]) - WIDTH + 1
         self.sieve = np.zeros(1 << 20, bool)
-        self.sieve[np.array(list(self.posts), np.uint64) & np.uint64((1 << 20) - 1)] = True
-        self.known = np.array(sorted(self.posts), np.uint64)
-        self.tables = []
+        self.sieve[self.known & np.uint64((1 << 20) - 1)] = True
+
+    @cached_property
+    def prints(self) -> np.ndarray:
+        return np.array([fingerprint(s) if len(s) else np.zeros(BLOCKS, np.uint16) for s in self.shingles], np.uint16).reshape(-1, BLOCKS)
+
+    @cached_property
+    def tables(self) -> list[tuple[dict[int, list[int]], np.ndarray]]:
+        out = []
         for b in range(BLOCKS):
             table: dict[int, list[int]] = {}
             for k in np.flatnonzero(self.size >= WIDTH).tolist():
                 table.setdefault(int(self.prints[k, b]), []).append(k)
             there = np.zeros(1 << BLOCK_BITS, bool)
             there[list(table)] = True
-            self.tables.append((table, there))
+            out.append((table, there))
+        return out
 
     def within(self, print_: np.ndarray) -> list[int]:
         """All items whose fingerprints differ by at most RADIUS bits."""
@@ -88,6 +103,38 @@ class Items:
         near = np.array(sorted(found), np.int64)
         return near[np.bitwise_count(self.prints[near] ^ print_).sum(axis=1) <= RADIUS].tolist() if len(near) else []
 
+    def similar(self, code: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, float, int, int]]:
+        """(item, similarity, first word, words) of each size's most similar window, from the known shingles of a document with ``n`` shingles."""
+        order = np.argsort(code, kind="stable")
+        at = at[order]
+        own, first, count = np.unique(code[order], return_index=True, return_counts=True)
+        group, j = runs(self.posts[own], self.posts[own + 1] - self.posts[own])
+        post = self.post[j]
+        items, which = np.unique(self.item[post], return_inverse=True)
+        shared = np.bincount(which, np.minimum(count[group], self.times[post]), len(items))
+        for k in items[shared >= THRESHOLD * (self.size[items] - WIDTH + 1)].tolist():
+            m = int(self.size[k]) - WIDTH + 1
+            mine = slice(self.first[k], self.first[k + 1])
+            g = np.minimum(np.searchsorted(own, self.code[mine]), len(own) - 1)
+            there = own[g] == self.code[mine]
+            g = g[there]
+            group, j = runs(first[g], count[g])
+            place, times = at[j], self.times[mine][there][group]
+            before = np.arange(len(j)) - times  # the equal shingle that must be out of the window for this one to count
+            after = np.where(j - first[g][group] >= times, place[np.maximum(before, 0)] + 1, 0)
+            fit = self.windows[(self.windows >= THRESHOLD * m) & (self.windows * THRESHOLD <= m) | (self.windows > n)]
+            for w in np.unique(np.minimum(fit, n)).tolist():
+                low, high = np.maximum(after, place - w + 1), np.minimum(place, n - w) + 1
+                low, high = low[low < high], high[low < high]
+                starts, which = np.unique(np.r_[low, high], return_inverse=True)
+                if not len(starts):
+                    continue
+                held = np.cumsum(np.bincount(which, np.r_[np.ones(len(low)), -np.ones(len(high))]))
+                best = int(np.argmax(held))
+                similarity = float(held[best] / (w + m - held[best]))
+                if similarity >= THRESHOLD:
+                    yield k, similarity, int(starts[best]), w + WIDTH - 1
+
     def leaks(self, array: pa.Array) -> dict[tuple[int, int], tuple[float, int, int]]:
         """(row, item) -> (similarity, first word, words) of the most similar window, the first of equals."""
         out: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -120,25 +167,14 @@ class Items:
             s = s * np.uint64(0xD6E8FEB86659FD93) + h[k : n - WIDTH + 1 + k]
         s = mix(s)
         hits = np.flatnonzero(self.sieve[s & np.uint64((1 << 20) - 1)] & (row[: len(s)] == row[WIDTH - 1 :]))
-        hits = hits[np.isin(s[hits], self.known)]
-        seen: set[tuple[int, int]] = set()
-        for p in hits.tolist():
-            r = int(row[p])
-            low, high = int(heads[r]), int(heads[r + 1])
-            for k, o in self.posts[int(s[p])]:
-                size = int(self.size[k])
-                start = max(low, min(p - o, high - size))
-                end = min(start + size, high)
-                if (start, end) in seen:
-                    continue
-                seen.add((start, end))
-                own = s[start : end - WIDTH + 1]
-                near = self.within(fingerprint(own))
-                if near:
-                    bag = Counter(own.tolist())
-                    for k2 in near:
-                        if (similarity := weighted_jaccard(bag, self.bags[k2])) >= THRESHOLD:
-                            put(r, k2, similarity, start, end - start)
+        code = np.minimum(np.searchsorted(self.known, s[hits]), len(self.known) - 1)
+        same = self.known[code] == s[hits]
+        hits, code = hits[same], code[same]
+        for own in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(row[hits])) + 1) if len(hits) else []:
+            r = int(row[hits[own[0]]])
+            low = int(heads[r])
+            for k, similarity, start, size in self.similar(code[own], hits[own] - low, int(heads[r + 1]) - low - WIDTH + 1):
+                put(r, k, similarity, low + start, size)
         return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -190,6 +191,49 @@ def test_fingerprints_within_the_radius_are_found():
         assert k in items.within(np.packbits(bits).view(">u2").astype(np.uint16))
 
 
+def plain_leaks(docs, items):
+    """(row, item) -> similarity of the most similar window: all windows of all items' sizes, one by one."""
+    cut = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    sizes = {len(i.split()) for i in items}
+    out = {}
+    for r, d in enumerate(docs):
+        w = d.split()
+        bags = [cut(w[a : a + size]) for size in sizes for a in range(max(1, len(w) - size + 1))]
+        for k, i in enumerate(items):
+            want = cut(i.split())
+            best = max(sum((b & want).values()) / sum((b | want).values()) for b in bags)
+            if best >= decontaminate.THRESHOLD:
+                out[r, k] = best
+    return out
+
+
+def as_plain(docs, items):
+    got = decontaminate.Items(list(range(len(items))), items).leaks(pa.array(docs))
+    want = plain_leaks(docs, items)
+    assert {k: round(v[0], 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    return got
+
+
+def test_repeated_words_as_all_windows():
+    rng = np.random.default_rng(3)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 4000, n)]
+    items, docs = [], []
+    for size, run in ((500, 40), (200, 25), (100, 11), (60, 5)):
+        item = some(size)
+        items.append(" ".join(item))
+        docs.append(" ".join(some(30) + item[:-run] + ["____"] * run + some(30)))
+        docs.append(" ".join(item[run:]))  # shorter than the item
+    items.append(" ".join(["x"] * 90 + some(12)))
+    docs.append(" ".join(some(20) + ["x"] * 90 + some(32)))  # of distinct shingles hardly any are shared
+    assert {(0, 0), (2, 1), (4, 2), (8, 4)} <= set(as_plain(docs, items))
+
+
+@given(st.lists(st.text("ab", min_size=5, max_size=14), min_size=1, max_size=4), st.lists(st.text("abc", min_size=5, max_size=40), min_size=1, max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_leaks_of_few_words_as_all_windows(items, docs):
+    as_plain([" ".join(d) for d in docs], [" ".join(i) for i in items])
+
+
 # Sharding -------------------------------------------------------------------------------------------
 
 
