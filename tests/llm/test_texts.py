@@ -228,6 +228,19 @@ def test_repeated_words_as_all_windows():
     assert {(0, 0), (2, 1), (4, 2), (8, 4)} <= set(as_plain(docs, items))
 
 
+def test_reordered_parts_as_all_windows(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 4000, n)]
+    halves, options = some(40), [some(13) for _ in range(4)]
+    items = [" ".join(halves), " ".join(sum(options, []))]
+    docs = [" ".join(some(50) + halves[20:] + halves[:20] + some(50)), " ".join(some(30) + sum(options[2:] + options[:2], []) + some(30)), " ".join(some(90))]
+    got = as_plain(docs, items)
+    assert set(got) == {(0, 0), (1, 1)} and got[0, 0] == (0.8, 50, 40)
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    kept = decontaminate.without_leaks(table, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 @given(st.lists(st.text("ab", min_size=5, max_size=14), min_size=1, max_size=4), st.lists(st.text("abc", min_size=5, max_size=40), min_size=1, max_size=4))
 @settings(max_examples=150, deadline=None)
 def test_leaks_of_few_words_as_all_windows(items, docs):
