@@ -3,7 +3,7 @@
 Trees are drawn from a bounded sample; every split is the median of the sample along the difference of two of its
 vectors. For the inner product, vectors get one more coordinate that brings all to the largest norm, and queries a zero.
 A query goes through all trees with one queue of open branches, nearest to their splitting planes first, until it has
-visited ``VISITED`` of all leaves. The vectors of visited leaves are ranked exactly, in double precision.
+visited ``VISITED`` of all leaves and these hold as many distinct vectors as a result can need, or all. The vectors of visited leaves are ranked exactly, in double precision.
 
 Every row is indexed. Equal vectors are indexed once with their least ids, as many as a result can hold, so neither
 copies nor leaves grow without bound: leaves above ``LEAF_ROWS`` are cut into blocks that are searched apart.
@@ -62,13 +62,14 @@ class Forest:
             out[:, t] = node - len(self.cuts[t]) + (t << self.depth)
         return out
 
-    def search(self, query: np.ndarray, visits: int) -> list[int]:
-        """The leaves that the query visits, through one queue for all trees."""
+    def search(self, query: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[int]:
+        """The leaves that the query visits, through one queue for all trees: ``visits``, and on until some tree's visited leaves hold ``least`` vectors."""
         margins = self.planes[:, :, :-1] @ query - self.cuts
         inner = self.cuts.shape[1]
         queue = [(0.0, t, 0) for t in range(len(self.planes))]
         out: list[int] = []
-        while queue and len(out) < visits:
+        held = np.zeros(len(self.planes), np.int64)  # a tree holds each vector once, so that no leaves of it share one
+        while queue and (len(out) < visits or held.max() < least):
             far, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margins[t, node]
@@ -76,6 +77,7 @@ class Forest:
                 heapq.heappush(queue, (max(far, abs(m)), t, other))
                 node = near
             out.append(node - inner + (t << self.depth))
+            held[t] += sizes[out[-1]]
         return out
 
 
@@ -113,9 +115,13 @@ def nearest(rows: DataFrame, queries, k: int = 20, key: str = "vec_id", vector:
         vid = batch.column(1).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(leaves.reshape(-1)), pa.array((vid % blocks)[at]), batch.column(1).take(pa.array(at)), batch.column(0).take(pa.array(at))], names=["leaf", "block", "vid", "v"])
 
+    def fill(batch: pa.RecordBatch):
+        leaf, count = np.unique(sent.value.leaves(_matrix(batch.column(0))), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(count)], names=["leaf", "n"])
+
     def visit(batch: pa.RecordBatch):
         x = _matrix(batch.column(0))
-        found = [sent.value.search(q, visits) for q in x]
+        found = [sent.value.search(q, visits, counts.value, min(n, k + 1)) for q in x]
         at = np.repeat(np.arange(len(x)), [len(f) * blocks for f in found])
         leaf = np.array([f for one in found for f in one for _ in range(blocks)], np.int64)
         block = np.tile(np.arange(blocks), len(leaf) // blocks)
@@ -123,6 +129,10 @@ def nearest(rows: DataFrame, queries, k: int = 20, key: str = "vec_id", vector:
 
     shape = "leaf long, block long, vid long, v array<double>"
     placed = map_arrow(index.select("v", F.col("vid").cast("long").alias("vid")).repartition(F.col("vid")), place, shape)
+    sizes = np.zeros(TREES << depth, np.int64)
+    for leaf, count in map_arrow(index.select("v"), fill, "leaf long, n long").groupBy("leaf").agg(F.sum("n")).collect():  # at most TREES * 2^12 rows
+        sizes[leaf] = count
+    counts = Sent(spark, sizes)
     visiting = map_arrow(asked.select("vid").distinct().join(index, "vid").select("v", F.col("vid").cast("long").alias("vid")), visit, shape)
 
     def rank(own: pa.Table, asking: pa.Table) -> pa.Table:

@@ -89,6 +89,21 @@ def test_neighbours_with_copies_and_bad_vectors(spark):
     assert sorted(r.vec_id for r in few) == [1, 2]
 
 
+def test_neighbours_in_small_tables(spark):
+    """All candidates where these are few; leaves are visited on until they hold enough."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(2)
+    for n, copies in ((1, 1), (2, 1), (10, 1), (20, 1), (21, 1), (30, 1), (3, 5)):
+        base = rng.standard_normal((n, 8)) if n > 2 else np.r_[np.ones((1, 8)), -np.ones((n - 1, 8))]
+        rows = [(k, [float(x) for x in base[k % n]]) for k in range(n * copies)]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect()
+        found = {q: [r["rank"] for r in got if r.query_id == q] for q, _ in rows}
+        assert {q: sorted(r) for q, r in found.items()} == {q: list(range(1, min(20, len(rows) - 1) + 1)) for q, _ in rows}, n
+        if len(rows) <= 21:
+            assert all({r.vec_id for r in got if r.query_id == q} == {k for k, _ in rows if k != q} for q, _ in rows)
+
+
 def test_recall(spark):
     found = ann.op8_ann(spark, "/root/testdata/sf0.01").toPandas()
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
