@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: a forest of random-projection trees and one priority queue.
 
 Trees are drawn from a bounded sample; every split is the median of the sample along the difference of two of its
-vectors. For the inner product, vectors get one more coordinate that brings all to the largest norm, and queries a zero.
+vectors. For the inner product, vectors get one more coordinate that brings all to the largest norm, and queries a zero;
+queries are brought to that norm too, as their length bears on no rank but would on how near the planes are.
 A query goes through all trees with one queue of open branches, nearest to their splitting planes first, until it has
 visited ``VISITED`` of all leaves and these hold as many distinct vectors as a result can need, or all. The vectors of visited leaves are ranked exactly, in double precision.
 
@@ -64,7 +65,8 @@ class Forest:
 
     def search(self, query: np.ndarray, visits: int, sizes: np.ndarray, least: int) -> list[int]:
         """The leaves that the query visits, through one queue for all trees: ``visits``, and on until some tree's visited leaves hold ``least`` vectors."""
-        margins = self.planes[:, :, :-1] @ query - self.cuts
+        query = query / np.abs(query).max()
+        margins = self.planes[:, :, :-1] @ (query * (self.norm / np.linalg.norm(query))) - self.cuts
         inner = self.cuts.shape[1]
         queue = [(0.0, t, 0) for t in range(len(self.planes))]
         out: list[int] = []

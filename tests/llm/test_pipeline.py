@@ -115,3 +115,23 @@ def test_recall(spark):
         s[at[q]] = -np.inf
         recall.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(g.vec_id)) / 20)
     assert len(recall) == (ids % 20 == 0).sum() and np.mean(recall) >= 0.9
+
+
+def test_recall_with_uneven_norms(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
+    unit = rng.standard_normal((10_000, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    uneven = unit * rng.uniform(0.5, 1.5, (10_000, 1))
+    uneven[17] *= 100
+    short = unit.copy()
+    short[::100] /= 100
+    for x in (uneven, short):
+        got = ann.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).toPandas()
+        recall = []
+        for q, g in got.groupby("query_id"):
+            s = x @ x[q]
+            s[q] = -np.inf
+            recall.append(len(set(np.argsort(-s)[:20]) & set(g.vec_id)) / 20)
+        assert len(recall) == 100 and np.mean(recall) >= 0.95
