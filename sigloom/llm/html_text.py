@@ -27,11 +27,15 @@ from sigloom.llm.common import map_arrow
 #: Pages that weights are fitted on at most, and the longest of them in bytes.
 SAMPLE_PAGES, SAMPLE_BYTES = 400, 1 << 20
 
+#: Elements whose content is no markup or no text; ``svg`` and ``math`` may close themselves and are plain tags then.
+_RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|select|canvas|object"
+_ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|math|select|canvas|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?/][^>]*(?:>|\Z)|([^<]+|<)",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?!(?:svg|math)(?=[\s/]){_ATTRIBUTES}/>)({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|</?[a-zA-Z!?/][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
+_LEFT_OUT = frozenset(_RAW.split("|"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _DROPPED = frozenset("head nav footer aside form button dialog menu fieldset label input datalist audio video figure-menu".split())
@@ -70,13 +74,20 @@ def is_dropped(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def holder_of(html: str) -> str:
+    """What holds a page's text: ``article``, or ``main`` where no article is opened, or nothing."""
+    if not re.search("<(?:article|main)", html, re.I):
+        return ""
+    opened = {m[3].lower() for m in _TOKEN.finditer(html) if m[3] and not m[2] and not m[4].endswith("/")}
+    return "article" if "article" in opened else "main" if "main" in opened else ""
+
+
 def tokens(html: str) -> list[tuple[str, str, str, bool]]:
     """(kind, value, place, inside) of each token: kinds ``tag``, ``skip`` (a tag of what is left out inside an article), ``text``, ``drop``; place: block tag, with ``a`` in a link.
 
     ``inside``: in the page's article (or main element where it has no article, or anywhere where it has neither).
     """
-    low = html.lower()
-    holder = "article" if "<article" in low else "main" if "<main" in low else ""
+    holder = holder_of(html)
     stack: list[tuple[str, bool, str]] = []  # (tag, left out, block that text stands in)
     held: Counter = Counter()
     dropped, holders, links = 0, 0, 0
@@ -88,12 +99,12 @@ def tokens(html: str) -> list[tuple[str, str, str, bool]]:
             continue
         if m[3] is None:
             if m[1]:
-                out.append(("tag", m[1].lower(), "", holders > 0 or not holder))
+                out.append(("skip" if holders > 0 else "tag", m[1].lower(), "", holders > 0 or not holder))
             continue
         tag = m[3].lower()
         opens = not m[2] and tag not in _VOID and not m[4].endswith("/")
         drop = opens and is_dropped(tag, m[4], holders > 0)
-        out.append(("skip" if holders > 0 and (dropped or drop) else "tag", tag, "", holders > 0 or not holder))
+        out.append(("skip" if holders > 0 and (dropped or drop or tag in _LEFT_OUT) else "tag", tag, "", holders > 0 or not holder))
         if m[2]:
             while held[tag]:  # everything that was opened since is closed too
                 name, left_out, _ = stack.pop()
@@ -119,7 +130,7 @@ class Weights:
         words: dict[bool, Counter] = {True: Counter(), False: Counter()}
         tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
         for html in pages:
-            if re.search("<(?:article|main)", html, re.I):
+            if holder_of(html):
                 for kind, value, place, inside in tokens(html):
                     if kind == "tag":
                         tags[inside][value] += 1

@@ -301,6 +301,22 @@ def test_page_edges(spark):
     assert got[1] == got[2] == "" and len(got[3]) == 200_001
 
 
+def test_left_out_parts_in_an_article_cost_nothing():
+    page = "<head><style>p{}</style></head><body>" + "<script>x</script><svg></svg><iframe></iframe>" * 20 + "<article><h1>T</h1><p>some words here</p></article></body>"
+    weights = html_text.Weights([page])
+    cases = {
+        "<article><h1>Two words</h1><script>var a</script><p>and some more text</p></article>": "Two words and some more text",
+        "<article><p>and some more text</p><script>a</script><style>b</style><iframe></iframe><p>The end</p></article>": "and some more text The end",
+        "<article><p>Start of it</p><svg viewBox='0 0 1 1'/><MATH/><p>the end part</p></article>": "Start of it the end part",
+        "<article><p>Start <svg-icon name='x'></svg-icon>of text</p><title-bar>a bar</title-bar><p>the end</p></article>": "Start of text a bar the end",
+        "<article><p>Start of it</p><svg a='/>'><path d='1'/><text>no</text></svg><p>the end part</p></article>": "Start of it the end part",
+        "<!-- <article> --><p>beside it</p><main><p>real text is here</p></main>": "real text is here",
+        "<script>'<article>'</script><article-list></article-list><p>plain text of a page</p>": "plain text of a page",
+    }
+    for html, want in cases.items():
+        assert html_text.main_text(html, weights) == want, html
+
+
 def test_clashing_columns_and_empty_tables(spark):
     mail = spark.createDataFrame([(1, "a@b.cd", "old", 7), (2, None, "old", 7), (1, "a@b.cd", "old", 7)], "doc_id long, text string, spans string, score int")
     got = pii.personal_data(mail).orderBy("doc_id").collect()
