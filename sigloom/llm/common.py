@@ -7,6 +7,7 @@ Everything that leaves a task goes through Spark (shuffle, Parquet in the shared
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,9 +23,11 @@ BATCH_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path in the cluster's shared checkpoint folder (a temporary folder only where none is set)."""
+    """A fresh path in the cluster's shared checkpoint folder; where none is set, an error on a cluster and a temporary folder in local mode."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="sigloom-")
         shared_folder.own = base
     return f"{base.rstrip('/')}/sigloom-{uuid.uuid4().hex}"
