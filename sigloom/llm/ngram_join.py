@@ -14,7 +14,7 @@
    result are joined against all of its blocks. No link between different results is lost.
 
 Null and empty texts have empty sets, which link to nothing. Repeated rows and equal texts share a component. Shingles
-are compared by 64-bit hashes (54 bits or more inside groups).
+are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sigloom.llm.common import discard, distinct_pairs, durable, map_arrow, mix, pieces, shingles, small_batches, tidy, words
 from sigloom.llm.components import connected_components
@@ -30,11 +31,12 @@ from sigloom.llm.components import connected_components
 WIDTH = 5
 #: 100 * overlap >= 75 * union, as 7 * overlap >= 3 * (size + size).
 OVERLAP, SIZES = 7, 3
-#: A shingle is hot from this share of all documents on. Shingles of one counting task; of one blob's chunk.
-HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 128, 2_000_000, 1_000_000, 60_000
+#: A shingle is hot from this share of all documents on. Shingles of one counting part; of one blob's chunk.
+HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 256, 2_000_000, 1_000_000, 60_000
+#: Partitions of an exchange at most; beyond it, a task takes several parts one after the other.
+TASKS = 16_384
 #: Sets of a block, of a leaf, and nodes of a node.
 BLOCK, LEAF, FANOUT = 512, 16, 8
-LOW = 48
 
 
 def read_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,22 +52,65 @@ def read_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return s, r, n, cls
 
 
+class Frequent:
+    """Lossy counting over all documents of a task: a count falls short of the true one by at most ``loss`` of the documents.
+
+    A shingle that a share s of all documents holds keeps a summed count of s - 2 * loss of them at least, however it is spread.
+    """
+
+    def __init__(self, loss: float):
+        self.loss, self.docs = loss, 0
+        self.token, self.count, self.since = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, token: np.ndarray, docs: int) -> None:
+        """The shingles of ``docs`` sets, once for each set that holds them."""
+        token, count = np.unique(token, return_counts=True)
+        every = np.r_[self.token, token]
+        self.token, first, which = np.unique(every, return_index=True, return_inverse=True)
+        since = np.r_[self.since, np.full(len(token), self.loss * self.docs)][first]
+        count = np.bincount(which, np.r_[self.count, count], len(self.token)).astype(np.int64)
+        self.docs += docs
+        stay = count + since > self.loss * self.docs
+        self.token, self.count, self.since = self.token[stay], count[stay], since[stay]
+
+    def often(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles and counts, those of a share above ``loss``; what a task holds back is at most twice that share."""
+        some = self.count >= max(2, self.loss * self.docs)
+        return self.token[some], self.count[some]
+
+
 def shingle_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, cls) of each row, and rows (token, count) of shingles that are frequent in a slice."""
+    """(key, n_shingles, cls) of each row, and rows (token, count) of shingles that are frequent in a task's documents."""
     kind = dict((f.name, f.dataType.simpleString()) for f in docs.schema)[key]
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        frequent, none = Frequent(0.25 / HOT), None
+        for batch in batches:
+            none = batch.column(0).type
+            for part in pieces(batch, text):
+                s, _, n, cls = read_sets(part)
+                frequent.add(s, part.num_rows)
+                blank = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls.view(np.int64), mask=n == 0), blank, blank], names=[key, "n_shingles", "cls", "token", "count"])
+        token, count = frequent.often()
+        if len(token):
+            blank = pa.nulls(len(token), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(token), none), blank, blank, pa.array(token.view(np.int64)), pa.array(count)], names=[key, "n_shingles", "cls", "token", "count"])
+        tidy()
+
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, cls long, token long, count long")
+
+
+def with_classes(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, cls): each row of ``docs`` as one struct, and the class of its set (null where it is empty)."""
 
     def kernel(batch: pa.RecordBatch):
-        s, _, n, cls = read_sets(batch)
-        token, count = np.unique(s, return_counts=True)
-        often = count >= max(16, batch.num_rows // 64)
-        token, count = token[often], count[often]
-        k = len(token)
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([batch.column(0), pa.nulls(k, batch.column(0).type)]), pa.concat_arrays([pa.array(n, pa.int64()), pa.nulls(k, pa.int64())]), pa.concat_arrays([pa.array(cls.view(np.int64), mask=n == 0), pa.nulls(k, pa.int64())]), pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(token.view(np.int64))]), pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(count, pa.int64())])],
-            names=[key, "n_shingles", "cls", "token", "count"],
-        )
+        _, _, n, cls = read_sets(batch)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls.view(np.int64), mask=n == 0)], names=["row", "cls"])
 
-    return map_arrow(docs.select(key, text), kernel, f"`{key}` {kind}, n_shingles long, cls long, token long, count long", text)
+    whole = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), F.col(f"`{text}`").alias("text"))
+    return map_arrow(whole, kernel, StructType([StructField("row", whole.schema["row"].dataType), StructField("cls", LongType())]), "text")
 
 
 def _groups(sorted_values: np.ndarray) -> np.ndarray:
@@ -91,11 +136,12 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
     """Sets that may link: (cls, n, tokens binary, prefix array): their shared shingles, and those of the prefix."""
     spark = docs.sparkSession
     small_batches(spark)
-    k = min(16, max(6, (max(1, total) // TASK_TOKENS).bit_length()))
+    k = max(8, (max(1, total) // TASK_TOKENS).bit_length())
     parts, sides = 1 << k, max(16, 1 << (k - 1))
-    side_bits = np.uint64(64 - (sides.bit_length() - 1))
-    drop = np.uint64(64 - LOW - k)
-    sent = spark.sparkContext.broadcast(np.unique(hot >> drop))  # at most HOT * mean set size entries
+    part_bits, side_bits = np.uint64(64 - k), np.uint64(64 - (sides.bit_length() - 1))
+    width = 7 if k < 16 else 6  # bytes of a shingle's hash that its part does not tell
+    low_bits, known = np.uint64(8 * width), k - 64 + 8 * width
+    sent = spark.sparkContext.broadcast(np.unique(hot))  # at most 2 * HOT * mean set size entries
 
     def by_side(cls: np.ndarray, own: np.ndarray, token: np.ndarray, count: np.ndarray, sizes: np.ndarray | None):
         """Rows for the second exchange; ``own`` (ascending) points into ``cls`` (ascending, distinct)."""
@@ -118,7 +164,7 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
             size = np.concatenate(sizes)[first]
             token, own = np.concatenate(tokens), np.concatenate(owners)
             fresh = first[inverse[own]] == own  # of equal sets in the chunk, the first
-            token, own = token[fresh] >> drop, inverse[own[fresh]]
+            token, own = token[fresh], inverse[own[fresh]]
             is_hot = np.isin(token, sent.value)
             h_own, h_token = own[is_hot], token[is_hot]
             order = np.lexsort((h_token, h_own))
@@ -127,16 +173,16 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
                 out.append((side % parts, side, a, b, c, d))
             yield _rows(out)
             token, own = token[~is_hot], own[~is_hot]
-            order = np.lexsort((own, token >> np.uint64(LOW)))
-            token, own = token[order], own[order]
-            part = (token >> np.uint64(LOW)).astype(np.int64)
+            part = (token >> part_bits).astype(np.int64)
+            order = np.lexsort((own, part))
+            token, own, part = token[order], own[order], part[order]
             cut, out = _groups(part), []
             for a, b in zip(cut, cut[1:]):
                 if a == b:
                     continue
                 g = _groups(own[a:b])
                 who = cls[own[a:b][g[:-1]]]
-                blob = np.ascontiguousarray(token[a:b].view(np.uint8).reshape(-1, 8)[:, : LOW // 8]).tobytes()
+                blob = np.ascontiguousarray(token[a:b].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
                 out.append((int(part[a]), -1, who.tobytes(), None, blob, np.diff(g).astype(np.uint16 if len(g) < 2 or np.diff(g).max() < 65536 else np.uint32).tobytes()))
                 volume += len(blob)
                 if volume > 4 << 20:
@@ -165,24 +211,41 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
             yield from flush()
         tidy()
 
-    def count(batches):
-        tokens, ids = {}, {}
+    def one_by_one(batches, column):
+        """(number, rows) of each part or side of a task, whose rows stand together; rows that only pass have None."""
+        now, held = None, []
         for batch in batches:
             through = []
             for row in batch.to_pylist():
-                if row["side"] >= 0:
+                if column == "part" and row["side"] >= 0:
                     through.append(tuple(row.values()))
                     continue
+                if row[column] != now:
+                    if held:
+                        yield now, held
+                    now, held = row[column], []
+                held.append(row)
+            if through:
+                yield None, through
+        if held:
+            yield now, held
+
+    def count(batches):
+        for part, rows in one_by_one(batches, "part"):
+            if part is None:
+                yield _rows(rows)
+                continue
+            tokens, ids = [], []
+            for row in rows:
                 who = np.frombuffer(row["ids"], np.uint64)
                 kind = np.uint16 if len(row["counts"]) == 2 * len(who) else np.uint32
-                low = np.zeros((len(row["tokens"]) * 8 // LOW, 8), np.uint8)
-                low[:, : LOW // 8] = np.frombuffer(row["tokens"], np.uint8).reshape(-1, LOW // 8)
-                tokens.setdefault(row["part"], []).append(low.view(np.uint64).reshape(-1))
-                ids.setdefault(row["part"], []).append(np.repeat(who, np.frombuffer(row["counts"], kind)))
-            if through:
-                yield _rows(through)
-        for part in list(tokens):
-            token, who = np.concatenate(tokens.pop(part)), np.concatenate(ids.pop(part))
+                low = np.zeros((len(row["tokens"]) // width, 8), np.uint8)
+                low[:, :width] = np.frombuffer(row["tokens"], np.uint8).reshape(-1, width)
+                tokens.append(low.view(np.uint64).reshape(-1))
+                ids.append(np.repeat(who, np.frombuffer(row["counts"], kind)))
+            rows.clear()
+            token, who = np.concatenate(tokens), np.concatenate(ids)
+            del tokens, ids
             order = np.lexsort((who, token))
             token, who = token[order], who[order]
             fresh = np.ones(len(token), bool)
@@ -191,23 +254,21 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
             g = np.diff(_groups(token))
             times = np.repeat(g, g)
             shared = times > 1
-            token, who, times = token[shared] | (np.uint64(part) << np.uint64(LOW)), who[shared], times[shared]
+            token, who, times = token[shared] | (np.uint64(part >> known) << low_bits), who[shared], times[shared]
             order = np.argsort(who, kind="stable")
             cls, own = np.unique(who[order], return_inverse=True)
             out = [(side % parts, side, a, b, c, d) for side, a, b, c, d in by_side(cls, own, token[order], times[order], None)]
             if out:
                 yield _rows(out)
+        tidy()
 
     def gather(batches):
-        sides: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
+        for _, found in one_by_one(batches, "side"):
+            rows = []
+            for row in found:
                 both = np.frombuffer(row["ids"], np.uint8)
                 m = len(both) // 12
-                cls, held = both[: 8 * m].view(np.uint64), both[8 * m :].view(np.uint32)
-                sides.setdefault(row["side"], []).append((cls, held, None if row["sizes"] is None else np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["counts"], np.uint32)))
-        for side in list(sides):
-            rows = sides.pop(side)
+                rows.append((both[: 8 * m].view(np.uint64), both[8 * m :].view(np.uint32), None if row["sizes"] is None else np.frombuffer(row["sizes"], np.uint32), np.frombuffer(row["tokens"], np.uint64), np.frombuffer(row["counts"], np.uint32)))
             sized = [r for r in rows if r[2] is not None]
             cls, first = np.unique(np.concatenate([r[0] for r in sized]), return_index=True)
             n = np.concatenate([r[2] for r in sized])[first].astype(np.int64)
@@ -229,9 +290,14 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
                     names=["cls", "n", "tokens", "prefix"],
                 )
 
-    dealt = docs.select(key, text).mapInArrow(deal, _DEALT_SQL).repartitionById(parts, F.col("part"))
-    counted = dealt.mapInArrow(count, _DEALT_SQL).repartitionById(sides, F.col("side"))
-    return counted.mapInArrow(gather, "cls long, n long, tokens binary, prefix array<long>")
+    def exchanged(rows: DataFrame, column: str, most: int) -> DataFrame:
+        """Rows by part or side; where a task has many, they stand one after the other (sorted outside of Python's memory)."""
+        there = rows.repartitionById(min(most, TASKS), F.col(column) % min(most, TASKS))
+        return there if most <= TASKS else there.sortWithinPartitions(column)
+
+    dealt = docs.select(key, text).mapInArrow(deal, _DEALT_SQL)
+    counted = exchanged(dealt, "part", parts).mapInArrow(count, _DEALT_SQL)
+    return exchanged(counted, "side", sides).mapInArrow(gather, "cls long, n long, tokens binary, prefix array<long>")
 
 
 class Tree:
@@ -383,26 +449,45 @@ def _across_blocks(large: DataFrame) -> DataFrame:
     return final.select(F.col("cls").alias("node"), F.coalesce("_to", "label").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id): each row's set size and the least key that it is linked to, directly or not."""
+def linked_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, n_shingles, cls, root) of each row; equal ``root``: linked, directly or not; null: an empty set, or no key."""
     table = durable(shingle_sets(docs, key, text))
     sets = table.where("n_shingles is not null").select(key, "n_shingles", "cls")
     size = sets.agg(F.count("*"), F.sum("n_shingles")).first()
-    often = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") >= max(64, size[0] // HOT))
-    hot = np.array([r[0] for r in often.select("token").collect()], np.int64).view(np.uint64)  # at most HOT * mean set size
-    found = durable(candidates(docs, hot, size[1] or 0, key, text))
+    often = table.where("token is not null").groupBy("token").agg(F.sum("count").alias("n")).where(F.col("n") >= max(64, size[0] // (2 * HOT)))
+    hot = np.array([r[0] for r in often.select("token").collect()], np.int64).view(np.uint64)  # at most 2 * HOT * mean set size
+    found = durable(candidates(docs.where(F.col(key).isNotNull()), hot, size[1] or 0, key, text))
     linked = link_classes(found)
-    named = sets.join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("root", F.coalesce("component", "cls"))
-    named = durable(named.select(key, "n_shingles", "root"))
+    named = sets.join(linked.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("root", F.when(F.col(key).isNotNull(), F.coalesce("component", "cls")))
+    named = durable(named.select(key, "n_shingles", "cls", "root"))
     discard(found)
+    discard(table)
+    return named
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_shingles, component_id): each row's set size and the least key that it is linked to, directly or not.
+
+    Rows without a key have no name for a link to lead to: they link with nothing, and their component is null.
+    """
+    named = linked_sets(docs, key, text)
     least = durable(named.where("root is not null").groupBy("root").agg(F.min(key).alias("component_id")))  # written, so that the join can be split
     return named.join(least, "root", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, of the least key of each component; rows without a key stay, repeated keys once."""
-    kept = near_duplicates(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key]).select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
+    """The rows of ``docs``, all columns, without near copies: of each component one row of the least key stays.
+
+    A row is known by its key and its set, so that rows of one key and unlike texts are judged each, and of equal keys in a
+    component the least set stands for it. Rows without a key or with an empty set are copies of nothing and stay.
+    """
+    named = linked_sets(docs, key, text).where("root is not null")
+    first = durable(named.groupBy("root").agg(F.min(F.struct(F.col(key).alias("id"), F.col("cls").alias("of"))).alias("f")).select("f.*"))
+    classed = with_classes(docs.where(F.col(key).isNotNull()), text)
+    kept = classed.join(first, (F.col("cls") == F.col("of")) & (F.col(f"row.`{key}`") == F.col("id")))
+    if named.groupBy(key, "cls").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():  # repeated rows: one of them
+        kept = kept.groupBy("id", "of").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return kept.select("row.*").unionAll(classed.where("cls is null").select("row.*")).unionAll(docs.where(F.col(key).isNull()))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

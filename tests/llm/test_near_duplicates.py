@@ -56,6 +56,44 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 3, 4, 5]
 
 
+def test_unlike_texts_of_one_key_stay(spark):
+    rows = [(1, "a b c d e f g h", 7), (1, "p q r s t u v w x", 8), (2, "P q r s t u v w x", 9), (3, "a b c d e f g h", 7), (4, "", 1), (4, "", 1), (None, "a b c d e f g h", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in docs.collect() if r.doc_id not in (2, 3))
+    got = sorted((r[0] or 0, r[2]) for r in ngram_join.near_duplicates(docs).collect())
+    assert [g for g in got if g[0]] == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)] and (0, None) in got
+
+
+def test_many_parts_in_few_tasks(spark, monkeypatch):
+    """Parts one after the other give what parts in tasks of their own give, and hot shingles what cold ones give."""
+    monkeypatch.setattr(ngram_join, "TASK_TOKENS", 2)
+    monkeypatch.setattr(ngram_join, "TASKS", 3)
+    monkeypatch.setattr(ngram_join, "CHUNK_TOKENS", 100)
+    rows = corpus()
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)
+
+
+def test_frequent_shingles_of_many_slices():
+    """A shingle that a share of all documents holds is reported, however thin it is spread."""
+    rng = np.random.default_rng(1)
+    seen = ngram_join.Frequent(0.25 / 16)
+    for _ in range(300):
+        own = rng.integers(100, 2**60, 200, dtype=np.uint64)
+        seen.add(np.r_[own, np.uint64(7)] if rng.random() < 0.5 else own, 4)  # one in eight documents
+    token, count = seen.often()
+    assert 7 in token.tolist() and count[token.tolist().index(7)] >= 1200 * (1 / 16 - 0.5 / 16) and len(seen.token) < 5000
+
+
+def test_long_texts(spark):
+    words = [f"w{k}" for k in range(40_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:35_000])), (3, " ".join(words[:20_000])), (4, "x " * 50_000), (5, "x x x x x")]
+    got = {r[0]: r[2] for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_empty_table(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
