@@ -3,8 +3,11 @@
 For each language a bounded sample of labelled text becomes a suffix automaton. A document is parsed greedily into
 the longest phrases that occur in the language's sample; the number of phrases times the bits that a pointer into the
 sample takes, per letter, estimates the cross-entropy. The language with the least wins (ties: the name that sorts
-first). Automata are dense tables, and a task steps through thousands of texts at once: every step moves all texts and
-all languages one letter on. Texts are parsed whole, in blocks of ``BLOCK`` letters that start a new phrase each.
+first). All letters of the samples are told apart; letters beyond them are phrases of their own.
+
+Texts are parsed whole. A task steps through thousands of pieces at once, every step moving all of them one letter on: long
+texts are cut into pieces of ``PIECE`` letters, and where the phrase that runs across a piece's start ends elsewhere than was
+taken for granted, the piece is parsed anew from there, until all phrases meet. The result does not depend on ``PIECE``.
 
 Null texts, and texts without any letter, are ``und`` with score 0. Without labelled rows every text is ``und``. Rows
 and repeats are judged by their text alone; other columns stay as they are.
@@ -13,7 +16,8 @@ and repeats are judged by their text alone; other columns stay as they are.
 from __future__ import annotations
 
 import math
-from collections import Counter
+import sys
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,42 +26,49 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import map_arrow, Sent, text_bytes
 
-#: Letters of labelled text that make up a language's automaton, the rows that they are taken from, and the
-#: most letters that are told apart; these bound the model, whatever the size of the corpus.
-SAMPLE_LETTERS, SAMPLE_ROWS, LETTERS = 20_000, 64, 60
-#: Letters that are parsed in one piece.
-BLOCK = 2048
+#: Letters of labelled text that make up a language's automaton, and the rows that they are taken from; these bound
+#: the model, whatever the size of the corpus.
+SAMPLE_LETTERS, SAMPLE_ROWS = 20_000, 64
+#: Letters that are stepped through in one piece.
+PIECE = 512
 UNKNOWN = "und"
 
 
+@lru_cache
+def _lower() -> np.ndarray:
+    """The first code point of each letter in lower case, 0 for what is no letter."""
+    out = np.zeros(sys.maxunicode + 1, np.int32)
+    for code in range(sys.maxunicode + 1):
+        c = chr(code)
+        if c.isalpha():
+            out[code] = ord(c.lower()[0])
+    return out
+
+
 class Alphabet:
     """Classes of code points: 0 for what is no letter, 1 for letters outside the samples, then letters in lower case."""
 
-    def __init__(self, letters: str):
-        self.ids = {c: k + 2 for k, c in enumerate(letters)}
+    def __init__(self, letters: list[int]):
         self.size = len(letters) + 2
-        self.table = np.array([self.of(c) for c in range(1 << 16)], np.uint8)
-
-    def of(self, code: int) -> int:
-        c = chr(code)
-        return self.ids.get(c.lower()[0], 1) if c.isalpha() else 0
+        known = np.ones(sys.maxunicode + 1, np.min_scalar_type(self.size))
+        known[letters] = np.arange(2, self.size)
+        known[0] = 0
+        self.table = known[_lower()]
 
     def read(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Classes of all texts of a column with runs of no letters as one, and where each text starts."""
         raw, offsets = text_bytes(array)
         codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le", "surrogatepass"), "<u4")
         at = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)][offsets]
-        out = self.table[np.minimum(codes, 0xFFFF)]
-        for k in np.flatnonzero(codes > 0xFFFF):
-            out[k] = self.of(int(codes[k]))
+        out = self.table[codes]
         keep = out > 0
         keep[1:] |= out[:-1] > 0
         keep[at[:-1][at[:-1] < len(out)]] = True
         return out[keep], np.r_[0, np.cumsum(keep)][at]
 
 
-def suffix_automaton(text: list[int], letters: int) -> np.ndarray:
-    """Dense steps of a greedy parse: entry [state * letters + letter] is next state * letters * 2 + (1 if a phrase begins)."""
+def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
+    """Steps by letter of each state; state 0 is the root."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -83,69 +94,146 @@ def suffix_automaton(text: list[int], letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    root = np.zeros(letters, np.int64)
-    for c, q in step[0].items():
-        root[c] = q
-    table = np.repeat((root * letters * 2 + 1)[None, :], len(step), axis=0)
-    for s, row in enumerate(step):
-        for c, q in row.items():
-            table[s, c] = q * letters * 2
-    table[0] |= 1  # the first letter of a text begins a phrase
-    return table.reshape(-1).astype(np.int32)
+    return step
+
+
+class Automata:
+    """Several automata in one table of cells; a state is the place that its letters' cells are counted from.
+
+    The cell at state + letter holds its owner and the next state; where another state owns it, no phrase goes on there.
+    """
+
+    def __init__(self, automata: list[list[dict[int, int]]], letters: int):
+        self.letters = letters
+        owner, target = [], []
+        self.roots = np.zeros(len(automata), np.int64)
+        self.first = np.zeros((len(automata), letters), np.int64)
+        used, places, low = set(), set(), 0
+        for k, steps in enumerate(automata):
+            place, free = [0] * len(steps), low
+            for s in sorted(range(len(steps)), key=lambda s: -len(steps[s]) if s else 0):
+                own = list(steps[s]) if s else []  # from the root, every letter begins a phrase
+                if len(own) > 1:
+                    at = low
+                    while at in places or any(at + c in used for c in own):
+                        at += 1
+                    low = max(low, at - 64)
+                else:  # the next free cell
+                    at = free
+                    while at in places or at < 0 or own and at + own[0] in used:
+                        free += 1
+                        at = free - own[0] if own else free
+                place[s] = at
+                places.add(at)
+                used.update(at + c for c in own)
+            low = max(low, free)
+            for s in range(1, len(steps)):
+                for c, q in steps[s].items():
+                    owner.append((place[s] + c, place[s]))
+                    target.append(place[q])
+            self.roots[k] = place[0]
+            self.first[k] = place[0]
+            for c, q in steps[0].items():
+                self.first[k, c] = place[q]
+        self.cells = np.full((max(places, default=0) + letters + 1, 2), -1, np.int32)
+        if owner:
+            at, own = np.array(owner).T
+            self.cells[at, 0], self.cells[at, 1] = target, own
+        self.cells = self.cells.view(np.int64).reshape(-1)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where no phrase goes on."""
+        found = self.cells[state + letter].view(np.int32).reshape(-1, 2)
+        return found[:, 0], np.flatnonzero(found[:, 1] != state)
+
+    def parse(self, classes: np.ndarray, which: np.ndarray, start: np.ndarray, stop: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in start..stop, and where the first after these begins, for the automaton ``which`` of each piece."""
+        width = stop - start
+        order = np.argsort(-width, kind="stable")
+        width, which, start = width[order], which[order], start[order]
+        state = self.roots[which]
+        phrases = np.zeros(len(order), np.int64)
+        first = self.first.reshape(-1)
+        offset = which * self.letters
+        active = np.searchsorted(-width, -np.arange(max(0, width[0]) if len(width) else 0), side="left")
+        for t, m in enumerate(active.tolist()):
+            letter = classes[start[:m] + t]
+            following, new = self.step(state[:m], letter)
+            state[:m] = following
+            state[new] = first[offset[new] + letter[new]]
+            phrases[new] += 1
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        phrases, state = phrases[back], state[back]
+        now = np.maximum(stop, start[back])
+        on = np.flatnonzero((now == stop) & (stop < end) & (width[back] > 0))
+        while len(on):
+            following, new = self.step(state[on], classes[now[on]])
+            going = np.ones(len(on), bool)
+            going[new] = False
+            on = on[going]
+            state[on] = following[going]
+            now[on] += 1
+            on = on[now[on] < end[on]]
+        return phrases, now
 
 
 class Model:
-    """The automata of all languages in one table."""
+    """The automata of all languages."""
 
     def __init__(self, texts: dict[str, list[str]]):
-        seen = Counter(c for rows in texts.values() for t in rows for c in t.lower() if c.isalpha())
-        self.alphabet = Alphabet("".join(sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])))
+        joined = {name: "\n".join(texts[name]) for name in sorted(texts)}
+        seen = np.unique(np.concatenate([_lower()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")] for t in joined.values()] or [np.zeros(0, np.int32)]))
+        self.alphabet = Alphabet(seen[seen > 0].tolist())
         samples = {}
-        for name in sorted(texts):
-            classes = self.alphabet.read(pa.array("\n".join(texts[name]).split("\0"), pa.string()))[0].tolist()[:SAMPLE_LETTERS]
+        for name, text in joined.items():
+            classes = self.alphabet.read(pa.array([text], pa.string()))[0].tolist()[:SAMPLE_LETTERS]
             if any(classes):
                 samples[name] = classes
         self.names = list(samples)
-        tables = [suffix_automaton(s, self.alphabet.size) for s in samples.values()]
         self.bits = np.log2([max(2, len(s)) for s in samples.values()])
-        self.starts = np.cumsum([0, *(len(t) for t in tables)])[:-1].astype(np.int32)
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.automata = Automata([suffix_automaton(s) for s in samples.values()], self.alphabet.size)
 
-    def costs(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a letter of each text under each language, and whether the text has a letter."""
+    def phrases(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each whole text under each language, its letters, and whether there is one."""
         classes, at = self.alphabet.read(array)
+        classes = classes.astype(np.int64)
         n, k = len(array), len(self.names)
         size = np.diff(at)
         lettered = np.zeros(n, bool)
         row = np.repeat(np.arange(n), size)
         lettered[row[classes > 0]] = True
-        blocks = -(-size // BLOCK)
-        owner = np.repeat(np.arange(n), blocks)
-        first = at[:-1][owner] + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        width = np.minimum(BLOCK, at[1:][owner] - first)
-        order = np.argsort(-width, kind="stable")
-        owner, first, width = owner[order], first[order], width[order]
-        state = np.tile(self.starts, (len(owner), 1))
-        phrases = np.zeros((len(owner), k), np.int32)
-        active = np.searchsorted(-width, -np.arange(width[0] if len(width) else 0), side="left")
-        for t, m in enumerate(active.tolist()):
-            step = self.table[state[:m] + classes[first[:m] + t][:, None]]
-            phrases[:m] += step & 1
-            state[:m] = (step >> 1) + self.starts
+        pieces = -(-size // PIECE)
+        owner = np.repeat(np.arange(n), pieces)
+        start = at[:-1][owner] + PIECE * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        stop, end = np.minimum(start + PIECE, at[1:][owner]), at[1:][owner]
+        count = np.zeros((len(owner), k), np.int64)
+        begin = np.repeat(start[:, None], k, axis=1)
+        after = begin.copy()
+        piece, which = np.indices((len(owner), k)).reshape(2, -1)
+        while len(piece):
+            count[piece, which], after[piece, which] = self.automata.parse(classes, which, begin[piece, which], stop[piece], end[piece])
+            later = piece + 1
+            some = (stop[piece] < end[piece]) & (begin[np.minimum(later, len(owner) - 1), which] != after[piece, which])
+            begin[later[some], which[some]] = after[piece[some], which[some]]
+            piece, which = later[some], which[some]
         total = np.zeros((n, k))
-        np.add.at(total, owner, phrases)
-        return total * self.bits / np.maximum(size, 1)[:, None], lettered
+        np.add.at(total, owner, count)
+        return total, size, lettered
 
     def predict(self, array: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The language of each text, how far ahead of the second it is (0 to 1), and its bits a letter."""
+        """The language of each text, how far ahead of the second it is (0 to 1), and its bits a letter but for the last phrase, which the text's end cuts off."""
         if not self.names:
             return [UNKNOWN] * len(array), np.zeros(len(array)), np.zeros(len(array))
-        cost, lettered = self.costs(array)
+        total, size, lettered = self.phrases(array)
+        cost = total * self.bits / np.maximum(size, 1)[:, None]
         best = cost.argmin(axis=1)
-        least = cost[np.arange(len(cost)), best]
+        every = np.arange(len(cost))
+        least = cost[every, best]
         second = np.partition(cost, 1, axis=1)[:, 1] if len(self.names) > 1 else least
         score = np.where(lettered, 1 - least / np.where(second > 0, second, 1), 0.0)
-        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.clip(score, 0, 1), np.where(lettered, least, 0.0)
+        bits = np.where(lettered, np.maximum(total[every, best] - 1, 0) * self.bits[best] / np.maximum(size, 1), 0.0)
+        return [self.names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist())], np.clip(score, 0, 1), bits
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
@@ -161,7 +249,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` string, ``score`` double and ``bits`` double, the cross-entropy (replaced if there)."""
+    """``df`` with ``lang_pred`` string, ``score`` double and ``bits`` double, those a letter of whole phrases (replaced if there)."""
     keep = [f for f in df.schema if f.name not in ("lang_pred", "score", "bits")]
     sent = Sent(df.sparkSession, model)  # bounded by the sample
 
@@ -176,10 +264,10 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def in_a_language(identified: DataFrame, letters: int, text: str = "text") -> DataFrame:
     """Rows of an identified table whose text is in a learned language.
 
-    Out go texts without letters, and texts of 20 characters or more that the best language's phrases describe no better
-    than guessing each of its ``letters`` would.
+    Out go texts without letters, and texts that the best language's whole phrases describe no better than guessing each of
+    its ``letters`` would.
     """
-    return identified.where((F.col("lang_pred") != UNKNOWN) & ((F.char_length(text) < 20) | (F.col("bits") < math.log2(max(2, letters)))))
+    return identified.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits") < math.log2(max(2, letters))))
 
 
 def held_out(key: str = "doc_id"):

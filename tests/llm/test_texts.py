@@ -142,12 +142,47 @@ def plain_phrases(text, sample):
 @given(st.text("abc", min_size=1, max_size=40), st.text("abcd", min_size=1, max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_phrases_are_the_longest_matches(sample, text):
-    table = langid.suffix_automaton([ord(c) - 97 for c in sample], 4)
-    state = n = 0
-    for c in text:
-        v = int(table[state + ord(c) - 97])
-        n, state = n + (v & 1), v >> 1
-    assert n == plain_phrases(text, sample)
+    table = langid.Automata([langid.suffix_automaton([ord(c) - 97 for c in s]) for s in (sample, sample[::-1])], 4)
+    letters, whole = np.array([ord(c) - 97 for c in text]), np.full(2, len(text))
+    n, _ = table.parse(letters, np.arange(2), np.zeros(2, np.int64), whole, whole)
+    assert n.tolist() == [plain_phrases(text, sample), plain_phrases(text, sample[::-1])]
+
+
+@given(st.lists(st.text("abcd é1中𐐨", max_size=60), min_size=1, max_size=5), st.text("abcé 中𐐨", min_size=1, max_size=60), st.integers(1, 9))
+@settings(max_examples=150, deadline=None)
+def test_texts_are_parsed_whole(texts, sample, piece):
+    model = langid.Model({"x": [sample], "y": [sample[::-1]]})
+    size, langid.PIECE = langid.PIECE, piece
+    try:
+        got = model.phrases(pa.array(texts))[0]
+    finally:
+        langid.PIECE = size
+    clean = lambda t: re.sub(r"(?<=.)[ 1]+", " ", re.sub("^[ 1]+", " ", t.lower()))  # noqa: E731  runs of no letters are one
+    own = {"x": clean(sample), "y": clean(sample[::-1])}
+    for k, name in enumerate(model.names):
+        assert got[:, k].tolist() == [plain_phrases(clean(t), own[name]) for t in texts]
+
+
+def test_long_texts_and_many_letters():
+    rng = np.random.default_rng(2)
+    signs = [chr(0x4E00 + k) for k in range(2000)]
+    two = {"p": "".join(signs[k] for k in rng.integers(0, 2000, 9000)), "q": "".join(signs[k] for k in rng.permutation(np.repeat(np.arange(2000), 4)))}
+    model = langid.Model({k: [v] for k, v in two.items()})
+    assert model.alphabet.size == 2002
+    texts = [two["p"][3000:3200], two["q"][5000:5300], two["q"][100:200]]
+    assert model.predict(pa.array(texts))[0] == ["p", "q", "q"]
+    latin = langid.Model({"en": ["the cat and the dog and the bird " * 3], "aa": ["ab" * 50]})
+    long = "the cat and the dog " * 5000 + "ab" * 10_000  # pieces of one period never meet by themselves
+    got = latin.phrases(pa.array([long, None, "", long[:1000]]))
+    letters = re.sub(" $", " ", long)
+    for k, name in enumerate(latin.names):
+        sample = ("ab" * 50) if name == "aa" else "the cat and the dog and the bird " * 3
+        assert got[0][0, k] == plain_phrases(letters, sample) and got[0][1:3, k].tolist() == [0, 0]
+
+
+def test_ties_go_to_the_name_that_sorts_first():
+    model = langid.Model({"b": ["one text"], "a": ["one text"], "c": ["other"]})
+    assert model.predict(pa.array(["one text"]))[0] == ["a"] and model.predict(pa.array(["one text"]))[1][0] == 0
 
 
 def test_language_of_held_out_rows(spark):
@@ -261,13 +296,48 @@ def test_shards(spark):
     assert sharding.shuffle_to_shards(rows.where("false"), 2).collect() == []
 
 
-def test_hypergeometric_counts():
-    out, shard, first = sharding.matrix([(0, 700), (1, 0), (2, 300)], 8, 1, 50)
-    total = sum(np.diff(np.r_[0, c]) for c in out.values())
-    assert total.sum() == 1000 and [c[-1] for c in out.values()] == [700, 0, 300]
-    assert np.bincount(shard, total).tolist() == [125.0] * 8
-    big = sharding.hypergeometric(np.random.default_rng(0), np.array([10**10, 2 * 10**10]), 3 * 10**9)
-    assert big.sum() == 3 * 10**9 and abs(big[0] - 10**9) < 10**6
+def test_hypergeometric_draws_follow_the_law():
+    """Frequencies of small draws against the exact distribution, and large ones against its mean and spread."""
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((3, 4, 5), (40, 60, 30), (500, 300, 400), (1000, 7, 900)):
+        drawn = np.bincount([sharding.hypergeometric(rng, good, bad, n) for _ in range(4000)], minlength=good + 1)
+        exact = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) if 0 <= n - k <= bad else 0.0 for k in range(good + 1)])
+        assert drawn[exact == 0].sum() == 0
+        some = exact * 4000 > 8
+        chi = ((drawn - exact * 4000)[some] ** 2 / (exact * 4000)[some]).sum()
+        assert chi < some.sum() + 5 * (2 * some.sum()) ** 0.5
+    good, bad, n = 10**12, 3 * 10**12, 10**11
+    large = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(2000)], float)
+    mean, var = n * 0.25, n * 0.25 * 0.75 * (good + bad - n) / (good + bad - 1)
+    assert abs(large.mean() - mean) < 5 * (var / 2000) ** 0.5 and 0.85 < large.var() / var < 1.15
+
+
+def test_counts_of_partitions():
+    counts = np.array([700, 0, 300, 25, 1])
+    rows = [sharding.Matrix(counts, 8, 1).row(p) for p in range(5)]
+    assert [r.sum() for r in rows] == counts.tolist()
+    assert np.sum(rows, axis=0).tolist() == [129, 129] + [128] * 6
+    many = sharding.Matrix(np.full(1_000_000, 30_000), 8, 1)  # a row of a matrix that is never whole in one place
+    assert many.row(777_777).sum() == 30_000 and (np.abs(many.row(5) - 3750) < 500).all()
+
+
+def test_every_row_may_go_anywhere(spark):
+    """Shares of (shard, slot) over many seeds: no place is preferred by any row."""
+    rows = spark.range(0, 12, 1, 3).withColumnRenamed("id", "_p")
+    places = np.zeros((12, 12))
+    for seed in range(60):
+        for r in sharding.shuffle_to_shards(rows, 3, seed, 2).collect():
+            places[r["_p"], r.shard * 4 + r.slot] += 1
+    assert (places.sum(axis=0) == 60).all() and ((places - 5) ** 2 / 5).sum() < 121 + 5 * (2 * 121) ** 0.5
+
+
+def test_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(k, k, k, k, k, k) for k in range(50)], "_p long, _r long, _n long, _cell long, _first long, `odd name` long")
+    got = sharding.shuffle_to_shards(rows, 4, cell_rows=3)
+    assert got.columns == [*rows.columns, "shard", "slot"] and sorted(r["odd name"] for r in got.collect()) == list(range(50))
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(s, k) for s in range(4) for k in range(13 - (s > 1))]
 
 
 # Pages ----------------------------------------------------------------------------------------------
