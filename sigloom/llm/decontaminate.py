@@ -1,15 +1,17 @@
-"""Benchmark decontamination by windows of shingles, counted exactly.
+"""Benchmark decontamination by SimHash windows, a multi-index over Hamming blocks and exact verification.
 
-A document is read in windows of every item's size, at every start (a document shorter than that is one window). An item
-leaks where the weighted Jaccard similarity of the window's and the item's five-word shingles, weighted by how often
-they stand there, reaches ``THRESHOLD``; of these windows the most similar one is given. No sketch decides: an item
-whose shingles in the whole document are too few for any window is passed over, for all others the shared shingles of
-every window are counted. A shingle that an item holds c times counts in a window if fewer than c equal ones stand
-before it there, so that each place counts for one run of starts, and the sums of these runs are the shared shingles.
+A document is read in windows of every item's size, at every start (a document shorter than that is one window). Shingles
+of five words are numbered by their occurrence in the window, so that weights are counts and all elements differ, whatever
+repeats. A window's fingerprint is the majority of its elements' 128-bit hashes, rolled on from start to start. The index
+finds whichever item's fingerprint is within ``RADIUS`` bits: it differs in some of ``BLOCKS`` blocks by at most RADIUS //
+BLOCKS bits, so that probing each block's table for these finds it. For every item found, the shared elements of all windows
+are then counted exactly: it leaks where the weighted Jaccard similarity of a window and the item reaches ``THRESHOLD``, and
+the most similar window is given.
 
-``Items.within`` looks fingerprints up (SimHash of 128 bits: whichever item is within ``RADIUS`` bits differs in some of
-``BLOCKS`` blocks by at most RADIUS // BLOCKS bits, so that probing each block's table with all flips of that many bits
-finds it). Similar texts may lie further apart where a shingle repeats; leaks do not depend on it.
+Two sets of similarity 0.75 have a cosine of at least 6/7, so that a bit of their fingerprints differs with a probability of
+0.172: of 128 bits, 22 with a deviation of 4.3. ``RADIUS`` lies six deviations beyond, so that a leak at the very threshold is
+lost once in 10^8 windows. Windows in which less than ``THRESHOLD`` of the shingles stand in any item need no fingerprint: a
+window of w shingles shares 3/7 of w + m with an item of m, and m is 3/4 of w at least, which makes 3/4 of w.
 
 Items of fewer than five words are one shingle and match a window of as many words exactly; items without words match
 nothing. Null and empty texts leak nothing. Equal rows leak each. Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z.
@@ -25,23 +27,62 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sigloom.llm.common import map_arrow, mix, Sent, shingles, words
 
 WIDTH, THRESHOLD = 5, 0.75
-RADIUS, BLOCKS, BLOCK_BITS = 39, 8, 16
+RADIUS, BLOCKS, BLOCK_BITS = 47, 8, 16
 #: Bytes of benchmark text that are sent to every executor at once; more items take more passes.
 PASS_BYTES = 32 << 20
+#: Windows that are rolled and looked up in one go.
+WINDOWS = 2048
 
-_MASKS = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), k)], np.uint16)
-_BITS = np.arange(64, dtype=np.uint64)
+_FLIPS = RADIUS // BLOCKS
+_MASKS = np.array([sum(1 << b for b in c) for k in range(_FLIPS + 1) for c in combinations(range(BLOCK_BITS), k)], np.uint16)
 _SECOND = np.uint64(0xA0761D6478BD642F)
+_NEXT = np.uint64(0x8EBC6AF09C88C6E3)
 
 
-def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """128 bits as eight blocks of 16: each the majority of the shingles' bits."""
-    both = np.concatenate([(h[:, None] >> _BITS & np.uint64(1)).sum(axis=0) for h in (hashes, mix(hashes ^ _SECOND))])
-    return np.packbits(both * 2 > len(hashes)).view(">u2").astype(np.uint16)
+def bits_of(shingle: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The 128 bits of each element: a shingle and which of its equals it is, from 1."""
+    first = mix(shingle + number.astype(np.uint64) * _NEXT)
+    return np.unpackbits(np.stack([first, mix(first ^ _SECOND)], axis=1).view(np.uint8), axis=1)
+
+
+def majority(sums: np.ndarray, size: int) -> np.ndarray:
+    """Blocks of the fingerprints whose elements' bits sum to ``sums``."""
+    return np.packbits(sums * 2 > size, axis=-1).view(np.uint16)
+
+
+def numbered(values: np.ndarray) -> np.ndarray:
+    """Which of its equals each value is, from 1."""
+    order = np.argsort(values, kind="stable")
+    heads = np.flatnonzero(np.r_[True, values[order][1:] != values[order][:-1]][: len(values)])
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - np.repeat(heads, np.diff(np.r_[heads, len(values)])) + 1
+    return out
+
+
+def fingerprint(shingles_: np.ndarray) -> np.ndarray:
+    """128 bits as eight blocks of 16."""
+    return majority(bits_of(shingles_, numbered(shingles_)).sum(axis=0, dtype=np.int64), len(shingles_))
+
+
+def rolled(shingles_: np.ndarray, size: int, low: int, high: int) -> np.ndarray:
+    """Fingerprints of the windows of ``size`` shingles that start in low..high."""
+    own = shingles_[low : high + size]
+    n = len(own)
+    _, code = np.unique(own, return_inverse=True)
+    keys = np.sort(code * (n + 1) + np.arange(n))
+    sums = bits_of(own[:size], numbered(own[:size])).sum(axis=0, dtype=np.int64)[None, :]
+    if high > low:
+        out = np.arange(high - low)  # leaves the window that starts there, as the last of its equals
+        come = out + size  # enters the window that starts one later
+        number = lambda at, first, stop: np.searchsorted(keys, code[at] * (n + 1) + stop) - np.searchsorted(keys, code[at] * (n + 1) + first)
+        change = bits_of(own[come], number(come, out + 1, come + 1)).astype(np.int64) - bits_of(own[out], number(out, out, out + size))
+        sums = np.concatenate([sums, sums + np.cumsum(change, axis=0)])
+    return majority(sums, size)
 
 
 def runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,7 +92,7 @@ def runs(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Items:
-    """Postings of the items' shingles."""
+    """Fingerprints of the items, indexed by block, and postings of their shingles."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         h, row, _, _ = words(pa.array(texts, pa.string()))
@@ -65,14 +106,12 @@ class Items:
         self.shingles = [s[a:b] for a, b in zip(heads, heads[1:])]
         long = self.size[at] >= WIDTH
         self.known, code = np.unique(s[long], return_inverse=True)
-        #: One entry for each item and distinct shingle of it: by item, and in ``post`` by shingle.
+        #: One entry for each item and distinct shingle of it, by item.
         order = np.lexsort((code, at[long]))
         code, at = code[order], at[long][order]
         new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (at[1:] != at[:-1])][: len(code)])
         self.code, self.item, self.times = code[new], at[new], np.diff(np.r_[new, len(code)])
         self.first = np.searchsorted(self.item, np.arange(len(ids) + 1))
-        self.post = np.argsort(self.code, kind="stable")
-        self.posts = np.searchsorted(self.code[self.post], np.arange(len(self.known) + 1))
         self.windows = np.unique(self.size[self.size >= WIDTH]) - WIDTH + 1
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[self.known & np.uint64((1 << 20) - 1)] = True
@@ -82,37 +121,78 @@ class Items:
         return np.array([fingerprint(s) if len(s) else np.zeros(BLOCKS, np.uint16) for s in self.shingles], np.uint16).reshape(-1, BLOCKS)
 
     @cached_property
-    def tables(self) -> list[tuple[dict[int, list[int]], np.ndarray]]:
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block, its values (ascending), where the items of each begin, and the items."""
+        long = np.flatnonzero(self.size >= WIDTH)
         out = []
         for b in range(BLOCKS):
-            table: dict[int, list[int]] = {}
-            for k in np.flatnonzero(self.size >= WIDTH).tolist():
-                table.setdefault(int(self.prints[k, b]), []).append(k)
-            there = np.zeros(1 << BLOCK_BITS, bool)
-            there[list(table)] = True
-            out.append((table, there))
+            order = long[np.argsort(self.prints[long, b], kind="stable")]
+            values, first = np.unique(self.prints[order, b], return_index=True)
+            out.append((values, np.r_[first, len(order)], order))
         return out
 
-    def within(self, print_: np.ndarray) -> list[int]:
-        """All items whose fingerprints differ by at most RADIUS bits."""
-        found: set[int] = set()
-        for b, (table, there) in enumerate(self.tables):
-            probe = _MASKS ^ print_[b]
-            for value in probe[there[probe]].tolist():
-                found.update(table[value])
-        near = np.array(sorted(found), np.int64)
-        return near[np.bitwise_count(self.prints[near] ^ print_).sum(axis=1) <= RADIUS].tolist() if len(near) else []
-
-    def similar(self, code: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, float, int, int]]:
-        """(item, similarity, first word, words) of each size's most similar window, from the known shingles of a document with ``n`` shingles."""
+    def within(self, prints: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """All items whose fingerprints differ by at most RADIUS bits from one of ``prints`` (with ``sizes`` in shingles: that can be similar)."""
+        prints = np.atleast_2d(prints)
+        near = np.zeros(len(self.ids), bool)
+        for b, (values, first, items) in enumerate(self.tables):
+            asked = np.unique(prints[:, b])
+            if len(values) <= len(_MASKS):  # which values are near, or which near values are there: whichever is less
+                there = np.flatnonzero((np.bitwise_count(asked[:, None] ^ values) <= _FLIPS).any(axis=0))
+            else:
+                probe = np.zeros(1 << BLOCK_BITS, bool)
+                for a in asked:
+                    probe[_MASKS ^ a] = True
+                there = np.flatnonzero(probe[values])
+            near[items[runs(first[there], first[there + 1] - first[there])[1]]] = True
+        near = np.flatnonzero(near)
+        whole = np.ascontiguousarray(prints).view(np.uint64)
+        found = [np.zeros(0, np.int64)]
+        for part in np.split(near, np.arange(1024, len(near), 1024)):
+            close = np.bitwise_count(whole[:, None, :] ^ self.prints[part].view(np.uint64)[None]).sum(axis=2) <= RADIUS
+            if sizes is not None:
+                m = self.size[part] - WIDTH + 1
+                close &= (sizes[:, None] >= THRESHOLD * m) & (sizes[:, None] * THRESHOLD <= m)
+            found.append(part[close.any(axis=0)])
+        return np.concatenate(found)
+
+    def proposed(self, shingles_: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Items that some window of a document may be similar to; ``at``: where its known shingles stand."""
+        n = len(shingles_)
+        known = np.zeros(n + 1, np.int64)
+        known[at + 1] = 1
+        known = np.cumsum(known)
+        found, waiting = np.zeros(len(self.ids), bool), []
+
+        def look_up():
+            prints, sizes = zip(*waiting)
+            found[self.within(np.concatenate(prints), np.concatenate(sizes))] = True
+            waiting.clear()
+
+        for w in np.unique(np.minimum(self.windows, n)).tolist():
+            starts = np.flatnonzero(known[w:] - known[:-w] >= THRESHOLD * w)
+            cuts = np.flatnonzero(np.diff(starts) > 1) + 1
+            for run in np.split(starts, cuts) if len(starts) else []:
+                for low in range(int(run[0]), int(run[-1]) + 1, WINDOWS):
+                    high = min(low + WINDOWS - 1, int(run[-1]))
+                    prints = rolled(shingles_, w, low, high)
+                    waiting.append((prints, np.full(len(prints), w)))
+                    if sum(len(p) for p, _ in waiting) >= WINDOWS:
+                        look_up()
+        if waiting:
+            look_up()
+        return np.flatnonzero(found)
+
+    def similar(self, items: np.ndarray, code: np.ndarray, at: np.ndarray, n: int) -> Iterator[tuple[int, float, int, int]]:
+        """(item, similarity, first word, words) of each size's most similar window to each of ``items``, from the known shingles of a document with ``n`` shingles.
+
+        A shingle that an item holds c times counts in a window if fewer than c equal ones stand before it there, so that each
+        place counts for one run of starts, and the sums of these runs are the shared shingles.
+        """
         order = np.argsort(code, kind="stable")
         at = at[order]
         own, first, count = np.unique(code[order], return_index=True, return_counts=True)
-        group, j = runs(self.posts[own], self.posts[own + 1] - self.posts[own])
-        post = self.post[j]
-        items, which = np.unique(self.item[post], return_inverse=True)
-        shared = np.bincount(which, np.minimum(count[group], self.times[post]), len(items))
-        for k in items[shared >= THRESHOLD * (self.size[items] - WIDTH + 1)].tolist():
+        for k in items.tolist():
             m = int(self.size[k]) - WIDTH + 1
             mine = slice(self.first[k], self.first[k + 1])
             g = np.minimum(np.searchsorted(own, self.code[mine]), len(own) - 1)
@@ -173,7 +253,11 @@ class Items:
         for own in np.split(np.arange(len(hits)), np.flatnonzero(np.diff(row[hits])) + 1) if len(hits) else []:
             r = int(row[hits[own[0]]])
             low = int(heads[r])
-            for k, similarity, start, size in self.similar(code[own], hits[own] - low, int(heads[r + 1]) - low - WIDTH + 1):
+            end = int(heads[r + 1]) - WIDTH + 1
+            if len(own) < THRESHOLD * min(self.windows[0], end - low):
+                continue
+            at = hits[own] - low
+            for k, similarity, start, size in self.similar(self.proposed(s[low:end], at), code[own], at, end - low):
                 put(r, k, similarity, low + start, size)
         return out
 
@@ -193,7 +277,7 @@ def passes(items: DataFrame, key: str, text: str) -> list[Items]:
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document row and item that it holds: key, item key, similarity, first word and words of the window."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}, {f.name: f.dataType.simpleString() for f in items.schema}
+    kinds = docs.schema[key].dataType, items.schema[item_key].dataType
     out = None
     for part in passes(items, item_key, item_text):
         sent = Sent(docs.sparkSession, part)
@@ -203,9 +287,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             at = pa.array([r for r, _ in found], pa.int64())
             ids = [sent.value.ids[k] for _, k in found]
             similarity, start, size = zip(*found.values()) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(ids, pa.int64() if kinds[1][item_key] == "bigint" else None), pa.array(similarity, pa.float64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], names=[key, item_key, "similarity", "first_word", "n_words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(ids, to_arrow_type(kinds[1])), pa.array(similarity, pa.float64()), pa.array(start, pa.int32()), pa.array(size, pa.int32())], names=[key, item_key, "similarity", "first_word", "n_words"])
 
-        got = map_arrow(docs.select(key, text), kernel, f"`{key}` {kinds[0][key]}, `{item_key}` {kinds[1][item_key]}, similarity double, first_word int, n_words int", text)
+        got = map_arrow(docs.select(key, text), kernel, f"`{key}` {kinds[0].simpleString()}, `{item_key}` {kinds[1].simpleString()}, similarity double, first_word int, n_words int", text)
         out = got if out is None else out.unionAll(got)
     return out
 

@@ -30,7 +30,7 @@ from sigloom.llm.common import map_arrow, Sent, text_bytes
 #: the model, whatever the size of the corpus.
 SAMPLE_LETTERS, SAMPLE_ROWS = 20_000, 64
 #: Letters that are stepped through in one piece.
-PIECE = 512
+PIECE = 1024
 UNKNOWN = "und"
 
 

@@ -276,6 +276,78 @@ def test_reordered_parts_as_all_windows(spark):
     assert [r.doc_id for r in kept.collect()] == [2]
 
 
+def test_rolled_fingerprints():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        s = rng.integers(0, rng.integers(1, 40), 60).astype(np.uint64)
+        size = int(rng.integers(1, 30))
+        low, high = sorted(rng.integers(0, 60 - size + 1, 2).tolist())
+        want = np.array([decontaminate.fingerprint(s[a : a + size]) for a in range(low, high + 1)])
+        assert (decontaminate.rolled(s, size, low, high) == want).all()
+
+
+def test_index_of_many_items():
+    """Probing by flips of a block and by the values there finds the same items."""
+    rng = np.random.default_rng(7)
+    items = decontaminate.Items(list(range(400)), [" ".join(f"w{k}" for k in rng.integers(0, 300, 12)) for _ in range(400)])
+    asked = rng.integers(0, 1 << 16, (40, decontaminate.BLOCKS)).astype(np.uint16)
+    asked[:20] = items.prints[:20] ^ (1 << rng.integers(0, 16, (20, decontaminate.BLOCKS))).astype(np.uint16)
+    close = np.bitwise_count(asked[:, None, :] ^ items.prints[None]).sum(axis=2) <= decontaminate.RADIUS
+    want = np.flatnonzero(close.any(axis=0)).tolist()
+    assert items.within(asked).tolist() == want and set(range(20)) <= set(want)
+    more = decontaminate.Items(list(range(9000)), [" ".join(f"w{k}" for k in rng.integers(0, 300, 12)) for _ in range(9000)])
+    assert len(more.tables[0][0]) > len(decontaminate._MASKS)
+    close = np.bitwise_count(more.prints[:5, None, :] ^ more.prints[None]).sum(axis=2) <= decontaminate.RADIUS
+    assert more.within(more.prints[:5]).tolist() == np.flatnonzero(close.any(axis=0)).tolist()
+
+
+def test_random_edits_as_all_windows():
+    """Replaced, dropped, moved and repeated words, at similarities on both sides of the threshold."""
+    rng = np.random.default_rng(8)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 9000, n)]
+    items = [some(int(n)) for n in rng.integers(12, 90, 12)]
+    docs = []
+    for k in range(80):
+        w = list(items[k % 12])
+        for _ in range(int(rng.integers(0, 1 + len(w) // 25)) if k % 3 else 1):
+            at, kind = int(rng.integers(len(w))), int(rng.integers(4))
+            w = [*w[:at], *([some(1), [], [w[at]] * 3, ["____"] * 4][kind]), *w[at + 1 :]]
+        docs.append(" ".join(some(int(rng.integers(0, 60))) + w + some(int(rng.integers(0, 60)))))
+    got = as_plain(docs, [" ".join(i) for i in items])
+    assert 20 < len(got) < 80
+
+
+def test_long_runs_of_one_word_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16_000):
+        items = decontaminate.Items([0], [" ".join(["x"] * n)])
+        began = time.perf_counter()
+        assert items.leaks(pa.array([" ".join(["x"] * 2 * n)]))[0, 0][0] == 1.0
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_keys_of_other_types_and_empty_tables(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    docs = spark.createDataFrame([("a", item, "clash"), (None, item, "x"), ("b", None, "x")], "doc_id string, text string, item_id string")
+    items = spark.createDataFrame([(7, item), (7, item)], "item_id int, text string")
+    got = decontaminate.find_leaks(docs, items)
+    assert sorted((r.doc_id or "", r.item_id) for r in got.collect()) == [("", 7), ("a", 7)]
+    assert dict(got.dtypes)["item_id"] == "int" and [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == ["b"]
+    assert decontaminate.find_leaks(docs.where("false"), items).collect() == [] == decontaminate.without_leaks(docs.where("false"), items).collect()
+
+
+def test_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 100)
+    texts = [" ".join(f"w{i}_{k}" for k in range(20)) for i in range(5)]
+    docs = spark.createDataFrame([(i, f"a b {t} c") for i, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, items).collect()) == [(i, i) for i in range(5)]
+    assert decontaminate.without_leaks(docs, items).collect() == []
+
+
 @given(st.lists(st.text("ab", min_size=5, max_size=14), min_size=1, max_size=4), st.lists(st.text("abc", min_size=5, max_size=40), min_size=1, max_size=4))
 @settings(max_examples=150, deadline=None)
 def test_leaks_of_few_words_as_all_windows(items, docs):
