@@ -1,9 +1,10 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass finds anchors: at-signs, plus signs, schemes, digit-dot pairs and identifier cues. Local parsers
-expand each anchor to both sides and validate what they find: addresses of mail and network, phone numbers, payment
-cards (Luhn) and accounts (IBAN by its check digits, or a number that follows a cue). Each parser looks at every
-character a bounded number of times, so that long junk costs linear time.
+One Aho-Corasick pass finds all anchors: at-signs, plus signs before a digit, schemes, dots between digits, digits that follow
+each other at once or behind one separator, and identifier cues. A local parser expands each anchor to both sides and
+validates what it finds: addresses of mail and network, phone numbers, payment cards (Luhn) and accounts (IBAN by its check
+digits, or a number that follows a cue). An anchor inside what the one before was expanded to is passed over, so that each
+parser looks at every character a bounded number of times, and long junk costs linear time.
 
 Null and empty texts have no spans; repeated rows get the same spans each; other columns stay as they are.
 """
@@ -16,7 +17,7 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.spans import Span, base_digest, count_of, in_order, mark_spans, written
+from sigloom.llm.spans import Span, Taken, base_digest, count_of, in_order, mark_spans, written
 
 #: Base kinds as listed, then those that the method adds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
@@ -24,8 +25,9 @@ KINDS = ("email", "ip", "card", "phone", "url", "account")
 CUES = ("iban", "account", "acct", "passport", "ssn", "social security", "kontonummer", "compte", "cuenta")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DIGITS = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"://[^\s<>\"']+")
@@ -50,42 +52,75 @@ def iban(value: str) -> bool:
 
 
 def anchors() -> ahocorasick.Automaton:
+    """(kind, length) of each anchor; one of each kind at most ends at a place."""
     found = ahocorasick.Automaton()
-    for word, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), *((f"{d}.", "dot") for d in range(10)), *((c, "cue") for c in CUES), *((c.upper(), "cue") for c in CUES), *((c.title(), "cue") for c in CUES)]:
-        found.add_word(word, kind)
+    digits = "0123456789"
+    words = [("@", "at"), ("://", "scheme"), *((f"+{d}", "plus") for d in digits)]
+    for a in digits:
+        for b in digits:
+            words += [(f"{a}.{b}", "dot"), *((f"{a}{sep}{b}", "pair") for sep in ("", " ", "-"))]
+    for word, kind in [*words, *((c, "cue") for c in CUES), *((c.upper(), "cue") for c in CUES), *((c.title(), "cue") for c in CUES)]:
+        found.add_word(word, (kind, len(word)))
     found.make_automaton()
     return found
 
 
+def mail_at(text: str, at: int, floor: int) -> Span | None:
+    """The address around an at-sign, its name from ``floor`` on."""
+    start = at
+    while start > floor and text[start - 1] in _LOCAL:
+        start -= 1
+    m = _DOMAIN.match(text, at + 1) if start < at else None
+    return ("email", start, m.end(), True) if m else None
+
+
+def addresses_at(text: str, dot: int, out: list[Span]) -> int:
+    """Adds the addresses of the row of dotted numbers around a dot, by fours from its start; gives the row's end."""
+    start = dot
+    while text[start - 1 : start] in _DIGITS:
+        start -= 1
+    m = _DOTTED.match(text, start)
+    parts, at = m[0].split("."), start
+    for k in range(0, len(parts) - 3, 4):
+        four = parts[k : k + 4]
+        end = at + sum(map(len, four)) + 3
+        if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in four):
+            out.append(("ip", at, end, True))
+        at = end + 1
+    return m.end()
+
+
 def finder(automaton: ahocorasick.Automaton | None = None):
     automaton = automaton or anchors()
 
     def find(text: str) -> list[Span]:
         out: list[Span] = []
-        mail_end, dotted, plus, extra = 0, False, False, []
-        for at, kind in automaton.iter(text):
-            if kind == "dot":
-                dotted = True
+        mail_end = dots_end = card_end = phone_end = 0
+        extra = []
+        for at, (kind, size) in automaton.iter(text):
+            start = at - size + 1
+            if kind == "pair":
+                if start >= card_end:
+                    m = _CARD.match(text, start)  # the first pair of its row: no digit before it is near
+                    card_end = m.end()
+                    if card_end - start >= 12:
+                        number = m[0].replace(" ", "").replace("-", "")
+                        if 12 <= len(number) <= 19 and luhn(number):
+                            out.append(("card", start, card_end, True))
+            elif kind == "dot":
+                if at >= dots_end:
+                    dots_end = addresses_at(text, at - 1, out)
             elif kind == "plus":
-                plus = True
+                if start >= phone_end and (m := _PHONE.match(text, start)):
+                    phone_end = m.end()
+                    if 9 <= sum(c in _DIGITS for c in m[0]) <= 15:
+                        out.append(("phone", start, phone_end, True))
             elif kind == "at":
-                start = at
-                while start > mail_end and text[start - 1] in _LOCAL:
-                    start -= 1
-                if start < at and (m := _DOMAIN.match(text, at + 1)):
-                    mail_end = m.end()
-                    out.append(("email", start, mail_end, True))
+                if found := mail_at(text, at, mail_end):
+                    mail_end = found[2]
+                    out.append(found)
             else:
                 extra.append((kind, at))
-        if dotted:
-            out += [("ip", m.start(), m.end(), True) for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m[0].split("."))]
-        for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 12:
-                digits = m[0].replace(" ", "").replace("-", "")
-                if 12 <= len(digits) <= 19 and luhn(digits):
-                    out.append(("card", m.start(), m.end(), True))
-        if plus:
-            out += [("phone", m.start(), m.end(), True) for m in _PHONE.finditer(text) if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15]
         if extra:
             out += added(text, extra, out)
         return in_order(out, KINDS)
@@ -94,7 +129,7 @@ def finder(automaton: ahocorasick.Automaton | None = None):
 
 
 def added(text: str, cues: list[tuple[str, int]], base: list[Span]) -> list[Span]:
-    """Addresses of the web that name a user, and accounts after a cue; nothing that overlaps a base span."""
+    """Addresses of the web that name a user, and accounts after a cue; nothing that overlaps a base span or an earlier one."""
     out: list[Span] = []
     last = 0
     for kind, at in cues:
@@ -102,8 +137,7 @@ def added(text: str, cues: list[tuple[str, int]], base: list[Span]) -> list[Span
             start = at - 2
             while start > last and text[start - 1] in _SCHEME:
                 start -= 1
-            m = _URL.match(text, at - 2)
-            if m and start < at - 2:
+            if start < at - 2 and at >= last and (m := _URL.match(text, at - 2)):
                 last = m.end()
                 host = re.split("[/?#]", m[0][3:], maxsplit=1)[0]
                 if "@" in host:
@@ -112,7 +146,8 @@ def added(text: str, cues: list[tuple[str, int]], base: list[Span]) -> list[Span
             value = m[1]
             if iban(value) or not value[:2].isalpha() and 6 <= sum(c.isdigit() for c in value) <= 20:
                 out.append(("account", m.start(1), m.end(1), False))
-    return [s for k, s in enumerate(out) if not any(s[1] < b[2] and b[1] < s[2] for b in [*base, *out[:k]])]
+    taken = Taken(base)
+    return [s for s in sorted(out, key=lambda s: (s[1], s[2])) if taken.add(s[1], s[2])]
 
 
 def personal_data(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:

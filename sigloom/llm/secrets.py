@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.llm.common import map_arrow
-from sigloom.llm.spans import Span, base_digest, count_of, in_order, mark_spans, written
+from sigloom.llm.spans import Span, Taken, base_digest, count_of, in_order, mark_spans, written
 
 #: Base kinds as listed, then that which the method adds.
 KINDS = ("assign", "access", "hex", "literal")
@@ -108,12 +108,11 @@ def find(text: str) -> list[Span]:
         out += [("access", m.start(), m.end(), True) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [("hex", m.start(), m.end(), True) for m in _HEX.finditer(text)]
     if pairs:
-        taken = [(s, e) for _, s, e, _ in out]
+        taken = Taken(out)
         for name, parts, value in assignments(text):
             if (told := name_score(name)) and (random := literal_score(value)) and told + random >= LEAST_SCORE:
                 for s, e in parts:
-                    if s < e and not any(s < y and x < e for x, y in taken):
-                        taken.append((s, e))
+                    if s < e and taken.add(s, e):
                         out.append(("literal", s, e, False))
     return in_order(out, KINDS)
 

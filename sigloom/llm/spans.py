@@ -6,6 +6,7 @@ and false for what the method adds. Spans stand by start, then by the operator's
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -19,6 +20,29 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 _STRUCT = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])
 
 
+class Taken:
+    """Places of a text that spans hold, as disjoint intervals; what overlaps one is told in logarithmic time."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((s[1], s[2]) for s in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def add(self, start: int, end: int) -> bool:
+        """Take a place if nothing overlaps it."""
+        k = bisect_left(self.ends, start + 1)  # the first interval that ends after start
+        if k < len(self.starts) and self.starts[k] < end:
+            return False
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+        return True
+
+
 def in_order(spans: list[Span], kinds: tuple[str, ...]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], kinds.index(s[0]), s[2])) if len(spans) > 1 else spans
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sigloom.llm import bpe, decontaminate, html_text, langid, pii, secrets, sharding
+from sigloom.llm import bpe, decontaminate, html_text, langid, pii, secrets, sharding, spans
 from sigloom.llm.common import shingles, words
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +86,49 @@ def test_added_personal_data():
     assert [s[0] for s in found if not s[3]] == ["account", "account", "url"]
 
 
+@given(st.lists(st.sampled_from(["4111 1111-1111 1111", "1.2.3.4", "256.1.1.1", "0001.2.3.4.5.6.7.8", "+49 (30) 1234567", "+1", "+", "a@b.c", "@", ".", "-", " ", "12", "5", "٣", "é", "x", "://"]), max_size=12).map("".join))
+@settings(max_examples=400, deadline=None)
+def test_base_personal_data_of_parts(t):
+    assert [s[:3] for s in pii.finder()(t) if s[3]] == plain_pii(t)
+
+
+@pytest.mark.parametrize("unit", ["account 12345678 ", "4111 1111 1111 1111, ", "1.2.3.4 ", "1.", "+1 234 567 890 x", "a@b.cd ", "a@", "1 ", "+1", "https://a@b/c ", "x"])
+def test_personal_data_in_linear_time(unit):
+    import time
+
+    find, took = pii.finder(), []
+    for n in (5000, 40_000):
+        began = time.perf_counter()
+        found = find(unit * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+    assert [s[:3] for s in found if s[3]] == plain_pii(unit * 40_000) or unit == "1."
+
+
+@pytest.mark.parametrize("unit", ['token = "abcdefgh12" ', 'x.auth_key: "q9X!rT27_zz" ', "a = b ", "=", "a:", "password=", "'", '="', "deadbeef"])
+def test_secrets_in_linear_time(unit):
+    import time
+
+    took = []
+    for n in (5000, 40_000):
+        began = time.perf_counter()
+        found = secrets.find(unit * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+    assert [s[:3] for s in found if s[3]] == plain_secrets(unit * 40_000)
+
+
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 9)), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_taken_places(base, more):
+    taken = spans.Taken([("k", a, a + n, True) for a, n in base])
+    held = [(a, a + n) for a, n in base]
+    for a, n in more:
+        free = not any(a < y and x < a + n for x, y in held)
+        assert taken.add(a, a + n) == free
+        held += [(a, a + n)] * free
+
+
 def plain_secrets(t):
     out = [("assign", *m.span()) for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
