@@ -1,19 +1,25 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page is a row of tokens. Words score by their place (the block that they stand in, links, inside or beside an
-article), tags score below zero; both weights come from labelled pages: pages with an ``article`` or ``main`` element,
-whose words and tags count as inside or outside. Menus, headers, footers, sidebars, notices, adverts, forms, scripts
-and reader comments, known by element, role, class or id, score nothing and are never text. One scan finds the
-contiguous region of the highest score; its text is cut at block elements, references are decoded, white space becomes
-one space, and blocks are joined in page order.
-
-Weights are fitted on at most ``SAMPLE_PAGES`` pages (those whose keys hash lowest). Null or empty html gives an empty
-text. Pages without any words in a region of positive score are empty. Repeated rows give equal texts; very long pages
-take linear time; other columns stay as they are.
+A page is a row of tokens. A word scores between -1 and 1 by what it stands in: the elements around it, or their
+classes and ids, whether it is a link, and whether it stands in the page's article or beside it. A tag scores below
+zero, by how seldom it stands in articles. All weights come from labelled pages, those with an ``article`` or ``main``
+element, whose words and tags count as content or not. One linear scan finds the contiguous region of the highest score,
+and that alone decides where the text begins and ends, with or without an article.
+
+What is left out of a region is what HTML itself sets apart (menus, headers, footers, sidebars, forms, scripts, styles, by
+element, role or hidden) and elements whose class or id names nothing but what is no main text, a notice, an advert, reader
+comments (the words are given here) or what the labelled pages show beside articles only. These score nothing, so that they
+break no region.
+
+The text is cut at block elements, references are decoded, white space becomes one space, and blocks are joined in page
+order. Weights are fitted on at most ``SAMPLE_PAGES`` pages of ``SAMPLE_BYTES`` at most (those whose keys hash lowest). Null
+or empty html gives an empty text, and so do pages without a region of positive score. Repeated rows give equal texts; very
+long pages take linear time; other columns stay as they are.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from html import unescape
@@ -25,52 +31,52 @@ from pyspark.sql import functions as F
 from sigloom.llm.common import map_arrow
 
 #: Pages that weights are fitted on at most, and the longest of them in bytes.
-SAMPLE_PAGES, SAMPLE_BYTES = 400, 1 << 20
+SAMPLE_PAGES, SAMPLE_BYTES = 400, 1 << 16
+#: The most that one sign tells, as log odds.
+LIMIT = 3.0
 
-#: Elements whose content is no markup or no text; ``svg`` and ``math`` may close themselves and are plain tags then.
-_RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|select|canvas|object"
+#: Elements whose content is no markup or no text; ``svg`` may close itself and is a plain tag then.
+_RAW = "script|style|textarea|title|noscript|template|iframe|svg|select|canvas|object"
 _ATTRIBUTES = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?!(?:svg|math)(?=[\s/]){_ATTRIBUTES}/>)({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?!svg(?=[\s/]){_ATTRIBUTES}/>)({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|</?[a-zA-Z!?/][^>]*(?:>|\Z)|([^<]+|<)",
     re.S | re.I,
 )
 _LEFT_OUT = frozenset(_RAW.split("|"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROPPED = frozenset("head nav footer aside form button dialog menu fieldset label input datalist audio video figure-menu".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo mrow ms mtext mspace msub msup msubsup mfrac msqrt mroot mover munder semantics".split())
+_DROPPED = frozenset("head nav footer aside form button dialog menu fieldset label input datalist audio video figure-menu annotation annotation-xml".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Tags that articles may have, however few the labelled pages show of them.
-_TEXTUAL = frozenset("article main section div p br h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th caption blockquote pre figure figcaption hr img address details summary".split())
-#: Parts of a class or id that name what is no main text.
+#: Elements that articles may have, however few the labelled pages show: no evidence against words in them, little against their tags.
+_TEXTUAL = frozenset("article main section div p br h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr img picture source address details summary header span math html body".split())
+#: Parts of a class or id that name what is no main text, and parts that only name its form.
 _CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside widget "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist disqus respond reply replies pagination pager toolbar skip masthead topbar".split()
 )
+_FORMS = frozenset("post posts article articles page site main link links box bar block blocks wrapper wrap container section list item items area inner outer body content top bottom left right small large unit slot button buttons media icons icon form list message text js the my".split())
 _PLACES = frozenset("article main body html".split())
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def is_dropped(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element and all in it is no main text; ``inside``: it stands in an article."""
+def names_of(attributes: str) -> list[str]:
+    """The names in class and id."""
+    return [name for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for name in (m[2] or m[3] or m[4] or "").split()]
+
+
+def set_apart(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether HTML says that an element is no main text; ``inside``: it stands in an article, which may have a header."""
     if tag in _DROPPED or tag == "header" and not inside:
         return True
-    if not attributes:
-        return False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if tag in _PLACES and not (tag == "article" and name == "class"):
-            continue
-        if name == "role" and value.lower() in _ROLES:
+        if name == "role" and tag not in _PLACES and value in _ROLES:
             return True
-        if name in ("class", "id"):
-            parts = {p.lower() for p in _NAMES.findall(value)}
-            if parts & _CUES or not inside and "header" in parts and tag not in ("h1", "h2", "h3"):
-                return True
     return False
 
 
@@ -82,75 +88,99 @@ def holder_of(html: str) -> str:
     return "article" if "article" in opened else "main" if "main" in opened else ""
 
 
-def tokens(html: str) -> list[tuple[str, str, str, bool]]:
-    """(kind, value, place, inside) of each token: kinds ``tag``, ``skip`` (a tag of what is left out inside an article), ``text``, ``drop``; place: block tag, with ``a`` in a link.
+class Weights:
+    """Evidence (log odds of content) of what words stand in, and scores of tags; what was never seen says nothing."""
+
+    def __init__(self, pages: list[str]):
+        self.place: dict[str, float] = {}
+        self.tag: dict[str, float] = {}
+        words: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        for html in pages:
+            if holder_of(html):
+                for kind, value, features, inside, said in tokens(html, self):
+                    if kind == "tag" or kind == "skip" and not inside:
+                        tags[inside][value] += 1
+                    elif value.strip() and (kind == "text" or kind == "drop" and not inside):
+                        # beside articles, the outermost element explains its words, and a link is one anywhere
+                        told = features if inside else [*features[: said + 1], *[f for f in features if f == "a"]]
+                        for f in set(told):
+                            words[inside][f] += len(value.split())
+        for f in words[True] | words[False]:
+            odds = math.log((words[True][f] + 0.5) / (words[False][f] + 0.5))
+            self.place[f] = min(max(odds, 0.0 if f in _TEXTUAL else -LIMIT), LIMIT)
+        self.place |= {"in": LIMIT + 2, "beside": -LIMIT - 2}  # what labels say is beyond doubt
+        for f in tags[True] | tags[False]:
+            self.tag[f] = -0.05 - 2 * (tags[False][f] + 1) / (tags[True][f] + tags[False][f] + 2)
+        for f in _TEXTUAL | _INLINE:
+            self.tag[f] = max(self.tag.get(f, -0.1), -0.1)
+
+    def left_out(self, tag: str, attributes: str, inside: bool) -> bool:
+        """Whether an element and all in it is no main text."""
+        if set_apart(tag, attributes, inside):
+            return True
+        if not attributes or tag in _PLACES and tag != "article":
+            return False
+        for name in names_of(attributes):
+            parts = {p.lower() for p in _NAMES.findall(name)} - _FORMS
+            if parts and all(p in _CUES or p == "header" and not inside and tag[:1] != "h" for p in parts) or self.place.get("." + name.lower(), 0.0) <= -LIMIT:
+                return True
+        return False
 
-    ``inside``: in the page's article (or main element where it has no article, or anywhere where it has neither).
+    def word(self, features: list[str]) -> float:
+        """-1 to 1: the strongest evidence for and against, in favour where there is none."""
+        told = [self.place.get(f, 0.0) for f in features] or [0.0]
+        return math.tanh(1 + max(0.0, *told) + min(0.0, *told))
+
+
+def tokens(html: str, weights: Weights) -> list[tuple[str, str, list[str], bool, int]]:
+    """(kind, value, features, inside, last feature of the outermost element) of each token.
+
+    Kinds: ``tag``; ``skip``, a tag of what is left out; ``text``; ``drop``, a text that is left out. Features: names of the
+    elements around a text, or ``.name`` of their classes and ids, ``a`` in a link, ``in`` or ``beside`` the page's article.
     """
     holder = holder_of(html)
-    stack: list[tuple[str, bool, str]] = []  # (tag, left out, block that text stands in)
+    stack: list[tuple[str, bool, int]] = []  # (tag, left out, features that it added)
+    features: list[str] = []
     held: Counter = Counter()
-    dropped, holders, links = 0, 0, 0
-    out: list[tuple[str, str, str, bool]] = []
+    dropped = holders = said = 0
+    out: list[tuple[str, str, list[str], bool, int]] = []
     for m in _TOKEN.finditer(html):
+        inside = holders > 0
         if m[5] is not None:
-            block = stack[-1][2] if stack else ""
-            out.append(("drop" if dropped else "text", m[5], block + (" a" if links else ""), holders > 0 or not holder))
+            place = [("in" if inside else "beside")] if holder else []
+            out.append(("drop" if dropped else "text", m[5], [*features, *place], inside, said))
             continue
         if m[3] is None:
             if m[1]:
-                out.append(("skip" if holders > 0 else "tag", m[1].lower(), "", holders > 0 or not holder))
+                out.append(("skip", m[1].lower(), [], inside, 0))
             continue
         tag = m[3].lower()
         opens = not m[2] and tag not in _VOID and not m[4].endswith("/")
-        drop = opens and is_dropped(tag, m[4], holders > 0)
-        out.append(("skip" if holders > 0 and (dropped or drop or tag in _LEFT_OUT) else "tag", tag, "", holders > 0 or not holder))
+        drop = opens and weights.left_out(tag, m[4], inside)
+        out.append(("skip" if dropped or drop else "tag", tag, [], inside, 0))
         if m[2]:
             while held[tag]:  # everything that was opened since is closed too
-                name, left_out, _ = stack.pop()
+                name, was_left_out, own = stack.pop()
                 held[name] -= 1
-                dropped -= left_out
+                dropped -= was_left_out
                 holders -= name == holder
-                links -= name == "a"
+                del features[len(features) - own :]
                 if name == tag:
                     break
         elif opens:
-            stack.append((tag, drop, tag if tag not in _INLINE else stack[-1][2] if stack else ""))
+            named = sorted({"." + n.lower() for n in names_of(m[4])}) if m[4] and tag not in _PLACES else []
+            own = named or [tag] if tag not in ("html", "body") else []
+            if not features:
+                said = len(own) - 1
+            features += own
+            stack.append((tag, drop, len(own)))
             held[tag] += 1
             dropped += drop
             holders += tag == holder
-            links += tag == "a"
     return out
 
 
-class Weights:
-    """Scores of words by place and of tags; what was never seen gets a middle score."""
-
-    def __init__(self, pages: list[str]):
-        words: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        tags: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        for html in pages:
-            if holder_of(html):
-                for kind, value, place, inside in tokens(html):
-                    if kind == "tag":
-                        tags[inside][value] += 1
-                    elif kind != "skip" and value.strip():
-                        words[inside and kind == "text"][place] += len(value.split())
-        share = lambda c, f: (c[True][f] + 1) / (c[True][f] + c[False][f] + 2)
-        self.word = {f: max(0.1 if f.endswith(" a") else 0.3, 2 * share(words, f) - 1) for f in words[True] | words[False]}
-        self.tag = {f: -0.05 - 2 * (1 - share(tags, f)) for f in tags[True] | tags[False]}
-        for f in _TEXTUAL | _INLINE:
-            self.tag[f] = max(self.tag.get(f, -0.1), -0.1)
-
-    def score(self, kind: str, value: str, place: str, inside: bool) -> float:
-        if kind == "tag":
-            return self.tag.get(value, -0.3)
-        if kind in ("drop", "skip"):
-            return 0.0
-        n = len(value.split())
-        return n * self.word.get(place, 0.5) if inside else -0.5 * n
-
-
 def region(scores: list[float]) -> tuple[int, int]:
     """Bounds of the contiguous run with the highest sum, the first and longest of equals; empty where none is positive."""
     best, at = 0.0, (0, 0)
@@ -164,12 +194,17 @@ def region(scores: list[float]) -> tuple[int, int]:
     return at
 
 
+def scores(row: list[tuple], weights: Weights) -> list[float]:
+    """The score of each token."""
+    return [weights.tag.get(value, -0.3) if kind == "tag" else len(value.split()) * weights.word(features) if kind == "text" else 0.0 for kind, value, features, _, _ in row]
+
+
 def main_text(html: str, weights: Weights) -> str:
-    row = tokens(html)
-    start, end = region([weights.score(*t) for t in row])
+    row = tokens(html, weights)
+    start, end = region(scores(row, weights))
     blocks, block = [], []
-    for kind, value, _, inside in row[start:end]:
-        if kind == "text" and inside:
+    for kind, value, *_ in row[start:end]:
+        if kind == "text":
             block.append(value)
         elif kind in ("tag", "skip") and value not in _INLINE:
             blocks.append("".join(block))

@@ -502,6 +502,52 @@ def test_left_out_parts_in_an_article_cost_nothing():
         assert html_text.main_text(html, weights) == want, html
 
 
+LABELLED = ["<body><nav><ul><li><a>one</a></li><li><a>two three</a></li></ul></nav><div class='promo-x'>buy it now</div><div class='teaser'>more to read in here</div><article><h1>T</h1><p>some words here " + "and more " * 40 + "</p></article><footer>f 2020</footer></body>"] * 3
+
+
+def test_the_scan_decides_on_pages_without_an_article():
+    weights = html_text.Weights(LABELLED)
+    links = "".join(f"<div><a href='/{k}'>link number {k}</a></div>" for k in range(12))
+    body = "<h2>A title</h2><p>The body of this page has a number of words.</p><div><p>It goes on in here.</p></div><table><tr><td>cells too</td></tr></table><p>And it ends.</p>"
+    want = "A title The body of this page has a number of words. It goes on in here. cells too And it ends."
+    cases = {f"<body>{links}<div id='x'>{body}</div>{links}</body>": want, f"<body>{links}{body}</body>": want, f"<html><body><center>{links}</center>{body}{links}": want}
+    for html, text in cases.items():
+        assert html_text.main_text(html, weights) == text, html
+        row = html_text.tokens(html, weights)
+        whole = " ".join(" ".join(t[1] for t in row if t[0] == "text").split())
+        assert len(whole) > len(text)  # without the scan there would be more
+
+
+def test_what_labelled_pages_teach():
+    weights, none = html_text.Weights(LABELLED), html_text.Weights([])
+    page = "<body><div class='teaser'>five more words to read</div><p>The body of this page has many words in it.</p></body>"
+    assert html_text.main_text(page, weights) == "The body of this page has many words in it."
+    assert html_text.main_text(page, none).startswith("five more words")
+    assert weights.word(["nav"]) < 0 < weights.word(["p"]) and weights.word(["div", "a"]) < 0 < weights.word(["in", "p", "a"])
+    assert weights.tag["nav"] < weights.tag["p"] < 0
+
+
+def test_articles_lose_nothing():
+    weights = html_text.Weights(LABELLED)
+    cases = {
+        "<article><p>Before it</p><div class='related-work'><p>Others did it too</p></div><p>after it</p></article>": "Before it Others did it too after it",
+        "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p></article>": "Let x=1 be",
+        "<article><ul><li><a href='/'>All of it</a></li><li><a href='/'>in links</a></li></ul></article><p>beside it there is more text</p>": "All of it in links",
+        "<article><p>One</p><div class='comment-list'><p>nice post, thank you so much for it</p></div><div class='ad'>buy buy buy buy</div><p>two</p></article>": "One two",
+        "<article><header><h1>Head line</h1></header><p>text</p></article><header>site name here</header>": "Head line text",
+    }
+    for html, want in cases.items():
+        assert html_text.main_text(html, weights) == want, html
+
+
+@given(st.lists(st.sampled_from([-2.0, -1.0, -0.5, 0.0, 0.25, 1.0, 3.0]), max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_region_against_all_intervals(scores):
+    start, end = html_text.region(scores)
+    best = max([0.0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1))])
+    assert sum(scores[start:end]) == best and (best > 0 or start == end)
+
+
 def test_clashing_columns_and_empty_tables(spark):
     mail = spark.createDataFrame([(1, "a@b.cd", "old", 7), (2, None, "old", 7), (1, "a@b.cd", "old", 7)], "doc_id long, text string, spans string, score int")
     got = pii.personal_data(mail).orderBy("doc_id").collect()
