@@ -1,13 +1,15 @@
 """URL filter with redirect equivalence, by DataFrame operations only.
 
 Rules block or allow a host with all of its subdomains below a path; the longest rule that fits a url decides. Pages
-whose html names another address (canonical link, or a refresh that redirects) are aliases of it: connected components
+whose html names other addresses (canonical links, or refreshes that redirect, all of them, but for those in comments,
+scripts, styles and templates) are aliases of these: connected components
 over these links carry block decisions to all aliases that no rule decides. An allow rule on any address of a component
 takes precedence, and a url with a rule of its own always keeps that rule's verdict.
 
 A url's host runs from after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; its path from there
 up to ``?``, ``#`` or the end. Urls that are null or have no ``://`` have neither, fit no rule and are allowed. Addresses
-that differ by their fragment, or by the case of host or scheme, are the same node. Null or empty html has no links;
+that differ by their fragment, by dot segments, by an empty path instead of ``/``, or by the case of host or scheme, are the
+same node. Null or empty html has no links;
 repeated pages are judged each; other columns are not looked at.
 """
 
@@ -22,11 +24,14 @@ from sigloom.llm.components import connected_components
 #: (verdict, host, path) of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Links of a page: (what its tag holds, attribute value) as patterns.
-CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
+#: What hides tags; the tags that link, their ``rel`` and target; as patterns that Java and RE2 read alike.
+HIDDEN = r"""(?is)<!--.*?-->|<!--.*$|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<noscript\b.*?</noscript\s*>"""
+LINK = r"""(?is)<link\s[^>]*>"""
+CANONICAL = r"""(?is)\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+META = r"""(?is)<meta\s[^>]*>"""
+REFRESH = r"""(?is)\shttp-equiv\s*=\s*["']?\s*refresh\b"""
+HREF = r"""(?is)\shref\s*=\s*["']?\s*([^"'\s>]+)"""
+TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -38,11 +43,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without its dot segments; empty paths are ``/``."""
+    parts = F.split(path, "/")
+    step = lambda done, part: F.when(part == ".", done).when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part))
+    walked = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.lit(""), step)
+    return F.when(path.rlike("/[.]{1,2}(/|$)"), F.concat(walked, F.when(path.rlike("/[.]{1,2}$"), F.lit("/")).otherwise(F.lit("")))).when(path == "", F.lit("/")).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The address that a url leads to: scheme and host in lower case, without its fragment."""
+    """The address that a url leads to: scheme and host in lower case, without dot segments and fragment."""
     scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), *LOWER)
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), rest))
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*([^#]*)", 1)
+    return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), without_dots(path_of(url)), query))
+
+
+def links_of(html: Column) -> Column:
+    """All targets that a page's canonical links and refreshes name, as they stand there."""
+    shown = F.when(html.rlike("(?i)canonical|refresh"), F.regexp_replace(html, HIDDEN, " "))
+    of = lambda tags, told, target: F.transform(F.filter(F.regexp_extract_all(shown, F.lit(tags), F.lit(0)), lambda t: t.rlike(told)), lambda t: F.regexp_extract(t, target, 1))
+    return F.filter(F.concat(of(LINK, CANONICAL, HREF), of(META, REFRESH, TARGET)), lambda x: x != "")
 
 
 def resolved(link: Column, url: Column) -> Column:
@@ -74,8 +94,8 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
     u = F.col(url)
     host, path = host_of(u), path_of(u)
     rule, verdict = rule_of(host, path, rules)
-    found = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
-    base = durable(pages.select(F.col(key), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("own"), node_of(u).alias("node"), F.transform(F.filter(found, lambda x: x != ""), lambda x: node_of(resolved(x, u))).alias("links")))
+    links = F.coalesce(F.transform(links_of(F.col(html)), lambda x: node_of(resolved(x, u))), F.array().cast("array<string>"))
+    base = durable(pages.select(F.col(key), host.alias("host"), path.alias("path"), rule.alias("rule"), verdict.alias("own"), node_of(u).alias("node"), links.alias("links")))
     links = base.where(F.size("links") > 0).select(F.col("node").alias("a"), F.explode("links").alias("b"))
     named = connected_components(links)
     told = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)[1]
@@ -96,8 +116,13 @@ def _sql_path(url: str) -> str:
     return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
 
 
+def _sql_without_dots(path: str) -> str:
+    walked = f"list_reduce(list_prepend('', split({path}, '/')[2:]), lambda done, part: CASE part WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END)"
+    return f"CASE WHEN regexp_matches({path}, '/[.]{{1,2}}(/|$)') THEN {walked} || CASE WHEN regexp_matches({path}, '/[.]{{1,2}}$') THEN '/' ELSE '' END WHEN {path} = '' THEN '/' ELSE {path} END"
+
+
 def _sql_node(url: str) -> str:
-    return f"CASE WHEN contains({url}, '://') THEN translate(regexp_extract({url}, '(?s)^(.*?)://', 1), '{LOWER[0]}', '{LOWER[1]}') || '://' || {_sql_host(url)} || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+    return f"CASE WHEN contains({url}, '://') THEN translate(regexp_extract({url}, '(?s)^(.*?)://', 1), '{LOWER[0]}', '{LOWER[1]}') || '://' || {_sql_host(url)} || {_sql_without_dots(_sql_path(url))} || regexp_extract({url}, '(?s)^.*?://[^?#]*([^#]*)', 1) END"
 
 
 def _sql_rule(host: str, path: str, verdict: bool) -> str:
@@ -109,11 +134,17 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _sql_links(tags: str, told: str, target: str) -> str:
+    return f"list_transform(list_filter(regexp_extract_all(shown, {_quoted(tags)}), lambda t: regexp_matches(t, {_quoted(told)})), lambda t: regexp_extract(t, {_quoted(target)}, 1))"
+
+
 _ORACLE = f"""
-WITH RECURSIVE base AS (
+WITH RECURSIVE seen AS (
+  SELECT page_id, url, CASE WHEN regexp_matches(html, '(?i)canonical|refresh') THEN regexp_replace(html, {_quoted(HIDDEN)}, ' ', 'g') END AS shown FROM pages
+), base AS (
   SELECT page_id, {_sql_host("url")} AS host, {_sql_path("url")} AS path, {_sql_node("url")} AS node, url,
-    list_filter([regexp_extract(regexp_extract(html, {_quoted(CANONICAL)}), {_quoted(HREF)}, 1), regexp_extract(regexp_extract(html, {_quoted(REFRESH)}), {_quoted(TARGET)}, 1)], lambda x: x <> '') AS found
-  FROM pages
+    list_filter(list_concat({_sql_links(LINK, CANONICAL, HREF)}, {_sql_links(META, REFRESH, TARGET)}), lambda x: x <> '') AS found
+  FROM seen
 ), raw AS (
   SELECT node, replace(unnest(found), '&amp;', '&') AS link, url FROM base
 ), absolute AS (

@@ -24,6 +24,16 @@ PAGES = [
     (16, "https://alias.info/mail", CANON.format("mailto:a@bad.net")),
     (5, "https://alias.info/1", CANON.format("http://bad.net/x")),
     (17, "", ""),
+    (18, "https://alias.info/many", CANON.format("mailto:x@y.z") + CANON.format("") + "<link href='http://bad.net/second' rel='alternate Canonical'>"),
+    (19, "https://alias.info/hidden", "<!-- " + CANON.format("http://bad.net/x") + " --><script>'" + CANON.format("http://bad.net/x") + "'</script>"),
+    (20, "https://alias.info/unclosed", "<!-- " + CANON.format("http://bad.net/x")),
+    (21, "https://alias.info/a/b/c", CANON.format("../../dots/./x")),
+    (22, "https://alias.info/dots/y/../x", CANON.format("http://bad.net/dots")),
+    (23, "https://alias.info/other", "<link rel='canonical-like' href='http://bad.net/x'><meta name='refresh' content='url=http://bad.net/x'>"),
+    (24, "https://root.info", CANON.format("http://bad.net/root")),
+    (25, "https://alias.info/toroot", CANON.format("https://ROOT.info/#top")),
+    (26, "https://alias.info/long", "<p>" + "x " * 200_000 + "</p>" + CANON.format("http://bad.net/x")),
+    (27, "https://alias.info/up", CANON.format("../../../../dots/x/.")),
 ]
 
 
@@ -39,6 +49,7 @@ def test_judged_pages(spark):
     assert by_id[9][1:] == ("", "", None, "allow") and by_id[10][1:] == ("", "", None, "allow")
     assert by_id[12][2:] == ("", None, "allow")  # an empty path does not start with /
     assert by_id[13][4] == "block" and by_id[15][4] == "block" and by_id[16][4] == "allow"
+    assert [by_id[k][4] for k in range(18, 28)] == ["block", "allow", "allow", "block", "block", "allow", "block", "block", "block", "allow"]
     assert len(got) == len(PAGES)
     db = duckdb.connect()
     db.execute("create table pages (page_id bigint, url varchar, html varchar)")
