@@ -32,7 +32,7 @@ WIDTH = 5
 #: 100 * overlap >= 75 * union, as 7 * overlap >= 3 * (size + size).
 OVERLAP, SIZES = 7, 3
 #: A shingle is hot from this share of all documents on. Shingles of one counting part; of one blob's chunk.
-HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 256, 2_000_000, 1_000_000, 60_000
+HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 256, 4_000_000, 1_000_000, 60_000
 #: Partitions of an exchange at most; beyond it, a task takes several parts one after the other.
 TASKS = 16_384
 #: Sets of a block, of a leaf, and nodes of a node.
@@ -136,10 +136,10 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
     """Sets that may link: (cls, n, tokens binary, prefix array): their shared shingles, and those of the prefix."""
     spark = docs.sparkSession
     small_batches(spark)
-    k = max(8, (max(1, total) // TASK_TOKENS).bit_length())
+    k = max(6, (max(1, total) // TASK_TOKENS).bit_length())
     parts, sides = 1 << k, max(16, 1 << (k - 1))
     part_bits, side_bits = np.uint64(64 - k), np.uint64(64 - (sides.bit_length() - 1))
-    width = 7 if k < 16 else 6  # bytes of a shingle's hash that its part does not tell
+    width = 8 - k // 8 if k < 16 else 6  # bytes of a shingle's hash that its part does not tell
     low_bits, known = np.uint64(8 * width), k - 64 + 8 * width
     sent = spark.sparkContext.broadcast(np.unique(hot))  # at most 2 * HOT * mean set size entries
 
@@ -254,7 +254,7 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
             g = np.diff(_groups(token))
             times = np.repeat(g, g)
             shared = times > 1
-            token, who, times = token[shared] | (np.uint64(part >> known) << low_bits), who[shared], times[shared]
+            token, who, times = token[shared] | (np.uint64(part >> known) << low_bits if width < 8 else np.uint64(0)), who[shared], times[shared]
             order = np.argsort(who, kind="stable")
             cls, own = np.unique(who[order], return_inverse=True)
             out = [(side % parts, side, a, b, c, d) for side, a, b, c, d in by_side(cls, own, token[order], times[order], None)]
