@@ -73,10 +73,15 @@ def nonrigid_drift(df: DataFrame, y_min: float, y_max: float, depth_bins: int, b
 
 
 def drift_at(df: DataFrame, fit: DataFrame) -> DataFrame:
-    """``drift`` of (sample, y): slopes interpolated between depth bins, constant beyond the outer ones."""
-    order = Window.orderBy("depth")
-    steps = fit.select("depth", "slope", F.lead("depth").over(order).alias("next_depth"), F.lead("slope").over(order).alias("next_slope"), F.lag("depth").over(order).alias("before"))
-    inside = (F.col("y") >= F.col("depth")) & (F.col("y") < F.col("next_depth"))
-    below, above = F.col("before").isNull() & (F.col("y") < F.col("depth")), F.col("next_depth").isNull() & (F.col("y") >= F.col("depth"))
-    slope = F.when(inside, F.col("slope") + (F.col("y") - F.col("depth")) / (F.col("next_depth") - F.col("depth")) * (F.col("next_slope") - F.col("slope"))).otherwise(F.col("slope"))
-    return df.join(F.broadcast(steps), inside | below | above).withColumn("drift", slope * F.col("sample")).drop("depth", "slope", "next_depth", "next_slope", "before")  # a row for each depth bin
+    """``drift`` of (sample, y): slopes interpolated between depth bins, constant beyond the outer ones.
+
+    The bins, a row for each, come as one array by a scalar subquery.
+    """
+    bins = fit.agg(F.array_sort(F.collect_list(F.struct("depth", "slope")))).scalar()
+    y = F.col("y")
+    low = F.element_at(F.filter("_bins", lambda b: b["depth"] <= y), -1)
+    high = F.get(F.filter("_bins", lambda b: b["depth"] > y), F.lit(0))
+    told = df.withColumn("_bins", bins).withColumn("_low", F.when(F.exists("_bins", lambda b: b["depth"] <= y), low)).withColumn("_high", high)
+    part = (y - F.col("_low.depth")) / (F.col("_high.depth") - F.col("_low.depth"))
+    slope = F.when(F.col("_low").isNull(), F.col("_high.slope")).when(F.col("_high").isNull(), F.col("_low.slope")).otherwise(F.col("_low.slope") + part * (F.col("_high.slope") - F.col("_low.slope")))
+    return told.withColumn("drift", slope * F.col("sample")).where("drift is not null").drop("_bins", "_low", "_high")

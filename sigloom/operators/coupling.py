@@ -5,8 +5,14 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+#: Samples of a run whose cells the entropies' joins are keyed by: each trebles one side and thins the pairs.
+CELLS = 2
 
 
 def phase_bins(df: DataFrame, keys: list[str], bins: int) -> DataFrame:
@@ -53,17 +59,30 @@ def _templates(df: DataFrame, keys: list[str], length: int, order: str, value: s
 
 
 def _pairs(starts: DataFrame, keys: list[str], m: int, r: float) -> DataFrame:
-    """Starts of one series whose first ``m`` samples differ by less than ``r`` each; plain comparisons, so that they compile."""
-    other = starts.select(*keys, *(F.col(c).alias(f"_{c}") for c in starts.columns if c not in keys))
+    """Pairs of distinct runs of one series whose first ``m`` samples differ by less than ``r`` each, with their numbers.
+
+    Equal runs are counted first. The join is an equality on (keys, cells of ``r`` of the first samples, three at most), with plain
+    comparisons behind it, so that it meets near runs only, splits, and compiles.
+    """
+    names = [c for c in starts.columns if c not in keys]
+    counted = starts.groupBy(*keys, *names).agg(F.count("*").alias("c"))
+    width = float(r) if r > 0 else 1.0
+    cells = [F.floor(F.col(f"w{k}") / width).cast("long") for k in range(min(m, CELLS))]
+    left, right = counted, counted.select(*keys, *(F.col(n).alias(f"_{n}") for n in [*names, "c"]))
+    for k, cell in enumerate(cells):
+        left = left.withColumn(f"_b{k}", F.explode(F.array(cell - 1, cell, cell + 1)))
+        right = right.withColumn(f"_b{k}", F.floor(F.col(f"_w{k}") / width).cast("long"))
     near = [F.abs(F.col(f"w{k}") - F.col(f"_w{k}")) < r for k in range(m)]
-    return starts.join(other, keys).where(reduce(Column.__and__, near))
+    return left.join(right, [*keys, *(f"_b{k}" for k in range(len(cells)))]).where(reduce(Column.__and__, near))
 
 
 def sample_entropy(df: DataFrame, keys: list[str], m: int, r: float, order: str = "sample_idx", value: str = "value") -> DataFrame:
-    """-ln(A / B) of short series by one self-join of starts; infinite without matches."""
-    starts = _templates(df, keys, m + 1, order, value, m)
-    longer = F.count_if(F.abs(F.col(f"w{m}") - F.col(f"_w{m}")) < r)
-    close = _pairs(starts, keys, m, r).where("i < _i").groupBy(*keys).agg(F.count("*").alias("b"), longer.alias("a"))
+    """-ln(A / B) of a series by one self-join of near starts; infinite without matches."""
+    starts = _templates(df, keys, m + 1, order, value, m).drop("i")
+    same = reduce(Column.__and__, [F.col(f"w{k}") == F.col(f"_w{k}") for k in range(m + 1)])
+    pairs = F.col("c") * F.when(same, F.col("_c") - 1).otherwise(F.col("_c"))  # in both orders
+    longer = F.when(F.abs(F.col(f"w{m}") - F.col(f"_w{m}")) < r, pairs).otherwise(0)
+    close = _pairs(starts, keys, m, r).groupBy(*keys).agg((F.sum(pairs) / 2).alias("b"), (F.sum(longer) / 2).alias("a"))
     both = df.select(*keys).distinct().join(close, keys, "left")
     a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
     return both.select(*keys, F.when((a == 0) | (b == 0), F.lit(float("inf"))).otherwise(-F.ln(a / b)).alias("sampen"))
@@ -73,22 +92,59 @@ def approximate_entropy(df: DataFrame, keys: list[str], m: int, r: float, order:
     """phi(m) - phi(m + 1) with self matches, at least 0."""
 
     def phi(k: int, name: str) -> DataFrame:
-        starts = _templates(df, keys, k, order, value, k - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-        share = _pairs(starts, keys, k, r).groupBy(*keys, "i", "n").agg(F.count("*").alias("c"))
-        return share.groupBy(*keys).agg(F.avg(F.ln(F.col("c") / F.col("n"))).alias(name))
+        starts = _templates(df, keys, k, order, value, k - 1).drop("i")
+        runs = [f"w{j}" for j in range(k)]
+        share = _pairs(starts, keys, k, r).groupBy(*keys, *runs, "c").agg(F.sum("_c").alias("close"))
+        sizes = df.groupBy(*keys).agg((F.count("*") - (k - 1)).alias("n"))
+        return share.join(sizes, keys).groupBy(*keys).agg((F.sum(F.col("c") * F.ln(F.col("close") / F.col("n"))) / F.first("n")).alias(name))
 
     return phi(m, "p").join(phi(m + 1, "q"), keys).select(*keys, F.greatest(F.lit(0.0), F.col("p") - F.col("q")).alias("apen"))
 
 
 def lagged_sums(df: DataFrame, other: DataFrame, keys: list[str], norm: str = "none") -> DataFrame:
-    """(keys, lag, r): cross-correlation of arrays ``x`` and ``y``, sum of x[n] y[n + lag], lag from -(size(y) - 1) to size(x) - 1."""
-    a = df.select(*keys, F.size("x").alias("n"), F.col("x").alias("_x"), F.posexplode("x").alias("i", "xv"))
-    b = other.select(*keys, F.size("y").alias("m"), F.col("y").alias("_y"), F.posexplode("y").alias("j", "yv"))
-    pairs = a.join(b, keys).withColumn("lag", F.col("j") - F.col("i")).where((F.col("lag") > -F.col("m")) & (F.col("lag") < F.col("n")))
-    energy = F.sqrt(F.aggregate(F.first("_x"), F.lit(0.0), lambda s, v: s + v * v) * F.aggregate(F.first("_y"), F.lit(0.0), lambda s, v: s + v * v))
-    r = F.sum(F.col("xv") * F.col("yv"))
-    scaled = {"none": r, "biased": r / F.greatest(F.first("n"), F.first("m")), "unbiased": r / F.count("*"), "coeff": F.when(energy > 1e-20, r / energy).otherwise(0.0)}[norm]
-    return pairs.groupBy(*keys, "lag").agg(scaled.alias("r"))
+    """(keys, lag, r): cross-correlation of arrays ``x`` and ``y``, sum of x[n] y[n + lag], lag from -(size(y) - 1) to size(x) - 1.
+
+    One row of a pair goes through one kernel (products for short arrays, transforms for long ones).
+    """
+    pairs = df.select(*keys, F.col("x").cast("array<double>").alias("_x")).join(other.select(*keys, F.col("y").cast("array<double>").alias("_y")), keys)
+    fields = [pairs.schema[k] for k in keys]
+
+    def run(batches):
+        for batch in batches:
+            at, lags, values = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for row, (a, b) in enumerate(zip(batch.column(len(keys)), batch.column(len(keys) + 1))):
+                if not a.is_valid or not b.is_valid or not len(a) or not len(b):
+                    continue
+                x, y = a.values.to_numpy(zero_copy_only=False), b.values.to_numpy(zero_copy_only=False)
+                lag, r = correlated(x, y, norm)
+                at.append(np.full(len(lag), row))
+                lags.append(lag)
+                values.append(r)
+            where = pa.array(np.concatenate(at) if at else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in range(len(keys))), pa.array(np.concatenate(lags)), pa.array(np.concatenate(values))], names=[*keys, "lag", "r"])
+
+    return pairs.mapInArrow(run, StructType([*fields, StructField("lag", LongType()), StructField("r", DoubleType())]))
+
+
+def correlated(x: np.ndarray, y: np.ndarray, norm: str = "none") -> tuple[np.ndarray, np.ndarray]:
+    """Lags and sums of x[n] y[n + lag], lags within both sizes."""
+    n, m = len(x), len(y)
+    if min(n, m) <= 512:
+        r = np.correlate(y, x, "full")
+    else:
+        size = 1 << (n + m - 2).bit_length()
+        r = np.fft.irfft(np.fft.rfft(y, size) * np.fft.rfft(x[::-1], size), size)[: n + m - 1]
+    lag = np.arange(-(n - 1), m)
+    keep = (lag > -m) & (lag < n)
+    lag, r = lag[keep], r[keep]
+    if norm == "biased":
+        r = r / max(n, m)
+    elif norm == "unbiased":
+        r = r / (np.minimum(n, m - lag) - np.maximum(0, -lag))
+    elif norm == "coeff":
+        energy = float(np.sqrt((x @ x) * (y @ y)))
+        r = r / energy if energy > 1e-20 else np.zeros(len(r))
+    return lag, r
 
 
 def peak_lag(correlation: DataFrame, keys: list[str]) -> DataFrame:

@@ -18,25 +18,10 @@ from pyspark.sql import functions as F
 from sigloom.functions import linear
 from sigloom.operators.signals import of_arrays, per_group
 from sigloom.operators.spatial import apply_matrix, covariance_matrix
+from sigloom.operators.sums import rows_of, summed
 from sigloom.operators.temporal import KEYS
 
 
-def summed(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], x: str = "x") -> np.ndarray:
-    """Sum over all rows of what ``f`` gives for a batch (rows x channels): one array a task, added up by Spark."""
-
-    def run(batches):
-        total = None
-        for b in batches:
-            if b.num_rows:
-                part = np.asarray(f(np.array(b.column(0).to_pylist(), float)), float).reshape(-1)
-                total = part if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
-
-    rows = df.select(x).mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    return np.array([r["v"] for r in rows])
-
-
 # Principal components, independent components -------------------------------------------------------
 
 
@@ -412,7 +397,7 @@ def online_clusters(df: DataFrame, keys: list[str], order: str, threshold: float
 
     def run(t: pa.Table) -> dict:
         model = OnlineKMeans(threshold, most, room)
-        got = [model.assign(np.array(v, float)) for v in t["x"].to_pylist()]
+        got = [model.assign(v) for v in rows_of(t["x"].combine_chunks())]
         return {"seq": t["seq"].combine_chunks(), **dict(zip(("cluster", "distance", "created"), map(list, zip(*got))))}
 
     return per_group(df.select(*keys, F.col(order).cast("long").alias("seq"), F.col(x).alias("x")), keys, run, "seq long, cluster int, distance double, created boolean", "seq")

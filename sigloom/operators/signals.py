@@ -10,13 +10,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigloom.functions import design, kernels, spectrum
 from sigloom.functions.design import Section
 from sigloom.operators.temporal import KEYS
-from sigloom.plans.joins import sessions
+from sigloom.plans.joins import band_join, sessions
 
 #: Sessions, which do not touch each other, that one task call takes together.
 SESSIONS = 4096
@@ -199,7 +199,7 @@ def spikes(df: DataFrame, thresholds: DataFrame, refractory: int) -> DataFrame:
 
 def deduplicated(events: DataFrame, probe: DataFrame, radius_um: float, radius: int) -> DataFrame:
     """Of events close in time and space the larger stays, the earlier of equals; killed events kill no more."""
-    placed = events.join(F.broadcast(probe), "channel").withColumn("sample_idx", F.col("sample") * 100_000 + F.col("channel"))  # a row for each channel
+    placed = events.join(probe, "channel").withColumn("sample_idx", F.col("sample") * 100_000 + F.col("channel"))
     runs = sessions(placed, ["recording_id"], "sample", radius).withColumn("session", F.floor(F.col("session") / SESSIONS))
 
     def run(t: pa.Table) -> dict:
@@ -408,14 +408,18 @@ def granger(df: DataFrame, order: int, confound: str | None = None) -> DataFrame
     return per_group(df.select("pair_id", "n", "a", "b", *([F.col(confound).alias("z")] if confound else [])), ["pair_id"], run, "f double, p double, restricted double, unrestricted double", "n")
 
 
-def entropies(df: DataFrame, m: int = 2, r: float = 0.2, scale: int = 1) -> DataFrame:
-    """(keys, sampen, apen, mse): r in units of the values."""
+def entropies(df: DataFrame, m: int = 2, r: float = 0.2, scale: int = 1, kinds: tuple[str, ...] = ("sampen", "apen", "mse")) -> DataFrame:
+    """(keys, and those of sampen, apen, mse that are asked for) of series short enough for one task; r in units of the values.
+
+    Long series go through the joins of ``coupling``, coarse-grained by ``temporal.multiscale`` before.
+    """
+    kernel = {"sampen": lambda x: kernels.sample_entropy(x, m, r), "apen": lambda x: kernels.approximate_entropy(x, m, r), "mse": lambda x: kernels.multiscale_entropy(x, scale, m, r)}
 
     def run(t: pa.Table) -> dict:
         x = t["value"].to_numpy()
-        return {"sampen": [kernels.sample_entropy(x, m, r)], "apen": [kernels.approximate_entropy(x, m, r)], "mse": [kernels.multiscale_entropy(x, scale, m, r)]}
+        return {k: [kernel[k](x)] for k in kinds}
 
-    return per_group(df.select(*KEYS, "sample_idx", "value"), list(KEYS), run, "sampen double, apen double, mse double")
+    return per_group(df.select(*KEYS, "sample_idx", "value"), list(KEYS), run, ", ".join(f"{k} double" for k in kinds))
 
 
 def compared(truth: DataFrame, found: DataFrame, keys: list[str], tolerance: int, nearest: bool = False) -> DataFrame:
@@ -434,16 +438,29 @@ def compared(truth: DataFrame, found: DataFrame, keys: list[str], tolerance: int
     return per_group(rows, keys, run, "tp long, fp long, fn long, accuracy double, precision double, recall double", "sample")
 
 
-def sorting_pairs(truth: DataFrame, found: DataFrame, tolerance: int, units: int = 256) -> list[dict]:
-    """The best one-to-one assignment of found to true units, greedy by accuracy. At most ``units`` squared pairs on the driver."""
-    a, b = truth.select(F.col("unit").alias("gt")).distinct(), found.select(F.col("unit").alias("st")).distinct()
-    pairs = a.crossJoin(F.broadcast(b))  # unit names only, a few hundred
-    left = truth.withColumnRenamed("unit", "gt").join(pairs, "gt").select("gt", "st", "sample")
-    right = found.withColumnRenamed("unit", "st").join(pairs, "st").select("gt", "st", "sample")
-    rows = compared(left, right, ["gt", "st"], tolerance).orderBy(F.desc("accuracy"), "gt", "st").limit(units * units).collect()
+def coincidences(truth: DataFrame, found: DataFrame, tolerance: int, nearest: bool = False) -> DataFrame:
+    """(gt, st, tp, fp, fn, accuracy, precision, recall) of all pairs of units that share a spike, greedy in the order of the truth.
+
+    A band join meets the spikes that are close; only these enter a pair's matching, so that no train is repeated for each
+    unit of the other side.
+    """
+    which = lambda unit: F.row_number().over(Window.partitionBy("unit", "sample").orderBy(F.lit(0))).alias(unit)  # noqa: E731  equal spikes
+    a = truth.select("unit", "sample", which("ka")).select(F.col("unit").alias("gt"), F.col("sample").alias("sa"), "ka", F.lit(0).alias("one"))
+    b = found.select("unit", "sample", which("kb")).select(F.col("unit").alias("st"), F.col("sample").alias("sb"), "kb", F.lit(0).alias("one"))
+    close = band_join(a, b, ["one"], "sa", "sb", tolerance, tolerance)
+    left = close.select("gt", "st", F.col("sa").alias("sample"), "ka").distinct()
+    right = close.select("gt", "st", F.col("sb").alias("sample"), "kb").distinct()
+    hits = compared(left, right, ["gt", "st"], tolerance, nearest).select("gt", "st", "tp")
+    sizes = hits.join(truth.groupBy(F.col("unit").alias("gt")).agg(F.count("*").alias("n")), "gt").join(found.groupBy(F.col("unit").alias("st")).agg(F.count("*").alias("m")), "st")
+    tp, fp, fn = F.col("tp"), F.col("m") - F.col("tp"), F.col("n") - F.col("tp")
+    return sizes.select("gt", "st", "tp", fp.alias("fp"), fn.alias("fn"), (tp / (tp + fp + fn)).alias("accuracy"), (tp / F.col("m")).alias("precision"), (tp / F.col("n")).alias("recall"))
+
+
+def sorting_pairs(truth: DataFrame, found: DataFrame, tolerance: int) -> list[dict]:
+    """The best one-to-one assignment of found to true units, greedy by accuracy: a row for each pair that shares a spike goes to the driver."""
     out, used_a, used_b = [], set(), set()
-    for r in rows:
-        if r["gt"] not in used_a and r["st"] not in used_b and r["accuracy"] > 0:
+    for r in coincidences(truth, found, tolerance).where("tp > 0").orderBy(F.desc("accuracy"), "gt", "st").toLocalIterator():
+        if r["gt"] not in used_a and r["st"] not in used_b:
             used_a.add(r["gt"])
             used_b.add(r["st"])
             out.append(r.asDict())

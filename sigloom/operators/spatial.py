@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.columns import matvec, total
 from sigloom.functions.linear import whitening
+from sigloom.operators.sums import summed
 
 
 def route(df: DataFrame, channels: list[int], x: str = "x") -> DataFrame:
@@ -55,7 +56,7 @@ def laplacian_weights(neighbors: DataFrame, inverse_distance: bool = False) -> D
 def laplacian(df: DataFrame, weights: DataFrame) -> DataFrame:
     """Long samples: value less the weighted sum of its neighbours at the same instant. ``weights`` has a row for each link."""
     others = df.select("recording_id", "sample_idx", F.col("channel").alias("neighbor"), F.col("value").alias("_v"))
-    around = others.join(F.broadcast(weights), "neighbor").groupBy("recording_id", "sample_idx", "channel").agg(F.sum(F.col("weight") * F.col("_v")).alias("_around"))  # as many links as the probe has
+    around = others.join(weights, "neighbor").groupBy("recording_id", "sample_idx", "channel").agg(F.sum(F.col("weight") * F.col("_v")).alias("_around"))
     return df.join(around, ["recording_id", "sample_idx", "channel"], "left").withColumn("value", F.col("value") - F.coalesce("_around", F.lit(0.0))).drop("_around")
 
 
@@ -74,14 +75,20 @@ def covariance(df: DataFrame, x: str = "x", by: list[str] | None = None) -> Data
 
 
 def covariance_matrix(df: DataFrame, x: str = "x") -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, covariance, frames) on the driver: a few numbers for each pair of channels."""
-    first = df.select(F.size(x).alias("c")).first()
-    c = first["c"] if first else 0
-    v = [F.get(x, F.lit(k)) for k in range(c)]
-    row = df.agg(F.count("*"), *(F.avg(a) for a in v), *(F.covar_samp(v[i], v[j]) for i in range(c) for j in range(i, c))).first()
-    cov = np.zeros((c, c))
-    cov[np.triu_indices(c)] = [0.0 if z is None else z for z in row[1 + c :]]
-    return np.array([0.0 if z is None else z for z in row[1 : 1 + c]]), cov + np.triu(cov, 1).T, row[0]
+    """(mean, covariance, frames) on the driver: a few numbers for each pair of channels. Frames with a missing sample are left out.
+
+    Two rounds of sums (means, then products of what is left), so that large means cost no digits.
+    """
+    first = summed(df, lambda r: np.r_[len(r), r.sum(axis=0)], x)
+    if not len(first):
+        width = df.select(F.size(x).alias("c")).first()
+        c = max(0, width["c"]) if width and width["c"] else 0
+        return np.zeros(c), np.zeros((c, c)), 0
+    n = int(first[0])
+    mean = first[1:] / n
+    c = len(mean)
+    second = summed(df, lambda r: (r - mean).T @ (r - mean), x).reshape(c, c)
+    return mean, second / (n - 1) if n > 1 else np.zeros((c, c)), n
 
 
 def quiet_covariance(df: DataFrame, sigma: list[float], k: float, min_samples: int, x: str = "x") -> np.ndarray:

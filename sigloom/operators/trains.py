@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from sigloom.functions.columns import distance_sq, euclidean
+from sigloom.functions.columns import distance_sq, ncc
 from sigloom.plans.joins import band_join
 
+#: Points of a block whose distances are taken at once.
+BLOCK = 512
+
 
 def intervals(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """(keys, t, isi): the time since the spike before, null for the first."""
@@ -60,11 +67,15 @@ def contamination(df: DataFrame, keys: list[str], refractory: float, duration: f
 
 
 def correlogram(a: DataFrame, b: DataFrame, keys: list[str], bin_width: float, max_lag: float, both_sides: bool) -> DataFrame:
-    """(keys, bin, count) of lags below ``max_lag``: of b behind a, or of either order; equal times do not count."""
-    left, right = a.select(*keys, F.col("t").alias("ta")), b.select(*keys, F.col("t").alias("tb"))
+    """(keys, bin, count) of lags below ``max_lag``: of b behind a, or of either order; equal times do not count.
+
+    Equal times of a train are counted first, so that a dense train costs no more than its distinct times.
+    """
+    left = a.groupBy(*keys, F.col("t").alias("ta")).agg(F.count("*").alias("na"))
+    right = b.groupBy(*keys, F.col("t").alias("tb")).agg(F.count("*").alias("nb"))
     pairs = band_join(left, right, keys, "ta", "tb", max_lag if both_sides else 0.0, max_lag)
     lag = F.abs(F.col("tb") - F.col("ta"))
-    return pairs.where((lag > 0) & (lag < max_lag)).groupBy(*keys, F.floor(lag / bin_width).cast("long").alias("bin")).agg(F.count("*").alias("count"))
+    return pairs.where((lag > 0) & (lag < max_lag)).groupBy(*keys, F.floor(lag / bin_width).cast("long").alias("bin")).agg(F.sum(F.col("na") * F.col("nb")).alias("count"))
 
 
 def autocorrelogram(df: DataFrame, keys: list[str], bin_width: float, max_lag: float) -> DataFrame:
@@ -101,15 +112,50 @@ def d_prime(df: DataFrame, label: str, value: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, by: list[str], key: str, label: str = "label", x: str = "x") -> DataFrame:
-    """(by, key, label, silhouette) within small sets ``by``: mean distance to the own cluster against the nearest other's."""
-    other = df.select(*by, F.col(key).alias("_k"), F.col(label).alias("_l"), F.col(x).alias("_x"))
-    pairs = df.select(*by, key, label, x).join(other, by).where(F.col(key) != F.col("_k")).withColumn("d", euclidean(x, "_x"))
-    means = pairs.groupBy(*by, key, label, "_l").agg(F.avg("d").alias("d"))
+    """(by, key, label, silhouette) within sets ``by``: mean distance to the own cluster against the nearest other's.
+
+    Sets are cut into blocks of about ``BLOCK`` points, and pairs of blocks go through one kernel each, which gives a point's
+    sums of distances by label; no task holds more than two blocks. All distances are taken, as the measure asks.
+    """
+    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
+    points = df.select(*by, F.struct(F.col(key).alias("k"), F.col(label).alias("l"), F.col(x).cast("array<double>").alias("x")).alias("p"))
+    blocks = points.join(sizes, by).groupBy(*by, F.pmod(F.xxhash64("p.k"), F.col("_parts")).alias("_block")).agg(F.collect_list("p").alias("p"))
+    pairs = blocks.select(*by, F.col("p").alias("a"), F.col("_block").alias("i")).join(blocks.select(*by, F.col("p").alias("b"), F.col("_block").alias("j")), by).select(*by, "a", "b", (F.col("i") == F.col("j")).alias("own"))
+    kinds = [df.schema[c] for c in by]
+    fields = StructType([*kinds, StructField(key, df.schema[key].dataType), StructField(label, df.schema[label].dataType), StructField("_l", df.schema[label].dataType), StructField("d", DoubleType()), StructField("n", LongType())])
+    n = len(by)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = batch.column(n)[r].values, batch.column(n + 1)[r].values
+                u, v = (np.stack([z.values.to_numpy(zero_copy_only=False) for z in s.field("x")]) for s in (a, b))
+                d = np.sqrt(np.maximum(((u[:, None] - v[None]) ** 2).sum(axis=2), 0) if u.shape[1] <= 4 else distances_sq(u, v))
+                others = b.field("l").dictionary_encode()
+                which, counts = others.indices.to_numpy(), len(others.dictionary)
+                sums = np.stack([d[:, which == g].sum(axis=1) for g in range(counts)], axis=1)
+                held = np.repeat(np.bincount(which, minlength=counts)[None], len(u), axis=0)
+                if batch.column(n + 2)[r].as_py():  # a point is not its own neighbour
+                    np.subtract.at(held, (np.arange(len(u)), which), 1)
+                at = pa.array(np.repeat(np.arange(len(u)), counts))
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[r], len(at)) for c in range(n)), a.field("k").take(at), a.field("l").take(at), others.dictionary.take(pa.array(np.tile(np.arange(counts), len(u)))), pa.array(sums.reshape(-1)), pa.array(held.reshape(-1))], schema=to_arrow_schema(fields))
+
+    sums = pairs.mapInArrow(run, fields).where("n > 0")
+    means = sums.groupBy(*by, key, label, "_l").agg((F.sum("d") / F.sum("n")).alias("d"))
     sides = means.groupBy(*by, key, label).agg(F.max(F.when(F.col("_l") == F.col(label), F.col("d"))).alias("a"), F.min(F.when(F.col("_l") != F.col(label), F.col("d"))).alias("b"))
     most = F.greatest("a", "b")
     return sides.where("a is not null and b is not null").select(*by, key, label, F.when(most > 0, (F.col("b") - F.col("a")) / most).otherwise(0.0).alias("silhouette"))
 
 
+def distances_sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of both, a few rows at a time."""
+    out = np.empty((len(a), len(b)))
+    for k in range(0, len(a), 16):
+        gap = a[k : k + 16, None] - b[None]
+        out[k : k + 16] = (gap * gap).sum(axis=2)
+    return out
+
+
 def isolation(distances: DataFrame, keys: list[str], members: str, distance: str) -> DataFrame:
     """The n-th least squared distance of non-members, n the cluster's size; null where there are fewer."""
     ranked = distances.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(distance)))
@@ -119,21 +165,24 @@ def isolation(distances: DataFrame, keys: list[str], members: str, distance: str
 # Templates ----------------------------------------------------------------------------------------
 
 
+def _all_of(templates: DataFrame, template: str, mean: str):
+    """The templates, a row for each, as one array of (id, mean) in order of the id: a scalar subquery, so that no row is repeated."""
+    return templates.agg(F.array_sort(F.collect_list(F.struct(F.col(template).alias("id"), F.col(mean).alias("mean"))))).scalar()
+
+
 def nearest_template(df: DataFrame, templates: DataFrame, key: str, x: str = "x", template: str = "template_id", mean: str = "mean") -> DataFrame:
-    """(key, template, distance_sq) of the least squared distance, the first template of equals. Templates are few rows."""
-    pairs = df.select(key, x).crossJoin(F.broadcast(templates.select(template, mean))).withColumn("d", distance_sq(x, mean))
-    best = pairs.groupBy(key).agg(F.min(F.struct("d", template)).alias("m"))
-    return best.select(key, F.col(f"m.{template}").alias(template), F.col("m.d").alias("distance_sq"))
+    """(key, template, distance_sq) of the least squared distance, the first template of equals."""
+    told = F.transform("_all", lambda t: F.struct(distance_sq(F.col(x), t["mean"]).alias("d"), t["id"].alias("id")))
+    best = df.select(key, x, _all_of(templates, template, mean).alias("_all")).select(key, F.array_min(told).alias("m"))
+    return best.select(key, F.col("m.id").alias(template), F.col("m.d").alias("distance_sq"))
 
 
 def best_correlation(df: DataFrame, templates: DataFrame, key: str, x: str = "x", template: str = "template_id", mean: str = "mean", least: float | None = None) -> DataFrame:
-    """(key, template, ncc) of the largest cosine; below ``least`` the template is null (unclassified)."""
-    from sigloom.functions.columns import ncc
-
-    pairs = df.select(key, x).crossJoin(F.broadcast(templates.select(template, mean))).withColumn("c", ncc(x, mean))
-    best = pairs.groupBy(key).agg(F.max(F.struct("c", -F.col(template), F.col(template).alias("id"))).alias("m"))
-    named = F.col("m.id") if least is None else F.when(F.col("m.c") >= least, F.col("m.id"))
-    return best.select(key, named.alias(template), F.col("m.c").alias("ncc"))
+    """(key, template, ncc) of the largest cosine, the first template of equals; below ``least`` the template is null (unclassified)."""
+    told = F.transform("_all", lambda t: F.struct((-ncc(F.col(x), t["mean"])).alias("c"), t["id"].alias("id")))
+    best = df.select(key, x, _all_of(templates, template, mean).alias("_all")).select(key, F.array_min(told).alias("m"))
+    named = F.col("m.id") if least is None else F.when(-F.col("m.c") >= least, F.col("m.id"))
+    return best.select(key, named.alias(template), (-F.col("m.c")).alias("ncc"))
 
 
 def combined_features(df: DataFrame, features: str, spatial: str, weight: float, out: str = "f") -> DataFrame:

@@ -12,9 +12,12 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from sigloom.functions import design, kernels
+from sigloom.functions import design, kernels, spectrum
 from sigloom.operators import signals, spatial, temporal
 from sigloom.sources import synthetic
 
@@ -131,30 +134,56 @@ def write_stages(spark: SparkSession, job: dict, folder: str) -> list[str]:
     return out
 
 
-def register_functions(spark: SparkSession) -> None:
-    """Scalar kernels as SQL functions on array columns."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+def _over(f: Callable, kind: str):
+    """A function from one array to a value as a vectorised SQL function; null gives null."""
 
-    def over(f, kind: str):
-        @pandas_udf(kind)
-        def run_(x: pd.Series) -> pd.Series:
-            return x.map(lambda v: None if v is None else f(np.asarray(v, float)))
+    @pandas_udf(kind)
+    def run_(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else f(np.asarray(v, float)))
 
-        return run_
+    return run_
 
-    from sigloom.functions import spectrum
 
-    for name, f, kind in (
-        ("signal_power_spectrum", lambda v: spectrum.power_spectrum(v).tolist(), "array<double>"),
-        ("signal_hilbert_amplitude", lambda v: np.abs(spectrum.analytic(v)).tolist(), "array<double>"),
-        ("signal_sample_entropy", lambda v: kernels.sample_entropy(v, 2, 0.2 * float(np.std(v))), "double"),
-        ("signal_neo", lambda v: kernels.neo(v).tolist(), "array<double>"),
-    ):
-        spark.udf.register(name, over(f, kind))
+def _over_two(f: Callable, kind: str):
+    @pandas_udf(kind)
+    def run_(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None or b is None else f(np.asarray(a, float), b) for a, b in zip(x, y)], dtype=object)
 
-    @pandas_udf("double")
-    def lgamma(x: pd.Series) -> pd.Series:
-        return x.map(math.lgamma)
+    return run_
 
-    spark.udf.register("signal_lgamma", lgamma)
+
+@pandas_udf(DoubleType())
+def _lgamma(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if pd.isna(v) else math.inf if v <= 0 and v == math.floor(v) else math.lgamma(v))
+
+
+#: Functions of one array: (name, kernel, type).
+ARRAY_FUNCTIONS = (
+    ("signal_power_spectrum", lambda v: spectrum.power_spectrum(v).tolist(), "array<double>"),
+    ("signal_hilbert_amplitude", lambda v: np.abs(spectrum.analytic(v)).tolist(), "array<double>"),
+    ("signal_hilbert_phase", lambda v: np.angle(spectrum.analytic(v)).tolist(), "array<double>"),
+    ("signal_sample_entropy", lambda v: kernels.sample_entropy(v, 2, 0.2 * float(np.std(v))), "double"),
+    ("signal_approximate_entropy", lambda v: kernels.approximate_entropy(v, 2, 0.2 * float(np.std(v))), "double"),
+    ("signal_neo", lambda v: kernels.neo(v).tolist(), "array<double>"),
+    ("signal_mad_noise", lambda v: float(np.median(np.abs(v)) / 0.6745) if len(v) else None, "double"),
+)
+#: Functions of an array and a second argument.
+ARRAY_FUNCTIONS_2 = (
+    ("signal_fir", lambda v, taps: kernels.fir(v, np.asarray(taps, float)).tolist(), "array<double>"),
+    ("signal_median_filter", lambda v, width: kernels.median_filter(v, int(width)).tolist(), "array<double>"),
+    ("signal_sneo", lambda v, half: kernels.sneo(v, int(half)).tolist(), "array<double>"),
+    ("signal_soft_threshold", lambda v, limit: kernels.soft_threshold(v, float(limit)).tolist(), "array<double>"),
+    ("signal_hard_threshold", lambda v, limit: kernels.hard_threshold(v, float(limit)).tolist(), "array<double>"),
+    ("signal_haar_denoise", lambda v, levels: kernels.denoise_haar(v, int(levels)).tolist(), "array<double>"),
+    ("signal_coarse_grain", lambda v, scale: kernels.coarse_grain(v, int(scale)).tolist(), "array<double>"),
+)
+
+
+def register_functions(spark: SparkSession) -> list[str]:
+    """Kernels as SQL functions on array columns; gives their names."""
+    for name, f, kind in ARRAY_FUNCTIONS:
+        spark.udf.register(name, _over(f, kind))
+    for name, f, kind in ARRAY_FUNCTIONS_2:
+        spark.udf.register(name, _over_two(f, kind))
+    spark.udf.register("signal_lgamma", _lgamma)
+    return [name for name, *_ in ARRAY_FUNCTIONS + ARRAY_FUNCTIONS_2] + ["signal_lgamma"]
