@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from sigloom.functions.columns import matvec, total
 from sigloom.functions.linear import whitening
+from sigloom.operators.signals import of_arrays
 from sigloom.operators.sums import summed
 
+#: Entries of a matrix that is written out as one expression.
+EXPRESSION = 256
+
 
 def route(df: DataFrame, channels: list[int], x: str = "x") -> DataFrame:
     """Selects, orders and repeats channels by index."""
@@ -103,8 +107,16 @@ def fit_whitening(df: DataFrame, epsilon: float = 1e-6, mode: str = "zca", x: st
 
 
 def apply_matrix(df: DataFrame, matrix: np.ndarray, x: str = "x", out: str = "x") -> DataFrame:
-    """Rows of a matrix times each frame (whitening, spatial filters, unmixing)."""
-    return df.withColumn(out, matvec(np.asarray(matrix).tolist(), F.col(x)))
+    """Rows of a matrix times each frame (whitening, spatial filters, unmixing).
+
+    Small matrices are one expression; beyond ``EXPRESSION`` entries, whose code would not compile, Arrow batches are multiplied.
+    """
+    matrix = np.asarray(matrix, float)
+    if matrix.size <= EXPRESSION:
+        return df.withColumn(out, matvec(matrix.tolist(), F.col(x)))
+    whole = F.coalesce(F.col(x).cast("array<double>"), F.array_repeat(F.lit(float("nan")), matrix.shape[1]))
+    done = of_arrays(df.withColumn("_frame", whole), lambda r: r @ matrix.T, "_frame", "_product")
+    return done.withColumn(out, F.when(F.col(x).isNotNull(), F.col("_product"))).drop("_product").select(*dict.fromkeys([*df.columns, out]))
 
 
 # Probes -------------------------------------------------------------------------------------------

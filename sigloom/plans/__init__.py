@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from sigloom.plans import catalog, catalog2, catalog3, flagship
+    from sigloom.plans import catalog, catalog2, catalog3, catalog4, flagship
 
-    return catalog, catalog2, catalog3, flagship
+    return catalog, catalog2, catalog3, catalog4, flagship
 
 
 def queries() -> dict:

@@ -143,7 +143,6 @@ def autocorr_lags(spark, d):
     return coupling.lagged_sums(rows.select("vec_id", "x"), rows.select("vec_id", F.col("x").alias("y")), ["vec_id"], "coeff").select("vec_id", "lag", r6("r", "r"))
 
 
-
 @query("SELECT k AS bin, k * 100.0::DOUBLE / 16 AS frequency, CAST(least(round(k * 100.0::DOUBLE / 16 * 16 / 100), 15) AS BIGINT) AS back FROM (SELECT unnest(range(16)) AS k)")
 def stft_bins(spark, d):
     f = F.col("id") * 100.0 / 16
@@ -411,31 +410,11 @@ def silhouette(spark, d):
     return trains.silhouette(rows, ["channel"], "event_id", "event_type").select("channel", "event_id", "event_type", r6("silhouette", "silhouette"))
 
 
-@query(f"WITH o AS (SELECT c.label, c.n, e.vec_id, (e.x[1] - c.m) ** 2 AS d FROM (SELECT label, count(*) AS n, avg(x[1]) AS m FROM {EM} GROUP BY label) c JOIN {EM} e ON e.label <> c.label) SELECT label, round(max(CASE WHEN k = n THEN d END), 9) AS isolation FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d) AS k FROM o) GROUP BY label")
-def isolation_rank(spark, d):
-    rows = A.vectors(spark, d).withColumn("v", F.get("x", F.lit(0)))
-    stats = rows.groupBy(F.col("label").alias("own")).agg(F.count("*").alias("n"), F.avg("v").alias("m"))
-    far = rows.join(F.broadcast(stats), F.col("label") != F.col("own")).select(F.col("own").alias("label"), "n", ((F.col("v") - F.col("m")) ** 2).alias("d"))  # a row for each cluster
-    return trains.isolation(far, ["label"], "n", "d").select("label", F.round("isolation", 9).alias("isolation"))
-
-
 @query(f"SELECT vec_id, round(list_sum([v * v FOR v IN x]), 6) AS norm_sq, round(list_inner_product(x, list_reverse(x)), 6) AS folded FROM {EM}")
 def dot_norm(spark, d):
     return A.vectors(spark, d).select("vec_id", r6(C.norm_sq("x"), "norm_sq"), r6(C.dot("x", F.reverse("x")), "folded"))
 
 
-@query(f"SELECT vec_id, round(list_sum([v * (i + 1) FOR v, i IN x[1:8]]), 6) AS weighted, round(x[1] - x[2], 6) AS gap FROM {EM}".replace("v * (i + 1) FOR v, i IN x[1:8]", "p[1] * p[2] FOR p IN list_zip(x[1:8], [1.0, 2, 3, 4, 5, 6, 7, 8]::DOUBLE[])"))
-def apply_filters(spark, d):
-    rows = spatial.apply_matrix(A.vectors(spark, d), np.array([[1, 2, 3, 4, 5, 6, 7, 8], [1, -1, 0, 0, 0, 0, 0, 0]], float), "x", "y")
-    return rows.select("vec_id", r6(F.get("y", F.lit(0)), "weighted"), r6(F.get("y", F.lit(1)), "gap"))
-
-
-@query(f"SELECT vec_id, round(list_sum(x[1:4]) + 0.5 * list_sum(x[5:8]), 6) AS total FROM {EM}")
-def combine_features(spark, d):
-    rows = A.vectors(spark, d).withColumn("a", F.slice("x", 1, 4)).withColumn("b", F.slice("x", 5, 4))
-    return trains.combined_features(rows, "a", "b", 0.5).select("vec_id", r6(C.total("f"), "total"))
-
-
 @query(f"SELECT channel, sample_idx, round(sqrt(value) + abs(value - 40) + exp(-value / 50) + ln(value) + log2(value) + log10(value), 6) AS a, round(sin(value) + cos(value) + atan(value) + atan2(value, 2) + tanh(value / 100) + sinh(value / 100) + pow(value, 0.3), 6) AS b, floor(value) + ceil(value) AS c FROM {EV}")
 def elementary_functions(spark, d):
     v, e = F.col("value"), C.ELEMENTARY
@@ -574,33 +553,11 @@ def firmware_detector(spark, d):
     return signals.firmware_hits(A.samples(spark, d).withColumn("value", F.col("value") * 50), 4.0).select("channel", "sample")
 
 
-@query()
-def haar_denoise(spark, d):
-    return signals.denoised(A.samples(spark, d), 3)
-
-
 @query()
 def oasis_deconvolution(spark, d):
     return signals.deconvolved(A.samples(spark, d), design.oasis_gamma(30.0, 0.5), 0.1)
 
 
-@query()
-def p_square(spark, d):
-    return signals.streaming_percentile(A.samples(spark, d), 0.9)
-
-
-@query()
-def threshold_detector_first(spark, d):
-    frames = A.table(spark, d, "orders").groupBy((F.col("o_orderkey") % 16).alias("recording_id"), F.floor(F.col("o_orderkey") / 64).alias("sample_idx")).agg(F.array_sort(F.collect_list("o_totalprice")).alias("v"))
-    return signals.first_channel_hits(frames.select("recording_id", "sample_idx", F.array(F.get("v", F.lit(0)), F.element_at("v", -1)).alias("x")), 200_000.0, 2)
-
-
-@query()
-def negative_peaks(spark, d):
-    rows = A.samples(spark, d).withColumn("value", 40 - F.col("value"))
-    return signals.spikes(rows, temporal.mad_noise(rows).withColumn("threshold", F.col("noise")), 4)
-
-
 @query()
 def event_dedup(spark, d):
     rows = A.samples(spark, d).where("value > 80").select("recording_id", F.col("sample_idx").alias("sample"), F.col("channel").cast("int").alias("channel"), F.col("value").alias("amplitude"))
@@ -613,27 +570,12 @@ def template_peel(spark, d):
     return signals.peeled(A.samples(spark, d), A.samples(spark, d).where("value > 100").withColumnRenamed("sample_idx", "sample"), shape, [0.3, 0.3], [8.0, 8.0], 1)
 
 
-@query()
-def matched_filter(spark, d):
-    return signals.matched_detections(A.samples(spark, d), {0: (0, np.array([10.0, 60.0, 30.0])), 1: (1, np.array([20.0, 60.0, 20.0]))}, 90.0, 3)
-
-
-@query()
-def hilbert(spark, d):
-    return signals.analytic(A.vectors(spark, d).select("vec_id", "x"), 64.0)
-
-
 @query(f"SELECT vec_id, round(sum((p + q) / 2) FILTER (k BETWEEN 8 AND 11) / sum((p + q) / 2) FILTER (k < 32), 9) AS relative FROM (SELECT *, lead(p) OVER (PARTITION BY vec_id ORDER BY k) AS q FROM ({_PSD})) GROUP BY vec_id")
 def relative_band_power(spark, d):
     rows = signals.relative_band_power(A.vectors(spark, d).select("vec_id", "x"), 64.0, (8.0, 12.0))
     return rows.select("vec_id", F.round("relative", 9).alias("relative"))
 
 
-@query()
-def cwt_power(spark, d):
-    return signals.wavelet_power(A.vectors(spark, d).select("vec_id", "x"), 64.0, 4.0, 20.0, 6)
-
-
 @query()
 def comodulogram(spark, d):
     rows = A.table(spark, d, "orders").select(F.lit(0).cast("long").alias("recording_id"), (F.col("o_custkey") % 8).alias("channel"), (F.row_number().over(Window.partitionBy(F.col("o_custkey") % 8).orderBy("o_orderdate", "o_orderkey")) - 1).cast("long").alias("sample_idx"), F.col("o_totalprice").alias("value"))
@@ -645,27 +587,6 @@ def _user_pairs(spark, d):
     return rows.select(F.col("channel").alias("pair_id"), F.col("sample_idx").alias("n"), F.col("value").alias("a")).join(rows.select((F.col("channel") - 1).alias("pair_id"), F.col("sample_idx").alias("n"), F.col("value").alias("b")), ["pair_id", "n"])
 
 
-@query()
-def spectral_coherence(spark, d):
-    return signals.coherence(_user_pairs(spark, d), 16)
-
-
-@query()
-def granger_causality(spark, d):
-    return signals.granger(_user_pairs(spark, d), 2)
-
-
-@query()
-def conditional_granger(spark, d):
-    third = A.samples(spark, d).select((F.col("channel") - 2).alias("pair_id"), F.col("sample_idx").alias("n"), F.col("value").alias("c"))
-    return signals.granger(_user_pairs(spark, d).join(third, ["pair_id", "n"]), 2, "c")
-
-
-@query()
-def multiscale_entropy(spark, d):
-    return signals.entropies(A.samples(spark, d), 2, 15.0, 2)
-
-
 # Snippets across channels ---------------------------------------------------------------------------
 
 _HITS = f"(SELECT DISTINCT sample_idx AS sample FROM {EV} WHERE value > 250)"

@@ -53,11 +53,6 @@ def adc_samples(spark, d):
     return A.table(spark, d, "events").select("event_id", packets.adc_signed(F.col("event_id") % 65536).alias("signed"))
 
 
-@query()
-def whitening_matrix(spark, d):
-    return _fixed(spark, "w", spatial.fit_whitening(A.frames(spark, d)))
-
-
 _QUIET = " UNION ALL ".join(f"SELECT {4 * i + j} AS i, covar_samp(x[{i + 1}], x[{j + 1}]) AS c FROM {LI} WHERE x[1] < 40 AND x[2] < 40000 AND x[3] < 0.06 AND x[4] < 0.06" for i in range(4) for j in range(4))
 
 
@@ -67,18 +62,6 @@ def quiet_covariance(spark, d):
     return _fixed(spark, "c", cov).select("i", F.round("c", 4).alias("c"))
 
 
-@query()
-def pca_features(spark, d):
-    rows = A.vectors(spark, d)
-    return models.fit_pca(rows, 3).transform(rows).select("vec_id", "features")
-
-
-@query()
-def ica_sources(spark, d):
-    rows = _scaled(spark, d)
-    return models.fit_ica(rows, most=20).transform(rows).select("l_orderkey", "l_linenumber", "sources")
-
-
 def _scaled(spark, d):
     return A.frames(spark, d).withColumn("x", F.array(F.get("x", F.lit(0)) / 50, F.get("x", F.lit(1)) / 50000, F.get("x", F.lit(2)) * 10, F.get("x", F.lit(3)) * 10))
 
@@ -99,12 +82,6 @@ def xdawn_fit(spark, d):
     return _fixed(spark, "w", models.fit_xdawn(rows, 2))
 
 
-@query()
-def lda_fit(spark, d):
-    rows = _flags(spark, d)
-    return models.fit_lda(rows).predict(rows).select("l_orderkey", "l_linenumber", "decision", "predicted", "proba")
-
-
 def _spd(spark, d):
     rows = _scaled(spark, d).withColumn("trial_id", F.col("l_orderkey") % 50)
     spd = models.trial_covariances(rows, ["trial_id"])
@@ -116,11 +93,6 @@ def frechet_mean(spark, d):
     return _fixed(spark, "m", models.frechet_mean(_spd(spark, d), most=5))
 
 
-@query()
-def tangent_space(spark, d):
-    return models.TangentSpaceTransformer().fit(_spd(spark, d)).transform(_spd(spark, d))
-
-
 @query()
 def mdm_classifier(spark, d):
     rows = _spd(spark, d)
@@ -161,11 +133,6 @@ def monopole_fit(spark, d):
     return models.monopoles(rows.join(F.broadcast(spatial.polytrode(spark, 2048, 2, 32.0, 20.0)), "channel"), ["sample_idx"], 10.0, 20)
 
 
-@query()
-def online_kmeans(spark, d):
-    return models.online_clusters(A.vectors(spark, d).withColumn("g", F.lit(0)), ["g"], "vec_id", 1.2)
-
-
 @query()
 def gmm_components(spark, d):
     rows = _scaled(spark, d)
@@ -185,11 +152,6 @@ def spike_sorter(spark, d):
     return sorter.joined_segments(sorter.sort_segments(frames, xy, sorter.SortConfig(), 30_000))
 
 
-@query()
-def described_pipeline(spark, d):
-    return pipeline.run(spark, "alpha_band")
-
-
 @query(f"SELECT label, 0.0::DOUBLE AS x, round(sum(w * (vec_id % 8) * 25) / sum(w), 6) AS y FROM (SELECT label, vec_id, list_max([abs(v) FOR v IN x]) AS w FROM {EM}) GROUP BY label")
 def cluster_profiles(spark, d):
     rows = spatial.localize(A.vectors(spark, d).select("label", (F.col("vec_id") % 8).alias("channel"), "x"), spatial.linear_probe(spark, 8, 25.0), ["label"])
