@@ -348,7 +348,9 @@ class TemplateLibrary:
     depths: list = field(default_factory=list)
     counts: list = field(default_factory=list)
     samples: int = 0
-    positions: list = field(default_factory=list)
+    #: Depths of spikes by bins of so many samples: (number, sum), so that the library does not grow with them.
+    bin_samples: int = 30_000
+    bins: dict = field(default_factory=dict)
 
     def feed(self, x: np.ndarray) -> Sorted:
         s = sort_frames(x, self.xy, self.config)
@@ -368,21 +370,25 @@ class TemplateLibrary:
                 self.counts.append(row["count"])
             taken.add(k)
             names[row["cluster"]] = k
-        self.positions += [(int(t) + self.samples, float(self.xy[k, 1])) for t, k in zip(s.sample, s.channel)]
+        for t, k in zip(s.sample.tolist(), s.channel.tolist()):
+            at = (t + self.samples) // self.bin_samples
+            n, total = self.bins.get(at, (0, 0.0))
+            self.bins[at] = n + 1, total + float(self.xy[k, 1])
         out = replace(s, sample=s.sample + self.samples, label=np.array([names[k] for k in s.label.tolist()], np.int64))
         self.samples += len(x)
         return out
 
-    def drift(self, bin_samples: int) -> float | None:
-        """Slope of the bins' mean depths; None below two bins."""
-        if not self.positions:
+    def drift(self, bin_samples: int | None = None) -> float | None:
+        """Slope of the mean depths of bins (of a multiple of ``bin_samples``); None below two bins."""
+        times = (bin_samples or self.bin_samples) // self.bin_samples
+        joined: dict[int, tuple[int, float]] = {}
+        for at, (n, total) in self.bins.items():
+            m, old = joined.get(at // max(1, times), (0, 0.0))
+            joined[at // max(1, times)] = m + n, old + total
+        if len(joined) < 2:
             return None
-        p = np.array(self.positions)
-        at = (p[:, 0] // bin_samples).astype(int)
-        bins = np.unique(at)
-        if len(bins) < 2:
-            return None
-        return float(np.polyfit((bins + 0.5) * bin_samples, [p[at == b, 1].mean() for b in bins], 1)[0])
+        at = np.array(sorted(joined))
+        return float(np.polyfit((at + 0.5) * max(1, times) * self.bin_samples, [joined[b][1] / joined[b][0] for b in at.tolist()], 1)[0])
 
 
 @dataclass

@@ -1,5 +1,7 @@
 """Fitted models find what was planted; the sorter finds known units."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -220,6 +222,36 @@ def test_recipes(spark, tmp_path):
     assert spark.sql("SELECT signal_neo(array(1D, 2D, 4D)) AS e").first().e == [0.0]
 
 
+def test_sql_functions(spark):
+    from sigloom.functions import kernels, spectrum
+
+    names = pipeline.register_functions(spark)
+    x = np.random.default_rng(0).standard_normal(64)
+    spark.createDataFrame([(x.tolist(), [0.5, 0.25])], "x array<double>, taps array<double>").createOrReplaceTempView("one_signal")
+    got = lambda call: spark.sql(f"SELECT {call} AS y FROM one_signal").first().y
+    want = {
+        "signal_power_spectrum(x)": spectrum.power_spectrum(x),
+        "signal_hilbert_amplitude(x)": np.abs(spectrum.analytic(x)),
+        "signal_hilbert_phase(x)": np.angle(spectrum.analytic(x)),
+        "signal_sample_entropy(x)": kernels.sample_entropy(x, 2, 0.2 * x.std()),
+        "signal_approximate_entropy(x)": kernels.approximate_entropy(x, 2, 0.2 * x.std()),
+        "signal_neo(x)": kernels.neo(x),
+        "signal_mad_noise(x)": np.median(np.abs(x)) / 0.6745,
+        "signal_fir(x, taps)": kernels.fir(x, np.array([0.5, 0.25])),
+        "signal_median_filter(x, 5)": kernels.median_filter(x, 5),
+        "signal_sneo(x, 2)": kernels.sneo(x, 2),
+        "signal_soft_threshold(x, 0.5D)": kernels.soft_threshold(x, 0.5),
+        "signal_hard_threshold(x, 0.5D)": kernels.hard_threshold(x, 0.5),
+        "signal_haar_denoise(x, 3)": kernels.denoise_haar(x, 3),
+        "signal_coarse_grain(x, 2)": kernels.coarse_grain(x, 2),
+    }
+    assert {c.split("(")[0] for c in want} | {"signal_lgamma"} == set(names)
+    for call, y in want.items():
+        assert np.allclose(got(call), y), call
+    assert abs(got("signal_lgamma(4.5D)") - math.lgamma(4.5)) < 1e-12 and got("signal_lgamma(CAST(NULL AS DOUBLE))") is None
+    assert got("signal_neo(CAST(NULL AS ARRAY<DOUBLE>))") is None
+
+
 def test_laplacian_weights(spark):
     near = spatial.linear_neighbors(spark, 4, 2)
     assert near.count() == 10
