@@ -53,6 +53,19 @@ class SortConfig:
     sneo_half: int = 3
     seeds: str = "farthest"
     clusters: int = 32
+    #: Separation below which clusters of neighbouring channels become one (0: no such pass).
+    spatial_dprime: float = 0.0
+    #: Whether clusters are fitted again as Gaussians with full covariances, in so many rounds.
+    gmm: bool = False
+    gmm_rounds: int = 10
+    #: Thresholds of channels by their own noise, a floor, and a rate beyond which they rise.
+    adaptive: bool = False
+    adaptive_floor: float = 0.5
+    adaptive_rate: float = 200.0
+    #: Rounds in which the templates find their spikes in the frames anew and are fitted to these; the least gain of a spike.
+    refine: int = 0
+    refine_gain: float = 20.0
+    refine_merge: float = 4.0
 
     def __post_init__(self):
         if self.threshold <= 0 or self.refractory < 1 or self.width < 4 or not 0 <= self.before < self.width:
@@ -98,7 +111,8 @@ def detected(x: np.ndarray, c: SortConfig) -> tuple[np.ndarray, np.ndarray]:
     found = []
     for k in range(x.shape[1]):
         if c.detection == "amplitude":
-            at = kernels.negative_peaks(x[:, k], c.threshold * noise[k], c.refractory)
+            limit = channel_limit(x[:, k], noise[k], c) if c.adaptive else c.threshold * noise[k]
+            at = kernels.negative_peaks(x[:, k], limit, c.refractory)
         else:
             e = kernels.neo(x[:, k]) if c.detection == "neo" else kernels.sneo(x[:, k], c.sneo_half)
             middle = np.median(e)
@@ -111,6 +125,14 @@ def detected(x: np.ndarray, c: SortConfig) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def channel_limit(x: np.ndarray, noise: float, c: SortConfig) -> float:
+    """A channel's threshold: a multiple of its noise above a floor, raised by the root of how far its crossings exceed the rate."""
+    limit = max(c.threshold * noise, c.adaptive_floor)
+    below = x < -limit
+    rate = float((below[1:] & ~below[:-1]).sum()) / max(len(x) / c.fs, 1e-12)
+    return limit * math.sqrt(rate / c.adaptive_rate) if rate > c.adaptive_rate else limit
+
+
 def _near(xy: np.ndarray, channel: np.ndarray, radius: float):
     d2 = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
     return lambda i, j: d2[channel[i], channel[j]] <= radius**2
@@ -163,15 +185,9 @@ def principal(f: np.ndarray, steps: int = 3) -> np.ndarray:
     return centred @ v
 
 
-def split(features: np.ndarray, sample: np.ndarray, amplitude: np.ndarray, label: np.ndarray, c: SortConfig) -> np.ndarray:
-    """Cuts clusters at a wide gap of the main axis, at its median where too many intervals are short, and at a gap of amplitudes."""
+def split(features: np.ndarray, sample: np.ndarray, label: np.ndarray, c: SortConfig) -> np.ndarray:
+    """Cuts clusters at a wide gap of the main axis, or at its median where too many intervals are short."""
     label = label.copy()
-
-    def cut(k: int, upper: np.ndarray) -> None:
-        own = np.flatnonzero(label == k)
-        if c.least_split <= upper.sum() <= len(own) - c.least_split and len(np.unique(label)) < c.clusters:
-            label[own[upper]] = label.max() + 1
-
     for k in np.unique(label).tolist():
         own = np.flatnonzero(label == k)
         if len(own) < 2 * c.least_split:
@@ -181,20 +197,177 @@ def split(features: np.ndarray, sample: np.ndarray, amplitude: np.ndarray, label
         gaps = np.diff(s)
         g = int(np.argmax(gaps))
         if gaps[g] > c.bimodality * max(p.std(), 1e-12):
-            cut(k, p > (s[g] + s[g + 1]) / 2)
+            upper = p > (s[g] + s[g + 1]) / 2
         elif violation_rate(sample[own], c.refractory) > c.isi_split:
-            cut(k, p > np.median(p))
+            upper = p > np.median(p)
         else:
-            a = np.sort(amplitude[own])
-            inner = np.diff(a)[c.least_split - 1 : len(a) - c.least_split]
-            if len(inner):
-                g = int(np.argmax(inner)) + c.least_split - 1
-                mad = lambda v: np.median(np.abs(v - np.median(v))) / 0.6745
-                if a[g + 1] - a[g] >= c.bimodality * 2 * max(mad(a[: g + 1]), mad(a[g + 1 :]), 1e-12):
-                    cut(k, amplitude[own] > (a[g] + a[g + 1]) / 2)
+            continue
+        if c.least_split <= upper.sum() <= len(own) - c.least_split and len(np.unique(label)) < c.clusters:
+            label[own[upper]] = label.max() + 1
+    return label
+
+
+def gaussian_labels(features: np.ndarray, label: np.ndarray, rounds: int, ridge: float = 1e-6) -> np.ndarray:
+    """Labels of a mixture of Gaussians with full covariances that starts from ``label``; clusters of few points start from the whole's."""
+    names, own = np.unique(label, return_inverse=True)
+    d = features.shape[1]
+    whole = np.cov(features.T).reshape(d, d) + ridge * np.eye(d)
+    share = np.eye(len(names))[own]
+    for _ in range(rounds):
+        held = np.maximum(share.sum(axis=0), 1e-12)
+        means = share.T @ features / held[:, None]
+        log = np.zeros((len(features), len(names)))
+        for k in range(len(names)):
+            gap = features - means[k]
+            cov = (share[:, k, None] * gap).T @ gap / held[k] + ridge * np.eye(d) if held[k] > 2 * d else whole
+            low = np.linalg.cholesky(cov + ridge * np.trace(cov) / d * np.eye(d))
+            z = np.linalg.solve(low, gap.T)
+            log[:, k] = math.log(held[k] / len(features)) - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(low)).sum()
+        log -= log.max(axis=1, keepdims=True)
+        new = np.exp(log)
+        new /= new.sum(axis=1, keepdims=True)
+        still = np.abs(new - share).max() < 1e-6
+        share = new
+        if still:
+            break
+    return names[share.argmax(axis=1)]
+
+
+def cut_by_amplitude(amplitude: np.ndarray, label: np.ndarray, c: SortConfig) -> np.ndarray:
+    """Cuts clusters at a gap of their amplitudes that is wide against the spread on both sides."""
+    label = label.copy()
+    spread = lambda v: np.median(np.abs(v - np.median(v))) / 0.6745
+    for k in np.unique(label).tolist():
+        own = np.flatnonzero(label == k)
+        a = np.sort(amplitude[own])
+        inner = np.diff(a)[c.least_split - 1 : max(0, len(a) - c.least_split)]
+        if len(inner) and len(np.unique(label)) < c.clusters:
+            g = int(np.argmax(inner)) + c.least_split - 1
+            if a[g + 1] - a[g] >= c.bimodality * 2 * max(spread(a[: g + 1]), spread(a[g + 1 :]), 1e-12):
+                label[own[amplitude[own] > (a[g] + a[g + 1]) / 2]] = label.max() + 1
     return label
 
 
+# Templates over all channels ------------------------------------------------------------------------
+
+
+def wide_templates(w: np.ndarray, sample: np.ndarray, label: np.ndarray, c: SortConfig) -> dict[int, np.ndarray]:
+    """Mean frames (width x channels) of each cluster; channels that do not stand out of the mean's own noise are zero."""
+    out = {}
+    for k in np.unique(label).tolist():
+        own = sample[label == k]
+        if len(own) < c.least_count:
+            continue
+        m = np.zeros((c.width, w.shape[1]))
+        for part in np.array_split(own, -(-len(own) // 256)):
+            m += w[(part - c.before)[:, None] + np.arange(c.width)].sum(axis=0)
+        m /= len(own)
+        m[:, np.abs(m).max(axis=0) < max(0.5, 4.5 / math.sqrt(len(own)))] = 0.0
+        if m.any():
+            out[k] = m
+    return out
+
+
+def aligned_gap(a: np.ndarray, b: np.ndarray, reach: int) -> float:
+    """The least distance of two templates over shifts of at most ``reach`` samples."""
+    best, both = 0.0, (a * a).sum() + (b * b).sum()
+    for shift in range(-reach, reach + 1):
+        x, y = (a[shift:], b[: len(b) - shift]) if shift >= 0 else (a[:shift], b[-shift:])
+        best = max(best, float((x * y).sum()))
+    return math.sqrt(max(0.0, both - 2 * best))
+
+
+def fewer_templates(templates: dict[int, np.ndarray], counts: dict[int, int], c: SortConfig) -> dict[int, np.ndarray]:
+    """Templates that differ by less than noise can tell are one: the one of more spikes stays."""
+    kept: dict[int, np.ndarray] = {}
+    for k in sorted(templates, key=lambda k: (-counts[k], k)):
+        if all(aligned_gap(templates[k], m, c.align_half_window) > max(c.refine_merge, 0.25 * min(np.linalg.norm(m), np.linalg.norm(templates[k]))) for m in kept.values()):
+            kept[k] = templates[k]
+    return kept
+
+
+def pursued(w: np.ndarray, templates: dict[int, np.ndarray], c: SortConfig, rounds: int = 3, block: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sample, label, what is left of the frames) of spikes whose template, taken off the frames, lowers their energy by ``refine_gain`` at least.
+
+    Of all templates and samples within a template's width the largest gain is taken; taken ones are subtracted, and the rest is
+    searched again. Products run over blocks by Fourier transforms.
+    """
+    names, n, width = list(templates), len(w), c.width
+    rest = np.array(w, np.float32)
+    if not names or n < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), rest
+    norms = np.array([(templates[k] ** 2).sum() for k in names])
+    spectra = []
+    for k in names:
+        on = np.flatnonzero(templates[k].any(axis=0))
+        spectra.append((on, np.conj(np.fft.rfft(templates[k][:, on].astype(np.float32), block, axis=0))))
+    step, found = block - width + 1, []
+    for _ in range(rounds):
+        gain, which = np.full(n - width + 1, -np.inf, np.float32), np.zeros(n - width + 1, np.int32)
+        for a in range(0, n - width + 1, step):
+            part = np.fft.rfft(rest[a : a + block], block, axis=0)
+            size = min(step, n - width + 1 - a)
+            for j, (on, z) in enumerate(spectra):
+                g = 2 * np.fft.irfft((part[:, on] * z).sum(axis=1), block)[:size] - norms[j]
+                better = g > gain[a : a + size]
+                gain[a : a + size][better] = g[better]
+                which[a : a + size][better] = j
+        at = np.flatnonzero(gain > c.refine_gain)
+        keep = np.zeros(n + 2 * width, bool)
+        fresh = []
+        for i in at[np.argsort(-gain[at], kind="stable")].tolist():
+            if not keep[i + width - width // 2 : i + width + width // 2].any():
+                keep[i + width] = True
+                fresh.append(i)
+        if not fresh:
+            break
+        for i in fresh:
+            m = templates[names[which[i]]]
+            on = spectra[which[i]][0]
+            rest[i : i + width, on] -= m[:, on].astype(np.float32)
+            found.append((i + c.before, names[which[i]]))
+    found = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1], rest
+
+
+def overlooked(rest: np.ndarray, xy: np.ndarray, c: SortConfig, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(sample, channel) of troughs that stand out once frames are smoothed over ``width`` / 16 samples; a channel with few of them has none."""
+    reach = c.width // 4
+    shape = np.exp(-0.5 * (np.arange(-reach, reach + 1) / (c.width / 16)) ** 2)
+    shape /= np.linalg.norm(shape)
+    smooth = np.stack([np.convolve(rest[:, k], shape, "same") for k in range(rest.shape[1])], axis=1)
+    s, k = detected(smooth, replace(c, detection="amplitude", adaptive=False))
+    if not len(s):
+        return s, k
+    keep = kernels.keep_larger(s, np.abs(smooth[s, k]), _near(xy, k, c.spatial_radius_um), c.refractory)
+    keep &= (s >= c.before) & (s - c.before + c.width <= len(rest))
+    s, k = s[keep], k[keep]
+    often = np.bincount(k, minlength=rest.shape[1])[k] >= least
+    return s[often], k[often]
+
+
+def refined(w: np.ndarray, xy: np.ndarray, sample: np.ndarray, label: np.ndarray, c: SortConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, set[int]]:
+    """(sample, channel, label, labels whose whole template has four times the energy of the least gain) after ``refine`` rounds: templates find their spikes anew, and these give the next templates.
+
+    Between rounds, troughs that no template explains give a template for each channel that has enough of them.
+    """
+    for k in range(c.refine):
+        counts = dict(zip(*(v.tolist() for v in np.unique(label, return_counts=True))))
+        templates = fewer_templates(wide_templates(w, sample, label, c), counts, c)
+        s, l, rest = pursued(w, templates, c)
+        whole = (s >= c.before) & (s - c.before + c.width <= len(w))
+        sample, label = s[whole], l[whole]
+        if k < c.refine - 1:
+            new, channel = overlooked(rest, xy, c)
+            sample, label = np.r_[sample, new], np.r_[label, max([0, *counts]) + 1 + channel]
+        if not len(sample):
+            break
+    last = wide_templates(w, sample, label, c)
+    home = {k: int(np.abs(m).max(axis=0).argmax()) for k, m in last.items()}
+    known = np.isin(label, list(home))
+    return sample[known], np.array([home[k] for k in label[known].tolist()], np.int64), label[known], {k for k, m in last.items() if (m * m).sum() >= 4 * c.refine_gain}
+
+
 def has_dip(a: np.ndarray, b: np.ndarray, fs: float, width: float = 0.0005, span: float = 0.025) -> bool:
     """Whether the cross-correlogram of two trains lacks short lags."""
     a, b = np.sort(a), np.sort(b)
@@ -247,8 +420,13 @@ def sort_frames(x: np.ndarray, xy: np.ndarray, c: SortConfig) -> Sorted:
     mode = lambda v: int(np.bincount(v).argmax())
     near = ((xy[:, None] - xy[None]) ** 2).sum(axis=2) <= c.spatial_radius_um**2
     label = merged(features[:, :-1], sample, label, c, lambda i, j: near[mode(at[i]), mode(at[j])])
+    if c.spatial_dprime > 0:
+        at = {k: channel[label == k] for k in np.unique(label).tolist()}
+        label = merged(features[:, :-1], sample, label, replace(c, merge_dprime=c.spatial_dprime), lambda i, j: mode(at[i]) != mode(at[j]) and near[mode(at[i]), mode(at[j])])
     amplitude = np.abs(w[sample, channel])
-    label = split(features[:, :-1], sample, amplitude, label, c)
+    label = cut_by_amplitude(amplitude, split(features[:, :-1], sample, label, c), c)
+    if c.gmm:
+        label = gaussian_labels(features, label, c.gmm_rounds)
 
     def shapes() -> dict[int, tuple[np.ndarray, int]]:
         return {k: (waves[label == k].mean(axis=0), mode(channel[label == k])) for k in np.unique(label).tolist() if (label == k).sum() >= c.least_count}
@@ -299,13 +477,19 @@ def sort_frames(x: np.ndarray, xy: np.ndarray, c: SortConfig) -> Sorted:
                 if 0.2 <= size <= 5 and not (np.abs(sample - s) <= c.temporal_radius).any():
                     sample, channel, label = np.r_[sample, s], np.r_[channel, ch], np.r_[label, k]
                     amplitude, waves = np.r_[amplitude, abs(w[s, ch]) if s < len(w) else 0.0], np.vstack([waves, rest[p : p + c.width, ch]])
+    strong: set[int] = set()
+    if c.refine:
+        sample, channel, label, strong = refined(w, xy, sample, label, c)
+        if not len(sample):
+            return _empty(c.width)
+        amplitude, waves = np.abs(w[sample, channel]), snippets(w, sample, channel, c)
     noise = np.maximum(np.median(np.abs(w), axis=0) / 0.6745, 1e-12)
     out, rows, means = np.full(len(sample), -1), [], []
     for k in np.unique(label).tolist():
         own = label == k
         m = waves[own].mean(axis=0)
         snr = float((m.max() - m.min()) / (2 * noise[mode(channel[own])]))
-        if own.sum() >= c.least_count and snr >= c.least_snr:
+        if own.sum() >= c.least_count and (snr >= c.least_snr or k in strong):
             out[own] = len(rows)
             rows.append({"cluster": len(rows), "count": int(own.sum()), "snr": snr, "isi_violation_rate": violation_rate(sample[own], c.refractory), "channel": mode(channel[own])})
             means.append(m)
@@ -317,14 +501,23 @@ def sort_frames(x: np.ndarray, xy: np.ndarray, c: SortConfig) -> Sorted:
 # In Spark -------------------------------------------------------------------------------------------
 
 
-def sort_segments(frames: DataFrame, xy: np.ndarray, config: SortConfig, segment: int) -> DataFrame:
-    """(recording_id, segment, sample, channel, amplitude, label, clusters) of every segment; labels count within it."""
-    rows = frames.select("recording_id", "sample_idx", "x", F.floor(F.col("sample_idx") / segment).cast("long").alias("segment"))
+def sort_segments(frames: DataFrame, xy: np.ndarray, config: SortConfig, segment: int, margin: int = 0) -> DataFrame:
+    """(recording_id, segment, sample, channel, amplitude, label, clusters) of every segment; labels count within it.
+
+    ``margin``: frames that a segment borrows on both sides, so that spikes at its edges are whole; it gives its own spikes only.
+    """
+    at = lambda i: F.floor(i / segment).cast("long")
+    i = F.col("sample_idx")
+    needed = F.explode(F.sequence(F.greatest(at(i - margin), F.lit(0).cast("long")), at(i + margin))) if margin else at(i)
+    rows = frames.select("recording_id", "sample_idx", "x", needed.alias("segment"))
 
     def run(t: pa.Table) -> dict:
         x = t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        first, k = t["sample_idx"][0].as_py(), t["segment"][0].as_py()
         s = sort_frames(x, xy, config)
-        return {"sample": s.sample + t["sample_idx"][0].as_py(), "channel": s.channel, "amplitude": s.amplitude, "label": s.label, "clusters": np.full(len(s.sample), len(s.clusters))}
+        sample = s.sample + first
+        own = (sample >= k * segment) & (sample < (k + 1) * segment)
+        return {"sample": sample[own], "channel": s.channel[own], "amplitude": s.amplitude[own], "label": s.label[own], "clusters": np.full(int(own.sum()), len(s.clusters))}
 
     return per_group(rows, ["recording_id", "segment"], run, "sample long, channel int, amplitude double, label int, clusters int")
 

@@ -149,7 +149,7 @@ def spike_sorter(spark, d):
     """A generated recording of 16 channels, sorted in segments of a second."""
     frames, _ = synthetic.recording(spark, channels=16, seconds=4.0, units=4, rate=15.0)
     xy = np.c_[np.zeros(16), np.arange(16) * 25.0]
-    return sorter.joined_segments(sorter.sort_segments(frames, xy, sorter.SortConfig(), 30_000))
+    return sorter.joined_segments(sorter.sort_segments(frames, xy, sorter.SortConfig(), 30_000, 200))
 
 
 @query(f"SELECT label, 0.0::DOUBLE AS x, round(sum(w * (vec_id % 8) * 25) / sum(w), 6) AS y FROM (SELECT label, vec_id, list_max([abs(v) FOR v IN x]) AS w FROM {EM}) GROUP BY label")

@@ -158,6 +158,48 @@ def test_sorter_options(easy, config):
     assert len(s.sample) == len(s.label) == len(s.channel)
 
 
+def test_refined_sorting_of_fresh_recordings():
+    """Seeds that nothing was tuned on: easy and medium shapes at least as published."""
+    for seed, channels, units, rate, noise, config, least in ((7, 32, 5, 5.0, 1.0, sorter.SortConfig(refine=3), 0.95), (11, 32, 10, 8.0, 1.5, sorter.SortConfig(threshold=4.0, refine=3), 0.85)):
+        n = 30_000 * 10
+        times = synthetic.spike_times(units, n, 30_000.0, rate, seed=seed)
+        x = synthetic.frames(channels, 0, n, synthetic.templates(units, channels, seed), times, noise, seed)
+        s = sorter.sort_frames(x, np.c_[np.zeros(channels), np.arange(channels) * 25.0], config)
+        assert accuracy(times, s) > least, seed
+
+
+def test_sorter_passes(easy):
+    x, times, xy = easy
+    plain = sorter.sort_frames(x[:90_000], xy, sorter.SortConfig())
+    for config in (sorter.SortConfig(gmm=True), sorter.SortConfig(adaptive=True), sorter.SortConfig(spatial_dprime=1.5)):
+        s = sorter.sort_frames(x[:90_000], xy, config)
+        assert abs(len(s.sample) - len(plain.sample)) < 0.3 * len(plain.sample)
+    rng = np.random.default_rng(0)
+    f = np.r_[rng.standard_normal((200, 2)) * [5, 0.2], rng.standard_normal((200, 2)) * [0.2, 5] + [12, 0]]
+    start = (f[:, 0] > 6).astype(int)
+    assert (sorter.gaussian_labels(f, start, 50)[:200] == 0).mean() > 0.97
+    quiet, busy = rng.standard_normal(30_000), rng.standard_normal(30_000)
+    busy[::60] = -20
+    c = sorter.SortConfig(adaptive=True)
+    assert sorter.channel_limit(quiet, 1.0, c) == 5 and abs(sorter.channel_limit(busy, 1.0, c) - 5 * (500 / 200) ** 0.5) < 0.05
+    assert sorter.channel_limit(np.zeros(100), 0.0, c) == 0.5
+    label = sorter.cut_by_amplitude(np.r_[rng.normal(5, 0.1, 30), rng.normal(9, 0.1, 30)], np.zeros(60, int), c)
+    assert set(label[:30]) == {0} and set(label[30:]) == {1}
+    assert sorter.merged(f, np.arange(400) * 100, start, sorter.SortConfig(merge_dprime=100.0)).max() == 0
+
+
+def test_segments_lose_no_spikes_at_their_edges(spark):
+    """A spike on every cut, found whole by the segment that it stands in."""
+    times = [np.arange(2985, 60_000, 3000), np.arange(4500, 57_000, 3000)]
+    x = synthetic.frames(8, 0, 60_000, synthetic.templates(2, 8), times, 1.0, 3)
+    xy = np.c_[np.zeros(8), np.arange(8) * 25.0]
+    frames = spark.createDataFrame([(0, k, row.tolist()) for k, row in enumerate(x)], "recording_id long, sample_idx long, x array<double>")
+    own = lambda margin: sorter.sort_segments(frames, xy, sorter.SortConfig(), 30_000, margin).toPandas()
+    cut, whole = own(0), own(200)
+    near = lambda got: sum((got["sample"].between(t - 25, t + 25)).any() for t in (29_985 + 16,))
+    assert near(whole) == 1 and near(cut) == 0 and not whole.duplicated(["sample", "channel"]).any()
+
+
 def test_sorter_edges():
     xy = np.zeros((2, 2))
     for x in (np.zeros((0, 2)), np.zeros((10, 2)), np.zeros((500, 2)), np.random.default_rng(0).standard_normal((500, 2))):
