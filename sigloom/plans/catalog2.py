@@ -558,12 +558,6 @@ def oasis_deconvolution(spark, d):
     return signals.deconvolved(A.samples(spark, d), design.oasis_gamma(30.0, 0.5), 0.1)
 
 
-@query()
-def event_dedup(spark, d):
-    rows = A.samples(spark, d).where("value > 80").select("recording_id", F.col("sample_idx").alias("sample"), F.col("channel").cast("int").alias("channel"), F.col("value").alias("amplitude"))
-    return signals.deduplicated(rows, _long_probe(spark), 45.0, 2)
-
-
 @query()
 def template_peel(spark, d):
     shape = np.array([[10.0, 60.0, 30.0, 5.0], [5.0, 20.0, 60.0, 20.0]])

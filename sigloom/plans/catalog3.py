@@ -66,11 +66,6 @@ def _scaled(spark, d):
     return A.frames(spark, d).withColumn("x", F.array(F.get("x", F.lit(0)) / 50, F.get("x", F.lit(1)) / 50000, F.get("x", F.lit(2)) * 10, F.get("x", F.lit(3)) * 10))
 
 
-@query()
-def csp_fit(spark, d):
-    return _fixed(spark, "w", models.fit_csp(_flags(spark, d), 2))
-
-
 @query()
 def csp_multiclass(spark, d):
     return _fixed(spark, "w", models.fit_multiclass_csp(A.frames(spark, d).withColumnRenamed("l_returnflag", "label"), 2))
@@ -88,11 +83,6 @@ def _spd(spark, d):
     return spd.select("trial_id", (F.col("trial_id") % 2).cast("int").alias("label"), F.transform("m", lambda v: v + 0.0).alias("m"))
 
 
-@query()
-def frechet_mean(spark, d):
-    return _fixed(spark, "m", models.frechet_mean(_spd(spark, d), most=5))
-
-
 @query()
 def mdm_classifier(spark, d):
     rows = _spd(spark, d)
@@ -163,6 +153,3 @@ def template_distances(spark, d):
     return A.vectors(spark, d).select("vec_id", r6(C.euclidean("x", F.reverse("x")), "distance"))
 
 
-@query()
-def sorter_bands(spark, d):
-    return signals.band_powers(A.vectors(spark, d).select("vec_id", "x"), 200.0)

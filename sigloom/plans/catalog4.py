@@ -12,8 +12,9 @@ from sigloom.operators import coupling, models, signals, spatial, temporal, trai
 from sigloom.plans import adapters as A
 from sigloom.plans import pipeline
 from sigloom.plans.catalog import EM, EV, LI, query, r6
-from sigloom.plans.catalog2 import _LOW, _near, _sql_cascade, _starts, _user_pairs, scan
+from sigloom.plans.catalog2 import _LONG, _long_probe, _LOW, _near, _PSD, _sql_cascade, _starts, _user_pairs, scan
 from sigloom.plans.catalog3 import _flags, _scaled, _spd
+from sigloom.streaming import processors
 
 IDS = ("channel", "sample_idx")
 
@@ -369,3 +370,139 @@ def apply_filters(spark, d):
 def combine_features(spark, d):
     rows = A.vectors(spark, d).withColumn("a", F.slice("x", 1, 32)).withColumn("b", F.slice("x", 33, 32))
     return trains.combined_features(rows, "a", "b", 0.5).select("vec_id", F.posexplode("f").alias("i", "v")).select("vec_id", "i", r6("v", "f"))
+
+
+# Fits and detections by what SQL can say of them --------------------------------------------------------
+
+_BANDS = ", ".join(f"('{name}', {int(low // 3.125)}, {min(32, int(-(-high // 3.125)))})" for name, (low, high) in spectrum.BANDS.items())
+
+
+@query(f"SELECT vec_id, band, round(sum((p + q) / 2), 9) AS power FROM (SELECT *, lead(p) OVER (PARTITION BY vec_id ORDER BY k) AS q FROM ({_PSD})) JOIN (VALUES {_BANDS}) AS t(band, a, b) ON k >= a AND k < b GROUP BY vec_id, band")
+def sorter_bands(spark, d):
+    rows = signals.band_powers(A.vectors(spark, d).select("vec_id", "x"), 200.0)
+    named = F.explode(F.arrays_zip(F.array(*(F.lit(n) for n in spectrum.BANDS)).alias("band"), F.col("powers").alias("power"))).alias("z")
+    return rows.select("vec_id", named).select("vec_id", "z.band", F.round("z.power", 9).alias("power"))
+
+
+@query(
+    f"WITH RECURSIVE e AS MATERIALIZED (SELECT s.sample_idx AS sample, s.channel, s.value AS amplitude, p.x, p.y, row_number() OVER (ORDER BY s.sample_idx, s.channel) AS k FROM {EV} s JOIN {_LONG} p ON p.channel = s.channel WHERE s.value > 80), "
+    "n AS MATERIALIZED (SELECT a.k, list(struct_pack(k := b.k, larger := b.amplitude > a.amplitude) ORDER BY b.k) AS near FROM e a JOIN e b ON b.k > a.k AND b.sample - a.sample <= 2 AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 45 * 45 GROUP BY a.k), "
+    "f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS dead, true AS stays UNION ALL "
+    "SELECT k, CASE WHEN NOT stays0 THEN dead WHEN first IS NULL THEN list_concat(dead, [z.k FOR z IN open]) ELSE list_concat(dead, [z.k FOR z IN open[:first - 1]]) END, stays0 AND first IS NULL "
+    "FROM (SELECT *, list_position([z.larger FOR z IN open], true) AS first, NOT list_contains(dead, k) AS stays0 FROM "
+    "(SELECT e.k, [z FOR z IN f.dead IF z >= e.k] AS dead, coalesce([z FOR z IN n.near IF NOT list_contains(f.dead, z.k)], []) AS open FROM f JOIN e ON e.k = f.k + 1 LEFT JOIN n ON n.k = e.k))) "
+    "SELECT e.sample, CAST(e.channel AS INT) AS channel, e.amplitude FROM f JOIN e ON e.k = f.k WHERE f.stays"
+)
+def event_dedup(spark, d):
+    rows = A.samples(spark, d).where("value > 80").select("recording_id", F.col("sample_idx").alias("sample"), F.col("channel").cast("int").alias("channel"), F.col("value").alias("amplitude"))
+    return signals.deduplicated(rows, _long_probe(spark), 45.0, 2).select("sample", "channel", "amplitude")
+
+
+_SCALED = f"(SELECT l_orderkey, l_linenumber, l_returnflag, [x[1] / 50, x[2] / 50000, x[3] * 10, x[4] * 10] AS x FROM {LI})"
+_ENTRIES = ", ".join(f"covar_samp(x[{i + 1}], x[{j + 1}]) AS g{i}{j}" for i in range(4) for j in range(i, 4))
+
+
+@query(f"SELECT round(avg(ln(g00) + ln(e0_1_1) + ln(e1_2_2) + ln(e2_3_3)), 4) AS log_volume FROM (SELECT *, {_eliminated(4)} FROM (SELECT *, 0.0 AS h0, 0.0 AS h1, 0.0 AS h2, 0.0 AS h3 FROM (SELECT l_orderkey % 50 AS trial_id, {_ENTRIES} FROM {_SCALED} GROUP BY trial_id)))")
+def frechet_mean(spark, d):
+    """The Riemannian mean's volume is the geometric mean of all volumes."""
+    mean = models.frechet_mean(_spd(spark, d))
+    return spark.createDataFrame([(float(np.linalg.slogdet(mean)[1]),)], "v double").select(F.round("v", 4).alias("log_volume"))
+
+
+def _sql_shares() -> str:
+    """Trace of (A + B)^-1 A of two classes: the sum of all shares that filters can have."""
+    classes = f"(SELECT l_returnflag = 'R' AS k, {_ENTRIES} FROM {_SCALED} GROUP BY k)"
+    first = ", ".join(f"max(CASE WHEN NOT k THEN g{i}{j} END) AS a{i}{j}" for i in range(4) for j in range(i, 4))
+    both = ", ".join(f"sum(g{i}{j}){' + 1e-6' if i == j else ''} AS g{i}{j}" for i in range(4) for j in range(i, 4))
+    parts = [f"(SELECT b{c} AS share FROM (SELECT {_eliminated(4)} FROM (SELECT *, {', '.join(f'a{min(i, c)}{max(i, c)} AS h{i}' for i in range(4))} FROM m)))" for c in range(4)]
+    return f"WITH m AS MATERIALIZED (SELECT {both}, {first} FROM {classes}) SELECT round(sum(share), 4) AS shares, 0.0::DOUBLE AS mixed FROM ({' UNION ALL '.join(f'SELECT * FROM {p}' for p in parts)})"
+
+
+@query(_sql_shares())
+def csp_fit(spark, d):
+    """Filters make both classes uncorrelated, and their shares of the first class add up to the trace of its share of both."""
+    rows = _scaled(spark, d).withColumn("label", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
+    w = models.fit_csp(rows, 4)
+    (_, a, _), (_, b, _) = models.class_covariances(rows).values()
+    one, both = w @ a @ w.T, w @ (a + b + 1e-6 * np.eye(4)) @ w.T
+    size = np.sqrt(np.outer(np.diag(both), np.diag(both)))
+    mixed = max(np.abs((m / size)[~np.eye(4, dtype=bool)]).max() for m in (one, both))
+    return spark.createDataFrame([(float((np.diag(one) / np.diag(both)).sum()), float(mixed))], "s double, m double").select(F.round("s", 4).alias("shares"), (F.round("m", 4) + 0.0).alias("mixed"))
+
+
+# Event-time windows, scalars, and units against units -----------------------------------------------------
+
+
+def _timed(spark, d):
+    return A.table(spark, d, "events").select(F.col("user_id").alias("channel"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    return rows.select("channel", F.unix_seconds("start").alias("start"), "n", r6("mean", "mean"), r6("std", "std"))
+
+
+def _sql_windows(hours: str) -> str:
+    return f"SELECT user_id AS channel, h * 3600 AS start, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM (SELECT *, unnest({hours}) AS h FROM (SELECT *, epoch_us(ts) // 3600000000 AS hour FROM events)) GROUP BY user_id, h"
+
+
+@query(_sql_windows("[hour]"))
+def tumbling_windows(spark, d):
+    return _windows(processors.windowed(_timed(spark, d), "1 hour", "1 hour"))
+
+
+@query(_sql_windows("[hour - 1, hour]"))
+def sliding_windows(spark, d):
+    return _windows(processors.windowed(_timed(spark, d), "2 hours", "1 hour", "1 hour"))
+
+
+@query(
+    "WITH s AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), "
+    "r AS (SELECT user_id, t, sum(fresh) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS run FROM s) "
+    "SELECT user_id AS channel, min(t) AS start, max(t) + 21600000000 AS stop, count(*) AS n FROM r GROUP BY user_id, run"
+)
+def session_windows(spark, d):
+    return processors.bursts(_timed(spark, d), "6 hours", "1 hour").select("channel", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("stop"), "n")
+
+
+@query(f"SELECT channel, sample_idx, round(lgamma(value + 1), 6) AS lgamma, CASE WHEN value < 40 THEN -value ELSE value END AS signed, true AS finite FROM {EV}")
+def special_functions(spark, d):
+    pipeline.register_functions(spark)
+    v = F.col("value")
+    return A.samples(spark, d).select(*IDS, r6(F.call_function("signal_lgamma", v + 1), "lgamma"), C.copysign(v, v - 40).alias("signed"), C.is_finite(v).alias("finite"))
+
+
+_VOLUME = "ln(g00) + ln(e0_1_1) + ln(e1_2_2) + ln(e2_3_3)"
+
+
+def _sql_volumes(entries: str) -> str:
+    return f"SELECT *, {_VOLUME} AS v FROM (SELECT *, {_eliminated(4)} FROM (SELECT *, 0.0 AS h0, 0.0 AS h1, 0.0 AS h2, 0.0 AS h3 FROM {entries}))"
+
+
+_TRIALS = f"(SELECT l_orderkey % 50 AS trial_id, {_ENTRIES} FROM {_SCALED} GROUP BY trial_id)"
+_MEAN = f"(SELECT {', '.join(f'avg(g{i}{j}) AS g{i}{j}' for i in range(4) for j in range(i, 4))} FROM {_TRIALS})"
+
+
+@query(f"SELECT t.trial_id, round(t.v - m.v, 4) AS log_volume FROM ({_sql_volumes(_TRIALS)}) t, ({_sql_volumes(_MEAN)}) m")
+def recentered_volumes(spark, d):
+    """Trials moved so that their mean becomes the unit matrix lose its volume."""
+    spd = _spd(spark, d)
+    mean = models.summed(spd, lambda r: np.r_[len(r), r.sum(axis=0)], "m")
+    moved = models.recentered(spd.select("trial_id", "m"), (mean[1:] / mean[0]).reshape(4, 4))
+    return signals.of_arrays(moved.select("trial_id", "m2"), lambda r: np.linalg.slogdet(r.reshape(-1, 4, 4))[1][:, None], "m2", "v").select("trial_id", F.round(F.get("v", F.lit(0)), 4).alias("log_volume"))
+
+
+_UNITS = "SELECT user_id % 5 AS unit, epoch_us(ts) // 3600000000 AS s, event_id FROM events WHERE event_type = "
+
+
+@query(
+    f"WITH RECURSIVE a AS MATERIALIZED (SELECT unit AS gt, s, row_number() OVER (PARTITION BY unit ORDER BY s, event_id) AS k FROM ({_UNITS}'error')), "
+    f"b AS MATERIALIZED (SELECT unit AS st, list(s ORDER BY s) AS found FROM ({_UNITS}'click') GROUP BY unit), "
+    "m AS (SELECT gt, st, 0::BIGINT AS k, found AS free, 0::BIGINT AS tp FROM (SELECT DISTINCT gt FROM a), b UNION ALL "
+    "SELECT gt, st, k, CASE WHEN hit IS NULL THEN free ELSE list_concat(free[:hit - 1], free[hit + 1:]) END, tp + CAST(hit IS NOT NULL AS BIGINT) "
+    "FROM (SELECT m.gt, m.st, a.k, m.free, m.tp, list_position([f >= a.s - 1 AND f <= a.s + 1 FOR f IN m.free], true) AS hit FROM m JOIN a ON a.gt = m.gt AND a.k = m.k + 1)) "
+    "SELECT gt, st, tp, len(free) AS fp, k - tp AS fn, round(tp / (len(free) + k), 6) AS accuracy FROM (SELECT *, max(k) OVER (PARTITION BY gt, st) AS last FROM m) WHERE k = last AND tp > 0"
+)
+def sorting_coincidences(spark, d):
+    rows = A.table(spark, d, "events").select((F.col("user_id") % 5).alias("unit"), "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("sample"))
+    pick = lambda k: rows.where(F.col("event_type") == k).select("unit", "sample")
+    return signals.coincidences(pick("error"), pick("click"), 1).where("tp > 0").select("gt", "st", "tp", "fp", "fn", r6("accuracy", "accuracy"))

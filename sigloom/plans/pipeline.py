@@ -1,4 +1,4 @@
-"""Pipelines of stages, from code or from a description (a dict as read from JSON or TOML).
+"""Pipelines of stages, from code or from a description (a dict, or a file of JSON or TOML).
 
 A stage maps a table of long samples to another. Stages of window expressions are left to the optimizer; neighbouring
 array stages of one channel become one Arrow task.
@@ -6,7 +6,9 @@ array stages of one channel become one Arrow task.
 
 from __future__ import annotations
 
+import json
 import math
+import tomllib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -114,9 +116,19 @@ def signal_of(spark: SparkSession, spec: dict) -> DataFrame:
     return make[spec["type"]]()
 
 
+def described(job: dict | str) -> dict:
+    """A job as it is, a recipe by name, or the job of a TOML or JSON file that the driver can read."""
+    if not isinstance(job, str):
+        return job
+    if job in RECIPES:
+        return RECIPES[job]
+    with open(job, "rb") as lines:
+        return tomllib.load(lines) if job.endswith(".toml") else json.load(lines)
+
+
 def run(spark: SparkSession, job: dict | str) -> DataFrame:
-    """A described job (or a recipe by name): signal, filters, and an optional ``output`` {"csv" | "parquet": path}."""
-    job = RECIPES[job] if isinstance(job, str) else job
+    """A described job: signal, filters, and an optional ``output`` {"csv" | "parquet": path}."""
+    job = described(job)
     fs = float(job["signal"]["fs"])
     out = apply(signal_of(spark, job["signal"]), [stage_of(s, fs) for s in job.get("filters", [])])
     for kind, path in job.get("output", {}).items():

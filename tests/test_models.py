@@ -264,6 +264,12 @@ def test_recipes(spark, tmp_path):
     assert spark.sql("SELECT signal_neo(array(1D, 2D, 4D)) AS e").first().e == [0.0]
 
 
+def test_described_files(spark, tmp_path):
+    (tmp_path / "job.toml").write_text('[signal]\ntype = "step"\nfs = 100.0\nsamples = 400\nat = 200\nlow = 0.0\nhigh = 1.0\n[[filters]]\ntype = "decimate"\nfactor = 4\n')
+    (tmp_path / "job.json").write_text('{"signal": {"type": "step", "fs": 100.0, "samples": 400, "at": 200, "low": 0.0, "high": 1.0}, "filters": []}')
+    assert pipeline.run(spark, str(tmp_path / "job.toml")).count() == 100 and pipeline.run(spark, str(tmp_path / "job.json")).count() == 400
+
+
 def test_sql_functions(spark):
     from sigloom.functions import kernels, spectrum
 
