@@ -91,6 +91,19 @@ def _empty(width: int) -> Sorted:
     return Sorted(z, z, np.zeros(0), z, [], np.zeros((0, width)))
 
 
+def noise_of(x: np.ndarray) -> np.ndarray:
+    """Median absolute value over 0.6745 of each channel, channel by channel in memory."""
+    a = np.empty(x.shape[::-1])
+    for k in range(0, len(x), 2048):  # pieces that fit the cache
+        np.abs(x[k : k + 2048].T, out=a[:, k : k + 2048])
+    if not a.shape[1]:
+        return np.full(len(a), np.nan)
+    k = a.shape[1] // 2
+    a.partition(k, axis=1)
+    middle = a[:, k] if a.shape[1] % 2 else (a[:, :k].max(axis=1) + a[:, k]) / 2
+    return middle / 0.6745
+
+
 def prepared(x: np.ndarray, c: SortConfig) -> np.ndarray:
     """Referenced, filtered and whitened frames."""
     x = np.array(x, float)
@@ -100,14 +113,14 @@ def prepared(x: np.ndarray, c: SortConfig) -> np.ndarray:
         section = [design.sorter_bandpass(c.fs, *c.band)] * 2
         x = np.stack([kernels.cascade(x[:, k], section)[0] for k in range(x.shape[1])], axis=1)
     # covariance of quiet frames where there are enough of them, else of all
-    noise = np.median(np.abs(x), axis=0) / 0.6745
+    noise = noise_of(x)
     quiet = (np.abs(x) < 4 * np.maximum(noise, 1e-12)).all(axis=1)
     return x @ linear.whitening(np.cov((x[quiet] if quiet.sum() > 10 * x.shape[1] else x).T).reshape(x.shape[1], -1), c.epsilon).T
 
 
 def detected(x: np.ndarray, c: SortConfig) -> tuple[np.ndarray, np.ndarray]:
     """(sample, channel) of troughs beyond the threshold of each channel, in order of sample, then channel."""
-    noise = np.maximum(np.median(np.abs(x), axis=0) / 0.6745, 1e-12)
+    noise = np.maximum(noise_of(x), 1e-12)
     found = []
     for k in range(x.shape[1]):
         if c.detection == "amplitude":
@@ -483,7 +496,7 @@ def sort_frames(x: np.ndarray, xy: np.ndarray, c: SortConfig) -> Sorted:
         if not len(sample):
             return _empty(c.width)
         amplitude, waves = np.abs(w[sample, channel]), snippets(w, sample, channel, c)
-    noise = np.maximum(np.median(np.abs(w), axis=0) / 0.6745, 1e-12)
+    noise = np.maximum(noise_of(w), 1e-12)
     out, rows, means = np.full(len(sample), -1), [], []
     for k in np.unique(label).tolist():
         own = label == k
