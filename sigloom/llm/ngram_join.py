@@ -32,7 +32,7 @@ WIDTH = 5
 #: 100 * overlap >= 75 * union, as 7 * overlap >= 3 * (size + size).
 OVERLAP, SIZES = 7, 3
 #: A shingle is hot from this share of all documents on. Shingles of one counting part; of one blob's chunk.
-HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 256, 4_000_000, 1_000_000, 60_000
+HOT, TASK_TOKENS, CHUNK_TOKENS, CHUNK_DOCS = 256, 1_000_000, 1_000_000, 60_000
 #: Partitions of an exchange at most; beyond it, a task takes several parts one after the other.
 TASKS = 16_384
 #: Sets of a block, of a leaf, and nodes of a node.
@@ -61,20 +61,28 @@ class Frequent:
     def __init__(self, loss: float):
         self.loss, self.docs = loss, 0
         self.token, self.count, self.since = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
+        self.new, self.waiting, self.before = [], 0, 0
 
     def add(self, token: np.ndarray, docs: int) -> None:
         """The shingles of ``docs`` sets, once for each set that holds them."""
-        token, count = np.unique(token, return_counts=True)
-        every = np.r_[self.token, token]
-        self.token, first, which = np.unique(every, return_index=True, return_inverse=True)
-        since = np.r_[self.since, np.full(len(token), self.loss * self.docs)][first]
-        count = np.bincount(which, np.r_[self.count, count], len(self.token)).astype(np.int64)
+        self.new.append(token)
+        self.waiting += len(token)
         self.docs += docs
+        if self.waiting >= CHUNK_TOKENS:
+            self._count()
+
+    def _count(self) -> None:
+        token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.new]), return_counts=True)
+        self.token, first, which = np.unique(np.r_[self.token, token], return_index=True, return_inverse=True)
+        since = np.r_[self.since, np.full(len(token), self.loss * self.before)][first]
+        count = np.bincount(which, np.r_[self.count, count], len(self.token)).astype(np.int64)
         stay = count + since > self.loss * self.docs
         self.token, self.count, self.since = self.token[stay], count[stay], since[stay]
+        self.new, self.waiting, self.before = [], 0, self.docs
 
     def often(self) -> tuple[np.ndarray, np.ndarray]:
         """Shingles and counts, those of a share above ``loss``; what a task holds back is at most twice that share."""
+        self._count()
         some = self.count >= max(2, self.loss * self.docs)
         return self.token[some], self.count[some]
 
@@ -136,7 +144,7 @@ def candidates(docs: DataFrame, hot: np.ndarray, total: int, key: str = "doc_id"
     """Sets that may link: (cls, n, tokens binary, prefix array): their shared shingles, and those of the prefix."""
     spark = docs.sparkSession
     small_batches(spark)
-    k = max(6, (max(1, total) // TASK_TOKENS).bit_length())
+    k = max(7, (max(1, total) // TASK_TOKENS).bit_length())
     parts, sides = 1 << k, max(16, 1 << (k - 1))
     part_bits, side_bits = np.uint64(64 - k), np.uint64(64 - (sides.bit_length() - 1))
     width = 8 - k // 8 if k < 16 else 6  # bytes of a shingle's hash that its part does not tell
