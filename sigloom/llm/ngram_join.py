@@ -11,7 +11,8 @@
    size ranges and slack; a dual traversal drops node pairs whose largest possible overlap is too small or whose sets are
    linked already, and the rest is verified exactly. Groups above ``BLOCK`` sets are cut into blocks: blocks are joined
    in themselves, one set of each result stands for it in the next round, and at last all sets outside a group's main
-   result are joined against all of its blocks. No link between different results is lost.
+   result are joined, block by block, with those that share a shingle of their first. No link between different results is
+   lost.
 
 Null and empty texts have empty sets, which link to nothing. Repeated rows and equal texts share a component. Shingles
 are compared by 64-bit hashes.
@@ -421,11 +422,11 @@ def link_classes(found: DataFrame) -> DataFrame:
     rows = durable(found.drop("prefix").join(grouped, F.col("cls") == F.col("node")).drop("node").join(sized, "component").where("members > 1"))
     named = _join_groups(rows.where(F.col("members") <= BLOCK), ["component"]).select(F.col("a").alias("node"), F.col("b").alias("component"))
     large = rows.where(F.col("members") > BLOCK)
-    return named.unionAll(_across_blocks(large)) if large.select("component").limit(1).count() else named
+    return named.unionAll(_across_blocks(large, pairs)) if large.select("component").limit(1).count() else named
 
 
-def _across_blocks(large: DataFrame) -> DataFrame:
-    """The same for groups of many blocks: (node, component) of all of their classes."""
+def _across_blocks(large: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The same for groups of many blocks: (node, component) of all of their classes. ``prefixes``: (cls, token)."""
     blocks = F.ceil(F.col("members") / (BLOCK // 2))
     large = large.withColumn("block", F.pmod(F.xxhash64("cls"), blocks))
     inside = _join_groups(large, ["component", "block"]).select(F.col("a").alias("cls"), F.col("b").alias("label"))
@@ -441,15 +442,20 @@ def _across_blocks(large: DataFrame) -> DataFrame:
         labelled = durable(renamed.withColumn("label", F.coalesce("_to", "label")).drop("_to"))
     main = labelled.groupBy("component", "label").agg(F.count("*").alias("held")).groupBy("component").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
     judged = labelled.join(main, "component")
-    rest = judged.where("label != main")
-    spread = durable(rest.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("parts")))
-    if not spread.limit(1).count():
+    # What is outside a group's main result meets the sets that share a shingle of its prefix. Shingles of the same sets are one.
+    told = prefixes.join(judged.select("component", "cls", (F.col("label") != F.col("main")).alias("rest")), "cls")
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), F.col("cls"))) for k in (1, 2)]
+    lists = told.groupBy("component", "token").agg(F.count("*").alias("sets"), F.count_if("rest").alias("few"), F.struct(*marks).alias("mark")).where("few > 0 and sets > 1")
+    buckets = durable(lists.groupBy("component", "sets", "few", "mark").agg(F.min("token").alias("token")).select("component", "token", F.ceil(F.col("sets") / BLOCK).alias("blocks"), F.ceil(F.col("few") / BLOCK).alias("parts")))
+    if not buckets.limit(1).count():
         return labelled.select(F.col("cls").alias("node"), F.col("label").alias("component"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    own = judged.join(spread, "component").withColumn("part", upto(F.col("parts"))).withColumn("side", F.lit(0))
-    cross = rest.drop("block").join(spread, "component").withColumn("part", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("parts"))).withColumn("block", upto(blocks)).withColumn("side", F.lit(1))
-    columns = ["component", "block", "part", "cls", "n", "tokens", "side", "label"]
-    links = _join_groups(own.select(columns).unionAll(cross.select(columns)), ["component", "block", "part"])
+    members = told.join(buckets, ["component", "token"])
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block, part = F.pmod(F.xxhash64("cls"), F.col("blocks")), F.pmod(F.xxhash64("cls", F.lit(11)), F.col("parts"))
+    own = members.select("component", "token", "cls", block.alias("block"), upto("parts").alias("part"), F.lit(0).alias("side"))
+    cross = members.where("rest").select("component", "token", "cls", upto("blocks").alias("block"), part.alias("part"), F.lit(1).alias("side"))
+    meeting = own.unionAll(cross).join(judged.select("cls", "n", "tokens", "label"), "cls")
+    links = _join_groups(meeting, ["component", "token", "block", "part"])
     names = labelled.select("cls", "label")
     ends = links.join(names.withColumnsRenamed({"cls": "a", "label": "x"}), "a").join(names.withColumnsRenamed({"cls": "b", "label": "y"}), "b")
     joined = connected_components(ends.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -50,6 +50,21 @@ def test_all_links_are_found(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_large_groups_of_unlike_sets(spark, monkeypatch):
+    """Texts that share most of their words but link only here and there: many blocks, and many sets beside the main result."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    rng = np.random.default_rng(9)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for i in range(160):
+        own = int(rng.integers(5, 40))
+        rows.append((i, " ".join(shared[: int(rng.integers(40, 61))] + [f"o{int(rng.integers(0, 12))}_{k}" for k in range(own)])))
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and 10 < len({c for _, c in want.values()}) < 150
+
+
 def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "x y"), (None, "x y"), (4, None), (5, None)]
     kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
