@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes of text that one kernel call sees; batches above are cut, never dropped.
 BATCH_ROWS = 2000
@@ -68,6 +69,11 @@ class Sent:
         return self.held
 
 
+def with_fields(fields: list[StructField], more: str = "") -> StructType:
+    """Fields as they are, whatever their names, and more of them in SQL's words."""
+    return StructType([*fields, *(StructType.fromDDL(more) if more else [])])
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -96,7 +102,7 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
 
 
-def map_arrow(df: DataFrame, kernel: Callable, schema: str, column: str | None = None, setup: Callable | None = None) -> DataFrame:
+def map_arrow(df: DataFrame, kernel: Callable, schema: str | StructType, column: str | None = None, setup: Callable | None = None) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size. ``kernel(batch[, state])`` returns an iterable of record batches.
 
     ``setup`` runs once in each task and gives the state.

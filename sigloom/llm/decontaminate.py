@@ -296,7 +296,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     for part in passes(items, item_key, item_text):
         sent = Sent(docs.sparkSession, part)
 
@@ -305,7 +304,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_ke
             keep[[r for r, _ in sent.value.leaks(batch.column(batch.schema.get_field_index(text)))]] = False
             yield batch.filter(pa.array(keep))
 
-        docs = map_arrow(docs, kernel, types, text)
+        docs = map_arrow(docs, kernel, docs.schema, text)
     return docs
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_arrow
+from sigloom.llm.common import map_arrow, with_fields
 
 #: Pages that weights are fitted on at most, and the longest of them in bytes.
 SAMPLE_PAGES, SAMPLE_BYTES = 400, 1 << 16
@@ -223,13 +223,12 @@ def fit(pages: DataFrame, key: str = "page_id", html: str = "html") -> Weights:
 def extract(pages: DataFrame, weights: Weights, html: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with ``out`` string (replaced if there): each page's main text."""
     keep = [f for f in pages.schema if f.name != out]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
 
     def kernel(batch: pa.RecordBatch):
         texts = [main_text(h, weights) if h else "" for h in batch.column(batch.schema.get_field_index(html)).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
 
-    return map_arrow(pages.select(*(f"`{f.name}`" for f in keep)), kernel, f"{types}, `{out}` string", html)
+    return map_arrow(pages.select(*(f"`{f.name}`" for f in keep)), kernel, with_fields(keep, f"`{out}` string"), html)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

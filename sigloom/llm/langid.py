@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_arrow, Sent, text_bytes
+from sigloom.llm.common import map_arrow, Sent, text_bytes, with_fields
 
 #: Letters of labelled text that make up a language's automaton, and the rows that they are taken from; these bound
 #: the model, whatever the size of the corpus.
@@ -257,8 +257,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         names, score, bits = sent.value.predict(batch.column(batch.schema.get_field_index(text)))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=[*batch.schema.names, "lang_pred", "score", "bits"])
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
-    return map_arrow(df.select(*(f"`{f.name}`" for f in keep)), kernel, f"{types}, lang_pred string, score double, bits double", text)
+    return map_arrow(df.select(*(f"`{f.name}`" for f in keep)), kernel, with_fields(keep, "lang_pred string, score double, bits double"), text)
 
 
 def in_a_language(identified: DataFrame, letters: int, text: str = "text") -> DataFrame:

@@ -124,8 +124,6 @@ def secrets(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
 
 def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every secret of each text replaced by ``mark``; overlapping spans are replaced as one."""
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
     def clean(value: str | None) -> str | None:
         if not value or not (spans := find(value)):
             return value
@@ -140,7 +138,7 @@ def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         k = batch.schema.get_field_index(text)
         yield batch.set_column(k, text, pa.array(map(clean, batch.column(k).to_pylist()), pa.string()))
 
-    return map_arrow(df, kernel, types, text)
+    return map_arrow(df, kernel, df.schema, text)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

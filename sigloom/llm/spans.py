@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_arrow
+from sigloom.llm.common import map_arrow, with_fields
 
 Span = tuple[str, int, int, bool]
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -50,7 +50,6 @@ def in_order(spans: list[Span], kinds: tuple[str, ...]) -> list[Span]:
 def mark_spans(df: DataFrame, find: Callable[[str], list[Span]], text: str, out: str, setup: Callable | None = None) -> DataFrame:
     """``df`` with ``out`` (replaced if there): the spans that ``find`` gives for each whole text; a null text is empty."""
     keep = [f for f in df.schema if f.name != out]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
 
     def kernel(batch: pa.RecordBatch, finder: Callable[[str], list[Span]]):
         found, offsets = [], [0]
@@ -63,7 +62,7 @@ def mark_spans(df: DataFrame, find: Callable[[str], list[Span]], text: str, out:
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
         yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in keep), lists], names=[*(f.name for f in keep), out])
 
-    return map_arrow(df.select(*(f"`{f.name}`" for f in keep)), kernel, f"{types}, `{out}` {SPANS}", text, setup or (lambda: find))
+    return map_arrow(df.select(*(f"`{f.name}`" for f in keep)), kernel, with_fields(keep, f"`{out}` {SPANS}"), text, setup or (lambda: find))
 
 
 def count_of(spans: str, kind: str) -> Column:

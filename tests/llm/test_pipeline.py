@@ -65,6 +65,54 @@ def test_pipeline(spark, corpus):
     assert whole == {(r.doc_id, r.ids_sha256) for r in seen["byte_bpe"].values()}
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Columns of any name pass untouched up to the last stage; empty tables pass through all."""
+    names = ["row", "cls", "lang_pred", "score", "bits", "spans", "n_tokens", "similarity", "part", "id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    rows = [(k, text(k), "en", "a", 5, *range(k, k + len(names))) for k in range(1, 6)] + [(6, None, None, None, None, *[None] * len(names))]
+    for part, table in (("odd", rows), ("empty", [])):
+        folder = f"{tmp_path}/{part}"
+        docs = spark.createDataFrame(table, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, ITEM)] if table else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, folder)
+            got = docs.collect()
+            docs = spark.createDataFrame(got, docs.schema)
+            assert len(got) == (5 if table else 0), name
+            if name != "byte_bpe":
+                assert docs.columns[5:] == names and all(tuple(r)[5:] == tuple(range(r.doc_id, r.doc_id + len(names))) for r in got), name
+        assert corpus_pipeline.run(spark, folder).count() == (5 if table else 0)
+
+
+def test_rows_of_one_key_and_unlike_texts_stay(spark):
+    from sigloom.llm import ngram_join
+
+    rows = [(1, text(1), "en", "a", 5), (1, text(2), "en", "a", 5), (2, text(2) + " x", "en", "a", 5)]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted(r.text for r in kept) == sorted([text(1), text(2)])
+
+
+def test_vectors_of_other_lengths(spark):
+    """The commonest length takes part, the smaller of equals."""
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.1]), (2, [1.0, 2.0, 3.0]), (3, [1.0, 1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect()
+    assert sorted((r.query_id, r.vec_id) for r in got) == [(0, 1), (1, 0)]
+
+
+def test_equal_scores_go_to_the_smaller_id(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, [1.0, float(i % 2), float(i // 2 % 2)]) for i in range(2000)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") < 4, k=10).collect()
+    for q in range(4):
+        own = [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+        want = sorted((-float(np.dot(rows[q][1], v)), i) for i, v in rows if i != q)[:10]
+        assert own == want
+
+
 def exact(rows, queries, k):
     out = {}
     for q, v in queries:
