@@ -30,22 +30,28 @@ def spatial_filter(spark, d):
     return rows.select("l_orderkey", "l_linenumber", r6(F.get("y", F.lit(0)), "y0"), r6(F.get("y", F.lit(1)), "y1"))
 
 
-@query("SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, round(ln(var_pop(l_quantity) + 1e-10), 6) AS f0, round(ln(var_pop(l_discount) + 1e-10), 6) AS f1 FROM lineitem GROUP BY ALL")
+@query(f"SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, round(ln(var_pop(x[1] + 0.001::DOUBLE * x[2] - 20 * x[3]) + 1e-10), 6) AS f0, round(ln(var_pop(10 * x[3] - 5 * x[4] + 0.1::DOUBLE * x[1]) + 1e-10), 6) AS f1 FROM {LI} GROUP BY ALL")
 def csp_features(spark, d):
-    rows = models.csp_features(_flags(spark, d), np.array([[1.0, 0, 0, 0], [0, 0, 1.0, 0]]), ["label"])
+    rows = models.csp_features(_flags(spark, d), np.array([[1.0, 0.001, -20.0, 0], [0.1, 0, 10.0, -5.0]]), ["label"])
     return rows.select("label", r6(F.get("features", F.lit(0)), "f0"), r6(F.get("features", F.lit(1)), "f1"))
 
 
-@query("SELECT l_returnflag, round(covar_samp(l_quantity, l_extendedprice), 4) AS c01, round(var_samp(l_discount), 8) AS c22 FROM lineitem GROUP BY l_returnflag")
+_CELLS = ", ".join(f"covar_samp(x[{min(i, j) + 1}], x[{max(i, j) + 1}])" for i in range(4) for j in range(4))
+
+
+@query(f"SELECT l_returnflag, CAST(unnest(range(16)) AS INT) AS i, round(unnest(m), 4) AS c FROM (SELECT l_returnflag, [{_CELLS}] AS m FROM {LI} GROUP BY l_returnflag)")
 def trial_covariances(spark, d):
     rows = models.trial_covariances(A.frames(spark, d), ["l_returnflag"])
-    return rows.select("l_returnflag", F.round(F.get("m", F.lit(1)), 4).alias("c01"), F.round(F.get("m", F.lit(10)), 8).alias("c22"))
+    return rows.select("l_returnflag", F.posexplode("m").alias("i", "c")).withColumn("c", F.round("c", 4))
+
+
+_PACKET = "event_id % 256, event_id // 256 % 256, event_id // 65536 % 256, event_id // 16777216 % 256, user_id % 256, (a + 65536) % 256, (a + 65536) // 256 % 256"
 
 
-@query("SELECT event_id, printf('%02x%02x%02x%02x%02x00', event_id % 256, event_id // 256 % 256, event_id // 65536 % 256, event_id // 16777216 % 256, user_id % 256) AS low FROM events")
+@query(f"SELECT event_id, printf('%02x%02x%02x%02x%02x00%02x%02x', {_PACKET}) AS packet FROM (SELECT *, CAST(trunc(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, value / 1000)) * 32767.0::DOUBLE) AS BIGINT) AS a FROM events)")
 def spike_packets(spark, d):
     rows = A.table(spark, d, "events").select("event_id", F.col("event_id").alias("sample"), (F.col("user_id") % 256).alias("channel"), F.lit(0).alias("cluster_id"), (F.col("value") / 1000).alias("amplitude"))
-    return packets.with_packets(rows).select("event_id", F.lower(F.substring(F.hex("packet"), 1, 12)).alias("low"))
+    return packets.with_packets(rows).select("event_id", F.lower(F.hex("packet")).alias("packet"))
 
 
 @query("SELECT event_id, CAST(event_id % 65536 - 32768 AS INT) AS signed FROM events")
