@@ -127,3 +127,23 @@ def test_packets(spark):
     df = spark.createDataFrame([(70_000, 3, 9, -0.5), (2**32 + 1, 255, 0, 7.0)], "sample long, channel int, cluster_id int, amplitude double")
     assert [bytes(r.packet) for r in packets.with_packets(df).collect()] == [raw, packets.spike_bytes(1, 255, 0, 7.0)]
     assert [r[0] for r in spark.createDataFrame([(0,), (32768,), (65535,)], "v int").select(packets.adc_signed("v")).collect()] == [-32768, 0, 32767]
+
+
+def test_written_files_read_back(tmp_path):
+    from sigloom.sources import writers
+
+    signals = [files.EdfSignal("a", "t", "uV", -100.0, 100.0, -2048, 2047, "-", 3), files.EdfSignal("b", "t", "uV", 0.0, 1.0, 0, 1, "-", 2)]
+    raw = writers.edf(signals, [np.array([-100.0, 0.0, 100.0, 500.0, -500.0, 1.0]), np.array([0.2, 0.8, 0.5, 0.4])], records=2, patient="p")
+    h = files.edf_header(raw)
+    assert (h.patient, h.records, [s.label for s in h.signals], h.record_bytes) == ("p", 2, ["a", "b"], 10)
+    assert np.allclose(files.edf_records(raw[h.header_bytes :], h, 0), [-100, 0, 100, 100, -100, 1], atol=0.05)
+    assert files.edf_records(raw[h.header_bytes :], h, 1).tolist() == [0, 1, 1, 0]
+    for kind in files.MDA_TYPES.values():
+        x = np.arange(12).astype(kind).reshape(3, 4)
+        raw = writers.mda(x)
+        h = files.mda_header(raw[:512], len(raw))
+        assert h.dims == (3, 4) and np.frombuffer(raw[h.offset :], h.dtype).reshape(4, 3).T.tolist() == x.tolist()
+    with pytest.raises(ValueError):
+        writers.mda(np.zeros(2, "<i8"))
+    writers.put(f"{tmp_path}/deep/folder/x.mda", raw)
+    assert (tmp_path / "deep/folder/x.mda").read_bytes() == raw
