@@ -415,7 +415,7 @@ def _join_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def link_classes(found: DataFrame) -> DataFrame:
     """(node, component) of the classes that link to a lesser one, from the durable table of ``candidates``."""
-    pairs = found.select("cls", F.explode("prefix").alias("token"))
+    pairs = durable(found.select("cls", F.explode("prefix").alias("token")))
     least = pairs.groupBy("token").agg(F.min("cls").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
     grouped = connected_components(pairs.join(least, "token").select(F.col("cls").alias("a"), "b").distinct())
     sized = grouped.groupBy("component").agg(F.count("*").alias("members"))
@@ -443,7 +443,7 @@ def _across_blocks(large: DataFrame, prefixes: DataFrame) -> DataFrame:
     main = labelled.groupBy("component", "label").agg(F.count("*").alias("held")).groupBy("component").agg(F.max_by("label", F.struct("held", "label")).alias("main"))
     judged = labelled.join(main, "component")
     # What is outside a group's main result meets the sets that share a shingle of its prefix. Shingles of the same sets are one.
-    told = prefixes.join(judged.select("component", "cls", (F.col("label") != F.col("main")).alias("rest")), "cls")
+    told = durable(prefixes.join(judged.select("component", "cls", (F.col("label") != F.col("main")).alias("rest")), "cls"))
     marks = [F.bit_xor(F.xxhash64(F.lit(k), F.col("cls"))) for k in (1, 2)]
     lists = told.groupBy("component", "token").agg(F.count("*").alias("sets"), F.count_if("rest").alias("few"), F.struct(*marks).alias("mark")).where("few > 0 and sets > 1")
     buckets = durable(lists.groupBy("component", "sets", "few", "mark").agg(F.min("token").alias("token")).select("component", "token", F.ceil(F.col("sets") / BLOCK).alias("blocks"), F.ceil(F.col("few") / BLOCK).alias("parts")))
