@@ -157,7 +157,7 @@ def utah_array(spark: SparkSession) -> DataFrame:
 def probe_pairs(probe: DataFrame) -> DataFrame:
     """Distances of all ordered pairs of channels; a probe has a few hundred."""
     a, b = probe.select("channel", F.col("x").alias("xa"), F.col("y").alias("ya")), probe.select(F.col("channel").alias("neighbor"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    pairs = a.crossJoin(F.broadcast(b)).where("channel != neighbor")
+    pairs = a.crossJoin(b).where("channel != neighbor")
     return pairs.select("channel", "neighbor", F.sqrt((F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2).alias("distance"))
 
 
@@ -180,7 +180,7 @@ def extent(probe: DataFrame) -> DataFrame:
 def centre_of_mass(amplitudes: DataFrame, probe: DataFrame, by: list[str], threshold: float | None = None) -> DataFrame:
     """Mean position weighted by |amplitude|. Without weight: (0, 0), or null where a threshold leaves nothing."""
     w = F.abs("amplitude")
-    placed = amplitudes.join(F.broadcast(probe), "channel")  # a row for each channel
+    placed = amplitudes.join(probe, "channel")
     w = w if threshold is None else F.when(w >= threshold, w).otherwise(0.0)
     empty = F.lit(0.0) if threshold is None else F.lit(None).cast("double")
     sums = placed.groupBy(*by).agg(F.sum(w).alias("_w"), F.sum(w * F.col("x")).alias("_x"), F.sum(w * F.col("y")).alias("_y"))

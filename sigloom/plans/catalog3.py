@@ -93,7 +93,7 @@ def _spd(spark, d):
 def mdm_classifier(spark, d):
     rows = _spd(spark, d)
     labels = [0, 1]
-    return models.Mdm(labels, [models.frechet_mean(rows.where(F.col("label") == k), most=3) for k in labels]).predict(rows)
+    return models.Mdm(labels, [models.frechet_mean(rows.where(F.col("label") == k)) for k in labels]).predict(rows)
 
 
 def _epochs(spark, d):
@@ -126,13 +126,13 @@ def kalman_track(spark, d):
 @query()
 def monopole_fit(spark, d):
     rows = A.samples(spark, d).withColumn("amplitude", F.col("value"))
-    return models.monopoles(rows.join(F.broadcast(spatial.polytrode(spark, 2048, 2, 32.0, 20.0)), "channel"), ["sample_idx"], 10.0, 20)
+    return models.monopoles(rows.join(spatial.polytrode(spark, 2048, 2, 32.0, 20.0), "channel"), ["sample_idx"], 10.0)
 
 
 @query()
 def gmm_components(spark, d):
     rows = _scaled(spark, d)
-    return models.fit_gmm(rows, np.array([[0.2, 0.3, 0.2, 0.2], [0.5, 0.8, 0.5, 0.4], [0.9, 1.2, 0.8, 0.6]]), most=5).predict(rows).select("l_orderkey", "l_linenumber", "component")
+    return models.fit_gmm(rows, np.array([[0.2, 0.3, 0.2, 0.2], [0.5, 0.8, 0.5, 0.4], [0.9, 1.2, 0.8, 0.6]])).predict(rows).select("l_orderkey", "l_linenumber", "component")
 
 
 @query()
