@@ -6,8 +6,8 @@ Ranks are taken in rising order, every merge is applied at all its positions, an
 the index anew. A merge that creates a pair of lower rank inside a word puts the rest of this word back, so that the
 result of every word is that of merging its lowest, leftmost pair again and again.
 
-Null texts count as empty; an empty text has no tokens; very long words cost n log n. Encoded words are kept from slab
-to slab up to a bounded number (recomputed after that; the result does not depend on it).
+Null texts count as empty; an empty text has no tokens; very long words cost n log n. A worker keeps encoded words from slab
+to slab and from task to task, up to a bounded number; the older half of them makes room. The result does not depend on it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from __future__ import annotations
 import base64
 import bisect
 import heapq
+import sys
+from hashlib import sha256
+from itertools import islice
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import map_arrow
+from sigloom.llm.common import map_arrow, with_fields
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Encoded words that a task remembers, and the longest of them.
-KEPT_WORDS, KEPT_BYTES = 1_000_000, 64
+#: Encoded words that a worker remembers, and the longest of them.
+KEPT_WORDS, KEPT_BYTES = 700_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -74,6 +78,7 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
         places = index.pop(now)
         if len(places) > 1:
             places = sorted(set(places))
+        here = now << 32
         held = -1  # positions below this wait: their word has a pair of lower rank now
         for i in places:
             if current[i] != now:
@@ -85,27 +90,36 @@ def replay(words: list[bytes], merges: Merges) -> list[bytes]:
                     index[now] = [i]
                     push(heap, now)
                 continue
-            j = after[i]
+            j, h = after[i], before[i]
             k = after[j]
             token[i], token[j], current[j] = now, -2, -1
             after[i], before[k] = k, i
-            for left, right, at in ((now, token[k], i), (token[before[i]], now, before[i])):
-                if left < 0 or right < 0:
-                    if at == i:
-                        current[i] = -1
-                    continue
-                new = get(left << 32 | right)
-                if new is None:
-                    current[at] = -1
-                    continue
-                current[at] = new
+            right, left = token[k], token[h]
+            new = get(here | right) if right >= 0 else None
+            if new is None:
+                current[i] = -1
+            else:
+                current[i] = new
                 if new in index:
-                    index[new].append(at)
+                    index[new].append(i)
                 else:
-                    index[new] = [at]
+                    index[new] = [i]
                     push(heap, new)
                 if new < now:
                     held = ends[bisect.bisect_left(ends, i)]
+            if left >= 0:
+                new = get(left << 32 | now)
+                if new is None:
+                    current[h] = -1
+                else:
+                    current[h] = new
+                    if new in index:
+                        index[new].append(h)
+                    else:
+                        index[new] = [h]
+                        push(heap, new)
+                    if new < now:
+                        held = ends[bisect.bisect_left(ends, i)]
     final = np.array(token, np.int64)
     alive = final >= 0
     flat, count = final[alive].astype("<u4").tobytes(), np.r_[0, np.cumsum(alive)]
@@ -128,8 +142,9 @@ class Coder:
         new = {w for words in split for w in words if w not in known}
         if new:
             if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = {w for words in split for w in words}
+                for w in list(islice(known, len(known) // 2)):
+                    del known[w]
+                new = {w for words in split for w in words if w not in known}
             raw = {w: w.encode() for w in new}
             whole = {w: np.array([self.ranks[b]], "<u4").tobytes() for w, b in raw.items() if b in self.ranks}
             rest = [w for w in new if w not in whole]
@@ -143,9 +158,19 @@ class Coder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+def coder_of(name: str, ranks: dict[bytes, int], pattern: str) -> Coder:
+    """The worker's coder of a vocabulary. Code travels by value, so that what outlives a task has its home among the modules."""
+    home = sys.modules.setdefault("sigloom_kept_coders", ModuleType("sigloom_kept_coders"))
+    if name not in home.__dict__:
+        home.__dict__[name] = Coder(ranks, pattern)
+    return home.__dict__[name]
+
+
 def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` without ``text`` (and with these replaced): ``ids`` binary (little-endian unsigned 32-bit), ``n_tokens`` long, ``decoded`` binary."""
-    sent = df.sparkSession.sparkContext.broadcast(read_ranks(path))  # a vocabulary file: bounded
+    ranks = read_ranks(path)
+    name = sha256(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
+    sent = df.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file: bounded
     keep = [f for f in df.schema if f.name not in (text, "ids", "n_tokens", "decoded")]
 
     def kernel(batch: pa.RecordBatch, coder: Coder):
@@ -155,8 +180,8 @@ def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text") ->
             names=[*(f.name for f in keep), "ids", "n_tokens", "decoded"],
         )
 
-    types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
-    return map_arrow(df.select(*(f"`{f.name}`" for f in keep), text), kernel, f"{types}ids binary, n_tokens long, decoded binary", text, lambda: Coder(sent.value, pattern))
+    more = "ids binary, n_tokens long, decoded binary"
+    return map_arrow(df.select(*(f"`{f.name}`" for f in keep), text), kernel, with_fields(keep, more), text, lambda: coder_of(name, sent.value, pattern))
 
 
 def public_vocabulary() -> tuple[str, str]:

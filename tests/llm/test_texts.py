@@ -54,6 +54,17 @@ def test_bpe_as_the_library(coders, texts):
         assert own.decode(ids).decode() == t
 
 
+def test_bpe_remembers_a_bounded_number_of_words(coders, monkeypatch):
+    """Whatever is forgotten, the result is the same."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 40)
+    own, library = bpe.Coder(coders[0].ranks, bpe.public_vocabulary()[1]), coders[1]
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        texts = [" ".join("".join(rng.choice(list("etaoinshr"), 7)) for _ in range(6)) for _ in range(2)]
+        assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+        assert len(own.known) <= 40
+
+
 def test_bpe_query(spark, coders):
     rows = [(1, "Hello world", "x"), (2, None, "x"), (3, "", "x"), (4, "a" * 3000 + " " * 500, "x"), (1, "Hello world", "x")]
     path, pattern = bpe.public_vocabulary()
