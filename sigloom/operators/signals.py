@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ def per_group(df: DataFrame, keys: list[str], kernel: Callable[[pa.Table], dict]
     fields = [tuple(c.strip().rsplit(" ", 1)) for c in schema.split(",")]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        if order:
-            table = table.sort_by(order)
+        if order and table.num_rows > 1:
+            at = table[order].combine_chunks()
+            if at.null_count or not pc.all(pc.less_equal(at.slice(0, len(at) - 1), at.slice(1))).as_py():
+                table = table.sort_by(order)
         out = kernel(table)
         n = len(out[fields[0][0]])
         columns = [pa.repeat(k, n) for k in key] + [pa.array(out[name], _ARROW[kind]) for name, kind in fields]
