@@ -12,7 +12,7 @@ comments (the words are given here) or what the labelled pages show beside artic
 break no region.
 
 The text is cut at block elements, references are decoded, white space becomes one space, and blocks are joined in page
-order. Weights are fitted on at most ``SAMPLE_PAGES`` pages of ``SAMPLE_BYTES`` at most (those whose keys hash lowest). Null
+order. A form around a whole page (an article, a main element or an ``h1``) is none of those left out. Weights are fitted on at most ``SAMPLE_PAGES`` pages of ``SAMPLE_BYTES`` at most (those whose keys hash lowest). Null
 or empty html gives an empty text, and so do pages without a region of positive score. Repeated rows give equal texts; very
 long pages take linear time; other columns stay as they are.
 """
@@ -58,28 +58,52 @@ _CUES = frozenset(
 )
 _FORMS = frozenset("post posts article articles page site main link links box bar block blocks wrapper wrap container section list item items area inner outer body content top bottom left right small large unit slot button buttons media icons icon form list message text js the my".split())
 _PLACES = frozenset("article main body html".split())
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its whole name and what it is set to, quoted or not, so that no value is read for names.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?|\"[^\"]*\"|'[^']*'")
+#: What a form may be around; a form around none of these is left out.
+_PAGE = re.compile(r"<(?:(article|main|h1)(?=[\s/>])|/form(?=[\s/>]))", re.I)
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-def names_of(attributes: str) -> list[str]:
+def attributes_of(said: str) -> list[tuple[str, str]]:
+    """Names (in lower case) and values of a tag's attributes in their order."""
+    return [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(said) if m[1]]
+
+
+def names_of(attributes: list[tuple[str, str]]) -> list[str]:
     """The names in class and id."""
-    return [name for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id") for name in (m[2] or m[3] or m[4] or "").split()]
+    return [part for name, value in attributes if name in ("class", "id") for part in value.split()]
 
 
-def set_apart(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether HTML says that an element is no main text; ``inside``: it stands in an article, which may have a header."""
+def set_apart(tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
+    """Whether HTML says that an element is no main text; ``inside``: it stands in an article, which may have a header.
+
+    ``aria-hidden`` says nothing: it hides from screen readers what others see.
+    """
     if tag in _DROPPED or tag == "header" and not inside:
         return True
-    for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+    for name, value in attributes:
+        if name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
             return True
-        if name == "role" and tag not in _PLACES and value in _ROLES:
+        if name == "role" and tag not in _PLACES and value.lower() in _ROLES:
             return True
     return False
 
 
+def around_page(html: str) -> set[int]:
+    """Where those forms end their opening tags that are around an article, a main element or the page's title."""
+    if not re.search("<form", html, re.I):
+        return set()
+    marks = [(m.start(), bool(m[1])) for m in _PAGE.finditer(html)]
+    at, out = 0, set()
+    for m in re.finditer(rf"<form(?=[\s/>]){_ATTRIBUTES}>", html, re.I):
+        while at < len(marks) and marks[at][0] < m.end():
+            at += 1
+        if at < len(marks) and marks[at][1]:
+            out.add(m.end())
+    return out
+
+
 def holder_of(html: str) -> str:
     """What holds a page's text: ``article``, or ``main`` where no article is opened, or nothing."""
     if not re.search("<(?:article|main)", html, re.I):
@@ -115,7 +139,7 @@ class Weights:
         for f in _TEXTUAL | _INLINE:
             self.tag[f] = max(self.tag.get(f, -0.1), -0.1)
 
-    def left_out(self, tag: str, attributes: str, inside: bool) -> bool:
+    def left_out(self, tag: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
         """Whether an element and all in it is no main text."""
         if set_apart(tag, attributes, inside):
             return True
@@ -139,7 +163,7 @@ def tokens(html: str, weights: Weights) -> list[tuple[str, str, list[str], bool,
     Kinds: ``tag``; ``skip``, a tag of what is left out; ``text``; ``drop``, a text that is left out. Features: names of the
     elements around a text, or ``.name`` of their classes and ids, ``a`` in a link, ``in`` or ``beside`` the page's article.
     """
-    holder = holder_of(html)
+    holder, whole = holder_of(html), around_page(html)
     stack: list[tuple[str, bool, int]] = []  # (tag, left out, features that it added)
     features: list[str] = []
     held: Counter = Counter()
@@ -157,7 +181,8 @@ def tokens(html: str, weights: Weights) -> list[tuple[str, str, list[str], bool,
             continue
         tag = m[3].lower()
         opens = not m[2] and tag not in _VOID and not m[4].endswith("/")
-        drop = opens and weights.left_out(tag, m[4], inside)
+        attributes = attributes_of(m[4]) if opens and m[4] else []
+        drop = opens and not (tag == "form" and m.end() in whole) and weights.left_out(tag, attributes, inside)
         out.append(("skip" if dropped or drop else "tag", tag, [], inside, 0))
         if m[2]:
             while held[tag]:  # everything that was opened since is closed too
@@ -169,7 +194,7 @@ def tokens(html: str, weights: Weights) -> list[tuple[str, str, list[str], bool,
                 if name == tag:
                     break
         elif opens:
-            named = sorted({"." + n.lower() for n in names_of(m[4])}) if m[4] and tag not in _PLACES else []
+            named = sorted({"." + n.lower() for n in names_of(attributes)}) if tag not in _PLACES else []
             own = named or [tag] if tag not in ("html", "body") else []
             if not features:
                 said = len(own) - 1

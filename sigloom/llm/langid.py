@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import sys
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,6 @@ PIECE = 1024
 UNKNOWN = "und"
 
 
-@lru_cache
 def _lower() -> np.ndarray:
     """The first code point of each letter in lower case, 0 for what is no letter."""
     out = np.zeros(sys.maxunicode + 1, np.int32)
@@ -243,7 +241,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     picked = named.select(key, lang).withColumn("_n", rank).where(F.col("_n") <= rows).select(key, lang)
     chosen = named.select(key, lang, text).join(F.broadcast(picked.distinct()), [key, lang])  # at most rows x languages
     texts: dict[str, list[str]] = {}
-    for r in chosen.dropDuplicates([key, lang]).orderBy(F.xxhash64(key), key).collect():
+    for r in chosen.groupBy(key, lang).agg(F.min(text).alias(text)).orderBy(F.xxhash64(key), key, lang).collect():
         texts.setdefault(r[lang], []).append(r[text])
     return Model(texts)
 

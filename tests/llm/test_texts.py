@@ -551,6 +551,44 @@ def test_articles_lose_nothing():
         assert html_text.main_text(html, weights) == want, html
 
 
+def test_values_of_attributes_are_no_names():
+    weights = html_text.Weights(LABELLED)
+    rest = "<p>First words of the page stand here</p>"
+    cases = {
+        f"<article>{rest}<p>a <a href='/wiki/hidden-falls'>waterfall called Foo</a></p></article>": "First words of the page stand here a waterfall called Foo",
+        f"<article><p title='Hidden gems'>Gems</p>{rest}</article>": "Gems First words of the page stand here",
+        f"<article><p onclick='toggle(hidden)'>Gems</p>{rest}</article>": "Gems First words of the page stand here",
+        f"<article data-title='The hidden path'>{rest}</article>": "First words of the page stand here",
+        f"<div data-hidden='false'>{rest}</div>": "First words of the page stand here",
+        f"<article>{rest}<a href='/t?id=comments'>and more</a></article>": "First words of the page stand here and more",
+        f"<article>{rest}<a href=/t?class=ad>and more</a></article>": "First words of the page stand here and more",
+        f"<form id='aspnetForm'><nav>a b</nav><article>{rest}</article><footer>c</footer></form>": "First words of the page stand here",
+        f"<body><form id='f'><h1>Head</h1>{rest}</form></body>": "Head First words of the page stand here",
+        f"<article>{rest}<span aria-hidden='true'>visible</span><p hidden>gone</p><p HIDDEN=''>gone</p></article><form><p>Your name</p></form>": "First words of the page stand here visible",
+        f"<article>{rest}<form><p>Sign up</p></form><form><p>unclosed": "First words of the page stand here",
+    }
+    for html, want in cases.items():
+        assert html_text.main_text(html, weights) == want, html
+    assert html_text.attributes_of(" a=1 B='x hidden' hidden c = \"d='e'\" / f") == [("a", "1"), ("b", "x hidden"), ("hidden", ""), ("c", "d='e'"), ("f", "")]
+
+
+VALUES = ["hidden", "/wiki/hidden-falls", "id=comments", "class='ad'", "display:none", "role=navigation", "the style hidden", "x"]
+ELEMENTS = ["p", "div", "span", "a", "b", "li", "td", "h2", "section", "blockquote"]
+LEFT = ["<script>no</script>", "<nav><p>no</p></nav>", "<aside>no</aside>", "<div class='ad'>no</div>", "<!-- no -->", "<p hidden>no</p>", "<form><p>no</p></form>"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(ELEMENTS), st.lists(st.tuples(st.sampled_from(["title", "href", "data-id", "data-hidden", "onclick", "alt"]), st.sampled_from(VALUES)), max_size=2), st.sampled_from([*LEFT, ""])), min_size=1, max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_every_word_of_an_article_is_kept(row):
+    """All words but those in left-out elements, whatever other attributes are set to."""
+    html, want = "", []
+    for k, (tag, attributes, left) in enumerate(row):
+        said = "".join(f' {a}="{v}"' for a, v in attributes)
+        html += f"<{tag}{said}> w{k}</{tag}>{left}"
+        want.append(f"w{k}")
+    assert html_text.main_text(f"<nav><a>x</a></nav><article>{html}</article><footer>y</footer>", html_text.Weights(LABELLED)).split() == want
+
+
 @given(st.lists(st.sampled_from([-2.0, -1.0, -0.5, 0.0, 0.25, 1.0, 3.0]), max_size=14))
 @settings(max_examples=200, deadline=None)
 def test_region_against_all_intervals(scores):
