@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,6 +11,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from pyspark.sql import SparkSession
 
+    # workers start in a folder without the repository and get no path to it: what they need must travel with the job
+    os.environ["PYTHONPATH"] = os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and not os.path.isdir(os.path.join(p, "sigloom")))
+    os.chdir(tempfile.mkdtemp())
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.driver.memory", "4g")

@@ -50,3 +50,17 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_workers_have_no_copy_of_the_code(spark):
+    """So that every test that runs a kernel shows that its code travels."""
+
+    def look(batches):
+        import importlib.util
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"found": [importlib.util.find_spec("sigloom") is not None]})
+
+    assert [r.found for r in spark.range(1).mapInArrow(look, "found boolean").collect()] == [False]
