@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from sigloom.functions import linear
 from sigloom.operators.signals import of_arrays, per_group
 from sigloom.operators.spatial import apply_matrix, covariance_matrix
-from sigloom.operators.sums import rows_of, summed
+from sigloom.operators.sums import moments_by, rows_of, summed, summed_by
 from sigloom.operators.temporal import KEYS
+from sigloom.sources.shared import removed, written
 
 
 # Principal components, independent components -------------------------------------------------------
@@ -98,9 +99,8 @@ def fit_ica(df: DataFrame, contrast: str = "logcosh", most: int = 200, tolerance
 
 
 def class_covariances(df: DataFrame, label: str = "label", x: str = "x") -> dict:
-    """Covariance of the frames of each class; classes are few."""
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    return {k: covariance_matrix(df.where(F.col(label) == k), x) for k in labels}
+    """class -> (mean, covariance, frames), of all classes in one pass."""
+    return moments_by(df, label, x)
 
 
 def fit_csp(df: DataFrame, filters: int = 4, ridge: float = 1e-6, label: str = "label", x: str = "x", least: int = 0) -> np.ndarray:
@@ -207,25 +207,39 @@ def _matrices(rows: np.ndarray) -> np.ndarray:
     return rows.reshape(-1, n, n)
 
 
-def frechet_mean(df: DataFrame, m: str = "m", most: int = 50, tolerance: float = 1e-8) -> np.ndarray:
-    """The Riemannian mean: one aggregation of logarithms a round."""
-    n = df.count()
-    mean = _matrices(summed(df, lambda r: r.sum(axis=0), m)[None, :] / n)[0]
-    best, rate, last = mean, 1.0, math.inf
+def frechet_means(df: DataFrame, label: str, m: str = "m", most: int = 50, tolerance: float = 1e-8) -> dict:
+    """class -> Riemannian mean of its matrices. They are written once, and each round sums the logarithms of all classes in one pass."""
+    spd = written(df.select(label, m))
+    first = summed_by(spd, label, lambda r, _: np.r_[len(r), r.sum(axis=0)], m)
+    n = {k: s[0] for k, s in first.items()}
+    mean = {k: _matrices(s[None, 1:] / s[0])[0] for k, s in first.items()}
+    best, rate, last = dict(mean), dict.fromkeys(mean, 1.0), dict.fromkeys(mean, math.inf)
     for _ in range(most):
-        inverse = linear.matrix_inv_sqrt(mean)
-        logs = _matrices(summed(df, lambda r, i=inverse: linear.matrix_log(i @ _matrices(r) @ i).sum(axis=0), m)[None, :] / n)[0]
-        size = float(np.linalg.norm(logs))
-        if size < last:
-            best, rate, last = mean, rate * 0.95, size
-        else:
-            rate *= 0.5
-        if size <= tolerance:
+        if not mean:
             break
-        mean = linear.frechet_step(mean, logs, rate)
+        inverse = {k: linear.matrix_inv_sqrt(v) for k, v in mean.items()}
+        moving = spd.where(F.col(label).isin(*mean)) if len(mean) < len(n) else spd
+        sums = summed_by(moving, label, lambda r, k, i=inverse: linear.matrix_log(i[k] @ _matrices(r) @ i[k]).sum(axis=0), m)
+        for k in list(mean):
+            logs = _matrices(sums[k][None, :] / n[k])[0]
+            size = float(np.linalg.norm(logs))
+            if size < last[k]:
+                best[k], rate[k], last[k] = mean[k], rate[k] * 0.95, size
+            else:
+                rate[k] *= 0.5
+            if size <= tolerance:
+                del mean[k]  # this class stands still
+            else:
+                mean[k] = linear.frechet_step(mean[k], logs, rate[k])
+    removed(spd)
     return best
 
 
+def frechet_mean(df: DataFrame, m: str = "m", most: int = 50, tolerance: float = 1e-8) -> np.ndarray:
+    """The Riemannian mean of all matrices."""
+    return frechet_means(df.select(F.lit(0).alias("label"), m), "label", m, most, tolerance)[0]
+
+
 def tangent_vectors(df: DataFrame, reference: np.ndarray, m: str = "m", out: str = "features") -> DataFrame:
     return of_arrays(df, lambda r: np.stack([linear.tangent(p, reference) for p in _matrices(r)]), m, out)
 
@@ -248,8 +262,8 @@ class Mdm:
 
 
 def fit_mdm(df: DataFrame, label: str = "label", m: str = "m") -> Mdm:
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    return Mdm(labels, [frechet_mean(df.where(F.col(label) == k), m) for k in labels])
+    means = frechet_means(df, label, m)
+    return Mdm(list(means), list(means.values()))
 
 
 # Correlation of trials ------------------------------------------------------------------------------
@@ -429,9 +443,13 @@ class Gmm:
 
 
 def fit_gmm(df: DataFrame, centroids: np.ndarray, ridge: float = 1e-6, most: int = 50, x: str = "x") -> Gmm:
-    """EM with full covariances from given centroids; one aggregation a round, until the mean log-likelihood stands still."""
+    """EM with full covariances from given centroids; one aggregation a round, until the mean log-likelihood stands still.
+
+    The vectors alone are written once, as a table that all rounds read.
+    """
     k, d = centroids.shape
-    _, cov, n = covariance_matrix(df, x)
+    points = written(df.select(x))
+    _, cov, n = covariance_matrix(points, x)
     model = Gmm(np.full(k, 1 / k), centroids, np.repeat((cov + ridge * np.eye(d))[None], k, axis=0), -math.inf, n)
     for _ in range(most):
 
@@ -442,7 +460,7 @@ def fit_gmm(df: DataFrame, centroids: np.ndarray, ridge: float = 1e-6, most: int
             r = np.exp(lp - norm[:, None])
             return np.concatenate([[norm.sum()], r.sum(axis=0), (r.T @ rows).reshape(-1), np.einsum("nk,ni,nj->kij", r, rows, rows).reshape(-1)])
 
-        s = summed(df, part, x)
+        s = summed(points, part, x)
         held = np.maximum(s[1 : 1 + k], 1e-12)
         means = s[1 + k : 1 + k + k * d].reshape(k, d) / held[:, None]
         covs = s[1 + k + k * d :].reshape(k, d, d) / held[:, None, None] - means[:, :, None] * means[:, None, :] + ridge * np.eye(d)
@@ -450,6 +468,7 @@ def fit_gmm(df: DataFrame, centroids: np.ndarray, ridge: float = 1e-6, most: int
         model = Gmm(held / n, means, covs, float(s[0]), n)
         if still:
             break
+    removed(points)
     return model
 
 

@@ -10,10 +10,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from sigloom.functions.columns import distance_sq, ncc
+from sigloom.operators.sums import moments_by, nth_smallest, whole_rows
 from sigloom.plans.joins import band_join
 
 #: Points of a block whose distances are taken at once.
 BLOCK = 512
+#: Bytes of clusters' matrices that one pass over all points takes along.
+PASS_BYTES = 32 << 20
 
 
 def intervals(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
@@ -156,10 +159,54 @@ def distances_sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def isolation(distances: DataFrame, keys: list[str], members: str, distance: str) -> DataFrame:
-    """The n-th least squared distance of non-members, n the cluster's size; null where there are fewer."""
-    ranked = distances.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(distance)))
-    return ranked.groupBy(*keys).agg(F.max(F.when(F.col("_n") == F.col(members), F.col(distance))).alias("isolation"))
+def mahalanobis_sq(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Squared length of ``scale`` times what each row differs from the mean by; a row's result does not depend on the others."""
+    out = np.empty(len(x))
+    for k in range(0, len(x), 64):
+        y = ((x[k : k + 64] - mean)[:, None, :] * scale).sum(axis=2)
+        out[k : k + 64] = (y * y).sum(axis=1)
+    return out
+
+
+def isolation(df: DataFrame, label: str = "label", x: str = "x", ridge: float = 0.0, euclidean: bool = False) -> DataFrame:
+    """(label, members, isolation): the n-th least squared Mahalanobis distance of non-members, n the cluster's size.
+
+    Null where there are fewer non-members, or where the covariance (with ``ridge`` on its diagonal) has no inverse; a row
+    without a label is nobody's member. One pass gives all clusters' moments, and four count the digits of the distances, so
+    that no task gets a cluster's distances to sort. Passes take as many clusters as ``PASS_BYTES`` of matrices hold.
+    """
+    spark, kind = df.sparkSession, df.schema[label]
+    found = moments_by(df, label, x)
+    scales, names = [], list(found)
+    for mean, cov, _ in found.values():
+        try:
+            scales.append(np.eye(len(mean)) if euclidean else np.linalg.inv(np.linalg.cholesky(cov + ridge * np.eye(len(mean)))))
+        except np.linalg.LinAlgError:
+            scales.append(None)
+    out = np.full(len(names), np.nan)
+    width = len(next(iter(found.values()))[0]) if found else 0
+    usable = [k for k, s in enumerate(scales) if s is not None]
+    step = max(1, PASS_BYTES // max(1, 8 * width * (width + 1)))
+    for start in range(0, len(usable), step):
+        part = usable[start : start + step]
+        models = [(names[k], found[names[k]][0], scales[k]) for k in part]
+
+        def values(batch: pa.RecordBatch, models=models):
+            rows, at = whole_rows(batch.column(1))
+            if not len(rows):
+                return np.zeros(0, np.int64), np.zeros(0)
+            codes = batch.column(0).dictionary_encode()
+            index, known = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)[at], codes.dictionary.to_pylist()
+            groups, distances = [], []
+            for g, (name, mean, scale) in enumerate(models):
+                others = index != known.index(name) if name in known else np.ones(len(rows), bool)
+                distances.append(mahalanobis_sq(rows[others], mean, scale))
+                groups.append(np.full(len(distances[-1]), g))
+            return np.concatenate(groups), np.concatenate(distances)
+
+        out[part] = nth_smallest(df, [label, x], values, np.array([found[names[k]][2] for k in part]))
+    fields = StructType([StructField(label, kind.dataType), StructField("members", LongType()), StructField("isolation", DoubleType())])
+    return spark.createDataFrame([(k, found[k][2], None if np.isnan(v) else float(v)) for k, v in zip(names, out)], fields)  # a row a cluster
 
 
 # Templates ----------------------------------------------------------------------------------------

@@ -92,8 +92,7 @@ def _spd(spark, d):
 @query()
 def mdm_classifier(spark, d):
     rows = _spd(spark, d)
-    labels = [0, 1]
-    return models.Mdm(labels, [models.frechet_mean(rows.where(F.col("label") == k)) for k in labels]).predict(rows)
+    return models.fit_mdm(rows).predict(rows)
 
 
 def _epochs(spark, d):

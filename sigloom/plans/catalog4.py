@@ -17,6 +17,8 @@ from sigloom.plans.catalog3 import _flags, _scaled, _spd
 from sigloom.streaming import processors
 
 IDS = ("channel", "sample_idx")
+_SCALED = f"(SELECT l_orderkey, l_linenumber, l_returnflag, [x[1] / 50, x[2] / 50000, x[3] * 10, x[4] * 10] AS x FROM {LI})"
+_ENTRIES = ", ".join(f"covar_samp(x[{i + 1}], x[{j + 1}]) AS g{i}{j}" for i in range(4) for j in range(i, 4))
 
 
 # Entropy and coupling -------------------------------------------------------------------------------
@@ -348,15 +350,25 @@ def described_pipeline(spark, d):
     "SELECT label, round(max(CASE WHEN k = members THEN d END), 6) AS isolation FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d) AS k FROM o) GROUP BY label"
 )
 def isolation_rank(spark, d):
-    return trains.isolation(_far(spark, d), ["label"], "members", "d").select("label", r6("isolation", "isolation"))
+    """The same measure without the covariance."""
+    return trains.isolation(A.vectors(spark, d), euclidean=True).select("label", r6("isolation", "isolation"))
 
 
-def _far(spark, d):
-    """Squared distances of all vectors to the means of the other clusters."""
-    rows = A.vectors(spark, d)
-    means = trains.cluster_means(rows).select(F.struct("label", "mean", "members").alias("c")).agg(F.collect_list("c")).scalar()
-    others = rows.select("label", "x", F.explode(means).alias("c")).where(F.col("c.label") != F.col("label"))
-    return others.select(F.col("c.label").alias("label"), F.col("c.members").alias("members"), C.distance_sq("x", F.col("c.mean")).alias("d"))
+def _sql_isolation() -> str:
+    """Of all rows outside a class, the n-th least product of what they differ by with the solution of the class's covariance."""
+    moments = ", ".join([f"avg(x[{i + 1}]) AS m{i}" for i in range(4)] + [f"covar_samp(x[{i + 1}], x[{j + 1}]) AS g{i}{j}" for i in range(4) for j in range(i, 4)])
+    gaps = ", ".join(f"e.x[{i + 1}] - c.m{i} AS h{i}" for i in range(4))
+    return (
+        f"WITH c AS MATERIALIZED (SELECT l_returnflag AS label, count(*) AS members, {moments} FROM {_SCALED} GROUP BY label), "
+        f"o AS (SELECT label, members, {' + '.join(f'h{i} * b{i}' for i in range(4))} AS d FROM (SELECT *, {_eliminated(4)} FROM (SELECT c.*, {gaps} FROM c JOIN {_SCALED} e ON e.l_returnflag <> c.label))) "
+        "SELECT label, members, round(max(CASE WHEN k = members THEN d END), 5) AS isolation FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d) AS k FROM o) GROUP BY ALL"
+    )
+
+
+@query(_sql_isolation())
+def isolation_distance(spark, d):
+    rows = _scaled(spark, d).withColumnRenamed("l_returnflag", "label")
+    return trains.isolation(rows).select("label", "members", F.round("isolation", 5).alias("isolation"))
 
 
 @query(f"SELECT vec_id, round(list_sum([p[1] * p[2] FOR p IN list_zip(x, range(1, 65))]), 6) AS weighted, round(list_sum([p[1] * (p[2] % 2 * 2 - 1) FOR p IN list_zip(x, range(1, 65))]), 6) AS alternating FROM {EM}")
@@ -398,8 +410,6 @@ def event_dedup(spark, d):
     return signals.deduplicated(rows, _long_probe(spark), 45.0, 2).select("sample", "channel", "amplitude")
 
 
-_SCALED = f"(SELECT l_orderkey, l_linenumber, l_returnflag, [x[1] / 50, x[2] / 50000, x[3] * 10, x[4] * 10] AS x FROM {LI})"
-_ENTRIES = ", ".join(f"covar_samp(x[{i + 1}], x[{j + 1}]) AS g{i}{j}" for i in range(4) for j in range(i, 4))
 
 
 @query(f"SELECT round(avg(ln(g00) + ln(e0_1_1) + ln(e1_2_2) + ln(e2_3_3)), 4) AS log_volume FROM (SELECT *, {_eliminated(4)} FROM (SELECT *, 0.0 AS h0, 0.0 AS h1, 0.0 AS h2, 0.0 AS h3 FROM (SELECT l_orderkey % 50 AS trial_id, {_ENTRIES} FROM {_SCALED} GROUP BY trial_id)))")

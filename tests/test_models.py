@@ -321,3 +321,64 @@ def test_short_and_empty_tables(spark):
     for f in (lambda d: temporal.neo(d), lambda d: temporal.artifacts(d), lambda d: temporal.zero_crossing_rate(d), lambda d: signals.lowpass(d, 100.0, 10.0), lambda d: signals.welch(d, 100.0, 16), lambda d: temporal.median_filter(d, 5), lambda d: signals.threshold_hits(d, 1.0, 3)):
         assert f(none).count() == 0
         f(one).collect()
+
+
+def test_nth_smallest_without_a_sort(spark):
+    """Ties, signs, infinities and NaN; groups that have fewer; group 0 holds most of all rows."""
+    import pyarrow as pa
+
+    from sigloom.operators.sums import nth_smallest
+
+    rng = np.random.default_rng(8)
+    g = np.where(rng.random(4000) < 0.7, 0, rng.integers(1, 5, 4000))
+    v = rng.choice([0.0, -0.0, 1.5, -2.25, 1e300, -1e-300, np.inf, -np.inf, np.nan, *rng.normal(size=40)], 4000)
+    rows = spark.createDataFrame(pa.table({"g": g, "v": v})).repartition(5)
+    n = np.array([1200, 1, 200, 0, 100_000])
+    got = nth_smallest(rows, ["g", "v"], lambda b: (b.column(0).to_numpy(), b.column(1).to_numpy()), n)
+    want = [np.sort(v[(g == k) & ~np.isnan(v)]) for k in range(5)]
+    assert [got[k] for k in range(3)] == [want[k][n[k] - 1] for k in range(3)] and np.isnan(got[3:]).all()
+
+
+def test_isolation_against_all_distances(spark, monkeypatch):
+    from sigloom.operators import trains
+
+    monkeypatch.setattr(trains, "PASS_BYTES", 200)  # a few clusters a pass
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(900, 3)) @ rng.normal(size=(3, 3)) + 100
+    label = np.where(np.arange(900) % 3, 0, rng.integers(1, 7, 900))
+    label[:2] = 8  # two members have no inverse
+    x[label == 3] += 4
+    rows = [(int(k) if i % 50 else None, v.tolist()) for i, (k, v) in enumerate(zip(label, x))] + [(1, None), (2, [1.0, None, 2.0])]
+    got = {r.label: (r.members, r.isolation) for r in trains.isolation(spark.createDataFrame(rows, "label int, x array<double>").repartition(4)).collect()}
+    keep = [(k, np.array(v)) for k, v in rows[:900]]
+    for k in sorted({k for k, _ in keep if k is not None}):
+        own = np.array([v for c, v in keep if c == k])
+        rest = np.array([v for c, v in keep if c != k])
+        n, found = got[k]
+        assert n == len(own)
+        if k == 8:
+            assert found is None
+            continue
+        z = rest - own.mean(axis=0)
+        d = np.sort(np.einsum("ni,ij,nj->n", z, np.linalg.inv(np.cov(own.T)), z))
+        assert found is None if len(d) < n else abs(found - d[n - 1]) < 1e-7 * d[n - 1]
+    assert trains.isolation(spark.createDataFrame([], "label int, x array<double>")).collect() == []
+
+
+def test_all_classes_in_one_pass(spark):
+    from sigloom.operators.sums import moments_by
+
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(400, 4)) + 1e6, rng.choice(["a", "b", "c"], 400)
+    label[0] = "z"
+    rows = [(str(k), v.tolist()) for k, v in zip(label, x)] + [(None, [0.0] * 4), ("a", None), ("a", [1.0, float("nan"), 0.0, 0.0])]
+    got = moments_by(spark.createDataFrame(rows, "label string, x array<double>").repartition(3), "label")
+    assert list(got) == ["a", "b", "c", "z"] and got["z"][2] == 1 and not got["z"][1].any()
+    for k in "abc":
+        own = x[label == k]
+        assert got[k][2] == len(own) and np.allclose(got[k][0], own.mean(axis=0)) and np.allclose(got[k][1], np.cov(own.T), atol=1e-9)
+    spd = [(k % 2, (np.eye(3) * (1 + k % 2) + 0.1 * np.outer(v[:3] - 1e6, v[:3] - 1e6)).reshape(-1).tolist()) for k, v in enumerate(x[:60])]
+    means = models.frechet_means(spark.createDataFrame(spd, "label int, m array<double>"), "label")
+    for k in (0, 1):
+        alone = linear.frechet_mean(np.array([m for c, m in spd if c == k]).reshape(-1, 3, 3))
+        assert np.allclose(means[k], alone, atol=1e-5)
