@@ -90,10 +90,11 @@ def envelope(x: np.ndarray, attack: float, release: float, squared: bool = False
     return out
 
 
-def lms(u: np.ndarray, d: np.ndarray, taps: int, mu: float = 0.01, epsilon: float | None = None, weights: np.ndarray | None = None, learn: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(output, error, weights) of the least-mean-squares filter; normalised where ``epsilon`` is given."""
+def lms(u: np.ndarray, d: np.ndarray, taps: int, mu: float = 0.01, epsilon: float | None = None, weights: np.ndarray | None = None, learn: bool = True, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(output, error, weights) of the least-mean-squares filter; normalised where ``epsilon`` is given. ``before``: samples ahead of ``u``, else zeros."""
     w = np.zeros(taps) if weights is None else np.array(weights, float)
-    padded = np.concatenate([np.zeros(taps - 1), np.asarray(u, float)])
+    past = np.zeros(0) if before is None or taps == 1 else np.asarray(before, float)[1 - taps :]
+    padded = np.concatenate([np.zeros(taps - 1 - len(past)), past, np.asarray(u, float)])
     y, e = np.zeros(len(u)), np.zeros(len(u))
     for k in range(len(u)):
         line = padded[k : k + taps][::-1]
@@ -147,30 +148,47 @@ def sneo(x: np.ndarray, half: int) -> np.ndarray:
     return np.convolve(e, taps)[half : half + len(e)] / taps.sum() if len(e) else e
 
 
-def oasis(f: np.ndarray, gamma: float, penalty: float, baseline: float | np.ndarray = 0.0, most: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(calcium, spike) by pool-adjacent merging; the two oldest pools become one where ``most`` are held."""
-    seen = np.maximum(np.asarray(f, float) - baseline, 0.0)
-    rise = penalty * (1 - gamma)
-    pools: list[list[float]] = []
-    calcium = np.zeros(len(seen))
-
-    def merge(i: int) -> None:
-        (v1, w1, n1), (v2, w2, n2) = pools[i], pools[i + 1]
-        share = gamma**n1 * w2
-        pools[i : i + 2] = [[(w1 * v1 + share * v2) / (w1 + share), w1 + share, n1 + n2]]
-
-    for t, v in enumerate(seen.tolist()):
-        if len(pools) >= most:
-            merge(0)
-        pools.append([v, 1.0, 1])
-        i = len(pools) - 1
-        while i > 0:
-            if pools[i][0] > gamma * pools[i - 1][0] + rise:
-                merge(i - 1)
-            i -= 1
-        calcium[t] = pools[-1][0]
-    spike = np.maximum(calcium - gamma * np.concatenate([[0.0], calcium[:-1]]), 0) if len(calcium) else calcium
-    return calcium, spike
+class Oasis:
+    """Pools of a trace deconvolved as it comes: (value, weight, length) each, from the oldest on.
+
+    A sample becomes a pool; then, from the newest pair to the oldest, pools become one where the later begins above what the earlier
+    decays to. The two oldest become one where ``most`` are held (None: any number).
+    """
+
+    def __init__(self, gamma: float, penalty: float, baseline: float = 0.0, most: int | None = None):
+        self.gamma, self.rise, self.baseline, self.most = gamma, penalty * (1 - gamma), baseline, most
+        self.pools: list[tuple[float, float, int]] = []
+        self.last = 0.0
+
+    def _joined(self, a: tuple[float, float, int], b: tuple[float, float, int]) -> tuple[float, float, int]:
+        share = self.gamma ** a[2] * b[1]
+        weight = a[1] + share
+        return (a[1] * a[0] + share * b[0]) / weight, weight, a[2] + b[2]
+
+    def run(self, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(calcium, spike) of the next samples."""
+        calcium = np.zeros(len(f))
+        for t, v in enumerate(np.maximum(np.asarray(f, float) - self.baseline, 0.0).tolist()):
+            if self.most and len(self.pools) >= self.most:
+                self.pools[:2] = [self._joined(*self.pools[:2])] if len(self.pools) > 1 else self.pools
+            swept, now = [], (v, 1.0, 1)
+            for earlier in reversed(self.pools):
+                if now[0] > self.gamma * earlier[0] + self.rise:
+                    now = self._joined(earlier, now)
+                else:
+                    swept.append(now)
+                    now = earlier
+            swept.append(now)
+            self.pools = swept[::-1]
+            calcium[t] = self.pools[-1][0]
+        spike = np.maximum(calcium - self.gamma * np.concatenate([[self.last], calcium[:-1]]), 0) if len(calcium) else calcium
+        self.last = float(calcium[-1]) if len(calcium) else self.last
+        return calcium, spike
+
+
+def oasis(f: np.ndarray, gamma: float, penalty: float, baseline: float = 0.0, most: int | None = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(calcium, spike) of a whole trace."""
+    return Oasis(gamma, penalty, baseline, most).run(f)
 
 
 # Streaming percentile -----------------------------------------------------------------------------
@@ -235,11 +253,18 @@ def refractory_hits(over: np.ndarray, refractory: int) -> np.ndarray:
     return at[refractory_positions(at, refractory)]
 
 
-def first_hits(frames: np.ndarray, threshold: float, refractory: int) -> list[tuple[int, int, float]]:
-    """(sample, channel, value) where only the first channel of a sample may hit; later channels keep their counters."""
+def first_hits(frames: np.ndarray, threshold: float, refractory: int, number: np.ndarray | None = None) -> list[tuple[int, int, float]]:
+    """(row, channel, value) where only the first channel of a frame may hit; later channels keep their counters.
+
+    ``number``: the frames' places, where those without any sample beyond the threshold are left out.
+    """
     wait = [0] * frames.shape[1]
-    out = []
-    for t, row in enumerate(frames.tolist()):
+    out, before = [], None
+    for t, (row, place) in enumerate(zip(frames.tolist(), range(len(frames)) if number is None else number.tolist())):
+        quiet = 0 if before is None else place - before - 1
+        before = place
+        if quiet:
+            wait = [max(0, w - quiet) for w in wait]
         for c, v in enumerate(row):
             if wait[c] > 0:
                 wait[c] -= 1

@@ -1,7 +1,8 @@
 """Order-dependent operators: numpy kernels over one channel (or one run of it) at a time, Arrow in and out.
 
 ``per_channel`` holds a channel's samples in one task. Recordings too long for that go through ``filtered_in_blocks``
-(linear recurrences: exact state hand-over between blocks) or through sessions cut at gaps (greedy detectors).
+(linear recurrences: exact state hand-over between blocks), through ``scans`` (streams that carry a state, and blocks whose
+effects on it are composed) or through sessions cut at gaps (greedy detectors).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 from sigloom.functions import design, kernels, spectrum
 from sigloom.functions.design import Section
+from sigloom.operators import scans
+from sigloom.operators.scans import scanned, scanned_in_blocks
 from sigloom.operators.temporal import KEYS
 from sigloom.plans.joins import band_join, sessions
 
@@ -120,23 +123,46 @@ def sorter_bandpass(df: DataFrame, fs: float, low: float, high: float) -> DataFr
 # Other recurrences --------------------------------------------------------------------------------
 
 
-def envelope(df: DataFrame, fs: float, attack: float, release: float, squared: bool = False) -> DataFrame:
+def envelope(df: DataFrame, fs: float, attack: float, release: float, squared: bool = False, block: int | None = None) -> DataFrame:
+    """Envelope follower: a stream along each channel, or blocks of ``block`` samples (see ``scans``)."""
     a, r = design.follower_coefficient(fs, attack), design.follower_coefficient(fs, release)
-    return per_channel(df, lambda x: kernels.envelope(x, a, r, squared), "envelope")
+    size = np.square if squared else np.abs
+    if block:
+        run = lambda t, _, level: {"envelope": kernels.envelope(t["value"], a, r, squared, float(level[0]))}
+        return scanned_in_blocks(df, ["value"], lambda t, _: scans.follower_effect(size(t["value"]), a, r).reshape(-1), scans.followed, run, "envelope double", block)
+
+    def step(t: dict, level) -> tuple[dict, float]:
+        out = kernels.envelope(t["value"], a, r, squared, level or 0.0)
+        return {"value": t["value"], "envelope": out}, float(out[-1])
+
+    return scanned(df, ["value"], step, "value double, envelope double")
 
 
 def denoised(df: DataFrame, levels: int = 4, hard: bool = False) -> DataFrame:
     return per_channel(df, lambda x: kernels.denoise_haar(x, levels, hard) if len(x) > 1 else x)
 
 
-def adaptive(df: DataFrame, desired: str, taps: int, mu: float = 0.01, epsilon: float | None = None) -> DataFrame:
-    """(output, error) of LMS, or NLMS where ``epsilon`` is given, towards the column ``desired``."""
+def adaptive(df: DataFrame, desired: str, taps: int, mu: float = 0.01, epsilon: float | None = None, block: int | None = None) -> DataFrame:
+    """(output, error) of LMS, or NLMS where ``epsilon`` is given, towards the column ``desired``.
 
-    def run(t: pa.Table) -> dict:
-        y, e, _ = kernels.lms(t["value"].to_numpy(), t["desired"].to_numpy(), taps, mu, epsilon)
-        return {"sample_idx": t["sample_idx"].combine_chunks(), "output": y, "error": e}
+    A stream along each channel, or blocks of ``block`` samples, each of which does something affine to the weights.
+    """
+    rows = df.select(*KEYS, "sample_idx", "value", F.col(desired).alias("desired"))
+    if block:
+
+        def again(t: dict, before: dict, w: np.ndarray) -> dict:
+            y, e, _ = kernels.lms(t["value"], t["desired"], taps, mu, epsilon, w, before=before["value"])
+            return {"output": y, "error": e}
 
-    return per_group(df.select(*KEYS, "sample_idx", "value", F.col(desired).alias("desired")), list(KEYS), run, "sample_idx long, output double, error double")
+        effect = lambda t, before: scans.adaptive_effect(t["value"], t["desired"], taps, mu, epsilon, before["value"]).reshape(-1)
+        return scanned_in_blocks(rows, ["value", "desired"], effect, lambda found: scans.adapted(found, taps), again, "output double, error double", block, taps - 1)
+
+    def step(t: dict, state) -> tuple[dict, tuple]:
+        w, before = state or (None, np.zeros(0))
+        y, e, w = kernels.lms(t["value"], t["desired"], taps, mu, epsilon, w, before=before)
+        return {"output": y, "error": e}, (w, np.concatenate([before, t["value"]])[-max(1, taps - 1) :])
+
+    return scanned(rows, ["value", "desired"], step, "output double, error double")
 
 
 def predicted(df: DataFrame, weights: list[float]) -> DataFrame:
@@ -144,19 +170,25 @@ def predicted(df: DataFrame, weights: list[float]) -> DataFrame:
     return per_channel(df, lambda x: kernels.fir(x, np.array(weights)), "output")
 
 
-def deconvolved(df: DataFrame, gamma: float, penalty: float, baseline: float = 0.0, most: int = 256) -> DataFrame:
-    """(calcium, spike) of calcium traces."""
+def deconvolved(df: DataFrame, gamma: float, penalty: float, baseline: float = 0.0, most: int | None = 256) -> DataFrame:
+    """(calcium, spike) of calcium traces. ``most``: pools that are held, as a fixed memory would; None holds as many as there are."""
 
-    def run(t: pa.Table) -> dict:
-        c, s = kernels.oasis(t["value"].to_numpy(), gamma, penalty, baseline, most)
-        return {"sample_idx": t["sample_idx"].combine_chunks(), "calcium": c, "spike": s}
+    def step(t: dict, state) -> tuple[dict, kernels.Oasis]:
+        state = state or kernels.Oasis(gamma, penalty, baseline, most)
+        return dict(zip(("calcium", "spike"), state.run(t["value"]))), state
 
-    return per_group(df.select(*KEYS, "sample_idx", "value"), list(KEYS), run, "sample_idx long, calcium double, spike double")
+    return scanned(df, ["value"], step, "calcium double, spike double")
 
 
 def streaming_percentile(df: DataFrame, p: float) -> DataFrame:
     """The running P-square estimate, NaN before five samples."""
-    return per_channel(df, lambda x: kernels.p_square(x, p), "percentile")
+
+    def step(t: dict, state) -> tuple[dict, kernels.PSquare]:
+        state = state or kernels.PSquare(p)
+        found = [state.update(v) for v in t["value"].tolist()]
+        return {"value": t["value"], "percentile": [np.nan if v is None else v for v in found]}, state
+
+    return scanned(df, ["value"], step, "value double, percentile double")
 
 
 # Detection ----------------------------------------------------------------------------------------
@@ -178,47 +210,70 @@ def threshold_hits(df: DataFrame, threshold: float, refractory: int) -> DataFram
 
 
 def first_channel_hits(frames: DataFrame, threshold: float, refractory: int) -> DataFrame:
-    """(recording_id, sample, channel, amplitude): at most one hit a frame, in channel order. ``frames``: sample_idx, x."""
+    """(recording_id, sample, channel, amplitude): at most one hit a frame, in channel order. ``frames``: sample_idx, x.
+
+    Only frames beyond the threshold are looked at, in sessions: after ``refractory`` frames without one no channel is silenced.
+    """
+    order = Window.partitionBy("recording_id").orderBy("sample_idx")
+    over = frames.select("recording_id", "sample_idx", F.row_number().over(order).alias("frame"), F.col("x").cast("array<double>").alias("x")).where(F.exists("x", lambda v: F.abs(v) > threshold))
+    runs = sessions(over, ["recording_id"], "frame", refractory).withColumn("session", F.floor(F.col("session") / SESSIONS))
 
     def run(t: pa.Table) -> dict:
-        hits = kernels.first_hits(np.array(t["x"].to_pylist()), threshold, refractory)
+        x = t["x"].combine_chunks()
+        hits = kernels.first_hits(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), threshold, refractory, t["frame"].to_numpy())
         at = t["sample_idx"].to_numpy()
         return {"sample": [at[s] for s, _, _ in hits], "channel": [c for _, c, _ in hits], "amplitude": [v for _, _, v in hits]}
 
-    return per_group(frames.select("recording_id", "sample_idx", "x"), ["recording_id"], run, "sample long, channel int, amplitude double")
+    return per_group(runs, ["recording_id", "session"], run, "sample long, channel int, amplitude double").drop("session")
 
 
 def spikes(df: DataFrame, thresholds: DataFrame, refractory: int) -> DataFrame:
-    """(recording_id, channel, sample, amplitude) of negative peaks beyond each channel's ``threshold``."""
+    """(recording_id, channel, sample, amplitude) of negative peaks beyond each channel's ``threshold``.
+
+    Only the samples beyond it and those that each of them may silence go to the kernel, cut into sessions where no sample beyond it is
+    within reach.
+    """
+    reach = max(1, refractory)
+    order = Window.partitionBy(*KEYS).orderBy("sample_idx")
     rows = df.join(thresholds.select(*KEYS, "threshold"), list(KEYS)).select(*KEYS, "sample_idx", "value", "threshold")
+    beyond = F.when(F.col("value") < -F.col("threshold"), F.col("sample_idx"))
+    marked = rows.withColumn("last", F.last(beyond, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = marked.withColumn("fresh", beyond.isNotNull() & F.coalesce(F.col("sample_idx") - F.lag("last").over(order) > reach, F.lit(True)))
+    near = marked.withColumn("session", F.floor(F.sum(F.col("fresh").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) / SESSIONS)).where(F.col("sample_idx") - F.col("last") < reach)
 
     def run(t: pa.Table) -> dict:
         x, at = t["value"].to_numpy(), t["sample_idx"].to_numpy()
         peaks = kernels.negative_peaks(x, t["threshold"][0].as_py(), refractory)
         return {"sample": at[peaks], "amplitude": np.abs(x[peaks])}
 
-    return per_group(rows, list(KEYS), run, "sample long, amplitude double")
+    return per_group(near.select(*KEYS, "session", "sample_idx", "value", "threshold"), [*KEYS, "session"], run, "sample long, amplitude double").drop("session")
 
 
 def deduplicated(events: DataFrame, probe: DataFrame, radius_um: float, radius: int) -> DataFrame:
     """Of events close in time and space the larger stays, the earlier of equals; killed events kill no more."""
-    placed = events.join(probe, "channel").withColumn("sample_idx", F.col("sample") * 100_000 + F.col("channel"))
+    placed = events.join(probe, "channel")
     runs = sessions(placed, ["recording_id"], "sample", radius).withColumn("session", F.floor(F.col("session") / SESSIONS))
 
     def run(t: pa.Table) -> dict:
+        t = t.sort_by([("sample", "ascending"), ("channel", "ascending")])
         s, a, x, y = (t[c].to_numpy() for c in ("sample", "amplitude", "x", "y"))
         alive = kernels.keep_larger(s, a, lambda i, j: (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= radius_um**2, radius)
         return {"sample": s[alive], "channel": t["channel"].to_numpy()[alive], "amplitude": a[alive]}
 
-    return per_group(runs, ["recording_id", "session"], run, "sample long, channel int, amplitude double").drop("session")
+    return per_group(runs, ["recording_id", "session"], run, "sample long, channel int, amplitude double", None).drop("session")
 
 
-def firmware_hits(df: DataFrame, factor: float) -> DataFrame:
-    def run(t: pa.Table) -> dict:
-        hits = kernels.firmware_detector(t["value"].to_numpy(), factor)
-        return {"sample": t["sample_idx"].to_numpy()[hits]}
+def firmware_hits(df: DataFrame, factor: float, block: int = 1 << 16) -> DataFrame:
+    """(sample) where a raw sample leaves factor times the running noise around the running level, once for each excursion.
 
-    return per_group(df.select(*KEYS, "sample_idx", "value"), list(KEYS), run, "sample long")
+    Level and noise are one-pole filters, the second of what the first leaves, so both run in blocks.
+    """
+    one = lambda rows, share: filtered_in_blocks(rows, [(share, 0.0, 0.0, share - 1, 0.0)], block)
+    raw = df.select(*KEYS, "sample_idx", (F.col("value") / 32768).alias("value"))
+    gap = one(raw, 0.002).select(*KEYS, "sample_idx", F.abs(F.col("value") - F.col("filtered")).alias("value"))
+    over = one(gap, 0.001).withColumn("over", F.col("value") > factor * F.greatest("filtered", F.lit(1 / 32768)))
+    before = F.lag("over", 1, False).over(Window.partitionBy(*KEYS).orderBy("sample_idx"))
+    return over.withColumn("before", before).where("over and not before").select(*KEYS, F.col("sample_idx").alias("sample"))
 
 
 def peeled(df: DataFrame, spikes: DataFrame, templates: np.ndarray, low: list[float], high: list[float], before: int, rounds: int = 3) -> DataFrame:

@@ -11,7 +11,7 @@ from sigloom.functions import spectrum
 from sigloom.operators import coupling, models, signals, spatial, temporal, trains
 from sigloom.plans import adapters as A
 from sigloom.plans import pipeline
-from sigloom.plans.catalog import EM, EV, LI, query, r6
+from sigloom.plans.catalog import EM, EV, LI, ORACLE_SQL, query, r6
 from sigloom.plans.catalog2 import _LONG, _long_probe, _LOW, _near, _PSD, _sql_cascade, _starts, _user_pairs, scan
 from sigloom.plans.catalog3 import _flags, _scaled, _spd
 from sigloom.streaming import processors
@@ -516,3 +516,31 @@ def sorting_coincidences(spark, d):
     rows = A.table(spark, d, "events").select((F.col("user_id") % 5).alias("unit"), "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("sample"))
     pick = lambda k: rows.where(F.col("event_type") == k).select("unit", "sample")
     return signals.coincidences(pick("error"), pick("click"), 1).where("tp > 0").select("gt", "st", "tp", "fp", "fn", r6("accuracy", "accuracy"))
+
+
+# Recurrences in blocks of a few samples, by the SQL of the whole channel -----------------------------------
+
+
+@query(ORACLE_SQL["envelope_follower"])
+def envelope_in_blocks(spark, d):
+    return signals.envelope(A.samples(spark, d), 100.0, 0.01, 0.1, block=16).select(*IDS, r6("envelope", "envelope"))
+
+
+def _adapted_in_blocks(spark, d, *options):
+    rows = signals.adaptive(A.samples(spark, d).withColumn("target", F.col("value") / 2), "target", 4, *options, block=16)
+    return rows.select(*IDS, r6("output", "output"), r6("error", "error"))
+
+
+@query(ORACLE_SQL["lms_filter"])
+def lms_in_blocks(spark, d):
+    return _adapted_in_blocks(spark, d, 1.2345678e-5)
+
+
+@query(ORACLE_SQL["nlms_filter"])
+def nlms_in_blocks(spark, d):
+    return _adapted_in_blocks(spark, d, 0.5, 0.01)
+
+
+@query(ORACLE_SQL["firmware_detector"])
+def firmware_in_blocks(spark, d):
+    return signals.firmware_hits(A.samples(spark, d).withColumn("value", F.col("value") * 50), 4.0, 16).select("channel", "sample")
