@@ -4,6 +4,8 @@
 chunk lengths) only; partitions are ranges of records, chunks or elements, so a large file is read by many tasks. Paths
 with a scheme go through Arrow's file systems, others are local.
 
+A folder's files named ``<recording>-<first>`` are parts of recordings (see ``parts``, which writes them).
+
 Tables by ``option("table", ...)``: ``samples`` (recording, channel, sample_idx, value) is the default; EDF has ``header``
 and ``signals``; XDF has ``streams``, ``strings`` and ``clock_offsets``. Filters on ``channel`` and ``stream_id`` are pushed
 into the reader.
@@ -42,10 +44,16 @@ def listed(path: str) -> list[str]:
         system, inner, head = pafs.LocalFileSystem(), path.removeprefix("file:"), ""
     info = system.get_file_info(inner)
     if info.type == pafs.FileType.Directory:
-        return sorted(head + f.path for f in system.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.File)
+        return sorted(head + f.path for f in system.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.File and f.base_name[:1] not in "_.")
     return [path]
 
 
+def placed(path: str) -> tuple[str, int]:
+    """The recording that a file is a part of, and the record or frame that it begins with; a file without a place is a recording."""
+    m = re.fullmatch(r"(.*)-(\d{15})(\.[a-z]+)", path, re.S)
+    return (m[1] + m[3], int(m[2])) if m else (path, 0)
+
+
 # EDF ------------------------------------------------------------------------------------------------
 
 
@@ -191,13 +199,14 @@ class EdfReader(_Reader):
         with open_input(span.path) as f:
             f.seek(h.header_bytes + span.start * h.record_bytes)
             raw = f.read((span.end - span.start) * h.record_bytes)
+        recording, begin = placed(span.path)
         for k, s in enumerate(h.signals):
             if self.wants("channel", k):
                 values = edf_records(raw, h, k)
                 for a in range(0, len(values), BATCH):
                     v = values[a : a + BATCH]
-                    first = span.start * s.samples + a
-                    yield pa.RecordBatch.from_arrays([pa.repeat(span.path, len(v)), pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(first, first + len(v))), pa.array(v)], names=["recording", "channel", "sample_idx", "value"])
+                    first = (begin + span.start) * s.samples + a
+                    yield pa.RecordBatch.from_arrays([pa.repeat(recording, len(v)), pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(first, first + len(v))), pa.array(v)], names=["recording", "channel", "sample_idx", "value"])
 
 
 _SAMPLES = "recording string, channel int, sample_idx long, value double"
@@ -419,10 +428,11 @@ class MdaReader(_Reader):
         with open_input(span.path) as f:
             f.seek(h.offset + span.start * rows * kind.itemsize)
             grid = np.frombuffer(f.read((span.end - span.start) * rows * kind.itemsize), kind).reshape(-1, rows)
+        recording, begin = placed(span.path)
         for k in range(rows):
             if self.wants("channel", k):
                 v = grid[:, k].astype(float)
-                yield pa.RecordBatch.from_arrays([pa.repeat(span.path, len(v)), pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(span.start, span.end)), pa.array(v)], names=["recording", "channel", "sample_idx", "value"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(recording, len(v)), pa.array(np.full(len(v), k, np.int32)), pa.array(np.arange(begin + span.start, begin + span.end)), pa.array(v)], names=["recording", "channel", "sample_idx", "value"])
 
 
 class MdaSource(DataSource):
@@ -438,6 +448,8 @@ class MdaSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    from sigloom.sources.parts import EdfParts, MdaParts  # they write, too
+
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (EdfSource, XdfSource, MdaSource):
+    for source in (EdfParts, XdfSource, MdaParts):
         spark.dataSource.register(source)
