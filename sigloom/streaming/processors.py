@@ -281,10 +281,20 @@ def processor(step: Step, ordered: bool) -> StatefulProcessor:
     return Online()
 
 
+def watched(rows: DataFrame, watermark: str) -> DataFrame:
+    """``rows`` with a watermark on ``ts`` that drops none of them, so that processors see what is late and can count it.
+
+    Spark drops rows behind the watermark ahead of a stateful operator. Here each row comes twice: a copy with a time
+    moves the watermark and ends there, and the row itself has none, so that no filter on time holds for it.
+    """
+    clock = rows.withColumn("_clock", F.explode(F.array("ts", F.lit(None).cast("timestamp"))))
+    return clock.withWatermark("_clock", watermark).where("_clock is null")
+
+
 def online(stream: DataFrame, step: Step, watermark: str | None = None) -> DataFrame:
     """A stream of samples through a step. With ``watermark`` (a delay on ``ts``) order is restored across micro-batches."""
     rows = stream.select(F.col("recording_id").cast("long").alias("recording_id"), F.col("channel").cast("long").alias("channel"), F.col("sample_idx").cast("long").alias("sample_idx"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    rows = rows.withWatermark("ts", watermark) if watermark else rows
+    rows = watched(rows, watermark) if watermark else rows
     return rows.groupBy("recording_id", "channel").transformWithStateInPandas(processor(step, bool(watermark)), OUTPUT, "Append", "EventTime" if watermark else "None")
 
 
@@ -341,7 +351,7 @@ def segments(stream: DataFrame, xy: np.ndarray, config: SortConfig, segment: int
             pass
 
     rows = stream.select(F.col("recording_id").cast("long").alias("recording_id"), F.col("sample_idx").cast("long").alias("sample_idx"), F.col("ts").cast("timestamp").alias("ts"), F.col("x").cast("array<double>").alias("x"))
-    return rows.withWatermark("ts", watermark).groupBy("recording_id").transformWithStateInPandas(Sorting(), SPIKES, "Append", "EventTime")
+    return watched(rows, watermark).groupBy("recording_id").transformWithStateInPandas(Sorting(), SPIKES, "Append", "EventTime")
 
 
 NAMED = "recording_id long, sample long, template_id int, distance double, seen long, rejected long"

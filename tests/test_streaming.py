@@ -124,6 +124,15 @@ def test_late_rows_are_counted(spark, tmp_path):
     assert dict(zip(got.sample_idx, got.late)) == {0: 0, 2: 0, 3: 0, 4: 1, 5: 2}
 
 
+def test_late_rows_behind_a_watermark_are_counted(spark, tmp_path):
+    """Spark's own filter would drop them unseen. A row behind the watermark that nothing released precedes is not late."""
+    rows = lambda at, value=1.0: pd.DataFrame({"recording_id": 0, "channel": 1, "sample_idx": at, "ts": [seconds(k) for k in at], "value": value})
+    parts = [rows([0, 2, 4, 100]), rows([1, 3, 7, 120]), rows([130]), pd.concat([rows([5, 6, 99]), rows([140], np.nan)])]
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(files(tmp_path / "in", parts))
+    got = run(spark, P.online(stream, P.Rms(1), "10 seconds"), "s_behind", tmp_path / "c")
+    assert dict(zip(got.sample_idx, got.late)) == {**dict.fromkeys([0, 1, 2, 3, 4, 7, 100], 0), 120: 3, 130: 3}
+
+
 def test_an_end_releases_the_tail(spark, tmp_path):
     """Streams whose channels end give what a batch gives, to the last sample."""
     rng = np.random.default_rng(5)
