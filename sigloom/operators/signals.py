@@ -21,6 +21,7 @@ from sigloom.operators import scans
 from sigloom.operators.scans import scanned, scanned_in_blocks
 from sigloom.operators.temporal import KEYS
 from sigloom.plans.joins import band_join, sessions
+from sigloom.sources.shared import removed, written
 
 #: Sessions, which do not touch each other, that one task call takes together.
 SESSIONS = 4096
@@ -289,27 +290,29 @@ def peeled(df: DataFrame, spikes: DataFrame, templates: np.ndarray, low: list[fl
     return per_group(rows, list(KEYS), run, "sample long, template_id int, amplitude double")
 
 
-def matched_detections(df: DataFrame, templates: dict[int, tuple[int, np.ndarray]], threshold: float, refractory: int) -> DataFrame:
-    """(sample, template_id, z, amplitude): each template on its own channel; of detections within ``refractory`` the highest z.
+def matched_detections(df: DataFrame, templates: dict[int, tuple[int | None, np.ndarray]], threshold: float, refractory: int) -> DataFrame:
+    """(sample, channel, template_id, z, amplitude): each template on its own channel, or on all; of detections within ``refractory`` the highest z.
 
-    ``templates``: id -> (channel, waveform).
+    ``templates``: id -> (channel or None, waveform).
     """
-    by_channel: dict[int, list[tuple[int, np.ndarray]]] = {}
+    by_channel: dict[int | None, list[tuple[int, np.ndarray]]] = {}
     for k, (c, w) in templates.items():
         by_channel.setdefault(c, []).append((k, np.asarray(w, float)))
 
     def run(t: pa.Table) -> dict:
         x, at = t["value"].to_numpy(), t["sample_idx"].to_numpy()
         out = []
-        for k, w in by_channel.get(t["channel"][0].as_py(), []):
+        for k, w in [*by_channel.get(t["channel"][0].as_py(), []), *by_channel.get(None, [])]:
             z = kernels.matched_statistic(x, w)
             out += [(int(at[p]), k, float(z[p]), float(z[p] / np.sqrt(w @ w))) for p in kernels.matched_peaks(z, threshold, refractory).tolist()]
         return dict(zip(("sample", "template_id", "z", "amplitude"), zip(*out) if out else ([], [], [], [])))
 
-    found = per_group(df.where(F.col("channel").isin(list(by_channel))).select(*KEYS, "sample_idx", "value"), list(KEYS), run, "sample long, template_id int, z double, amplitude double")
+    rows = df if None in by_channel else df.where(F.col("channel").isin(list(by_channel)))
+    found = per_group(rows.select(*KEYS, "sample_idx", "value"), list(KEYS), run, "sample long, template_id int, z double, amplitude double")
     runs = sessions(found, ["recording_id"], "sample", refractory).withColumn("session", F.floor(F.col("session") / SESSIONS))
 
     def best(t: pa.Table) -> dict:
+        t = t.sort_by([(c, "ascending") for c in ("sample", "channel", "template_id")])
         s, z = t["sample"].to_numpy(), t["z"].to_numpy()
         keep, k = [], 0
         while k < len(s):
@@ -318,7 +321,7 @@ def matched_detections(df: DataFrame, templates: dict[int, tuple[int, np.ndarray
             k = end
         return {c: t[c].to_numpy()[keep] for c in ("sample", "channel", "template_id", "z", "amplitude")}
 
-    return per_group(runs, ["recording_id", "session"], best, "sample long, channel long, template_id int, z double, amplitude double", "sample").drop("session")
+    return per_group(runs, ["recording_id", "session"], best, "sample long, channel long, template_id int, z double, amplitude double", None).drop("session")
 
 
 # Spectra ------------------------------------------------------------------------------------------
@@ -514,12 +517,27 @@ def coincidences(truth: DataFrame, found: DataFrame, tolerance: int, nearest: bo
     return sizes.select("gt", "st", "tp", fp.alias("fp"), fn.alias("fn"), (tp / (tp + fp + fn)).alias("accuracy"), (tp / F.col("m")).alias("precision"), (tp / F.col("n")).alias("recall"))
 
 
-def sorting_pairs(truth: DataFrame, found: DataFrame, tolerance: int) -> list[dict]:
-    """The best one-to-one assignment of found to true units, greedy by accuracy: a row for each pair that shares a spike goes to the driver."""
-    out, used_a, used_b = [], set(), set()
-    for r in coincidences(truth, found, tolerance).where("tp > 0").orderBy(F.desc("accuracy"), "gt", "st").toLocalIterator():
-        if r["gt"] not in used_a and r["st"] not in used_b:
-            used_a.add(r["gt"])
-            used_b.add(r["st"])
-            out.append(r.asDict())
-    return out
+def assigned(pairs: DataFrame, score: str = "accuracy", a: str = "gt", b: str = "st") -> DataFrame:
+    """The pairs that a greedy one-to-one assignment by falling score takes (ties: the smaller a, then b), in rounds of joins.
+
+    A pair that comes first among those of both its units is taken whatever else there is; all such pairs are taken at
+    once, pairs of their units go, and the rest goes on. At least the best pair of all goes in each round; nothing but a count comes to the driver.
+    """
+    left, out, old = written(pairs), None, None
+    order = [F.desc(score), F.col(a), F.col(b)]
+    while True:
+        ranked = left.withColumn("_a", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_b", F.row_number().over(Window.partitionBy(b).orderBy(*order)))
+        taken = written(ranked.where("_a = 1 and _b = 1").drop("_a", "_b"))
+        if taken.isEmpty():
+            removed(left)
+            if out is not None:
+                removed(taken)
+            return taken if out is None else out
+        out = taken if out is None else out.unionAll(taken)
+        old, left = left, written(left.join(taken.select(a), a, "left_anti").join(taken.select(b), b, "left_anti").select(pairs.columns))
+        removed(old)
+
+
+def sorting_pairs(truth: DataFrame, found: DataFrame, tolerance: int) -> DataFrame:
+    """(gt, st, counts, accuracy, precision, recall): the one-to-one assignment of found to true units, greedy by accuracy."""
+    return assigned(coincidences(truth, found, tolerance).where("tp > 0"))

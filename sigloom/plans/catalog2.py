@@ -378,23 +378,24 @@ def probe_extent(spark, d):
     return spatial.extent(_probe(spark)).select("width", "height", F.round("density", 9).alias("density"))
 
 
-_LONG = _PROBE.replace("range(32)", "range(4096)")
+_LONG = "(SELECT DISTINCT CAST(user_id AS INT) AS channel, (user_id % 2 - 0.5) * 32.0::DOUBLE AS x, (user_id // 2) * 20.0::DOUBLE AS y FROM events)"
 _PLACED = f"(SELECT sample_idx, abs(value) AS w, x, y FROM {EV} e JOIN {_LONG} p ON e.channel = p.channel)"
 
 
-def _long_probe(spark):
+def _long_probe(spark, d):
     """The same grid with a place for every user."""
-    return spatial.polytrode(spark, 2048, 2, 32.0, 20.0)
+    last = A.table(spark, d, "events").agg(F.max("user_id")).first()[0]
+    return spatial.polytrode(spark, (last or 0) // 2 + 1, 2, 32.0, 20.0)
 
 
 @query(f"SELECT sample_idx, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y FROM {_PLACED} GROUP BY sample_idx")
 def center_of_mass(spark, d):
-    return spatial.centre_of_mass(A.samples(spark, d).withColumnRenamed("value", "amplitude"), _long_probe(spark), ["sample_idx"]).select("sample_idx", r6("x", "x"), r6("y", "y"))
+    return spatial.centre_of_mass(A.samples(spark, d).withColumnRenamed("value", "amplitude"), _long_probe(spark, d), ["sample_idx"]).select("sample_idx", r6("x", "x"), r6("y", "y"))
 
 
 @query(f"SELECT sample_idx, round(sum(w * x) FILTER (w >= 60) / sum(w) FILTER (w >= 60), 6) AS x, round(sum(w * y) FILTER (w >= 60) / sum(w) FILTER (w >= 60), 6) AS y FROM {_PLACED} GROUP BY sample_idx")
 def center_of_mass_threshold(spark, d):
-    return spatial.centre_of_mass(A.samples(spark, d).withColumnRenamed("value", "amplitude"), _long_probe(spark), ["sample_idx"], 60.0).select("sample_idx", r6("x", "x"), r6("y", "y"))
+    return spatial.centre_of_mass(A.samples(spark, d).withColumnRenamed("value", "amplitude"), _long_probe(spark, d), ["sample_idx"], 60.0).select("sample_idx", r6("x", "x"), r6("y", "y"))
 
 
 # Quality ------------------------------------------------------------------------------------------
@@ -599,7 +600,7 @@ def waveform_extract_multi(spark, d):
 
 @query(f"SELECT sample, round(sum(w * x) / sum(w), 6) AS x, round(sum(w * y) / sum(w), 6) AS y FROM (SELECT h.sample, e.channel, max(abs(value)) AS w FROM {_HITS} h JOIN {EV} e ON e.sample_idx BETWEEN h.sample - 2 AND h.sample + 2 GROUP BY ALL) q JOIN {_LONG} p ON p.channel = q.channel GROUP BY sample")
 def spatial_features(spark, d):
-    return trains.spatial_features(*_hits(spark, d), _long_probe(spark)).select("sample", r6("x", "x"), r6("y", "y"))
+    return trains.spatial_features(*_hits(spark, d), _long_probe(spark, d)).select("sample", r6("x", "x"), r6("y", "y"))
 
 
 @query(f"SELECT vec_id, round((list_min(x[33:64]) - list_avg(x[1:32])) / greatest(list_min(x[33:64]), list_avg(x[1:32])), 6) AS s FROM (SELECT vec_id, [v + 2 FOR v IN x] AS x FROM {EM})")

@@ -198,26 +198,30 @@ def threshold_detector_first(spark, d):
     return signals.first_channel_hits(frames, 200_000.0, 2).select("recording_id", "sample", "channel", "amplitude")
 
 
-def _sql_matched(shapes: dict[int, list[float]], threshold: float, refractory: int) -> str:
-    """Inner products with unit templates, the largest of each run of hits, and of hits of all channels close in time the best."""
+def _sql_matched(shapes: list[list[float]], threshold: float, refractory: int) -> str:
+    """Inner products of all channels with unit templates, the largest of each run of hits, and of hits of all close in time the best."""
     parts = []
-    for c, shape in shapes.items():
+    for k, shape in enumerate(shapes):
         norm = sum(v * v for v in shape) ** 0.5
-        terms = " + ".join(f"{v!r} * lead(value, {k}) OVER (PARTITION BY channel ORDER BY sample_idx)" for k, v in enumerate(shape))
-        parts.append(f"SELECT channel, sample_idx, ({terms}) / {norm!r} AS value FROM {EV} WHERE channel = {c}")
+        terms = " + ".join(f"{v!r} * lead(value, {i}) OVER (PARTITION BY channel ORDER BY sample_idx)" for i, v in enumerate(shape))
+        parts.append(f"SELECT channel * {len(shapes)} + {k} AS channel, sample_idx, ({terms}) / {norm!r} AS value FROM {EV}")
     z = f"(SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE value IS NOT NULL)"
     hits = scan({"w": "0::BIGINT"}, [("hit", f"w <= 0 AND value > {threshold}")], {"w": f"CASE WHEN w > 0 THEN w - 1 WHEN hit THEN {refractory - 1} ELSE 0 END"}, "hit", z)
     return (
         f"WITH RECURSIVE hits AS (SELECT channel, sample_idx FROM ({hits}) WHERE hit), near AS MATERIALIZED (SELECT h.channel, h.sample_idx AS hit, arg_min(e.sample_idx, (-e.value, e.sample_idx)) AS sample, max(e.value) AS z FROM hits h JOIN {z} e ON e.channel = h.channel AND e.sample_idx BETWEEN h.sample_idx AND h.sample_idx + {refractory - 1} GROUP BY ALL), "
         f"runs AS (SELECT min(sample) AS start FROM near UNION ALL SELECT (SELECT min(sample) FROM near WHERE sample >= runs.start + {refractory}) FROM runs WHERE start IS NOT NULL) "
-        f"SELECT arg_min(sample, (-z, sample)) AS sample, CAST(arg_min(channel, (-z, sample)) AS INT) AS template_id, round(max(z), 6) AS z FROM runs JOIN near ON sample >= start AND sample < start + {refractory} GROUP BY start"
+        f"SELECT arg_min(sample, (-z, sample)) AS sample, CAST(arg_min(channel, (-z, sample)) AS INT) // {len(shapes)} AS channel, CAST(arg_min(channel, (-z, sample)) AS INT) % {len(shapes)} AS template_id, round(max(z), 6) AS z FROM runs JOIN near ON sample >= start AND sample < start + {refractory} GROUP BY start"
     )
 
 
-@query(_sql_matched({0: [10.0, 60.0, 30.0], 1: [20.0, 60.0, 20.0]}, 90.0, 3))
+_MATCHED = [[10.0, 60.0, 30.0], [20.0, 60.0, 20.0]]
+
+
+@query(_sql_matched(_MATCHED, 90.0, 3))
 def matched_filter(spark, d):
-    got = signals.matched_detections(A.samples(spark, d), {0: (0, np.array([10.0, 60.0, 30.0])), 1: (1, np.array([20.0, 60.0, 20.0]))}, 90.0, 3)
-    return got.select("sample", "template_id", r6("z", "z"))
+    """Two templates, each on all channels."""
+    got = signals.matched_detections(A.samples(spark, d), {k: (None, np.array(w)) for k, w in enumerate(_MATCHED)}, 90.0, 3)
+    return got.select("sample", F.col("channel").cast("int").alias("channel"), "template_id", r6("z", "z"))
 
 
 def _sql_p_square(p: float) -> str:
@@ -407,7 +411,7 @@ def sorter_bands(spark, d):
 )
 def event_dedup(spark, d):
     rows = A.samples(spark, d).where("value > 80").select("recording_id", F.col("sample_idx").alias("sample"), F.col("channel").cast("int").alias("channel"), F.col("value").alias("amplitude"))
-    return signals.deduplicated(rows, _long_probe(spark), 45.0, 2).select("sample", "channel", "amplitude")
+    return signals.deduplicated(rows, _long_probe(spark, d), 45.0, 2).select("sample", "channel", "amplitude")
 
 
 
@@ -518,6 +522,19 @@ def sorting_coincidences(spark, d):
     return signals.coincidences(pick("error"), pick("click"), 1).where("tp > 0").select("gt", "st", "tp", "fp", "fn", r6("accuracy", "accuracy"))
 
 
+@query(
+    "WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY accuracy DESC, gt, st) AS i FROM (" + ORACLE_SQL["sorting_coincidences"].replace("round(tp / (len(free) + k), 6)", "tp / (len(free) + k)") + ")), "
+    "g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS a, []::BIGINT[] AS b, false AS taken UNION ALL "
+    "SELECT i, CASE WHEN free THEN list_append(a, gt) ELSE a END, CASE WHEN free THEN list_append(b, st) ELSE b END, free FROM (SELECT q.i, g.a, g.b, q.gt, q.st, NOT list_contains(g.a, q.gt) AND NOT list_contains(g.b, q.st) AS free FROM g JOIN q ON q.i = g.i + 1)) "
+    "SELECT gt, st, tp, fp, fn, round(accuracy, 6) AS accuracy FROM g JOIN q ON q.i = g.i WHERE taken"
+)
+def sorting_assignment(spark, d):
+    """Errors against clicks of other users, one to one by accuracy."""
+    rows = A.table(spark, d, "events").select((F.col("user_id") % 5).alias("unit"), "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("sample"))
+    pick = lambda k: rows.where(F.col("event_type") == k).select("unit", "sample")
+    return signals.sorting_pairs(pick("error"), pick("click"), 1).select("gt", "st", "tp", "fp", "fn", r6("accuracy", "accuracy"))
+
+
 # Recurrences in blocks of a few samples, by the SQL of the whole channel -----------------------------------
 
 

@@ -312,7 +312,23 @@ def test_laplacian_weights(spark):
 def test_assignment_of_sortings(spark):
     rows = lambda units: spark.createDataFrame([(u, s) for u, t in units.items() for s in t], "unit long, sample long")
     got = signals.sorting_pairs(rows({0: [10, 20, 30], 1: [15, 25]}), rows({7: [11, 21, 31, 90], 8: [15, 26]}), 2)
-    assert {(m["gt"], m["st"]): m["tp"] for m in got} == {(0, 7): 3, (1, 8): 2}
+    assert {(m["gt"], m["st"]): m["tp"] for m in got.collect()} == {(0, 7): 3, (1, 8): 2}
+
+
+@pytest.mark.parametrize("levels", [2, 1000])
+def test_greedy_assignment_in_rounds(spark, levels):
+    """The same as one after another, with many ties and with chains in which each pair waits for another."""
+    rng = np.random.default_rng(levels)
+    pairs = [(int(a), int(b), int(rng.integers(levels)) / levels) for a in range(14) for b in range(11) if rng.random() < 0.5] + [(50 + k, 50 + k // 2 * 2 + 1 - k % 2 * 2, 0.5 - k / 100) for k in range(8)]
+    pairs = list({(a, b): (a, b, v) for a, b, v in pairs}.values())
+    want, used = set(), set()
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        if ("a", a) not in used and ("b", b) not in used:
+            used |= {("a", a), ("b", b)}
+            want.add((a, b))
+    rows = spark.createDataFrame(pairs, "gt int, st int, accuracy double").repartition(3)
+    assert {(r.gt, r.st) for r in signals.assigned(rows).collect()} == want
+    assert signals.assigned(rows.where("false")).collect() == []
 
 
 def test_short_and_empty_tables(spark):
