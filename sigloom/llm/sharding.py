@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sigloom.llm.common import durable, map_arrow
+from sigloom.llm.common import Sent, durable, map_arrow
 
 SHARDS = 8
 #: Rows of a cell, about.
@@ -89,7 +89,7 @@ def shuffle_to_shards(df: DataFrame, shards: int = SHARDS, seed: int = 17, cell_
     found = sorted((r[0], r[1]) for r in base.groupBy("part").count().collect())  # one row for each input partition
     where = {p: k for k, (p, _) in enumerate(found)}
     matrix = Matrix(np.array([n for _, n in found], np.int64), shards, seed)
-    sent = spark.sparkContext.broadcast((where, matrix))  # one number for each input partition
+    sent = Sent(spark, (where, matrix))  # one number for each input partition
     cells = max(1, -(-int(matrix.ends[-1]) // (shards * cell_rows)))
     order = lambda salt: [F.xxhash64(F.lit(seed + salt), "id"), F.col("id")]
     ranked = base.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(*order(1 << 20))) - 1)
