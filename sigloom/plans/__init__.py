@@ -2,9 +2,9 @@
 
 
 def _modules():
-    from sigloom.plans import catalog, catalog2, catalog3, catalog4, catalog5, catalog6, flagship
+    from sigloom.plans import catalog, catalog2, catalog3, catalog4, catalog5, catalog6, catalog7, flagship
 
-    return catalog, catalog2, catalog3, catalog4, catalog5, catalog6, flagship
+    return catalog, catalog2, catalog3, catalog4, catalog5, catalog6, catalog7, flagship
 
 
 def queries() -> dict:
