@@ -125,10 +125,14 @@ def cca(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
     """Canonical correlations from the largest down."""
     x, y = x - x.mean(axis=0), y - y.mean(axis=0)
     n = max(1, len(x) - 1)
-    a, b, c = x.T @ x / n + ridge * np.eye(x.shape[1]), y.T @ y / n + ridge * np.eye(y.shape[1]), x.T @ y / n
-    wa, wb = np.linalg.inv(np.linalg.cholesky(a)), np.linalg.inv(np.linalg.cholesky(b))
+    return canonical(x.T @ x / n, y.T @ y / n, x.T @ y / n, ridge)
+
+
+def canonical(a: np.ndarray, b: np.ndarray, c: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
+    """The same from the covariances of both sides and between them."""
+    wa, wb = (np.linalg.inv(np.linalg.cholesky(m + ridge * np.eye(len(m)))) for m in (a, b))
     k = wa @ c @ wb.T
-    return np.clip(np.sqrt(np.clip(eigen_symmetric(k @ k.T)[0], 0, None)), 0, 1)[: min(x.shape[1], y.shape[1])]
+    return np.clip(np.sqrt(np.clip(eigen_symmetric(k @ k.T)[0], 0, None)), 0, 1)[: min(c.shape)]
 
 
 def ssvep_references(fs: float, n: int, frequency: float, harmonics: int) -> np.ndarray:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.operators.sums import whole_rows
+from sigloom.operators.sums import added, whole_rows
 from sigloom.sources.shared import removed, written
 
 REC = "recording_id"
@@ -40,12 +40,7 @@ def statistics(spikes: DataFrame, x: str = "x") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=[REC, "label", "m"])
 
     rows = spikes.where(f"{REC} is not null and label is not null").select(F.col(REC).cast("long").alias(REC), F.col("label").cast("long").alias("label"), x)
-    return _added(rows.mapInArrow(run, fields), [REC, "label"])
-
-
-def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
-    cells = rows.select(*keys, F.posexplode("m").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("m"))
+    return added(rows.mapInArrow(run, fields), [REC, "label"])
 
 
 def _moments(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +107,7 @@ def merged(spikes: DataFrame, most: float, refractory: int | None = None, limit:
         into = taken.select(REC, F.col("b").alias("c"), F.col("a").alias("to"))
         moved = clusters.join(into, [REC, "c"], "left").select(REC, F.coalesce("to", "c").alias("c"), "m")
         rows = {
-            "clusters": written(_added(moved, [REC, "c"])),
+            "clusters": written(added(moved, [REC, "c"])),
             "names": written(names.join(into.withColumnRenamed("c", "cluster"), [REC, "cluster"], "left").select(REC, "label", F.coalesce("to", "cluster").alias("cluster"))),
             "failed": written(failed.join(taken, REC, "left_anti").unionAll(other)),
         }

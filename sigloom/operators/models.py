@@ -14,11 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sigloom.functions import linear
 from sigloom.operators.signals import of_arrays, per_group
 from sigloom.operators.spatial import apply_matrix, covariance_matrix
-from sigloom.operators.sums import moments_by, rows_of, summed, summed_by
+from sigloom.operators.sums import added, moments_by, rows_of, summed, summed_by, whole_rows
 from sigloom.operators.temporal import KEYS
 from sigloom.sources.shared import removed, written
 
@@ -270,20 +271,54 @@ def fit_mdm(df: DataFrame, label: str = "label", m: str = "m") -> Mdm:
 
 
 def ssvep(df: DataFrame, trial: str, fs: float, frequencies: list[float], harmonics: int = 2, ridge: float = 1e-6) -> DataFrame:
-    """(trial, frequency, correlation): the stimulus whose references correlate most, the first of equals. Rows: trial, t, x."""
+    """(trial, frequency, correlation): the stimulus whose references correlate most, the first of equals. Rows: trial, t (samples from 0), x.
 
-    def run(table: pa.Table) -> dict:
-        x = np.array(table["x"].to_pylist(), float)
-        scores = []
-        for f in frequencies:
-            try:
-                scores.append(float(linear.cca(x, linear.ssvep_references(fs, len(x), f, harmonics), ridge)[0]))
-            except np.linalg.LinAlgError:
-                scores.append(-1.0)
-        k = int(np.argmax(scores))
-        return {"frequency": [frequencies[k]], "correlation": [scores[k]]}
-
-    return per_group(df.select(trial, "t", "x"), [trial], run, "frequency double, correlation double", "t")
+    Canonical correlations need sums only: of products of channels and references, per trial. They are added up in one pass for all
+    trials and frequencies, a trial may be any number of tasks' rows, and the correlations come from a matrix a trial.
+    """
+    one = df.where(F.col("x").isNotNull()).select(F.col("x").cast("array<double>").alias("x")).first()
+    shift = np.array(one["x"] if one else [0.0], float)
+    channels, references = len(shift), 2 * harmonics
+    kind = df.schema[trial]
+
+    def gather(batches):
+        for b in batches:
+            x, at = whole_rows(b.column(2))
+            if not len(x):
+                continue
+            t = b.column(1).to_numpy(zero_copy_only=False)[at]
+            angle = 2 * math.pi * t[:, None] / fs * (np.array(frequencies)[:, None] * np.arange(1, harmonics + 1)).reshape(-1)
+            waves = np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(len(t), -1)
+            z = np.concatenate([np.ones((len(t), 1)), x - shift, waves], axis=1)
+            codes = b.column(0).dictionary_encode()
+            index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)[at]
+            names = np.unique(index[index >= 0])
+            sums = [(z[index == c].T @ z[index == c]).reshape(-1).tolist() for c in names.tolist()]
+            if sums:
+                yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(names)), pa.array(sums, pa.list_(pa.float64()))], names=[trial, "m"])
+
+    def decide(batches):
+        for b in batches:
+            found = []
+            for m in b.column(1).to_pylist():
+                m = np.array(m).reshape(1 + channels + references * len(frequencies), -1)
+                n = m[0, 0]
+                cov = (m - np.outer(m[0], m[0]) / n)[1:, 1:] / max(1.0, n - 1)
+                scores = []
+                for k in range(len(frequencies)):
+                    own = slice(channels + k * references, channels + (k + 1) * references)
+                    try:
+                        scores.append(float(linear.canonical(cov[:channels, :channels], cov[own, own], cov[:channels, own], ridge)[0]))
+                    except np.linalg.LinAlgError:
+                        scores.append(-1.0)
+                best = int(np.argmax(scores))
+                found.append((frequencies[best], scores[best]))
+            f, r = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.float64()), pa.array(r, pa.float64())], names=[trial, "frequency", "correlation"])
+
+    fields = lambda *more: StructType([kind, *more])
+    sums = df.select(trial, F.col("t").cast("double").alias("t"), F.col("x").cast("array<double>").alias("x")).mapInArrow(gather, fields(StructField("m", ArrayType(DoubleType()))))
+    return added(sums, [trial]).mapInArrow(decide, fields(StructField("frequency", DoubleType()), StructField("correlation", DoubleType())))
 
 
 def kalman(df: DataFrame, track: str, f, h, q, r, x0, p0) -> DataFrame:

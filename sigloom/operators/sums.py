@@ -76,6 +76,12 @@ def summed_by(df: DataFrame, by: str, f: Callable[[np.ndarray, object], np.ndarr
     return {k: np.array(out[k]) for k in sorted(out)}
 
 
+def added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Arrays ``m`` of each key, entry by entry; a key's rows may be any number."""
+    cells = rows.select(*keys, F.posexplode("m").alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+    return cells.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("m"))
+
+
 def moments_by(df: DataFrame, by: str, x: str = "x") -> dict:
     """value -> (mean, covariance, rows) of the rows of each value of ``by``, in one pass over all of them.
 

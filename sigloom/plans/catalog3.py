@@ -98,12 +98,35 @@ def mdm_classifier(spark, d):
 def _epochs(spark, d):
     """Trials of a customer's orders: two channels over time."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return A.table(spark, d, "orders").select(F.col("o_custkey").alias("trial_id"), (F.row_number().over(order) - 1).cast("int").alias("t"), F.array(F.col("o_totalprice"), F.col("o_totalprice") % 1000).alias("x"))
-
-
-@query()
+    x = F.array(F.col("o_totalprice") / 100_000, F.col("o_totalprice") % 1000 / 1000)
+    return A.table(spark, d, "orders").select(F.col("o_custkey").alias("trial_id"), (F.row_number().over(order) - 1).cast("int").alias("t"), x.alias("x"))
+
+
+def _sql_ssvep(fs: float, frequencies: tuple[float, float]) -> str:
+    """The first canonical correlation of two channels with a sine and a cosine, from the trace and determinant of a matrix of two by two."""
+    sides = {"x0": "o_totalprice / 100000", "x1": "o_totalprice % 1000 / 1000"}
+    waves = {f"{w}{k}": f"{f}(2 * pi() * {v} * t / {fs})" for k, v in enumerate(frequencies) for w, f in (("s", "sin"), ("c", "cos"))}
+    cov = lambda a, b: f"coalesce(covar_samp({a}, {b}), 0){' + 1e-6' if a == b else ''}"
+    out = [f"{cov(a, b)} AS a{i}{j}" for i, a in enumerate(sides) for j, b in enumerate(sides) if i <= j]
+    scores = []
+    for k in range(2):
+        y = (f"s{k}", f"c{k}")
+        out += [f"{cov(a, b)} AS b{k}{i}{j}" for i, a in enumerate(y) for j, b in enumerate(y) if i <= j]
+        out += [f"{cov(a, b)} AS k{k}{i}{j}" for i, a in enumerate(sides) for j, b in enumerate(y)]
+        da, db = "(a00 * a11 - a01 * a01)", f"(b{k}00 * b{k}11 - b{k}01 * b{k}01)"
+        m = lambda i, j, k=k: f"(k{k}{i}0 * (b{k}11 * k{k}{j}0 - b{k}01 * k{k}{j}1) + k{k}{i}1 * (b{k}00 * k{k}{j}1 - b{k}01 * k{k}{j}0))"
+        trace = f"((a11 * {m(0, 0)} - 2 * a01 * {m(0, 1)} + a00 * {m(1, 1)}) / {da} / {db})"
+        det = f"((k{k}00 * k{k}11 - k{k}01 * k{k}10) ** 2 / {da} / {db})"
+        scores.append(f"least(1, sqrt(greatest(0, ({trace} + sqrt(greatest(0, {trace} ** 2 - 4 * {det}))) / 2))) AS r{k}")
+    return (
+        f"SELECT trial_id, CASE WHEN r1 > r0 THEN {frequencies[1]} ELSE {frequencies[0]} END::DOUBLE AS frequency, round(greatest(r0, r1), 5) AS correlation FROM (SELECT trial_id, {', '.join(scores)} FROM "
+        f"(SELECT trial_id, {', '.join(out)} FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in waves.items())} FROM (SELECT o_custkey AS trial_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS t, {', '.join(f'{e} AS {n}' for n, e in sides.items())} FROM orders)) GROUP BY trial_id))"
+    )
+
+
+@query(_sql_ssvep(10.0, (1.0, 2.0)))
 def ssvep_detect(spark, d):
-    return models.ssvep(_epochs(spark, d), "trial_id", 10.0, [1.0, 2.0], 1)
+    return models.ssvep(_epochs(spark, d), "trial_id", 10.0, [1.0, 2.0], 1).select("trial_id", "frequency", F.round("correlation", 5).alias("correlation"))
 
 
 _TRACK = scan(
