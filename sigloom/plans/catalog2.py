@@ -554,9 +554,19 @@ def firmware_detector(spark, d):
     return signals.firmware_hits(A.samples(spark, d).withColumn("value", F.col("value") * 50), 4.0).select("channel", "sample")
 
 
-@query()
+_GAMMA = design.oasis_gamma(30.0, 0.5)
+#: A new pool swept through those before it, from the newest on: what it has become by then, and those that stay behind it.
+_SWEPT = (
+    "list_reduce(list_concat([struct_pack(now := struct_pack(v := greatest(value, 0), w := 1.0::DOUBLE, n := 1::BIGINT), left := []::STRUCT(v DOUBLE, w DOUBLE, n BIGINT)[])], [struct_pack(now := p, left := []::STRUCT(v DOUBLE, w DOUBLE, n BIGINT)[]) FOR p IN list_reverse(pools)]), "
+    f"lambda a, e: CASE WHEN a.now.v > {_GAMMA!r} * e.now.v + {0.1 * (1 - _GAMMA)!r} THEN struct_pack(now := struct_pack(v := (e.now.w * e.now.v + {_GAMMA!r} ** e.now.n * a.now.w * a.now.v) / (e.now.w + {_GAMMA!r} ** e.now.n * a.now.w), w := e.now.w + {_GAMMA!r} ** e.now.n * a.now.w, n := e.now.n + a.now.n), left := a.left) "
+    "ELSE struct_pack(now := e.now, left := list_append(a.left, a.now)) END)"
+)
+
+
+@query("SELECT channel, sample_idx, round(c, 6) AS calcium, round(greatest(0, c - " + repr(_GAMMA) + " * last), 6) AS spike FROM (" + scan({"pools": "[]::STRUCT(v DOUBLE, w DOUBLE, n BIGINT)[]", "last": _ZERO}, [("s", _SWEPT), ("now_", "list_reverse(list_append(s.left, s.now))"), ("c", "now_[-1].v")], {"pools": "now_", "last": "c"}, "c, last") + ")")
 def oasis_deconvolution(spark, d):
-    return signals.deconvolved(A.samples(spark, d), design.oasis_gamma(30.0, 0.5), 0.1)
+    """Pools as many as there are; as many as 256 would never be held here."""
+    return signals.deconvolved(A.samples(spark, d), _GAMMA, 0.1, most=None).select(*IDS, r6("calcium", "calcium"), r6("spike", "spike"))
 
 
 @query()

@@ -151,10 +151,39 @@ def monopole_fit(spark, d):
     return models.monopoles(rows.join(spatial.polytrode(spark, 2048, 2, 32.0, 20.0), "channel"), ["sample_idx"], 10.0)
 
 
-@query()
+_STARTS = [[0.2, 0.3, 0.2, 0.2], [0.5, 0.8, 0.5, 0.4], [0.9, 1.2, 0.8, 0.6]]
+_UPPER = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+def _sql_gmm(rounds: int = 50) -> str:
+    """EM as a recurrence whose state is a row for each component. Its covariance is eliminated once; a point's distance is what elimination leaves of it."""
+    factors, g = [], {(i, j): f"g{min(i, j)}{max(i, j)}" for i in range(4) for j in range(4)}
+    for k in range(3):
+        for i in range(k + 1, 4):
+            factors.append(f"{g[i, k]} / {g[k, k]} AS f{k}{i}")
+            factors += [f"{g[i, j]} - f{k}{i} * {g[k, j]} AS e{k}{i}{j}" for j in range(k + 1, 4)]
+        g |= {(i, j): f"e{k}{i}{j}" for i in range(k + 1, 4) for j in range(k + 1, 4)}
+    pivots = [g[k, k] for k in range(4)]
+    rest = [f"x{i} - m{i}" + "".join(f" - f{k}{i} * y{k}" for k in range(i)) + f" AS y{i}" for i in range(4)]
+    log = f"ln(greatest(w, 1e-300)) - 0.5 * (4 * ln(2 * pi()) + {' + '.join(f'y{k} * y{k} / {p}' for k, p in enumerate(pivots))} + {' + '.join(f'ln({p})' for p in pivots)}) AS lp"
+    points = "(SELECT row_number() OVER () AS id, l_orderkey, l_linenumber, l_quantity / 50 AS x0, l_extendedprice / 50000 AS x1, l_discount * 10 AS x2, l_tax * 10 AS x3 FROM lineitem)"
+    told = lambda state: f"(SELECT *, {log} FROM (SELECT *, {', '.join(rest)} FROM (SELECT *, {', '.join(factors)} FROM {state}), q))"
+    share = f"(SELECT *, exp(lp - norm) AS r FROM (SELECT *, top + ln(sum(exp(lp - top)) OVER (PARTITION BY id)) AS norm FROM (SELECT *, max(lp) OVER (PARTITION BY id) AS top FROM {told('f WHERE NOT still AND step < ' + str(rounds))})))"
+    sums = ", ".join([f"sum(r * x{i}) AS a{i}" for i in range(4)] + [f"sum(r * x{i} * x{j}) AS b{i}{j}" for i, j in _UPPER])
+    new = ", ".join([f"a{i} / h AS m{i}" for i in range(4)] + [f"b{i}{j} / h - a{i} / h * (a{j} / h){' + 1e-6' if i == j else ''} AS g{i}{j}" for i, j in _UPPER])
+    first = ", ".join([f"c[{i + 1}] AS m{i}" for i in range(4)] + [f"(SELECT covar_samp(x{i}, x{j}) FROM q){' + 1e-6' if i == j else ''} AS g{i}{j}" for i, j in _UPPER])
+    return (
+        f"WITH RECURSIVE q AS MATERIALIZED (SELECT * FROM {points}), "
+        f"f AS (SELECT 0::BIGINT AS step, k, 1.0::DOUBLE / 3 AS w, {first}, '-inf'::DOUBLE AS ll, false AS still FROM (SELECT unnest([0, 1, 2]) AS k, unnest({_STARTS}::DOUBLE[][]) AS c) UNION ALL "
+        f"SELECT step + 1, k, h / n, {new}, s, abs(s - ll) / n < 1e-6 FROM (SELECT step, k, ll, greatest(sum(r), 1e-12) AS h, count(*) AS n, sum(norm) AS s, {sums} FROM {share} GROUP BY step, k, ll)) "
+        f"SELECT l_orderkey, l_linenumber, CAST(arg_min(k, (-lp, k)) AS INT) AS component FROM {told('(SELECT * FROM f WHERE step = (SELECT max(step) FROM f))')} GROUP BY id, l_orderkey, l_linenumber"
+    )
+
+
+@query(_sql_gmm())
 def gmm_components(spark, d):
     rows = _scaled(spark, d)
-    return models.fit_gmm(rows, np.array([[0.2, 0.3, 0.2, 0.2], [0.5, 0.8, 0.5, 0.4], [0.9, 1.2, 0.8, 0.6]])).predict(rows).select("l_orderkey", "l_linenumber", "component")
+    return models.fit_gmm(rows, np.array(_STARTS)).predict(rows).select("l_orderkey", "l_linenumber", "component")
 
 
 @query()
