@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from sigloom.functions.columns import distance_sq, ncc
-from sigloom.operators.sums import moments_by, nth_smallest, whole_rows
+from sigloom.operators.sums import added, moments_by, nth_smallest, whole_rows
 from sigloom.plans.joins import band_join
 
 #: Points of a block whose distances are taken at once.
@@ -117,13 +117,16 @@ def d_prime(df: DataFrame, label: str, value: str) -> DataFrame:
 def silhouette(df: DataFrame, by: list[str], key: str, label: str = "label", x: str = "x") -> DataFrame:
     """(by, key, label, silhouette) within sets ``by``: mean distance to the own cluster against the nearest other's.
 
-    Sets are cut into blocks of about ``BLOCK`` points, and pairs of blocks go through one kernel each, which gives a point's
-    sums of distances by label; no task holds more than two blocks. All distances are taken, as the measure asks.
+    A point's mean distance to a cluster is at least its distance to the cluster's centroid, and at most that and the cluster's mean
+    distance to its centroid. So each point's nearest other cluster is among those whose least is not above the smallest most, and only
+    these and its own are met (``neighbours``): with clusters apart from each other, one or two, however many there are. Points
+    stand in blocks of about ``BLOCK`` of one cluster; a pair of blocks goes through one kernel, and no task holds more than two.
     """
-    sizes = df.groupBy(*by).agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
-    points = df.select(*by, F.struct(F.col(key).alias("k"), F.col(label).alias("l"), F.col(x).cast("array<double>").alias("x")).alias("p"))
-    blocks = points.join(sizes, by).groupBy(*by, F.pmod(F.xxhash64("p.k"), F.col("_parts")).alias("_block")).agg(F.collect_list("p").alias("p"))
-    pairs = blocks.select(*by, F.col("p").alias("a"), F.col("_block").alias("i")).join(blocks.select(*by, F.col("p").alias("b"), F.col("_block").alias("j")), by).select(*by, "a", "b", (F.col("i") == F.col("j")).alias("own"))
+    blocks = _blocks(df, by, key, label, x)
+    met = neighbours(blocks, by).select(*by, F.col("_block").alias("_i"), F.col("_label").alias("_own"), F.explode("_near").alias("_label"))
+    left = met.join(blocks.select(*by, F.col("_label").alias("_own"), F.col("_block").alias("_i"), F.col("p").alias("a")), [*by, "_own", "_i"])
+    pairs = left.join(blocks.select(*by, "_label", F.col("p").alias("b"), F.col("_block").alias("_j")), [*by, "_label"])
+    pairs = pairs.select(*by, "_own", "_label", "a", "b", (F.col("_own").eqNullSafe(F.col("_label")) & (F.col("_i") == F.col("_j"))).alias("own"))
     kinds = [df.schema[c] for c in by]
     fields = StructType([*kinds, StructField(key, df.schema[key].dataType), StructField(label, df.schema[label].dataType), StructField("_l", df.schema[label].dataType), StructField("d", DoubleType()), StructField("n", LongType())])
     n = len(by)
@@ -131,17 +134,11 @@ def silhouette(df: DataFrame, by: list[str], key: str, label: str = "label", x:
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                a, b = batch.column(n)[r].values, batch.column(n + 1)[r].values
-                u, v = (np.stack([z.values.to_numpy(zero_copy_only=False) for z in s.field("x")]) for s in (a, b))
-                d = np.sqrt(np.maximum(((u[:, None] - v[None]) ** 2).sum(axis=2), 0) if u.shape[1] <= 4 else distances_sq(u, v))
-                others = b.field("l").dictionary_encode()
-                which, counts = others.indices.to_numpy(), len(others.dictionary)
-                sums = np.stack([d[:, which == g].sum(axis=1) for g in range(counts)], axis=1)
-                held = np.repeat(np.bincount(which, minlength=counts)[None], len(u), axis=0)
-                if batch.column(n + 2)[r].as_py():  # a point is not its own neighbour
-                    np.subtract.at(held, (np.arange(len(u)), which), 1)
-                at = pa.array(np.repeat(np.arange(len(u)), counts))
-                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[r], len(at)) for c in range(n)), a.field("k").take(at), a.field("l").take(at), others.dictionary.take(pa.array(np.tile(np.arange(counts), len(u)))), pa.array(sums.reshape(-1)), pa.array(held.reshape(-1))], schema=to_arrow_schema(fields))
+                a, b = batch.column(n + 2)[r].values, batch.column(n + 3)[r].values
+                u, v = _matrix(a), _matrix(b)
+                d = np.sqrt(np.maximum(((u[:, None] - v[None]) ** 2).sum(axis=2), 0) if u.shape[1] <= 4 else distances_sq(u, v)).sum(axis=1)
+                held = np.full(len(u), len(v) - batch.column(n + 4)[r].as_py())  # a point is not its own neighbour
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[r], len(u)) for c in range(n)), a.field("k"), pa.repeat(batch.column(n)[r], len(u)), pa.repeat(batch.column(n + 1)[r], len(u)), pa.array(d), pa.array(held)], schema=to_arrow_schema(fields))
 
     sums = pairs.mapInArrow(run, fields).where("n > 0")
     means = sums.groupBy(*by, key, label, "_l").agg((F.sum("d") / F.sum("n")).alias("d"))
@@ -150,6 +147,68 @@ def silhouette(df: DataFrame, by: list[str], key: str, label: str = "label", x:
     return sides.where("a is not null and b is not null").select(*by, key, label, F.when(most > 0, (F.col("b") - F.col("a")) / most).otherwise(0.0).alias("silhouette"))
 
 
+def _matrix(points: pa.StructArray) -> np.ndarray:
+    lists = points.field("x")
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _blocks(df: DataFrame, by: list[str], key: str, label: str, x: str) -> DataFrame:
+    """(by, _label, _block, p): points of one cluster, about ``BLOCK`` together."""
+    own = [*by, "_label"]
+    named = df.where(F.col(label).isNotNull() & F.col(x).isNotNull()).withColumn("_label", F.col(label))
+    sizes = named.groupBy(*own).agg(F.ceil(F.count("*") / BLOCK).alias("_parts"))
+    points = named.select(*own, F.struct(F.col(key).alias("k"), F.col(x).cast("array<double>").alias("x")).alias("p"))
+    return points.join(sizes, own).groupBy(*own, F.pmod(F.xxhash64("p.k"), F.col("_parts")).alias("_block")).agg(F.collect_list("p").alias("p"))
+
+
+def neighbours(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _label, _block, _near): the own cluster and those that may be the nearest other one of some point of the block.
+
+    A set's clusters come as one array of centroids and mean distances, a row for each.
+    """
+    own = [*by, "_label"]
+    kinds = StructType([blocks.schema[c] for c in own])
+    n = len(own)
+
+    def total(batches):
+        for b in batches:
+            sums = [[float(len(x)), *x.sum(axis=0).tolist()] for x in (_matrix(b.column(n + 1)[r].values) for r in range(b.num_rows))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(sums, pa.list_(pa.float64()))], names=[*own, "m"])
+
+    def spread(batches):
+        for b in batches:
+            sums = [float(np.sqrt(((_matrix(b.column(n + 1)[r].values) - np.array(b.column(n + 2)[r].as_py())) ** 2).sum(axis=1)).sum()) for r in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(sums, pa.float64())], names=[*own, "d"])
+
+    m = added(blocks.mapInArrow(total, StructType([*kinds, StructField("m", ArrayType(DoubleType()))])), own)
+    centres = m.select(*own, F.transform(F.slice("m", 2, F.size("m") - 1), lambda v: v / F.col("m")[0]).alias("centre"), F.col("m")[0].alias("held"))
+    placed = blocks.join(centres, own).select(*own, "_block", "p", "centre")
+    far = placed.mapInArrow(spread, StructType([*kinds, StructField("d", DoubleType())])).groupBy(*own).agg(F.sum("d").alias("d"))
+    clusters = centres.join(far, own).select(*own, "centre", (F.col("d") / F.col("held")).alias("radius"))
+    every = clusters.groupBy(*by).agg(F.collect_list(F.struct("_label", "centre", "radius")).alias("clusters")) if by else clusters.agg(F.collect_list(F.struct("_label", "centre", "radius")).alias("clusters"))
+    joined = blocks.join(every, by) if by else blocks.crossJoin(F.broadcast(every))  # one row
+    columns = joined.select(*own, "_block", "p", "clusters")
+    fields = StructType([*kinds, blocks.schema["_block"], StructField("_near", ArrayType(blocks.schema["_label"].dataType))])
+
+    def choose(batches):
+        for b in batches:
+            near = []
+            for r in range(b.num_rows):
+                x, c = _matrix(b.column(n + 1)[r].values), b.column(n + 2)[r].values
+                names, mine = c.field("_label").to_pylist(), b.column(n - 1)[r].as_py()
+                lists = c.field("centre")
+                least = np.sqrt(distances_sq(x, lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)))
+                others = np.array([name != mine for name in names])
+                open_ = np.zeros(len(names), bool)
+                if others.any():
+                    bound = (least + c.field("radius").to_numpy(zero_copy_only=False))[:, others].min(axis=1)
+                    open_ = others & (least <= bound[:, None] * (1 + 1e-12)).any(axis=0)
+                near.append([mine, *(name for name, o in zip(names, open_) if o)])
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(near, to_arrow_schema(fields).field("_near").type)], schema=to_arrow_schema(fields))
+
+    return columns.mapInArrow(choose, fields)
+
+
 def distances_sq(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of both, a few rows at a time."""
     out = np.empty((len(a), len(b)))

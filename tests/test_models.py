@@ -398,3 +398,27 @@ def test_all_classes_in_one_pass(spark):
     for k in (0, 1):
         alone = linear.frechet_mean(np.array([m for c, m in spd if c == k]).reshape(-1, 3, 3))
         assert np.allclose(means[k], alone, atol=1e-5)
+
+
+def test_silhouette_meets_few_clusters(spark, monkeypatch):
+    """All pairs give the same; with clusters apart from each other, a block meets its own cluster and a few others."""
+    from sigloom.operators import trains
+
+    monkeypatch.setattr(trains, "BLOCK", 16)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 5)) * 20
+    label = rng.choice([0, 0, 0, *range(12)], 420)
+    x = centres[label] + rng.normal(size=(420, 5)) * np.where(label % 4 == 1, 12, 1)[:, None]
+    rows = [(0, k, f"c{c}", v.tolist()) for k, (c, v) in enumerate(zip(label, x))] + [(1, 900 + k, "c0", [float(k)] * 5) for k in range(4)] + [(2, 990, "c1", [0.0] * 5), (2, 991, None, [1.0] * 5)]
+    df = spark.createDataFrame(rows, "rec long, id long, label string, x array<double>").repartition(4)
+    got = {r.id: r.silhouette for r in trains.silhouette(df, ["rec"], "id").collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {}
+    for k in range(420):
+        own = np.flatnonzero((label == label[k]) & (np.arange(420) != k))
+        if len(own):
+            a, b = d[k, own].mean(), min(d[k, label == c].mean() for c in set(label.tolist()) - {label[k]})
+            want[k] = (b - a) / max(a, b)
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    near = trains.neighbours(trains._blocks(df, ["rec"], "id", "label", "x"), ["rec"]).where("rec = 0").collect()
+    assert np.mean([len(r["_near"]) for r in near]) < 7 and min(len(r["_near"]) for r in near) == 2
