@@ -393,6 +393,64 @@ def has_dip(a: np.ndarray, b: np.ndarray, fs: float, width: float = 0.0005, span
     return bool(far > 0 and close < 0.5 * far)
 
 
+def troughs(signal: np.ndarray, xy: np.ndarray, c: SortConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(sample, channel) of events, of near ones the larger, moved to their least sample, whole within the signal, in order."""
+    s, k = detected(signal, c)
+    keep = kernels.keep_larger(s, np.abs(signal[s, k]), _near(xy, k, c.spatial_radius_um), c.temporal_radius) if len(s) else np.zeros(0, bool)
+    s, k = s[keep], k[keep]
+    for i in range(len(s)):
+        low = max(0, s[i] - c.align_half_window)
+        part = signal[low : s[i] + c.align_half_window + 1, k[i]]
+        if part.min() < signal[s[i], k[i]]:
+            s[i] = low + int(np.argmin(part))
+    whole = (s >= c.before) & (s - c.before + c.width <= len(signal))
+    s, k = s[whole], k[whole]
+    order = np.lexsort((k, s))
+    s, k = s[order], k[order]
+    fresh = np.ones(len(s), bool)
+    fresh[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
+    return s[fresh], k[fresh]
+
+
+def sort_reduced(x: np.ndarray, xy: np.ndarray, c: SortConfig) -> Sorted:
+    """The shorter way that wide probes are sorted by: detection by amplitude, three components and the channel's place (between 0 and 1), as many
+    seeds as clusters, merges, splits by gaps and amplitudes; a cluster's SNR is its mean amplitude over the mean noise.
+
+    No subtraction, matched filter, spatial or correlogram merges, splits by intervals or Gaussians.
+    """
+    x = np.asarray(x, float)
+    if len(x) < c.width:
+        return _empty(c.width)
+    c = replace(c, detection="amplitude", isi_split=math.inf)
+    w = prepared(x, c)
+    sample, channel = troughs(w, xy, c)
+    if not len(sample):
+        return _empty(c.width)
+    waves = snippets(w, sample, channel, c)
+    if len(sample) > 1:
+        shape = (waves - waves.mean(axis=0)) @ linear.eigen_symmetric(np.cov(waves.T))[1][:, : FEATURES - 1]
+    else:
+        shape = waves[:, : FEATURES - 1]
+    features = np.hstack([shape, (channel / w.shape[1])[:, None]])
+    seeds = (farthest_seeds if c.seeds == "farthest" else projection_seeds)(features, c.clusters)
+    model = OnlineKMeans(c.cluster_threshold, c.most_count, c.clusters, [s.copy() for s in seeds], [1] * len(seeds))
+    label = np.array([model.assign(f)[0] for f in features])
+    label = split(features, sample, merged(features, sample, label, c), c)
+    amplitude = np.abs(w[sample, channel])
+    label = cut_by_amplitude(amplitude, label, c)
+    noise = max(float(noise_of(w).mean()), 1e-12)
+    out, rows, means = np.full(len(sample), -1), [], []
+    for k in np.unique(label).tolist():
+        own = label == k
+        snr = float(amplitude[own].mean() / noise)
+        if snr >= c.least_snr:
+            out[own] = len(rows)
+            rows.append({"cluster": len(rows), "count": int(own.sum()), "snr": snr, "isi_violation_rate": violation_rate(sample[own], c.refractory), "channel": int(np.bincount(channel[own]).argmax())})
+            means.append(waves[own].mean(axis=0))
+    keep = np.flatnonzero(out >= 0)
+    return Sorted(sample[keep], channel[keep], amplitude[keep], out[keep], rows, np.array(means).reshape(-1, c.width))
+
+
 def sort_frames(x: np.ndarray, xy: np.ndarray, c: SortConfig) -> Sorted:
     """The whole sorter over one segment (samples x channels) and channel positions."""
     x = np.asarray(x, float)
@@ -401,21 +459,7 @@ def sort_frames(x: np.ndarray, xy: np.ndarray, c: SortConfig) -> Sorted:
     w = prepared(x, c)
 
     def events(signal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        s, k = detected(signal, c)
-        keep = kernels.keep_larger(s, np.abs(signal[s, k]), _near(xy, k, c.spatial_radius_um), c.temporal_radius) if len(s) else np.zeros(0, bool)
-        s, k = s[keep], k[keep]
-        for i in range(len(s)):
-            low = max(0, s[i] - c.align_half_window)
-            part = signal[low : s[i] + c.align_half_window + 1, k[i]]
-            if part.min() < signal[s[i], k[i]]:
-                s[i] = low + int(np.argmin(part))
-        whole = (s >= c.before) & (s - c.before + c.width <= len(signal))
-        s, k = s[whole], k[whole]
-        order = np.lexsort((k, s))
-        s, k = s[order], k[order]
-        fresh = np.ones(len(s), bool)
-        fresh[1:] = (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-        return s[fresh], k[fresh]
+        return troughs(signal, xy, c)
 
     sample, channel = events(w)
     if len(sample) < 2:
@@ -535,6 +579,50 @@ def sort_segments(frames: DataFrame, xy: np.ndarray, config: SortConfig, segment
     return per_group(rows, ["recording_id", "segment"], run, "sample long, channel int, amplitude double, label int, clusters int")
 
 
+def neighbourhoods(xy: np.ndarray, most: int, reach: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(own, all) channels of each part of a probe: runs along it of ``most`` channels at most, and these with all within ``reach`` of them."""
+    order = np.lexsort((xy[:, 0], xy[:, 1]))
+    parts = np.array_split(order, max(1, -(-len(order) // most)))
+    return [(np.sort(own), np.flatnonzero((((xy[:, None] - xy[None, own]) ** 2).sum(axis=2) <= reach**2).any(axis=1))) for own in parts]
+
+
+def sort_probe(frames: DataFrame, xy: np.ndarray, config: SortConfig, segment: int, margin: int = 0, most: int = 64, reach: float | None = None, reduced: bool = False) -> DataFrame:
+    """(recording_id, segment, part, sample, channel, amplitude, label, clusters) of a wide probe, by segments of time and parts of the probe.
+
+    A part gets its own channels and those within ``reach`` (the radius within which events are one, twice), so that which of near
+    troughs is the larger is decided alike on both sides of an edge; it gives the spikes of its own channels only. A unit that peaks on
+    both sides of an edge is a cluster in each of two parts, which ``curation.merged`` may join. Labels count within a segment and part. No
+    task holds more than ``most`` channels and their edge. ``reduced``: see ``sort_reduced``.
+    """
+    parts = neighbourhoods(np.asarray(xy, float), most, 2 * config.spatial_radius_um if reach is None else reach)
+    at = lambda i: F.floor(i / segment).cast("long")
+    i = F.col("sample_idx")
+    needed = F.explode(F.sequence(F.greatest(at(i - margin), F.lit(0).cast("long")), at(i + margin))) if margin else at(i)
+    rows = frames.select("recording_id", "sample_idx", "x", needed.alias("segment"))
+
+    def deal(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            for p, (_, every) in enumerate(parts):
+                own = np.ascontiguousarray(x[:, every])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * own.shape[1], pa.int32()), pa.array(own.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists, b.column(3), pa.array(np.full(len(own), p, np.int32))], names=["recording_id", "sample_idx", "x", "segment", "part"])
+
+    def run(t: pa.Table) -> dict:
+        x = t["x"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+        first, k = t["sample_idx"][0].as_py(), t["segment"][0].as_py()
+        own, every = parts[t["part"][0].as_py()]
+        s = (sort_reduced if reduced else sort_frames)(x, np.asarray(xy, float)[every], config)
+        sample, channel = s.sample + first, every[s.channel]
+        mine = (sample >= k * segment) & (sample < (k + 1) * segment) & np.isin(channel, own)
+        return {"sample": sample[mine], "channel": channel[mine], "amplitude": s.amplitude[mine], "label": s.label[mine], "clusters": np.full(int(mine.sum()), len(s.clusters))}
+
+    dealt = rows.mapInArrow(deal, "recording_id long, sample_idx long, x array<double>, segment long, part int")
+    return per_group(dealt, ["recording_id", "segment", "part"], run, "sample long, channel int, amplitude double, label int, clusters int")
+
+
 def joined_segments(spikes: DataFrame) -> DataFrame:
     """Labels offset by the clusters of all segments before."""
     w = Window.partitionBy("recording_id").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)

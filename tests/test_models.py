@@ -158,6 +158,36 @@ def test_sorter_options(easy, config):
     assert len(s.sample) == len(s.label) == len(s.channel)
 
 
+def found_by_part(spikes, times):
+    """Mean over true units of the best accuracy that a cluster of any part has."""
+    units = {}
+    for r in spikes.collect():
+        units.setdefault((r.part, r.label), []).append(r["sample"])
+    best = []
+    for g in times:
+        best.append(max((tp / (len(g) + len(t) - tp) for t in units.values() for tp in [kernels.match_nearest((g + 20).tolist(), sorted(t), 20)]), default=0.0))
+    return float(np.mean(best))
+
+
+@pytest.mark.parametrize("reduced", [False, True])
+def test_wide_probes_in_parts(spark, reduced):
+    """A probe in parts finds its planted units; every spike comes from one part, on a channel of its own."""
+    from pyspark.sql import functions as F
+
+    n, channels = 90_000, 144
+    times = synthetic.spike_times(6, n, 30_000.0, 12.0, seed=5)
+    frames, _ = synthetic.recording(spark, channels=channels, seconds=3.0, units=6, rate=12.0, seed=5)
+    xy = np.c_[np.arange(channels) % 2 * 32.0, np.arange(channels) // 2 * 20.0]
+    parts = sorter.neighbourhoods(xy, 48, 150.0)
+    assert sorted(np.concatenate([o for o, _ in parts]).tolist()) == list(range(channels)) and all(set(o) <= set(e) and len(o) <= 48 < len(e) for o, e in parts)
+    spikes = sorter.sort_probe(frames, xy, sorter.SortConfig(), n, most=48, reduced=reduced)
+    rows = spikes.collect()
+    assert len({(r["sample"], r.channel) for r in rows}) == len(rows) and all(r.channel in parts[r.part][0] for r in rows)
+    assert {r.part for r in rows} == {0, 1, 2} or len({r.part for r in rows}) >= 2
+    assert found_by_part(spikes, times) > (0.75 if reduced else 0.82)
+    assert spikes.where(F.col("sample") < 0).count() == 0
+
+
 def test_refined_sorting_of_fresh_recordings():
     """Seeds that nothing was tuned on: easy and medium shapes at least as published."""
     for seed, channels, units, rate, noise, config, least in ((7, 32, 5, 5.0, 1.0, sorter.SortConfig(refine=3), 0.95), (11, 32, 10, 8.0, 1.5, sorter.SortConfig(threshold=4.0, refine=3), 0.85)):
