@@ -8,6 +8,8 @@ result of every word is that of merging its lowest, leftmost pair again and agai
 
 Null texts count as empty; an empty text has no tokens; very long words cost n log n. A worker keeps encoded words from slab
 to slab and from task to task, up to a bounded number; the older half of them makes room. The result does not depend on it.
+Repeated rows get equal ids each; an empty table gives an empty result; other columns but the text stay as they are, and those of
+the result's names are replaced.
 """
 
 from __future__ import annotations

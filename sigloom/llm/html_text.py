@@ -14,7 +14,8 @@ break no region.
 The text is cut at block elements, references are decoded, white space becomes one space, and blocks are joined in page
 order. A form around a whole page (an article, a main element or an ``h1``) is none of those left out. Weights are fitted on at most ``SAMPLE_PAGES`` pages of ``SAMPLE_BYTES`` at most (those whose keys hash lowest). Null
 or empty html gives an empty text, and so do pages without a region of positive score. Repeated rows give equal texts; very
-long pages take linear time; other columns stay as they are.
+long pages take linear time; an empty table gives an empty result; other columns stay as they are, but for one of the
+result's name, which is replaced.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@
    lost.
 
 Null and empty texts have empty sets, which link to nothing. Repeated rows and equal texts share a component. Shingles
-are compared by 64-bit hashes.
+are compared by 64-bit hashes. An empty table gives an empty result; columns beyond id and text are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations

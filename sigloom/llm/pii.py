@@ -6,7 +6,8 @@ validates what it finds: addresses of mail and network, phone numbers, payment c
 digits, or a number that follows a cue). An anchor inside what the one before was expanded to is passed over, so that each
 parser looks at every character a bounded number of times, and long junk costs linear time.
 
-Null and empty texts have no spans; repeated rows get the same spans each; other columns stay as they are.
+Null and empty texts have no spans, and an empty table gives an empty result; repeated rows get the same spans each; other
+columns stay as they are, but for one of the result's name, which is replaced.
 """
 
 from __future__ import annotations
