@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,8 @@ from sigloom.plans.joins import band_join
 
 #: Points of a block whose distances are taken at once.
 BLOCK = 512
+#: Distinct times of a train that a correlogram takes along as one piece.
+PIECE = 1 << 18
 #: Bytes of clusters' matrices that one pass over all points takes along.
 PASS_BYTES = 32 << 20
 
@@ -72,13 +76,67 @@ def contamination(df: DataFrame, keys: list[str], refractory: float, duration: f
 def correlogram(a: DataFrame, b: DataFrame, keys: list[str], bin_width: float, max_lag: float, both_sides: bool) -> DataFrame:
     """(keys, bin, count) of lags below ``max_lag``: of b behind a, or of either order; equal times do not count.
 
-    Equal times of a train are counted first, so that a dense train costs no more than its distinct times.
+    Equal times of a train are counted first. Pairs are counted, not made: between sorted trains each bin's edge is found for every
+    time of a by bisection, and running sums of the counts behind b say how many lie before it. Trains are cut into spans as
+    wide as ``max_lag``, and a span of a meets its own span of b and those beside it, in pieces of b of about ``PIECE`` times, so
+    that the work grows with the times and the bins, not with the pairs.
     """
-    left = a.groupBy(*keys, F.col("t").alias("ta")).agg(F.count("*").alias("na"))
-    right = b.groupBy(*keys, F.col("t").alias("tb")).agg(F.count("*").alias("nb"))
-    pairs = band_join(left, right, keys, "ta", "tb", max_lag if both_sides else 0.0, max_lag)
-    lag = F.abs(F.col("tb") - F.col("ta"))
-    return pairs.where((lag > 0) & (lag < max_lag)).groupBy(*keys, F.floor(lag / bin_width).cast("long").alias("bin")).agg(F.sum(F.col("na") * F.col("nb")).alias("count"))
+    span = float(max(max_lag, 1e-9))
+    at = lambda c: F.floor(F.col(c) / span).cast("long")
+    left = a.groupBy(*keys, F.col("t").cast("double").alias("t")).agg(F.count("*").alias("n")).withColumn("span", at("t"))
+    right = b.groupBy(*keys, F.col("t").cast("double").alias("t")).agg(F.count("*").alias("n")).withColumn("span", at("t"))
+    # times are cut into pieces by hash, each of which is a train of its own: the counts of pieces add up
+    cut = lambda rows, name: rows.join(rows.groupBy(*keys, "span").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("_parts")), [*keys, "span"]).withColumn(name, F.pmod(F.xxhash64("t"), F.col("_parts")))
+    whole = lambda rows, name, t, n: rows.groupBy(*keys, "span", name).agg(F.collect_list("t").alias(t), F.collect_list("n").alias(n)).drop(name)
+    offsets = (-1, 0, 1) if both_sides else (0, 1)
+    near = whole(cut(left, "_p"), "_p", "ta", "na").withColumn("span", F.explode(F.array(*(F.col("span") + k for k in offsets))))
+    pairs = near.join(whole(cut(right, "_q"), "_q", "tb", "nb"), [*keys, "span"]).select(*keys, "ta", "na", "tb", "nb")
+    k = len(keys)
+    bins = int(np.floor(max_lag / bin_width)) + 1
+    fields = StructType([*(pairs.schema[c] for c in keys), StructField("bin", LongType()), StructField("count", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ta, na, tb, nb = (batch.column(k + c)[r].values.to_numpy(zero_copy_only=False) for c in range(4))
+                counts = lag_counts(ta, na, tb, nb, bin_width, max_lag, bins)
+                if both_sides:
+                    counts = counts + lag_counts(tb, nb, ta, na, bin_width, max_lag, bins)
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(c)[r], len(at)) for c in range(k)), pa.array(at), pa.array(counts[at])], schema=to_arrow_schema(fields))
+
+    return pairs.mapInArrow(run, fields).groupBy(*keys, "bin").agg(F.sum("count").alias("count"))
+
+
+def lag_counts(ta: np.ndarray, na: np.ndarray, tb: np.ndarray, nb: np.ndarray, width: float, most: float, bins: int) -> np.ndarray:
+    """Pairs of each bin floor((b - a) / width) with 0 < b - a < most, of distinct times with their counts.
+
+    A bin's number rises with b, so its edge is where it changes; bisection for a + edge may miss that by rounding, and steps back
+    or on until it is there.
+    """
+    order = np.argsort(ta, kind="stable")
+    ta, na = ta[order], na[order]
+    order = np.argsort(tb, kind="stable")
+    tb, upto = tb[order], np.r_[0, np.cumsum(nb[order])]
+
+    def first(guess: np.ndarray, reached: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """The first place of b, for each a, whose lag has been ``reached``."""
+        at = np.searchsorted(tb, guess)
+        while True:
+            back = (at > 0) & reached(tb[np.maximum(at - 1, 0)] - ta)
+            on = (at < len(tb)) & ~reached(tb[np.minimum(at, len(tb) - 1)] - ta) & ~back
+            if not back.any() and not on.any():
+                return at
+            at = at - back + on
+
+    low, end = first(ta, lambda lag: lag > 0), first(ta + most, lambda lag: lag >= most)
+    out, before = np.zeros(bins, np.int64), upto[low]
+    for k in range(1, bins + 1):
+        edge = np.clip(first(ta + k * width, lambda lag, k=k: np.floor(lag / width) >= k), low, end) if k < bins else end
+        after = upto[edge]
+        out[k - 1] = int((na * (after - before)).sum())
+        before = after
+    return out
 
 
 def autocorrelogram(df: DataFrame, keys: list[str], bin_width: float, max_lag: float) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import columns as C
-from sigloom.operators import coupling
+from sigloom.operators import coupling, trains
 
 
 def test_sign_of_zero(spark):
@@ -19,3 +21,25 @@ def test_no_power_against_a_baseline(spark):
     for mode, unit in (("db", 10), ("logratio", 1)):
         got = {(r.c, r.f): r.normalized for r in coupling.baseline_normalized(rows, ["c"], "f", "p", 0, 1, mode).collect()}
         assert got == {(0, 0): 0.0, (0, 1): -math.inf, (0, 2): None, (1, 0): None, (1, 1): None}, unit
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_correlograms_count_every_pair_without_making_it(spark, monkeypatch, both):
+    """More pairs than could be made, and bins whose edges rounding would miss."""
+    monkeypatch.setattr(trains, "PIECE", 50)
+    rng = np.random.default_rng(3)
+    a, b = (np.r_[rng.integers(0, 4000, 300) / 10, np.arange(30) * 0.1, -rng.random(40) * 300] for _ in range(2))
+    lag = np.abs(b[None] - a[:, None]) if both else b[None] - a[:, None]
+    bins, n = np.unique(np.floor(lag[(lag > 0) & (lag < 60)] / 0.7).astype(int), return_counts=True)
+    one = lambda t, times: spark.createDataFrame([(t, float(x)) for x in times for _ in range(2)], "g int, t double")
+    got = trains.correlogram(one(1, a), one(1, b), ["g"], 0.7, 60.0, both)
+    assert {r.bin: r["count"] for r in got.collect()} == {int(k): 4 * int(m) for k, m in zip(bins, n)}
+
+
+def test_dense_trains(spark):
+    """Two times 60,000 distinct times within reach of each other: 3.6 thousand million pairs."""
+    rows = spark.range(60_000).select(F.lit("k").alias("kind"), (F.col("id") / 8).alias("t"))
+    got = {r.bin: r["count"] for r in trains.autocorrelogram(rows, ["kind"], 1000.0, 36000.0).collect()}
+    lag = np.arange(1, 60_000)
+    want = np.bincount((lag / 8 // 1000).astype(int), 60_000 - lag)
+    assert got == {k: int(n) for k, n in enumerate(want)}
