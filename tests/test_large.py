@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import columns as C
-from sigloom.operators import coupling, trains
+from sigloom.functions import design, kernels
+from sigloom.operators import coupling, signals, trains
 
 
 def test_sign_of_zero(spark):
@@ -43,3 +44,38 @@ def test_dense_trains(spark):
     lag = np.arange(1, 60_000)
     want = np.bincount((lag / 8 // 1000).astype(int), 60_000 - lag)
     assert got == {k: int(n) for k, n in enumerate(want)}
+
+
+@pytest.mark.parametrize("nearest", [False, True])
+def test_counted_spikes_match_as_single_ones(nearest):
+    match, rng = (kernels.match_nearest if nearest else kernels.match_first), np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (np.sort(rng.integers(0, 12, rng.integers(0, 15))) for _ in range(2))
+        used, hits = [False] * len(b), 0
+        for t in a.tolist():
+            free = [k for k in range(len(b)) if not used[k] and abs(b[k] - t) <= 2]
+            if free:
+                used[min(free, key=lambda k: abs(b[k] - t)) if nearest else free[0]] = True
+                hits += 1
+        (u, n), (v, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+        assert match(a.tolist(), b.tolist(), 2) == match(u.tolist(), v.tolist(), 2, n.tolist(), m.tolist()) == hits
+
+
+def test_dense_coincidences(spark):
+    """A million spikes of each side in one hour: pairs could not be made."""
+    rows = lambda n: spark.range(n).select((F.col("id") % 2).alias("unit"), F.lit(7).cast("long").alias("sample"))
+    got = {(r.gt, r.st): (r.tp, r.fp, r.fn) for r in signals.coincidences(rows(1_000_000), rows(600_000), 1).collect()}
+    assert got == {(i, j): (300_000, 0, 200_000) for i in range(2) for j in range(2)}
+
+
+def test_groups_across_batches(spark):
+    """Many short groups, one that spans batches, keys that are null."""
+    rows = spark.range(50_000).select(F.when(F.col("id") % 5 > 0, F.when(F.col("id") % 5 > 1, F.col("id") % 3000)).alias("k"), F.lit("a").alias("s"), (-F.col("id")).alias("sample_idx"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        calls = signals.per_group(rows, ["k", "s"], lambda t: {"n": [t.num_rows], "first": [t["sample_idx"][0].as_py()], "least": [min(t["sample_idx"].to_pylist())]}, "n long, first long, least long")
+        got = sorted(calls.collect(), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = rows.groupBy("k", "s").agg(F.count("*").alias("n"), F.min("sample_idx").alias("first"), F.min("sample_idx").alias("least"))
+    assert got == sorted(want.collect(), key=str)
