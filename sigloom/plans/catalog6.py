@@ -10,6 +10,7 @@ from sigloom.plans import adapters as A
 from sigloom.plans.catalog import EM, EV, ORACLE_SQL, query, r6
 from sigloom.plans.catalog2 import _DOWN, _LOW, _UP, scan
 from sigloom.plans.catalog4 import _sql_windows, _windows
+from sigloom.sources import shared
 from sigloom.streaming import processors as P
 from sigloom.streaming.runs import in_arrivals
 
@@ -18,11 +19,11 @@ IDS = ("channel", "sample_idx")
 
 def _rows(spark, d, parts: int, delayed: str | None = None):
     """Samples of the events by arrival: parts of equal time; rows that ``delayed`` holds for come with the last part."""
-    rows = A.samples(spark, d).join(A.table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "event_id")
+    rows = A.samples(spark, d).withColumn("ts", F.timestamp_micros(F.round(F.col("t") * 1_000_000).cast("long")))  # exact: half a microsecond is more than rounding can lose
     span = rows.agg(F.struct(F.min("t").alias("low"), F.max("t").alias("high"))).scalar()
     part = F.floor(parts * (F.col("t") - span["low"]) / (span["high"] - span["low"] + 1)).cast("int")
     arrival = F.when(F.expr(delayed), F.lit(parts - 1)).otherwise(part) if delayed else part
-    return rows.select("recording_id", F.col("channel").cast("long").alias("channel"), "sample_idx", "ts", F.col("value"), arrival.alias("arrival"))
+    return shared.written(rows.select("recording_id", F.col("channel").cast("long").alias("channel"), "sample_idx", "ts", F.col("value"), arrival.alias("arrival")))
 
 
 def _arrivals(rows, parts: int, ends: bool = True):

@@ -26,6 +26,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 #: Rows of an Arrow batch and values of a partition, about.
 BATCH, PART = 1 << 16, 1 << 22
+#: Bytes of small files that one task reads.
+PACK = 1 << 21
 
 
 def open_input(path: str):
@@ -35,8 +37,8 @@ def open_input(path: str):
     return pafs.LocalFileSystem().open_input_file(path.removeprefix("file:"))
 
 
-def listed(path: str) -> list[str]:
-    """The file itself, or the files of a folder by name."""
+def sized(path: str) -> list[tuple[str, int]]:
+    """The file itself, or the files of a folder by name, and their bytes."""
     if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path):
         system, inner = pafs.FileSystem.from_uri(path)
         head = path[: len(path) - len(inner)]
@@ -44,8 +46,12 @@ def listed(path: str) -> list[str]:
         system, inner, head = pafs.LocalFileSystem(), path.removeprefix("file:"), ""
     info = system.get_file_info(inner)
     if info.type == pafs.FileType.Directory:
-        return sorted(head + f.path for f in system.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.File and f.base_name[:1] not in "_.")
-    return [path]
+        return sorted((head + f.path, f.size) for f in system.get_file_info(pafs.FileSelector(inner)) if f.type == pafs.FileType.File and f.base_name[:1] not in "_.")
+    return [(path, info.size or 0)]
+
+
+def listed(path: str) -> list[str]:
+    return [name for name, _ in sized(path)]
 
 
 def placed(path: str) -> tuple[str, int]:
@@ -294,42 +300,60 @@ def xdf_samples(raw: bytes, channels: int, kind: str) -> Iterator[tuple[float |
 
 
 class XdfReader(_Reader):
+    """Small files go to tasks several together, which look for their chunks there; only a large one's chunks are listed beforehand and cut."""
+
     columns = ("stream_id",)
 
     def partitions(self):
-        table, out = self.options.get("table", "samples"), []
-        for path in listed(self.options["path"]):
-            streams, chunks = {}, []
-            with open_input(path) as f:
-                for tag, start, size, stream in xdf_chunks(f):
-                    if tag == 2:
-                        f.seek(start)
-                        xml = f.read(size).decode("utf-8", "replace")
-                        streams[stream] = (tag_value(xml, "name"), tag_value(xml, "type"), int(tag_value(xml, "channel_count", "0")), float(tag_value(xml, "nominal_srate", "0") or 0), tag_value(xml, "channel_format"))
-                    elif tag == 3 and table in ("samples", "strings"):
-                        f.seek(start)
-                        chunks.append((stream, start, size, varlen(f.read(min(9, size)), 0)[0]))
-                    elif tag == 4 and table == "clock_offsets":
-                        chunks.append((stream, start, size, 1))
-            if table == "streams":
-                out.append(Span(path, 0, 0, streams))
+        out, held, small = [], 0, []
+        for path, size in sized(self.options["path"]):
+            if size > PART * 4:
+                out += self.parts(path)
                 continue
-            name, first, held, part = self.options.get("stream"), {}, 0, []
-            for stream, start, size, n in chunks:
-                info = streams.get(stream)
-                if info and self.wants("stream_id", stream) and (not name or info[0] == name) and (table == "clock_offsets" or (info[4] == "string") == (table == "strings")):
-                    part.append((stream, start, size, first.get(stream, 0), info))
-                    held += size
-                first[stream] = first.get(stream, 0) + n
-                if held > PART * 4:
-                    out.append(Span(path, 0, 0, part))
-                    held, part = 0, []
-            if part:
-                out.append(Span(path, 0, 0, part))
+            if small and held + size > PACK:
+                out.append(Span("", 0, 0, small))
+                held, small = 0, []
+            small.append(path)
+            held += size
+        if small:
+            out.append(Span("", 0, 0, small))
         return out or [Span("", 0, 0)]
 
+    def parts(self, path: str) -> list:
+        table, out = self.options.get("table", "samples"), []
+        streams, chunks = {}, []
+        with open_input(path) as f:
+            for tag, start, size, stream in xdf_chunks(f):
+                if tag == 2:
+                    f.seek(start)
+                    xml = f.read(size).decode("utf-8", "replace")
+                    streams[stream] = (tag_value(xml, "name"), tag_value(xml, "type"), int(tag_value(xml, "channel_count", "0")), float(tag_value(xml, "nominal_srate", "0") or 0), tag_value(xml, "channel_format"))
+                elif tag == 3 and table in ("samples", "strings"):
+                    f.seek(start)
+                    chunks.append((stream, start, size, varlen(f.read(min(9, size)), 0)[0]))
+                elif tag == 4 and table == "clock_offsets":
+                    chunks.append((stream, start, size, 1))
+        if table == "streams":
+            return [Span(path, 0, 0, streams)]
+        name, first, held, part = self.options.get("stream"), {}, 0, []
+        for stream, start, size, n in chunks:
+            info = streams.get(stream)
+            if info and self.wants("stream_id", stream) and (not name or info[0] == name) and (table == "clock_offsets" or (info[4] == "string") == (table == "strings")):
+                part.append((stream, start, size, first.get(stream, 0), info))
+                held += size
+            first[stream] = first.get(stream, 0) + n
+            if held > PART * 4:
+                out.append(Span(path, 0, 0, part))
+                held, part = 0, []
+        if part:
+            out.append(Span(path, 0, 0, part))
+        return out
+
     def read(self, span: Span) -> Iterator:
         if not span.path:
+            for path in span.extra or []:
+                for part in self.parts(path):
+                    yield from self.read(part)
             return
         table = self.options.get("table", "samples")
         if table == "streams":

@@ -213,9 +213,9 @@ class Waiting:
 
     def release(self, fresh: dict[int, tuple[int, Any]], watermark_ms: int, end: int | None) -> tuple[list[tuple[int, Any]], int]:
         """Puts rows in, and takes those out, in order, that nothing that still may come precedes; and the late rows so far."""
-        last, late = self.done.get() if self.done.exists() else (-1, 0)
+        last, late = self.done.get() or (-1, 0)  # each call to the store is a trip to the JVM
         own: dict[int, tuple[int, Any]] = {}
-        if self.ordered and self.rows.exists():
+        if self.ordered:
             for _, (i, ts, v) in self.rows.iterator():
                 own |= zip(i, zip(ts, v))
         held = {i // SPAN for i in own}
@@ -257,7 +257,8 @@ def processor(step: Step, ordered: bool) -> StatefulProcessor:
         def advance(self, key, fresh, timer_values, end=None) -> Iterator[pd.DataFrame]:
             ready, late = self.waiting.release(fresh, timer_values.getCurrentWatermarkInMs() if ordered else 0, end)
             if ready:
-                inner = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else step.start()
+                kept = self.state.get()
+                inner = pickle.loads(bytes(kept[0])) if kept else step.start()
                 y, inner = step.run(np.array([v for _, v in ready]), inner)
                 self.state.update((pickle.dumps(inner),))
                 yield pd.DataFrame({"recording_id": key[0], "channel": key[1], "sample_idx": [i for i, _ in ready], "y": y, "late": late})
@@ -265,11 +266,12 @@ def processor(step: Step, ordered: bool) -> StatefulProcessor:
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             fresh, end = {}, None
             for frame in rows:
-                for i, ts, v in zip(frame["sample_idx"].tolist(), frame["ts"], frame["value"].tolist()):
+                at = (pd.to_datetime(frame["ts"]).to_numpy("datetime64[ns]").view(np.int64) // 1_000_000).tolist()
+                for i, ts, v in zip(frame["sample_idx"].tolist(), at, frame["value"].tolist()):
                     if v is None or v != v:
                         end = i if end is None else max(i, end)
                     else:
-                        fresh[i] = (_time(ts), v)
+                        fresh[i] = (ts, v)
             yield from self.advance(key, fresh, timerValues, end)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

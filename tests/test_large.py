@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sigloom.functions import columns as C
 from sigloom.functions import design, kernels
 from sigloom.operators import coupling, signals, trains
+from sigloom.sources import files, writers
 
 
 def test_sign_of_zero(spark):
@@ -79,3 +80,15 @@ def test_groups_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = rows.groupBy("k", "s").agg(F.count("*").alias("n"), F.min("sample_idx").alias("first"), F.min("sample_idx").alias("least"))
     assert got == sorted(want.collect(), key=str)
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    for k in range(60):
+        streams = [{"id": k, "name": f"s{k}", "type": "EEG", "rate": 1.0, "format": "double64", "times": [1.0, None], "values": [[k], [-k]], "offsets": [(1.0, k / 8)]}]
+        (tmp_path / f"{k}.xdf").write_bytes(writers.xdf(streams))
+    files.register(spark)
+    read = lambda table: spark.read.format("xdf").option("table", table).load(str(tmp_path))
+    assert read("samples").rdd.getNumPartitions() == 1
+    assert sorted((r.stream_id, r.sample_idx, r.x[0]) for r in read("samples").collect()) == sorted((k, i, float(k - 2 * k * i)) for k in range(60) for i in range(2))
+    assert sorted((r.stream_id, r.offset) for r in read("clock_offsets").collect()) == [(k, k / 8) for k in range(60)]
+    assert [r.name for r in read("streams").where("stream_id = 7").collect()] == ["s7"]
