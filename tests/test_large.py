@@ -92,3 +92,28 @@ def test_small_files_share_tasks(spark, tmp_path):
     assert sorted((r.stream_id, r.sample_idx, r.x[0]) for r in read("samples").collect()) == sorted((k, i, float(k - 2 * k * i)) for k in range(60) for i in range(2))
     assert sorted((r.stream_id, r.offset) for r in read("clock_offsets").collect()) == [(k, k / 8) for k in range(60)]
     assert [r.name for r in read("streams").where("stream_id = 7").collect()] == ["s7"]
+
+
+def test_events_meet_near_ones_only():
+    rng = np.random.default_rng(7)
+    for n, chunk in ((0, 4), (1, 4), (200, 16), (400, 1000)):
+        s, a, x, y = np.sort(rng.integers(0, 40, n)), rng.integers(0, 6, n).astype(float), rng.integers(-9, 9, n) * 8.0, rng.integers(0, 30, n) * 9.0
+        for reach in (0.0, 18.0, 45.0):
+            want = kernels.keep_larger(s, a, lambda i, j: (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= reach**2, 2)  # noqa: B023
+            assert kernels.keep_larger_placed(s, a, x, y, reach, 2, chunk).tolist() == want.tolist()
+
+
+def test_wide_recordings_in_time():
+    """120,000 events at six samples: each would meet 60,000 others without cells."""
+    n = 120_000
+    s, y = np.repeat(np.arange(6), n // 6), np.tile(np.arange(n // 6) * 20.0, 6)
+    alive = kernels.keep_larger_placed(s, np.ones(n), np.zeros(n), y, 45.0, 2)
+    assert alive[0] and not alive[1] and 0 < alive.sum() < n // 6
+
+
+def test_entropies_broadcast_no_runs(spark):
+    rows = spark.range(400).select((F.col("id") % 4).alias("channel"), F.floor(F.col("id") / 4).alias("sample_idx"), (F.col("id") * 37 % 101).cast("double").alias("value"))
+    for f in (coupling.approximate_entropy, coupling.sample_entropy):
+        df = f(rows, ["channel"], 2, 15.0)
+        assert len(df.collect()) == 4
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
