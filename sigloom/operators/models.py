@@ -274,11 +274,13 @@ def ssvep(df: DataFrame, trial: str, fs: float, frequencies: list[float], harmon
     """(trial, frequency, correlation): the stimulus whose references correlate most, the first of equals. Rows: trial, t (samples from 0), x.
 
     Canonical correlations need sums only: of products of channels and references, per trial. They are added up in one pass for all
-    trials and frequencies, a trial may be any number of tasks' rows, and the correlations come from a matrix a trial.
+    trials and frequencies, a trial may be any number of tasks' rows, and the correlations come from a matrix a trial. Samples count
+    from their trial's first, so that a channel that never moves has no variance at all and rounding decides nothing.
     """
-    one = df.where(F.col("x").isNotNull()).select(F.col("x").cast("array<double>").alias("x")).first()
-    shift = np.array(one["x"] if one else [0.0], float)
-    channels, references = len(shift), 2 * harmonics
+    one = df.where(F.col("x").isNotNull()).select(F.size("x").alias("n")).first()
+    channels, references = one["n"] if one else 1, 2 * harmonics
+    clean = df.where(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v.cast("double"))))
+    firsts = clean.groupBy(trial).agg(F.min_by(F.col("x").cast("array<double>"), "t").alias("_first"))
     kind = df.schema[trial]
 
     def gather(batches):
@@ -289,7 +291,7 @@ def ssvep(df: DataFrame, trial: str, fs: float, frequencies: list[float], harmon
             t = b.column(1).to_numpy(zero_copy_only=False)[at]
             angle = 2 * math.pi * t[:, None] / fs * (np.array(frequencies)[:, None] * np.arange(1, harmonics + 1)).reshape(-1)
             waves = np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(len(t), -1)
-            z = np.concatenate([np.ones((len(t), 1)), x - shift, waves], axis=1)
+            z = np.concatenate([np.ones((len(t), 1)), x - rows_of(b.column(3).take(pa.array(at))), waves], axis=1)
             codes = b.column(0).dictionary_encode()
             index = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)[at]
             names = np.unique(index[index >= 0])
@@ -317,7 +319,8 @@ def ssvep(df: DataFrame, trial: str, fs: float, frequencies: list[float], harmon
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.float64()), pa.array(r, pa.float64())], names=[trial, "frequency", "correlation"])
 
     fields = lambda *more: StructType([kind, *more])
-    sums = df.select(trial, F.col("t").cast("double").alias("t"), F.col("x").cast("array<double>").alias("x")).mapInArrow(gather, fields(StructField("m", ArrayType(DoubleType()))))
+    rows = clean.join(firsts, trial).select(trial, F.col("t").cast("double").alias("t"), F.col("x").cast("array<double>").alias("x"), "_first")
+    sums = rows.mapInArrow(gather, fields(StructField("m", ArrayType(DoubleType()))))
     return added(sums, [trial]).mapInArrow(decide, fields(StructField("frequency", DoubleType()), StructField("correlation", DoubleType())))
 
 

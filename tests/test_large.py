@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigloom.functions import columns as C
-from sigloom.functions import design, kernels
-from sigloom.operators import coupling, signals, trains
+from sigloom.functions import kernels
+from sigloom.operators import coupling, models, signals, trains
 from sigloom.sources import files, writers
 
 
@@ -117,3 +117,10 @@ def test_entropies_broadcast_no_runs(spark):
         df = f(rows, ["channel"], 2, 15.0)
         assert len(df.collect()) == 4
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_still_channels_have_no_frequency(spark):
+    """Whatever the first frequency is, it is kept where nothing moves."""
+    rows = spark.range(1200).select((F.col("id") % 200).alias("trial_id"), F.floor(F.col("id") / 200).cast("int").alias("t"), F.array(F.col("id") % 200 * 0.737 + 0.1, F.col("id") % 200 / 7.0).alias("x"))
+    got = models.ssvep(rows, "trial_id", 10.0, [1.0, 2.0], 1).collect()
+    assert {(r.frequency, r.correlation) for r in got} == {(1.0, 0.0)} and len(got) == 200
