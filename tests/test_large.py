@@ -124,3 +124,13 @@ def test_still_channels_have_no_frequency(spark):
     rows = spark.range(1200).select((F.col("id") % 200).alias("trial_id"), F.floor(F.col("id") / 200).cast("int").alias("t"), F.array(F.col("id") % 200 * 0.737 + 0.1, F.col("id") % 200 / 7.0).alias("x"))
     got = models.ssvep(rows, "trial_id", 10.0, [1.0, 2.0], 1).collect()
     assert {(r.frequency, r.correlation) for r in got} == {(1.0, 0.0)} and len(got) == 200
+
+
+def test_elementary_functions_to_the_last_bit(spark):
+    """A last bit decides, rarely, how a sum is rounded: SQL and Spark must have the same."""
+    v, e = F.col("v"), C.ELEMENTARY
+    rows = spark.range(3000).select(((F.col("id") + 1) / 7).alias("v")).select("v", e["log2"](v).alias("a"), e["exp"](-v / 50).alias("b"), e["pow"](v, F.lit(0.3)).alias("c")).collect()
+    assert all((r.a, r.b, r.c) == (math.log2(r.v), math.exp(-r.v / 50), math.pow(r.v, 0.3)) for r in rows)
+    odd = spark.createDataFrame([(0.0,), (-1.0,), (math.inf,), (1000.0,), (None,)], "v double").select(e["log2"](v).alias("a"), e["exp"](v).alias("b"))
+    assert [str(r.a) for r in odd.collect()] == ["-inf", "nan", "inf", str(math.log2(1000.0)), "None"]
+    assert [r.b for r in odd.collect()] == [1.0, math.exp(-1.0), math.inf, math.inf, None]
